@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "pieces"]
+MODULES = ["linededup", "quality", "simhash", "pieces", "decontaminate"]
 
 
 def _all(name: str) -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["linededup", "quality", "simhash", "pieces", "decontaminate"]
+MODULES = ["linededup", "sharding", "warc", "quality", "simhash", "secrets", "pieces", "decontaminate"]
 
 
 def _all(name: str) -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -33,8 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/threadmill/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has yet; release() deletes what is written there."""
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(f"{shared_dir(spark)}/threadmill/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this driver has written to the shared folder; called at its end, too."""
+    paths = _written[:]
+    _written.clear()
+    with contextlib.suppress(Exception):  # the session may have ended
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -4,12 +4,291 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from threadmill.functions import scalars
+from threadmill.operators import analytics, chunks, exchanges, filters, fulltext, health, maintenance, vectors
+from threadmill.plans import canonical
+from threadmill.plans.canonical import with_store
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: The time that queries about age take as now.
+AS_OF = "2026-01-01T00:00:00Z"
+_DOMINANT = "SELECT conversation_id AS id, model FROM (SELECT conversation_id, m.name AS model, row_number() OVER (PARTITION BY conversation_id ORDER BY count(*) DESC, m.name NULLS FIRST) AS k FROM c_responses r LEFT JOIN c_models m ON m.id = r.model_id GROUP BY conversation_id, m.name) WHERE k = 1"
+_COST = "CAST(coalesce(input_tokens, 0) AS HUGEINT) * CAST(round(coalesce(input_per_mtok, 0) * 1000000) AS HUGEINT) + CAST(coalesce(output_tokens, 0) AS HUGEINT) * CAST(round(coalesce(output_per_mtok, 0) * 1000000) AS HUGEINT)"
+
+
+def _dollars(places: int = 4) -> str:
+    """The sum of exact costs, rounded by whole numbers."""
+    unit = 10 ** (12 - places)
+    return f"CAST((CAST(coalesce(sum({_COST}), 0) AS HUGEINT) + {unit // 2}) // {unit} AS DOUBLE) / {10**places}"
+
+
+
+
+def over_store(name: str, sql: str | None = None):
+    """Register a function of the store."""
+
+    def add(f):
+        _QUERIES[name] = lambda spark, sf_dir: f(canonical.store(spark, sf_dir))
+        if sql:
+            _SQL[name] = with_store(sql)
+        return f
+
+    return add
+
+
+def over_tables(name: str, sql: str | None = None):
+    """Register a function of the session and the folder of tables."""
+
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _share(n: str = "n") -> str:
+    return f"round({n} * 100.0::DOUBLE / sum({n}) OVER (), 1)"
+
+
+# --- Analytics ---------------------------------------------------------------------------------------------------------
+
+over_store("agg02_cost", f"""
+SELECT w.path AS workspace, m.name AS model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {_dollars()} AS approx_cost_usd
+FROM c_responses r JOIN c_conversations c ON c.id = r.conversation_id JOIN c_workspaces w ON w.id = c.workspace_id LEFT JOIN c_models m ON m.id = r.model_id
+LEFT JOIN c_pricing p ON p.model_id = r.model_id AND p.provider_id = r.provider_id GROUP BY w.path, m.name""")(analytics.cost)
+
+_PER = "per AS (SELECT c.id, substr(c.started_at, 1, 10) AS day, (SELECT count(*) FROM c_prompts p WHERE p.conversation_id = c.id) AS p, (SELECT count(*) FROM c_responses r WHERE r.conversation_id = c.id) AS r FROM c_conversations c)"
+over_store("agg03_daily_activity", """
+SELECT substr(c.started_at, 1, 10) AS day, count(DISTINCT c.id) AS conversations, count(p.id) AS prompts, count(r.id) AS responses
+FROM c_conversations c LEFT JOIN c_prompts p ON p.conversation_id = c.id LEFT JOIN c_responses r ON r.conversation_id = c.id GROUP BY 1""")(analytics.daily_activity)
+over_store("agg03_daily_activity_exact", f"WITH {_PER} SELECT day, count(*) AS conversations, CAST(sum(p) AS BIGINT) AS prompts, CAST(sum(r) AS BIGINT) AS responses FROM per GROUP BY day")(analytics.daily_activity_exact)
+over_store("agg04_harness_stats", """
+WITH n AS (SELECT c.harness_id, count(*) AS conversations, sum((SELECT count(*) FROM c_prompts p WHERE p.conversation_id = c.id)) AS prompts, sum((SELECT count(*) FROM c_responses r WHERE r.conversation_id = c.id)) AS responses,
+  sum((SELECT count(*) FROM c_tool_calls t WHERE t.conversation_id = c.id)) AS tool_calls FROM c_conversations c GROUP BY c.harness_id)
+SELECT h.name AS harness, conversations, CAST(prompts AS BIGINT) AS prompts, CAST(responses AS BIGINT) AS responses, CAST(tool_calls AS BIGINT) AS tool_calls FROM c_harnesses h LEFT JOIN n ON n.harness_id = h.id""")(analytics.harness_stats)
+over_store("agg05_model_usage", """
+SELECT m.name AS model, count(*) AS responses, round(sum(input_tokens) / 1000000.0::DOUBLE, 2) AS input_mtok, round(sum(output_tokens) / 1000000.0::DOUBLE, 2) AS output_mtok, round(sum(input_tokens + output_tokens) / 1000000.0::DOUBLE, 2) AS total_mtok
+FROM c_responses r JOIN c_models m ON m.id = r.model_id GROUP BY m.name""")(analytics.model_usage)
+over_store("agg06_overview", "SELECT " + ", ".join(f"(SELECT count(*) FROM c_{t}) AS {t}" for t in ("conversations", "prompts", "responses", "tool_calls", "workspaces", "models")))(analytics.overview)
+over_store("agg07_tool_usage", """
+SELECT t.name AS tool, t.category, count(*) AS uses, count(*) FILTER (status = 'error') AS errors, round(count(*) FILTER (status = 'error') * 100.0::DOUBLE / count(*), 1) AS error_pct
+FROM c_tool_calls c JOIN c_tools t ON t.id = c.tool_id GROUP BY t.name, t.category""")(analytics.tool_usage)
+_CALLS = "calls AS (SELECT c.*, t.name AS tag FROM c_tool_calls c JOIN c_tool_call_tags g ON g.tool_call_id = c.id JOIN c_tags t ON t.id = g.tag_id)"
+over_store("agg08_shell_tags", f"WITH {_CALLS}, g AS (SELECT tag, count(*) AS n FROM calls WHERE tag ILIKE 'shell:%' GROUP BY tag) SELECT tag, n, {_share()} AS pct FROM g")(analytics.shell_tags)
+_GIT = r"(input ILIKE '%git %' OR contains(lower(input), 'git\n'))"
+over_store("agg09_vcs_tools", f"WITH {_CALLS}, g AS (SELECT CASE WHEN {_GIT} THEN 'git' WHEN input ILIKE '%yadm %' THEN 'yadm' WHEN input ILIKE '%gh %' THEN 'gh' ELSE 'other' END AS tool, count(*) AS n FROM calls WHERE tag = 'shell:vcs' GROUP BY 1) SELECT tool, n, {_share()} AS pct FROM g")(analytics.vcs_tools)
+_ACTIONS = " ".join(f"WHEN input ILIKE '%git {a}%' THEN '{a}'" for a in analytics.GIT_ACTIONS)
+over_store("agg10_git_actions", f"WITH {_CALLS}, g AS (SELECT CASE {_ACTIONS} ELSE 'other' END AS action, count(*) AS n FROM calls WHERE tag = 'shell:vcs' AND {_GIT} GROUP BY 1) SELECT action, n, {_share()} AS pct FROM g")(analytics.git_actions)
+_any = lambda words: " OR ".join(f"input ILIKE '%git {w}%'" for w in words)
+over_store("agg11_git_modes", f"WITH {_CALLS}, g AS (SELECT CASE WHEN {_any(analytics.GIT_READS)} THEN 'read' WHEN {_any(analytics.GIT_WRITES)} THEN 'write' ELSE 'other' END AS mode, count(*) AS n FROM calls WHERE tag = 'shell:vcs' AND {_GIT} GROUP BY 1) SELECT mode, n, {_share()} AS pct FROM g")(analytics.git_modes)
+over_store("agg12_test_tools", f"WITH {_CALLS} SELECT CASE WHEN input ILIKE '%pytest%' THEN 'pytest' ELSE 'other' END AS tool, count(*) AS n FROM calls WHERE tag = 'shell:test' GROUP BY 1")(analytics.test_tools)
+over_store("agg13_dominant_model", _DOMINANT)(analytics.dominant_model)
+over_store("agg14_token_totals", "SELECT conversation_id AS id, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens FROM c_responses GROUP BY 1")(analytics.token_totals)
+_COUNTED = ["conversations", "prompts", "responses", "tool_calls", "harnesses", "workspaces", "tools", "models"]
+over_store("agg15_table_counts", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM c_{t}) AS rows" for t in _COUNTED))(lambda s: analytics.table_counts(s, _COUNTED))
+over_store("agg16_top_workspaces", "WITH t AS (SELECT workspace_id, count(*) AS conversations FROM c_conversations GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 10) SELECT path, conversations FROM t JOIN c_workspaces w ON w.id = t.workspace_id")(analytics.top_workspaces)
+over_store("agg16_top_tools", "WITH t AS (SELECT tool_id, count(*) AS uses FROM c_tool_calls GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 3) SELECT name AS tool, uses FROM t JOIN c_tools w ON w.id = t.tool_id")(lambda s: analytics.top_tools(s, 3))
+over_store("agg17_tag_usage", """
+SELECT name, CAST(NULL AS VARCHAR) AS description, (SELECT count(*) FROM c_workspace_tags x WHERE x.tag_id = t.id) AS workspaces, (SELECT count(*) FROM c_conversation_tags x WHERE x.tag_id = t.id) AS conversations,
+(SELECT count(*) FROM c_tool_call_tags x WHERE x.tag_id = t.id) AS tool_calls, CAST(0 AS BIGINT) AS prompts FROM c_tags t""")(analytics.tag_usage)
+over_store("agg18_tool_tags", f"WITH {_CALLS} SELECT tag, count(*) AS n FROM calls WHERE tag ILIKE 'shell:%' GROUP BY tag")(analytics.tool_tags)
+_BY_WORKSPACE = f"WITH {_CALLS}, g AS (SELECT w.path AS workspace, tag, count(*) AS n FROM calls JOIN c_conversations c ON c.id = calls.conversation_id JOIN c_workspaces w ON w.id = c.workspace_id WHERE tag ILIKE 'shell:%' GROUP BY 1, 2)"
+over_store("agg19_tool_tags_by_workspace", f"{_BY_WORKSPACE} SELECT workspace, CAST(sum(n) AS BIGINT) AS total, string_agg(tag || '=' || n, ',' ORDER BY n DESC, tag) AS tags FROM g GROUP BY workspace ORDER BY total DESC, workspace LIMIT 20")(lambda s: analytics.tool_tags_by_workspace(s).withColumn("tags", F.array_join(F.transform("tags", lambda t: F.concat_ws("=", t["tag"], t["n"])), ",")))
+over_store("agg20_tag_shares", f"WITH {_CALLS}, g AS (SELECT tag, count(*) AS n FROM calls WHERE tag ILIKE 'shell:t%' GROUP BY tag) SELECT tag, n, {_share()} AS pct FROM g")(lambda s: analytics.tool_tag_shares(s, "shell:t"))
+over_store("agg23_tags_of", "SELECT conversation_id AS id, string_agg(t.name, ',' ORDER BY t.name) AS tags FROM c_conversation_tags g JOIN c_tags t ON t.id = g.tag_id GROUP BY 1")(lambda s: analytics.tags_of(s).withColumn("tags", F.array_join("tags", ",")))
+over_store("agg25_ingest_stats", """
+WITH f AS (SELECT harness_id, count(*) AS files, count(error) AS errors FROM c_files GROUP BY 1), n AS (SELECT c.harness_id, count(*) AS conversations, sum((SELECT count(*) FROM c_prompts p WHERE p.conversation_id = c.id)) AS prompts,
+  sum((SELECT count(*) FROM c_responses r WHERE r.conversation_id = c.id)) AS responses, sum((SELECT count(*) FROM c_tool_calls t WHERE t.conversation_id = c.id)) AS tool_calls FROM c_conversations c GROUP BY 1)
+SELECT h.name AS harness, conversations, CAST(prompts AS BIGINT) AS prompts, CAST(responses AS BIGINT) AS responses, CAST(tool_calls AS BIGINT) AS tool_calls, coalesce(files, 0) AS files, coalesce(errors, 0) AS errors
+FROM c_harnesses h LEFT JOIN n ON n.harness_id = h.id LEFT JOIN f ON f.harness_id = h.id""")(analytics.ingest_stats)
+over_store("agg26_blob_savings", """
+WITH d AS (SELECT result, count(*) AS n FROM c_tool_calls WHERE result IS NOT NULL GROUP BY result)
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS results, CAST(coalesce(sum(n * length(result)), 0) AS BIGINT) AS chars, count(*) AS distinct_results, CAST(coalesce(sum(length(result)), 0) AS BIGINT) AS distinct_chars FROM d""")(lambda s: analytics.blob_savings(s["tool_calls"]))
+over_store("agg27_workspace_identity", "WITH g AS (SELECT git_remote, count(*) AS n FROM c_workspaces GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS workspaces, CAST(sum(n) FILTER (git_remote IS NOT NULL) AS BIGINT) AS with_remote, count(*) FILTER (git_remote IS NOT NULL AND n > 1) AS shared_remotes FROM g")(analytics.workspace_identity)
+over_store("agg27_duplicate_workspaces", "SELECT git_remote, count(*) AS n FROM c_workspaces WHERE git_remote IS NOT NULL GROUP BY 1 HAVING count(*) > 1")(analytics.duplicate_workspaces)
+over_store("agg28_weekly_cost", f"""
+SELECT strftime(CAST(substr(c.started_at, 1, 10) AS DATE), '%Y-W%W') AS week, CASE WHEN w.path = '' THEN '(root)' ELSE right(w.path, 30) END AS workspace, count(DISTINCT c.id) AS conversations, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {_dollars(2)} AS approx_cost_usd FROM c_responses r JOIN c_conversations c ON c.id = r.conversation_id JOIN c_workspaces w ON w.id = c.workspace_id
+LEFT JOIN c_pricing p ON p.model_id = r.model_id AND p.provider_id = r.provider_id WHERE c.started_at >= '1996' GROUP BY 1, w.path""")(lambda s: analytics.weekly_cost(s, "1996"))
+
+
+@over_tables("agg29_length_distribution", """
+WITH l AS (SELECT length(text) AS n, row_number() OVER (ORDER BY length(text)) - 1 AS k, count(*) OVER () AS c FROM conversations)
+SELECT min(n) AS min, max(n) AS max, round(avg(n), 4) AS mean, min(n) FILTER (k = CAST(floor(c * 0.05) AS BIGINT)) AS p5, min(n) FILTER (k = CAST(floor(c * 0.25) AS BIGINT)) AS p25, min(n) FILTER (k = CAST(floor(c * 0.5) AS BIGINT)) AS median,
+min(n) FILTER (k = CAST(floor(c * 0.75) AS BIGINT)) AS p75, min(n) FILTER (k = CAST(floor(c * 0.95) AS BIGINT)) AS p95, count(*) FILTER (n > 256) AS over_256, count(*) FILTER (n > 512) AS over_512 FROM l""")
+def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.length_distribution(canonical.turns(spark, sf_dir).select(F.length("text").cast("long").alias("n")), "n", [256, 512])
+
+
+@over_tables("agg30_histogram", """
+WITH b AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS place, unnest(['0-64', '64-128', '128-256', '256-512', '512-1024', '1024+']) AS bucket), g AS (SELECT CASE WHEN n < 64 THEN 0 WHEN n < 128 THEN 1 WHEN n < 256 THEN 2 WHEN n < 512 THEN 3 WHEN n < 1024 THEN 4 ELSE 5 END AS place, count(*) AS n FROM (SELECT length(text) AS n FROM conversations) GROUP BY 1)
+SELECT place, bucket, coalesce(n, 0) AS n FROM b LEFT JOIN g USING (place)""")
+def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.histogram(canonical.turns(spark, sf_dir).select(F.length("text").alias("n")), "n", [0, 64, 128, 256, 512, 1024])
+
+
+_LISTING = f"""
+WITH r AS (SELECT conversation_id AS id, count(*) AS responses, CAST(sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) AS BIGINT) AS tokens, {_dollars()} AS cost FROM c_responses r LEFT JOIN c_pricing p ON p.model_id = r.model_id AND p.provider_id = r.provider_id GROUP BY 1),
+d AS ({_DOMINANT}), t AS (SELECT conversation_id AS id, string_agg(tag_id, ',' ORDER BY tag_id) AS tags FROM c_conversation_tags GROUP BY 1)
+SELECT c.id, w.path AS workspace, d.model, c.started_at, (SELECT count(*) FROM c_prompts p WHERE p.conversation_id = c.id) AS prompts, coalesce(r.responses, 0) AS responses, coalesce(r.tokens, 0) AS tokens, coalesce(r.cost, 0) AS cost, coalesce(t.tags, '') AS tags
+FROM c_conversations c LEFT JOIN c_workspaces w ON w.id = c.workspace_id LEFT JOIN r ON r.id = c.id LEFT JOIN d ON d.id = c.id LEFT JOIN t ON t.id = c.id"""
+_flat = lambda df: df.withColumn("tags", F.array_join("tags", ","))
+over_store("ret23_listing", _LISTING)(lambda s: _flat(analytics.listing(s, limit=0)))
+over_store("ret23_listing_latest", _LISTING + " ORDER BY c.started_at DESC, c.id LIMIT 25")(lambda s: _flat(analytics.listing(s, limit=25)))
+over_store("agg24_listing_totals", f"WITH l AS ({with_store(_LISTING)}) SELECT count(*) AS conversations, CAST(sum(prompts) AS BIGINT) AS prompts, CAST(sum(responses) AS BIGINT) AS responses, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 4) AS cost FROM l")(lambda s: analytics.listing_totals(analytics.listing(s, limit=0)))
+
+# --- Filters and sets --------------------------------------------------------------------------------------------------
+
+_IDS = "SELECT DISTINCT c.id FROM c_conversations c"
+_tag = lambda test: f"c.id IN (SELECT conversation_id FROM c_conversation_tags g JOIN c_tags t ON t.id = g.tag_id WHERE {test})"
+_candidates = lambda **k: lambda s: filters.metadata_candidates(s, **k)
+over_store("flt01_workspace", f"{_IDS} JOIN c_workspaces w ON w.id = c.workspace_id WHERE w.path ILIKE '%00001%' OR w.git_remote ILIKE '%BUILD%'")(lambda s: s["conversations"].join(s["workspaces"].where(filters.in_workspace("00001") | filters.in_workspace("BUILD")).select(F.col("id").alias("workspace_id")), "workspace_id", "left_semi").select("id"))
+over_store("flt02_model", f"{_IDS} JOIN c_responses r ON r.conversation_id = c.id JOIN c_models m ON m.id = r.model_id WHERE m.raw_name ILIKE '%brand#1%' OR m.name ILIKE '%brand#1%'")(_candidates(model="brand#1"))
+over_store("flt03_dates", f"{_IDS} WHERE started_at >= '1995-02' AND started_at < '1995-06-15'")(_candidates(since_="1995-02", before_="1995-06-15"))
+over_store("flt04_any_tag", f"{_IDS} WHERE {_tag("t.name = 'status:F' OR t.name = 'prio:1'")}")(_candidates(tags=["status:F", "prio:1"]))
+over_store("flt05_all_tags", f"{_IDS} WHERE {_tag("t.name = 'status:F'")} AND {_tag("t.name ILIKE 'PRIO:%'")}")(_candidates(all_tags=["status:F", "PRIO:"]))
+over_store("flt06_no_tags", f"{_IDS} WHERE NOT {_tag("t.name = 'status:O' OR t.name ILIKE 'prio:%'")}")(_candidates(no_tags=["status:O", "prio:"]))
+over_store("flt08_tool", f"{_IDS} WHERE c.id IN (SELECT conversation_id FROM c_tool_calls t WHERE t.tool_id = 'error')")(lambda s: filters.using_tool(s["conversations"].select("id"), s, "error"))
+over_store("flt09_tool_tag", f"{_IDS} WHERE c.id IN (SELECT conversation_id FROM c_tool_calls t JOIN c_tool_call_tags g ON g.tool_call_id = t.id WHERE g.tag_id = 'shell:test')")(lambda s: filters.using_tool_tag(s["conversations"].select("id"), s, "shell:test"))
+over_store("flt11_prefix", "SELECT external_id FROM c_conversations WHERE external_id = 'o12' OR starts_with(external_id, 'o12') ORDER BY external_id <> 'o12', external_id LIMIT 1")(lambda s: filters.by_id(s["conversations"].select("external_id"), "o12", "external_id"))
+over_store("flt12_in_ids", f"{_IDS} WHERE c.id IN (SELECT conversation_id FROM c_tool_calls)")(lambda s: filters.in_ids(s["conversations"].select("id"), s["tool_calls"].select(F.col("conversation_id").alias("id"))))
+over_store("flt16_active", "SELECT DISTINCT conversation_id AS id FROM c_files WHERE path LIKE 'https%'")(lambda s: filters.active_conversations(s, s["ingested_files"].where(F.col("path").startswith("https"))))
+_LEFT = "(SELECT id FROM c_conversations WHERE id % 3 = 0)"
+_thirds = lambda s, k: s["conversations"].where(F.col("id") % k == 0).select("id")
+over_store("set01_intersect_or_all", "SELECT id FROM c_conversations WHERE id % 6 = 0")(lambda s: filters.intersect_or_all(_thirds(s, 3), _thirds(s, 2)))
+over_store("set01_fallback", "SELECT id FROM c_conversations WHERE id % 2 = 0")(lambda s: filters.intersect_or_all(_thirds(s, 3).limit(0), _thirds(s, 2)))
+over_store("set02_minus", "SELECT id FROM c_conversations WHERE id % 3 <> 0")(lambda s: filters.minus(s["conversations"], _thirds(s, 3)))
+over_store("set07_first_of_each", "SELECT conversation_id, min(id) AS id FROM c_tool_calls GROUP BY conversation_id")(lambda s: filters.first_of_each(s["tool_calls"].select("conversation_id", "id"), ["conversation_id"], ["id"]))
+
+# --- Exchanges and windows ----------------------------------------------------------------------------------------------
+
+_FOLD = "f AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS exchange FROM conversations)"
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchanges.fold(canonical.turns(spark, sf_dir), "conv_id", "turn", F.col("role") == "user")
+
+
+over_tables("win08_fold", f"WITH {_FOLD} SELECT conv_id, turn, CAST(exchange AS BIGINT) AS exchange FROM f WHERE exchange > 0")(lambda s, d: _folded(s, d).select("conv_id", "turn", "exchange"))
+over_tables("agg22_ordered_text", f"WITH {_FOLD} SELECT conv_id, CAST(exchange AS BIGINT) AS exchange, string_agg(text, chr(10) ORDER BY turn) AS text FROM f WHERE exchange > 0 AND role = 'assistant' GROUP BY 1, 2")(lambda s, d: exchanges.ordered_text(_folded(s, d).where("role = 'assistant'"), ["conv_id", "exchange"], ["turn"], "text", "\n"))
+_RUNS = "r AS (SELECT conv_id, turn, role, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS new FROM conversations), s AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS run FROM r)"
+over_tables("agg33_runs", f"WITH {_RUNS} SELECT conv_id, CAST(run AS BIGINT) AS run, role AS tool, 'ok' AS status, count(*) AS n FROM s GROUP BY 1, 2, 3")(lambda s, d: exchanges.collapsed_calls(canonical.turns(s, d).select("conv_id", "turn", F.col("role").alias("tool"), F.lit("ok").alias("status")), "conv_id", ["turn"]))
+over_store("win02_prompt_at", "WITH p AS (SELECT conversation_id, id, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp, id) - 1 AS place FROM c_prompts) SELECT conversation_id, CAST(place AS INTEGER) AS place, id AS prompt_id FROM p WHERE place = 1")(lambda s: exchanges.prompt_at(s, s["conversations"].select(F.col("id").alias("conversation_id"), F.lit(1).alias("place"))).select("conversation_id", "place", "prompt_id"))
+over_store("win04_last_exchanges", "WITH p AS (SELECT conversation_id, id, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp DESC, id DESC) AS k FROM c_prompts) SELECT conversation_id, id AS prompt_id FROM p WHERE k <= 2")(lambda s: exchanges.last_exchanges(s["prompts"].select("conversation_id", F.col("id").alias("prompt_id"), "timestamp"), 2).select("conversation_id", "prompt_id"))
+
+
+@over_tables("win03_context", """
+WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations), h AS (SELECT conv_id AS c, place AS p FROM n WHERE turn = 3)
+SELECT c AS chunk_id, turn, CAST(place AS INTEGER) AS place, place = p AS is_hit FROM n JOIN h ON n.conv_id = h.c WHERE place BETWEEN p - 1 AND p + 1""")
+def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = canonical.turns(spark, sf_dir).select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("prompt_id"), F.col("turn").alias("timestamp"))
+    hits = rows.where("prompt_id = 3").select(F.col("conversation_id").alias("chunk_id"), "conversation_id", F.array("prompt_id").alias("source_ids"))
+    return exchanges.context(hits, rows, 1).select("chunk_id", F.col("prompt_id").alias("turn"), "place", "is_hit")
+
+
+@over_tables("agg34_tool_counter", """
+WITH g AS (SELECT conv_id, role, count(*) AS n, min(turn) AS first FROM conversations GROUP BY 1, 2) SELECT conv_id, string_agg(role || '=' || n, ',' ORDER BY n DESC, first) AS tools FROM g GROUP BY 1""")
+def _counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = analytics.tool_counts(canonical.turns(spark, sf_dir), "conv_id", "role", "turn")
+    return rows.withColumn("tools", F.array_join(F.transform("tools", lambda t: F.concat_ws("=", t["tool"], t["n"])), ","))
+
+
+# --- Full text --------------------------------------------------------------------------------------------------------
+
+_TERMS = r"t AS (SELECT conv_id * 1000 + turn AS content_id, conv_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) AS term FROM conversations), len AS (SELECT content_id, conv_id, count(*) AS dl FROM t GROUP BY 1, 2)"
+
+
+def _index(spark: SparkSession, sf_dir: str) -> fulltext.Index:
+    rows = canonical.turns(spark, sf_dir).select("text", (F.col("conv_id") * 1000 + F.col("turn")).alias("content_id"), F.col("role").alias("side"), F.col("conv_id").alias("conversation_id"))
+    return fulltext.build(rows)
+
+
+def _bm25(words: list[str], every: bool) -> str:
+    listed = ", ".join(f"'{w}'" for w in words)
+    having = f"HAVING count(*) = {len(words)}" if every else ""
+    return f"""{_TERMS}, n AS (SELECT count(*) AS texts, avg(dl) AS mean FROM len), tf AS (SELECT content_id, term, count(*) AS tf FROM t WHERE term IN ({listed}) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT term, mean, CASE WHEN ln((texts - df + 0.5) / (df + 0.5)) > 0 THEN ln((texts - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM df, n),
+s AS (SELECT content_id, conv_id, -sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))) AS rank FROM tf JOIN w USING (term) JOIN len USING (content_id) GROUP BY 1, 2 {having})"""
+
+
+_four = lambda c: (F.round(c, 4) + F.lit(0.0)).alias(c)
+_WORDS = ["ththanou", "threadhe", "theing", "unning", "ofer", "tionre"]
+over_tables("fts_postings", f"WITH {_TERMS} SELECT content_id, term, count(*) AS tf FROM t GROUP BY 1, 2")(lambda s, d: _index(s, d).postings)
+over_tables("ret01_search_any", f"WITH {_bm25(_WORDS, False)} SELECT content_id, round(rank, 4) + 0.0::DOUBLE AS rank FROM s")(lambda s, d: fulltext.scored(_index(s, d), _WORDS).select("content_id", _four("rank")))
+over_tables("ret01_search_all", f"WITH {_bm25(['the', 'of'], True)} SELECT content_id, round(rank, 4) + 0.0::DOUBLE AS rank FROM s ORDER BY s.rank, content_id LIMIT 20")(lambda s, d: fulltext.search(_index(s, d), "the of", 20).select("content_id", _four("rank")))
+over_tables("ret02_recall_and", f"WITH {_bm25(['the', 'of'], True)}, c AS (SELECT conv_id AS id, min(rank) AS rank FROM s GROUP BY 1) SELECT id, 'and' AS mode FROM c ORDER BY rank, id LIMIT 80")(lambda s, d: fulltext.recall(_index(s, d), "the of"))
+over_tables("ret02_recall_or", f"WITH {_bm25(['and', 'zzzz', 'the'], False)}, c AS (SELECT conv_id AS id, min(rank) AS rank FROM s GROUP BY 1) SELECT id, 'or' AS mode FROM c ORDER BY rank, id LIMIT 80")(lambda s, d: fulltext.recall(_index(s, d), "and zzzz the"))
+over_tables("ret08_search_only", f"WITH {_bm25(['the'], True)} SELECT content_id, round(abs(rank), 4) AS score FROM s WHERE conv_id % 2 = 0 ORDER BY rank, content_id LIMIT 10")(lambda s, d: fulltext.search_only(_index(s, d), "the", canonical.turns(s, d).where("conv_id % 2 = 0").select(F.col("conv_id").alias("id")), 10).select("content_id", _four("score")))
+
+# --- Vectors ----------------------------------------------------------------------------------------------------------
+
+#: The query vector of the catalogue: 64 numbers by a rule.
+QUERY = [((k * 37) % 64 - 32) / 32 for k in range(64)]
+_Q = f"CAST([{', '.join(map(str, QUERY))}] AS FLOAT[64])"
+_SIM = f"v AS (SELECT *, list_cosine_similarity(CAST(embedding AS DOUBLE[]), [{', '.join(map(str, QUERY))}]::DOUBLE[]) AS score FROM c_chunks)"
+_scored = lambda s: vectors.similar(s["chunks"], QUERY)
+over_store("fn20_cosine", f"WITH {_SIM} SELECT chunk_id, round(score, 4) AS score FROM v")(lambda s: _scored(s).select("chunk_id", _four("score")))
+over_store("ret04_top_k", f"WITH {_SIM} SELECT chunk_id, round(score, 4) AS score FROM v ORDER BY v.score DESC, chunk_id LIMIT 20")(lambda s: vectors.top_k(s["chunks"], QUERY, 20).select("chunk_id", _four("score")))
+over_store("ret04_top_k_of", f"WITH {_SIM} SELECT chunk_id, round(score, 4) AS score FROM v WHERE conversation_id IN (1, 3) ORDER BY v.score DESC, chunk_id LIMIT 20")(lambda s: vectors.top_k(s["chunks"], QUERY, 20, s["chunks"].where("conversation_id IN (1, 3)").select(F.col("conversation_id").alias("id"))).select("chunk_id", _four("score")))
+over_store("ret05_recency", f"SELECT id, round(1 + 0.15 * exp(-ln(2) * greatest(epoch(TIMESTAMP '2026-01-01') - epoch(CAST(replace(replace(started_at, 'T', ' '), 'Z', '') AS TIMESTAMP)), 0) / 86400 / 3000), 6) AS weight FROM c_conversations")(lambda s: s["conversations"].select("id", F.round(vectors.recency_weight(F.col("started_at"), F.to_timestamp(F.lit(AS_OF)), 3000), 6).alias("weight")))
+over_store("ret10_conversation_scores", f"WITH {_SIM} SELECT conversation_id, round(max(score), 4) AS max_score, round(avg(score), 4) AS mean_score, count(*) AS chunks, substr(max_by(text, score), 1, 500) AS excerpt FROM v GROUP BY 1 ORDER BY max(score) DESC, 1 LIMIT 5")(lambda s: vectors.conversation_scores(_scored(s), 5).select("conversation_id", _four("max_score"), _four("mean_score"), "chunks", "excerpt"))
+over_store("ret11_threads", f"WITH {_SIM}, b AS (SELECT conversation_id, max(score) AS m FROM v GROUP BY 1) SELECT chunk_id, CASE WHEN m > (SELECT avg(m) FROM b) THEN 1 ELSE 2 END AS tier FROM v JOIN b USING (conversation_id)")(lambda s: vectors.threads(_scored(s)).select("chunk_id", "tier"))
+over_store("flt14_threshold", f"WITH {_SIM} SELECT chunk_id FROM v WHERE score >= 0.05")(lambda s: filters.at_least(_scored(s), 0.05).select("chunk_id"))
+over_store("ret09_first_mention", f"WITH {_SIM} SELECT chunk_id FROM v LEFT JOIN c_conversations c ON c.id = v.conversation_id WHERE score >= 0.05 ORDER BY coalesce(c.started_at, ''), chunk_id LIMIT 1")(lambda s: vectors.first_mention(_scored(s), s | {"prompts": s["prompts"].limit(0).select(F.lit(0).cast("long").alias("id"), "timestamp")}, 0.05).select("chunk_id"))
+over_store("ret06_mmr")(lambda s: vectors.mmr(vectors.top_k(s["chunks"], QUERY, 100).withColumn("query", F.lit("q")), 10).select("chunk_id", "conversation_id", "mmr_rank", F.round("mmr_penalty", 6).alias("mmr_penalty")))
+over_store("ret07_hybrid")(lambda s: vectors.hybrid(s, "q", lambda _: QUERY, F.to_timestamp(F.lit(AS_OF))).select("chunk_id", "mmr_rank", F.round("score", 6).alias("score")))
+_RANKED = f"WITH {_SIM}, k AS (SELECT conversation_id % 2 AS g, conversation_id AS q, chunk_id, score, row_number() OVER (PARTITION BY conversation_id ORDER BY score DESC, chunk_id) AS rank FROM v), t AS (SELECT * FROM k WHERE rank <= 10)"
+
+
+def _ranked(s):
+    w = Window.partitionBy("conversation_id").orderBy(F.desc("score"), "chunk_id")
+    return _scored(s).withColumn("rank", F.row_number().over(w)).where("rank <= 10").select((F.col("conversation_id") % 2).alias("group"), F.col("conversation_id").alias("query"), "rank", "score", (F.col("chunk_id") % 4).alias("conversation_id"), (F.col("chunk_id") % 3).alias("workspace"))
+
+
+over_store("agg31_score_summary", f"{_RANKED}, p AS (SELECT g, q, avg(score) AS avg, var_pop(score) AS variance, avg(score) FILTER (rank <= 1) AS top1, avg(score) FILTER (rank <= 5) AS top5, avg(score) FILTER (rank <= 10) AS top10, max(score) - min(score) AS spread FROM t GROUP BY 1, 2) SELECT g AS \"group\", round(avg(avg), 6) AS avg, round(avg(variance), 6) AS variance, round(avg(top1), 6) AS top1, round(avg(top5), 6) AS top5, round(avg(top10), 6) AS top10, round(avg(spread), 6) AS spread FROM p GROUP BY 1")(lambda s: analytics.score_summary(_ranked(s)))
+over_store("agg32_diversity", f"{_RANKED}, f AS (SELECT q, min_by(chunk_id % 4, rank) AS first FROM t GROUP BY 1) SELECT q AS query, round(avg(CASE WHEN chunk_id % 4 = first THEN 1.0 ELSE 0.0 END), 4) AS redundancy, count(DISTINCT chunk_id % 3) AS workspaces FROM t JOIN f USING (q) GROUP BY 1")(lambda s: analytics.diversity(_ranked(s)))
+
+# --- Scalars over tables -------------------------------------------------------------------------------------------------
+
+over_tables("fn22_sentences", r"SELECT conv_id, turn, CAST(len(list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10) || '+'), lambda x: length(trim(x)) > 0)) AS INTEGER) AS n FROM conversations")(lambda s, d: canonical.turns(s, d).select("conv_id", "turn", F.size(scalars.sentences(F.col("text"))).alias("n")))
+over_store("fn02_suffix_day", "SELECT id, right(path, 5) AS tail, length(path) AS n FROM c_workspaces")(lambda s: s["workspaces"].select("id", scalars.suffix(F.col("path"), 5).alias("tail"), F.length("path").cast("long").alias("n")))
+over_store("fn09_shell_category")(lambda s: s["tool_calls"].groupBy(scalars.shell_category(scalars.command_of(F.col("input"))).alias("category")).agg(F.count("*").alias("n")))
+over_tables("fn14_hash", "SELECT page_id, sha256(html) AS hash FROM pages")(lambda s, d: canonical.read(s, d, "pages").select("page_id", scalars.content_hash(F.col("html")).alias("hash")))
+over_tables("snk02_blobs", "SELECT sha256(text) AS hash, count(*) AS ref_count FROM documents WHERE text IS NOT NULL GROUP BY 1")(lambda s, d: maintenance.blobs_of(canonical.read(s, d, "documents").select(F.col("text").alias("result")), AS_OF).select("hash", "ref_count"))
+over_store("dml08_keepers", """
+WITH n AS (SELECT w.id, w.git_remote, (SELECT count(*) FROM c_conversations c WHERE c.workspace_id = w.id) AS n FROM c_workspaces w WHERE git_remote IS NOT NULL), k AS (SELECT *, first_value(id) OVER (PARTITION BY git_remote ORDER BY n DESC, id) AS keeper FROM n) SELECT id, keeper FROM k WHERE id <> keeper""")(maintenance.workspace_keepers)
+over_store("str01_to_ingest", "SELECT path FROM c_files WHERE conversation_id % 3 = 0")(lambda s: maintenance.to_ingest(s["ingested_files"].select("path", "file_hash"), s["ingested_files"].withColumn("file_hash", F.when(F.col("conversation_id") % 3 == 0, "old").otherwise(F.col("file_hash")))).select("path"))
+over_store("ret20_unindexed", "SELECT count(*) AS n FROM c_prompts WHERE conversation_id NOT IN (SELECT conversation_id FROM c_chunks)")(lambda s: chunks.unindexed(s["prompts"], s["chunks"]).agg(F.count("*").alias("n")))
+
+
+@over_tables("ret18_chunks")
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = canonical.turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("conversation_id"), F.col("turn").cast("string").alias("prompt_id"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("timestamp"), "text")
+    return chunks.chunk_exchanges(rows).select("conversation_id", "chunk_no", "token_count", F.size("source_ids").alias("sources"))
+
+
+# --- Health -----------------------------------------------------------------------------------------------------------
+
+_FOUND = "CAST(NULL AS VARCHAR)"
+over_store("chk02_ingest_errors", "WITH e AS (SELECT h.name AS harness, f.path, count(*) OVER (PARTITION BY h.name) AS n, row_number() OVER (PARTITION BY h.name ORDER BY f.path) AS k FROM c_files f LEFT JOIN c_harnesses h ON h.id = f.harness_id WHERE error IS NOT NULL) SELECT 'ingest-errors' AS \"check\", harness AS subject, max(n) || ': ' || string_agg(path, ', ' ORDER BY path) AS detail FROM e WHERE k <= 5 GROUP BY harness")(health.ingest_errors)
+over_store("chk05_embeddings_stale", "SELECT 'embeddings-stale' AS \"check\", CAST(id AS VARCHAR) AS subject, 'not indexed' AS detail FROM c_conversations WHERE id NOT IN (SELECT conversation_id FROM c_chunks)")(health.embeddings_stale)
+over_store("chk06_orphaned_chunks", "SELECT 'orphaned-chunks' AS \"check\", CAST(conversation_id AS VARCHAR) AS subject, CAST(count(*) AS VARCHAR) AS detail FROM c_chunks WHERE conversation_id NOT IN (SELECT id FROM c_conversations) GROUP BY conversation_id")(health.orphaned_chunks)
+over_store("chk07_pricing_gaps", """
+WITH u AS (SELECT DISTINCT model_id, provider_id FROM c_responses), g AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM c_pricing p WHERE p.model_id = u.model_id AND (u.provider_id IS NULL OR p.provider_id = u.provider_id)))
+SELECT 'pricing-gaps' AS "check", m.raw_name AS subject, coalesce(p.name, '') AS detail FROM g JOIN c_models m ON m.id = g.model_id LEFT JOIN c_providers p ON p.id = g.provider_id""")(health.pricing_gaps)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -13,7 +13,6 @@ from threadmill.functions.scalars import day, suffix, week_of_year
 from threadmill.operators.filters import in_workspace, of_model
 from threadmill.schema import Store
 
-_ZERO = F.lit(0)
 
 
 def share(of: Column) -> Column:
@@ -27,14 +26,17 @@ def _renamed(table: DataFrame, key: str, **columns: str) -> DataFrame:
 
 
 def priced(responses: DataFrame, store: Store) -> DataFrame:
-    """JON-01: responses with `cost` in dollars per million: a missing rate or count is 0, and a null provider has no rate."""
+    """JON-01: responses with `cost`, exact, in millionths of a millionth of a dollar: a missing rate or count is 0, and a null provider has no rate. Rates count to six places."""
     rates = store["pricing"].select("model_id", "provider_id", "input_per_mtok", "output_per_mtok")
-    cost = F.coalesce("input_tokens", _ZERO) * F.coalesce("input_per_mtok", F.lit(0.0)) + F.coalesce("output_tokens", _ZERO) * F.coalesce("output_per_mtok", F.lit(0.0))
-    return responses.join(rates, ["model_id", "provider_id"], "left").withColumn("cost", cost)
+    part = lambda n, rate: F.coalesce(n, F.lit(0)).cast("decimal(18,0)") * F.round(F.coalesce(rate, F.lit(0.0)) * 1_000_000).cast("decimal(18,0)")
+    return responses.join(rates, ["model_id", "provider_id"], "left").withColumn("cost", part("input_tokens", "input_per_mtok") + part("output_tokens", "output_per_mtok"))
 
 
 def dollars(cost: Column, places: int = 4) -> Column:
-    return F.round(F.coalesce(F.sum(cost), F.lit(0.0)) / 1_000_000, places)
+    """A sum of exact costs in dollars; halves round up."""
+    unit = 10 ** (12 - places)
+    total = F.coalesce(F.sum(cost), F.lit(0)).cast("decimal(38,0)") + F.lit(unit // 2)
+    return F.call_function("div", total, F.lit(unit).cast("decimal(38,0)")).cast("double") / 10**places
 
 
 def cost(store: Store) -> DataFrame:
@@ -182,7 +184,7 @@ def dominant_model(store: Store) -> DataFrame:
 
 def token_totals(store: Store) -> DataFrame:
     """AGG-14: tokens of each conversation."""
-    return store["responses"].groupBy(F.col("conversation_id").alias("id")).agg(F.coalesce(F.sum("input_tokens"), _ZERO).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), _ZERO).alias("output_tokens"))
+    return store["responses"].groupBy(F.col("conversation_id").alias("id")).agg(F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"))
 
 
 def top_workspaces(store: Store, n: int = 10) -> DataFrame:
@@ -235,7 +237,7 @@ def blob_savings(texts: DataFrame, column: str = "result") -> DataFrame:
     """AGG-26: results, their characters, distinct ones exactly and by sketch."""
     given = texts.where(F.col(column).isNotNull()).select(F.col(column).alias("x"), F.sha2(column, 256).alias("h"))
     counts = given.groupBy("h").agg(F.count("*").alias("n"), F.first(F.length("x")).alias("chars"))
-    return counts.agg(F.coalesce(F.sum("n"), _ZERO).alias("results"), F.coalesce(F.sum(F.col("n") * F.col("chars")), _ZERO).alias("chars"), F.count("*").alias("distinct_results"), F.coalesce(F.sum("chars"), _ZERO).alias("distinct_chars"))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("results"), F.coalesce(F.sum(F.col("n") * F.col("chars")), F.lit(0)).alias("chars"), F.count("*").alias("distinct_results"), F.coalesce(F.sum("chars"), F.lit(0)).alias("distinct_chars"))
 
 
 def approx_distinct(texts: DataFrame, column: str = "result") -> DataFrame:
@@ -247,7 +249,7 @@ def workspace_identity(store: Store) -> DataFrame:
     """AGG-27: workspaces with and without a remote, and remotes that several share."""
     own = store["workspaces"].groupBy("git_remote").agg(F.count("*").alias("n"))
     given = F.col("git_remote").isNotNull()
-    return own.agg(F.sum("n").alias("workspaces"), F.coalesce(F.sum(F.when(given, F.col("n"))), _ZERO).alias("with_remote"), F.count(F.when(given & (F.col("n") > 1), 1)).alias("shared_remotes"))
+    return own.agg(F.sum("n").alias("workspaces"), F.coalesce(F.sum(F.when(given, F.col("n"))), F.lit(0)).alias("with_remote"), F.count(F.when(given & (F.col("n") > 1), 1)).alias("shared_remotes"))
 
 
 def duplicate_workspaces(store: Store) -> DataFrame:
@@ -276,7 +278,7 @@ def length_distribution(rows: DataFrame, n: str, limits: list[int]) -> DataFrame
     upto = F.sum("c").over(Window.orderBy("v"))
     placed = counts.withColumn("upto", upto).withColumn("total", F.sum("c").over(Window.partitionBy()))
     at = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("total") * q), F.col("total") - 1), F.col("v")))
-    return placed.agg(F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 4).alias("mean"), *(at(q).alias(k) for k, q in QUANTILES.items()), *(F.coalesce(F.sum(F.when(F.col("v") > x, F.col("c"))), _ZERO).alias(f"over_{x}") for x in limits))
+    return placed.agg(F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 4).alias("mean"), *(at(q).alias(k) for k, q in QUANTILES.items()), *(F.coalesce(F.sum(F.when(F.col("v") > x, F.col("c"))), F.lit(0)).alias(f"over_{x}") for x in limits))
 
 
 def histogram(rows: DataFrame, n: str, bounds: list[int]) -> DataFrame:
@@ -324,7 +326,7 @@ def listing(store: Store, ids: DataFrame | None = None, model: str | None = None
         rows = rows.join(responses.select(F.col("conversation_id").alias("id")), "id", "left_semi")
     sort = [F.desc("started_at") if newest_first else F.asc("started_at"), F.asc("id")]
     rows = rows.orderBy(*sort).limit(limit) if limit > 0 else rows
-    sums = priced(responses, store).groupBy(F.col("conversation_id").alias("id")).agg(F.count_distinct("rid").alias("responses") if "rid" in responses.columns else F.count("*").alias("responses"), F.sum(F.coalesce("input_tokens", _ZERO) + F.coalesce("output_tokens", _ZERO)).alias("tokens"), dollars(F.col("cost")).alias("cost"))
+    sums = priced(responses, store).groupBy(F.col("conversation_id").alias("id")).agg(F.count_distinct("rid").alias("responses") if "rid" in responses.columns else F.count("*").alias("responses"), F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tokens"), dollars(F.col("cost")).alias("cost"))
     prompts = store["prompts"].groupBy(F.col("conversation_id").alias("id")).agg(F.count("*").alias("prompts"))
     out = rows.select("id", "workspace_id", "started_at").join(_renamed(store["workspaces"], "workspace_id", workspace="path"), "workspace_id", "left")
     out = out.join(prompts, "id", "left").join(sums, "id", "left").join(dominant_model(store), "id", "left").join(tags_of(store), "id", "left")

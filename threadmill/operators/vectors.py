@@ -149,7 +149,7 @@ def hybrid(store: Store, query: str, embed: Callable[[str], list[float]], as_of:
     if index is not None:
         found = fulltext.recall(index, query, recall_limit).select("id")
         ids = intersect_or_all(found, ids if ids is not None else store["chunks"].select(F.col("conversation_id").alias("id")))
-    chunks = store["chunks"].withColumnRenamed("id", "chunk_id")
+    chunks = store["chunks"].withColumnRenamed("id", "chunk_id")  # nothing to rename where it has that name already
     results = top_k(chunks, embed(query), widened(limit, diverse=diverse), ids)
     if recency:
         results = with_recency(results, store["conversations"], as_of)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that numpy works on at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 #: The ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -63,7 +63,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to a Python worker at once. Texts are long, and what a worker holds counts against the executor's memory.
+BATCH_ROWS = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table. Where the session has Spark's default for the rows of an Arrow batch, it gets BATCH_ROWS."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -35,7 +35,7 @@ BLOCK_BYTES = 8 << 20
 _TO_WORDS = bytes(ord(" ") if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) else b + 32 if 65 <= b < 91 else b for b in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hash a worker remembers.
-TABLE_WORDS = 1 << 20
+TABLE_WORDS = 1 << 17
 SCHEMA = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<bigint>>"
 
 

@@ -29,8 +29,10 @@ from threadmill.llm.common import read
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
+#: Bytes of text that are encoded at once; a longer text stands alone.
+SLICE_BYTES = 1 << 20
 #: Words kept per worker; beyond it the table starts anew.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 250_000
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -289,7 +291,7 @@ def _slices(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
 def encode_column(texts: pa.Array, path: str) -> pa.Array:
     pieces, parts, counts = load(path), [], []
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    for a, b in _slices(sizes, 4 << 20):
+    for a, b in _slices(sizes, SLICE_BYTES):
         ids, n = pieces.encode(texts[a:b].to_pylist())
         parts.append(ids)
         counts.append(n)
@@ -301,7 +303,7 @@ def decode_column(lists: pa.Array, path: str) -> pa.Array:
     pieces, out = load(path), []
     valid = lists.is_valid().to_numpy(zero_copy_only=False)
     counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    for a, b in _slices(counts, 1 << 20):
+    for a, b in _slices(counts, SLICE_BYTES // 2):
         ids = lists[a:b].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         out += pieces.decode(ids, counts[a:b])
     return pa.array([x if ok else None for x, ok in zip(out, valid, strict=True)], pa.binary()).cast(pa.string())
@@ -327,17 +329,28 @@ def with_decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded
     return df.withColumn(out, decode(F.col(ids)))
 
 
+def with_round_trip(df: DataFrame, path: str, text: str = "text", out: str = "pieces") -> DataFrame:
+    """df and a struct of ids and decoded: the texts encoded, and their ids decoded again, in one pass."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(texts: pa.Array) -> pa.Array:
+        ids = encode_column(texts, path)
+        return pa.StructArray.from_arrays([ids, decode_column(ids, path)], ["ids", "decoded"])
+
+    return df.withColumn(out, both(F.col(text)))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """Of documents with text: doc_id, the number of ids, and the digests of ids and of the decoded text."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    done = with_decoded(with_ids(docs.select("doc_id", "text"), path), path)
+    done = with_round_trip(docs.select("doc_id", "text"), path)
     return done.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.size("pieces.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("pieces.ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("pieces.decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -40,7 +40,8 @@ def recency_weight(ts: Column, as_of: Column, half_life_days: float = 30.0, max_
     """RET-05: max_boost today, half of the boost after half_life_days, 1 in the limit and for times that can't be read."""
     if max_boost <= 1:
         return F.lit(1.0)
-    days = F.greatest((F.unix_micros(as_of) - F.unix_micros(parse_timestamp(ts))) / 86_400e6, F.lit(0.0))
+    days = (F.unix_micros(as_of) - F.unix_micros(parse_timestamp(ts))) / 86_400e6
+    days = F.when(days < 0, 0.0).otherwise(days)
     return F.coalesce(1 + (max_boost - 1) * F.exp(-F.log(F.lit(2.0)) * days / half_life_days), F.lit(1.0))
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from threadmill.functions.scalars import stable_id
 from threadmill.operators.maintenance import auto_shell_tags, consume_tags, delete_rows, latest_sessions, newer_sessions, record_files, to_ingest
+from threadmill.plans.tables import settled
 from threadmill.schema import KEYS, SCHEMAS, Store, conform
 from threadmill.sources.logs import HARNESSES, READERS, Logs, first_sessions, flatten
 
@@ -30,23 +32,28 @@ def ingest(store: Store, files: DataFrame, harness: str, at: str, program: str =
 
     A changed file's conversation is replaced. Where sessions count instead of files, the one that ended last wins, and only if it ended
     after what the store has. A file that can't be read goes into the ledger with its error, and isn't tried again until it changes."""
-    due = to_ingest(files, store["ingested_files"])
+    due = settled(to_ingest(files, store["ingested_files"]))
     logs = first_sessions(READERS[harness](due))
+    logs = Logs(settled(logs.sessions), settled(logs.records), settled(logs.errors))
     sessions, by_session = logs.sessions, HARNESSES[harness][3] == "session"
     if by_session:
         keyed = sessions.withColumn("harness_id", F.col("harness"))
         known = store["conversations"].join(store["harnesses"].select(F.col("id").alias("harness_id"), F.col("name").alias("h")), "harness_id").withColumn("harness_id", F.col("h"))
-        sessions = newer_sessions(latest_sessions(keyed), known).select(*logs.sessions.columns)
+        sessions = settled(newer_sessions(latest_sessions(keyed), known).select(*logs.sessions.columns))
     new = flatten(Logs(sessions, logs.records.join(sessions.select("path", "session"), ["path", "session"], "left_semi"), logs.errors), at)
-    replaced = new["conversations"].select("id").unionByName(due.where("old_conversation_id IS NOT NULL").select(F.col("old_conversation_id").alias("id"))).distinct()
-    merged = _merged(delete_rows(store, "conversations", replaced), new)
+    new = {name: settled(table) for name, table in new.items()}
+    replaced = settled(new["conversations"].select("id").unionByName(due.where("old_conversation_id IS NOT NULL").select(F.col("old_conversation_id").alias("id"))).distinct())
+    kept = delete_rows(store, "conversations", replaced)
+    kept = {name: settled(table) if table is not store[name] else table for name, table in kept.items()}
+    merged = _merged(kept, new)
+    merged = {name: settled(table) if table is not kept[name] else table for name, table in merged.items()}
     made = new["conversations"].select("external_id", F.col("id").alias("conversation_id")).join(sessions.select("path", "external_id"), "external_id").select("path", "conversation_id")
-    names = F.lit(harness)
-    ledger = due.select("path", "file_hash").join(made, "path", "left").join(logs.errors, "path", "left").withColumn("harness_id", names)
-    merged = merged | {"ingested_files": record_files(merged, ledger, at)}
-    merged = auto_shell_tags(merged, at, program)
+    ledger = due.select("path", "file_hash").join(made, "path", "left").join(logs.errors, "path", "left").withColumn("harness_id", stable_id(F.lit("harnesses"), F.lit(harness)))
+    merged = merged | {"ingested_files": settled(record_files(merged, ledger, at))}
+    tagged = auto_shell_tags(merged, at, program)
+    tagged = {name: settled(table) if table is not merged[name] else table for name, table in tagged.items()}
     ids = new["conversations"].select(F.element_at(F.split("external_id", "::"), -1).alias("session_id"), F.col("id").alias("conversation_id"))
-    return consume_tags(merged, ids, at)
+    return consume_tags(tagged, ids, at)
 
 
 def file_stream(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:

@@ -256,11 +256,23 @@ def _ranked(s):
 over_store("agg31_score_summary", f"{_RANKED}, p AS (SELECT g, q, avg(score) AS avg, var_pop(score) AS variance, avg(score) FILTER (rank <= 1) AS top1, avg(score) FILTER (rank <= 5) AS top5, avg(score) FILTER (rank <= 10) AS top10, max(score) - min(score) AS spread FROM t GROUP BY 1, 2) SELECT g AS \"group\", round(avg(avg), 6) AS avg, round(avg(variance), 6) AS variance, round(avg(top1), 6) AS top1, round(avg(top5), 6) AS top5, round(avg(top10), 6) AS top10, round(avg(spread), 6) AS spread FROM p GROUP BY 1")(lambda s: analytics.score_summary(_ranked(s)))
 over_store("agg32_diversity", f"{_RANKED}, f AS (SELECT q, min_by(chunk_id % 4, rank) AS first FROM t GROUP BY 1) SELECT q AS query, round(avg(CASE WHEN chunk_id % 4 = first THEN 1.0 ELSE 0.0 END), 4) AS redundancy, count(DISTINCT chunk_id % 3) AS workspaces FROM t JOIN f USING (q) GROUP BY 1")(lambda s: analytics.diversity(_ranked(s)))
 
+def _shell_sql() -> str:
+    """The categories as a CASE; RE2 has no lookahead, so the one pattern with it is two."""
+    cases = []
+    for category, (words, firsts, pipes, patterns) in scalars.SHELL_CATEGORIES.items():
+        tests = [f"contains(command, '{w}')" for w in words] + [f"first IN ({', '.join(repr(f) for f in firsts)})"] * bool(firsts)
+        tests += [rf"regexp_matches(command, '\|\s*{p}\b')" for p in pipes]
+        tests += [rf"(regexp_matches(command, '{p.split('(?!')[0]}') AND NOT regexp_matches(command, '^uv\s+run'))" if "(?!" in p else f"regexp_matches(command, '{p}')" for p in patterns]
+        cases.append(f"WHEN {' OR '.join(tests)} THEN '{category}'")
+    return rf"""WITH k AS (SELECT json_extract_string(input, '$.command') AS command FROM c_tool_calls), f AS (SELECT command, string_split_regex(trim(regexp_replace(command, '^cd\s+[^&]+&&\s*', '')), '\s+')[1] AS first FROM k)
+SELECT CASE {' '.join(cases)} END AS category, count(*) AS n FROM f GROUP BY 1"""
+
+
 # --- Scalars over tables -------------------------------------------------------------------------------------------------
 
 over_tables("fn22_sentences", r"SELECT conv_id, turn, CAST(len(list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10) || '+'), lambda x: length(trim(x)) > 0)) AS INTEGER) AS n FROM conversations")(lambda s, d: canonical.turns(s, d).select("conv_id", "turn", F.size(scalars.sentences(F.col("text"))).alias("n")))
 over_store("fn02_suffix_day", "SELECT id, right(path, 5) AS tail, length(path) AS n FROM c_workspaces")(lambda s: s["workspaces"].select("id", scalars.suffix(F.col("path"), 5).alias("tail"), F.length("path").cast("long").alias("n")))
-over_store("fn09_shell_category")(lambda s: s["tool_calls"].groupBy(scalars.shell_category(scalars.command_of(F.col("input"))).alias("category")).agg(F.count("*").alias("n")))
+over_store("fn09_shell_category", _shell_sql())(lambda s: s["tool_calls"].groupBy(scalars.shell_category(scalars.command_of(F.col("input"))).alias("category")).agg(F.count("*").alias("n")))
 over_tables("fn14_hash", "SELECT page_id, sha256(html) AS hash FROM pages")(lambda s, d: canonical.read(s, d, "pages").select("page_id", scalars.content_hash(F.col("html")).alias("hash")))
 over_tables("snk02_blobs", "SELECT sha256(text) AS hash, count(*) AS ref_count FROM documents WHERE text IS NOT NULL GROUP BY 1")(lambda s, d: maintenance.blobs_of(canonical.read(s, d, "documents").select(F.col("text").alias("result")), AS_OF).select("hash", "ref_count"))
 over_store("dml08_keepers", """

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; set to a new local folder only where it is unset."""
@@ -17,12 +21,24 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         path = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    return path.rstrip("/")
 
 
 def settled(table: DataFrame) -> DataFrame:
-    """The table, computed now and kept in the shared folder: later steps read it, and survive the loss of executors."""
-    shared_dir(table.sparkSession)
-    return table.checkpoint()
+    """The table, written now to the shared folder and read again: later steps don't repeat its work, and survive the loss of executors."""
+    spark = table.sparkSession
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(f"{shared_dir(spark)}/threadmill-store/{uuid.uuid4().hex}")
+    table.write.parquet(_written[-1])
+    return spark.read.schema(table.schema).parquet(_written[-1])
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what settled() has written; called at the driver's end, too."""
+    paths = _written[:]
+    _written.clear()
+    with contextlib.suppress(Exception):  # the session may have ended
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

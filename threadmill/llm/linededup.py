@@ -129,6 +129,7 @@ def later_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     found = materialize(found, "named")
     place = F.struct("doc", "tie", "p")
     first = found.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    first = materialize(first, "first-copies")  # a join of two stored tables can be split where an interval is large
     return found.join(first, ["n", "a", "b"]).where(place != F.col("first")).select("doc", "tie", "p", "n")
 
 

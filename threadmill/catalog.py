@@ -145,6 +145,18 @@ over_store("ret23_listing", _LISTING)(lambda s: _flat(analytics.listing(s, limit
 over_store("ret23_listing_latest", _LISTING + " ORDER BY c.started_at DESC, c.id LIMIT 25")(lambda s: _flat(analytics.listing(s, limit=25)))
 over_store("agg24_listing_totals", f"WITH l AS ({with_store(_LISTING)}) SELECT count(*) AS conversations, CAST(sum(prompts) AS BIGINT) AS prompts, CAST(sum(responses) AS BIGINT) AS responses, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 4) AS cost FROM l")(lambda s: analytics.listing_totals(analytics.listing(s, limit=0)))
 
+_MODEL = "m.raw_name ILIKE '%brand#1%' OR m.name ILIKE '%brand#1%'"
+over_store("ret23_listing_of_model", f"""
+WITH q AS (SELECT r.* FROM c_responses r JOIN c_models m ON m.id = r.model_id WHERE {_MODEL}), r AS (SELECT conversation_id AS id, count(*) AS responses, CAST(sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) AS BIGINT) AS tokens, {_dollars()} AS cost
+  FROM q LEFT JOIN c_pricing p ON p.model_id = q.model_id AND p.provider_id = q.provider_id GROUP BY 1), d AS ({_DOMINANT})
+SELECT c.id, d.model, (SELECT count(*) FROM c_prompts p WHERE p.conversation_id = c.id) AS prompts, r.responses, r.tokens, r.cost FROM c_conversations c JOIN r ON r.id = c.id LEFT JOIN d ON d.id = c.id""")(lambda s: analytics.listing(s, model="brand#1", limit=0).select("id", "model", "prompts", "responses", "tokens", "cost"))
+over_store("srt01_oldest", "SELECT id, started_at FROM c_conversations ORDER BY started_at, id LIMIT 25")(lambda s: analytics.listing(s, newest_first=False, limit=25).select("id", "started_at"))
+over_store("agg35_chunk_count", "SELECT 'chunks' AS \"table\", count(*) AS rows FROM c_chunks")(lambda s: analytics.table_counts(s, ["chunks"]))
+over_store("dml09_without_orphans", "SELECT chunk_id FROM c_chunks WHERE conversation_id IN (SELECT id FROM c_conversations)")(lambda s: chunks.without_orphans(s["chunks"], s["conversations"]).select("chunk_id"))
+over_store("fn04_week", "SELECT id, strftime(CAST(substr(started_at, 1, 10) AS DATE), '%Y-W%W') AS week FROM c_conversations")(lambda s: s["conversations"].select("id", scalars.week_of_year(F.col("started_at")).alias("week")))
+over_store("fn18_basename", "SELECT path, string_split(path, '/')[-1] AS name FROM c_files")(lambda s: s["ingested_files"].select("path", scalars.basename(F.col("path")).alias("name")))
+over_store("flt23_times", "SELECT t.id, coalesce(c.started_at, '') AS time FROM c_tool_calls t LEFT JOIN c_conversations c ON c.id = t.conversation_id")(lambda s: filters.times_of(s["tool_calls"].select("id", "conversation_id"), s["conversations"], "conversation_id", "started_at").select("id", "time"))
+
 # --- Filters and sets --------------------------------------------------------------------------------------------------
 
 _IDS = "SELECT DISTINCT c.id FROM c_conversations c"

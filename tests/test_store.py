@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadmill.operators import analytics, exchanges, export, filters, fulltext, health, maintenance
-from threadmill.schema import SCHEMAS, empty_store, read_store, write_store
+from threadmill.schema import SCHEMAS, empty_store, has_table, read_store, write_store
 from threadmill.sources import logs
 from threadmill.streaming import ingest, live
 
@@ -254,3 +254,18 @@ def test_fan_out_is_the_product(spark):
     got = {r["day"]: (r["conversations"], r["prompts"], r["responses"]) for r in analytics.daily_activity(store).collect()}
     assert got == {"2024-01-01": (2, 7, 6), "2024-01-02": (1, 0, 0)}
     assert {r["day"]: (r["prompts"], r["responses"]) for r in analytics.daily_activity_exact(store).collect()}["2024-01-01"] == (3, 3)
+
+
+def test_readers_by_path_and_name(spark):
+    paths = ["/h/.claude/projects/a/b.jsonl", "/h/.codex/sessions/1/x.jsonl", "/h/.gemini/tmp/ff/chats/s.json", "/w/.aider.chat.history.md", "/w/other.jsonl"]
+    found = logs.discovered(spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert {r["path"]: r["harness"] for r in found.collect()} == dict(zip(paths, ["claude_code", "codex_cli", "gemini_cli", "aider"], strict=False))
+    logs.register("own", logs.claude_code, "me", "jsonl", {"X": "file.read"}, "session", r"other\.jsonl$")
+    try:
+        assert logs.HARNESSES["own"][3] == "session" and logs.discovered(spark.createDataFrame([(paths[-1],)], "path string")).first()["harness"] == "own"
+        with pytest.raises(ValueError):
+            logs.register("a::b", None, "s", "f")
+    finally:
+        for known in (logs.HARNESSES, logs.READERS, logs.PLACES):
+            del known["own"]
+    assert has_table(SCHEMAS, "pricing") and not has_table(SCHEMAS, "none")

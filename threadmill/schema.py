@@ -89,3 +89,8 @@ def conform(table: DataFrame, name: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     return table.select(*((F.col(f.name) if f.name in table.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]))
+
+
+def has_table(store: Store, name: str) -> bool:
+    """FLT-25: whether a store has a table that it may lack."""
+    return name in store

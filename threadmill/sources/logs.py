@@ -298,3 +298,34 @@ def flatten(logs: Logs, at: str) -> Store:
         "tool_calls": calls.select(stable_id(F.lit("tool_calls"), F.col("response_id"), F.col("id"), F.col("k")).alias("id"), "response_id", "conversation_id", stable_id(F.lit("tools"), F.col("tool")).alias("tool_id"), F.col("id").alias("external_id"), "input", F.when(~F.col("result").isin("{}", "null", ""), F.col("result")).alias("result"), "status", "timestamp"),
     }
     return {name: conform(table, name) for name, table in out.items()}
+
+
+# --- Readers by name and by path (SRC-14, SRC-17, SRC-18, EXT-01) ---------------------------------------------------------
+
+#: Where each harness keeps its logs, as patterns of paths.
+PLACES = {
+    "claude_code": r"/\.claude/projects/.*\.jsonl$",
+    "codex_cli": r"/\.codex/sessions/.*\.jsonl$",
+    "gemini_cli": r"/\.gemini/tmp/[^/]+/chats/.*\.json$",
+    "aider": r"/\.aider\.chat\.history\.md$",
+}
+
+
+def register(name: str, reader, source: str, log_format: str, tools: dict[str, str] | None = None, by: str = "file", place: str | None = None) -> None:
+    """A reader of one's own: it takes files and returns Logs. One of a known name takes its place. by: whether a file or a session is what is new."""
+    if not name or "::" in name or not callable(reader) or by not in ("file", "session"):
+        raise ValueError("a reader needs a name without '::', a function of files, and to go by file or by session")
+    HARNESSES[name] = (source, log_format, dict(tools or {}), by)
+    READERS[name] = reader
+    if place:
+        PLACES[name] = place
+
+
+def harness_of(path: Column) -> Column:
+    """The harness whose place a path is in; null for other paths."""
+    return F.coalesce(*(F.when(path.rlike(pattern), F.lit(name)) for name, pattern in PLACES.items()))
+
+
+def discovered(files_: DataFrame) -> DataFrame:
+    """SRC-08: files with their harness, without those of none."""
+    return files_.withColumn("harness", harness_of(F.col("path"))).where("harness IS NOT NULL")

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadmill import schema
 from threadmill.functions import scalars
-from threadmill.operators import analytics, chunks, exchanges, filters, fulltext, health, maintenance, vectors
+from threadmill.operators import analytics, chunks, exchanges, export, filters, fulltext, health, maintenance, vectors
 from threadmill.plans import canonical
 from threadmill.plans.canonical import with_store
+from threadmill.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -309,6 +311,231 @@ over_store("chk07_pricing_gaps", """
 WITH u AS (SELECT DISTINCT model_id, provider_id FROM c_responses), g AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM c_pricing p WHERE p.model_id = u.model_id AND (u.provider_id IS NULL OR p.provider_id = u.provider_id)))
 SELECT 'pricing-gaps' AS "check", m.raw_name AS subject, coalesce(p.name, '') AS detail FROM g JOIN c_models m ON m.id = g.model_id LEFT JOIN c_providers p ON p.id = g.provider_id""")(health.pricing_gaps)
 
+# --- Upkeep of the store: vocabularies, tags, deletions, merges, blobs, ledger, sessions -----------------------------------------
+
+
+def over_full(name: str, sql: str | None = None):
+    """Register a function of the store with every table and column of the schema; ids are strings in it."""
+
+    def add(f):
+        over_store(name, sql)(lambda s: f(_full(s)))
+        return f
+
+    return add
+
+
+def _full(s: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return schema.empty_store(s["tags"].sparkSession) | {k: schema.conform(v, k) for k, v in s.items() if k != "chunks"}
+
+
+_EVEN = "CAST(id AS BIGINT) % 2 = 0"
+_named_tags = lambda s, entity: s[f"{entity}_tags"].join(s["tags"].select(F.col("id").alias("tag_id"), F.col("name").alias("tag")), "tag_id").select(F.col(f"{entity}_id").alias("id"), "tag")
+_none = lambda s, *names: s | {n: s[n].limit(0) for n in names}
+
+over_full("dml01_get_or_create", "SELECT path FROM c_workspaces UNION ALL SELECT 'new/' || path FROM c_workspaces WHERE id % 2 <> 0")(
+    lambda s: maintenance.get_or_create(s, "workspaces", s["workspaces"].select(F.when(F.expr(_EVEN), F.col("path")).otherwise(F.concat(F.lit("new/"), "path")).alias("path"))).select("path")
+)
+over_full("dml03_apply_tag", "SELECT CAST(conversation_id AS VARCHAR) AS id, tag_id AS tag FROM c_conversation_tags UNION ALL SELECT CAST(id AS VARCHAR), 'starred' FROM c_conversations WHERE branch = 'F'")(
+    lambda s: _named_tags(maintenance.apply_tag(s, "conversation", s["conversations"].where("branch = 'F'"), "starred", AS_OF), "conversation")
+)
+over_full("dml03_remove_tag", "SELECT CAST(conversation_id AS VARCHAR) AS id, tag_id AS tag FROM c_conversation_tags WHERE NOT (tag_id = 'status:F' AND conversation_id % 2 = 0)")(
+    lambda s: _named_tags(maintenance.remove_tag(s, "conversation", s["conversations"].where(_EVEN), "status:F"), "conversation")
+)
+over_full("dml03_rename_tag", "SELECT id, CASE WHEN name = 'status:F' THEN 'status:done' ELSE name END AS name FROM c_tags")(lambda s: maintenance.rename_tag(s, "status:F", "status:done")["tags"].select("id", "name"))
+over_full("dml03_delete_tag", "SELECT tag_id AS tag, count(*) AS n FROM c_conversation_tags WHERE tag_id <> 'status:F' GROUP BY 1")(lambda s: maintenance.delete_tag(s, "status:F")[0]["conversation_tags"].groupBy(F.col("tag_id").alias("tag")).agg(F.count("*").alias("n")))
+over_full("dml04_auto_shell_tags", _shell_sql().replace("\nSELECT CASE", ", g AS (SELECT CASE") + ") SELECT 'shell:' || category AS tag, n FROM g WHERE category IS NOT NULL")(
+    lambda s: _named_tags(maintenance.auto_shell_tags(_none(s, "tags", "tool_call_tags") | {"tools": s["tools"].withColumn("name", F.lit("shell.execute"))}, AS_OF, "threadmill"), "tool_call").groupBy("tag").agg(F.count("*").alias("n"))
+)
+_GONE = "(SELECT id FROM c_conversations WHERE branch = 'F')"
+over_full("dml05_delete_conversations", f"""
+SELECT 'conversations' AS "table", count(*) AS rows FROM c_conversations WHERE branch IS DISTINCT FROM 'F' UNION ALL SELECT 'prompts', count(*) FROM c_prompts WHERE conversation_id NOT IN {_GONE} UNION ALL SELECT 'responses', count(*) FROM c_responses WHERE conversation_id NOT IN {_GONE}
+UNION ALL SELECT 'tool_calls', count(*) FROM c_tool_calls WHERE conversation_id NOT IN {_GONE} UNION ALL SELECT 'conversation_tags', count(*) FROM c_conversation_tags WHERE conversation_id NOT IN {_GONE}
+UNION ALL SELECT 'tool_call_tags', count(*) FROM c_tool_call_tags WHERE tool_call_id NOT IN (SELECT id FROM c_tool_calls WHERE conversation_id IN {_GONE})""")(
+    lambda s: analytics.table_counts(maintenance.delete_rows(s, "conversations", s["conversations"].where("branch = 'F'").select("id")), ["conversations", "prompts", "responses", "tool_calls", "conversation_tags", "tool_call_tags"])
+)
+over_full("dml05_delete_workspaces", "SELECT CAST(CASE WHEN workspace_id % 2 <> 0 THEN workspace_id END AS VARCHAR) AS workspace_id, count(*) AS n FROM c_conversations GROUP BY 1")(
+    lambda s: maintenance.delete_workspaces(s, s["workspaces"].where(_EVEN).select("id"))["conversations"].groupBy("workspace_id").agg(F.count("*").alias("n"))
+)
+_RAW = ["claude-3-5-sonnet-20241022", "claude-opus-4-5-20251101", "claude-3-opus-20240229", "gemini-2.5-pro-preview"]
+_parsed = lambda c, *values: f"CASE id % 5 {' '.join(f"WHEN {k} THEN {v!r}" for k, v in enumerate(values))} {'ELSE raw_name ' if c == 'name' else ''}END AS {c}"
+over_full("dml06_models", "SELECT CAST(id AS VARCHAR) AS id, " + ", ".join([
+    _parsed("name", "claude-3-5-sonnet", "claude-opus-4-5", "claude-3-opus", "gemini-2.5-pro"), _parsed("creator", "anthropic", "anthropic", "anthropic", "google"), _parsed("family", "claude", "claude", "claude", "gemini"),
+    _parsed("version", "3.5", "4.5", "3", "2.5"), _parsed("variant", "sonnet", "opus", "opus", "pro"), _parsed("released", "2024-10-22", "2025-11-01", "2024-02-29"),
+]) + " FROM c_models")(
+    lambda s: maintenance.backfill_models(s | {"models": s["models"].withColumn("raw_name", F.coalesce(F.get(F.array(*map(F.lit, _RAW)), (F.col("id").cast("long") % 5).cast("int")), "raw_name"))})["models"].drop("raw_name")
+)
+over_full("dml06_providers", "SELECT CAST(coalesce(provider_id, 1) AS VARCHAR) AS provider_id, count(*) AS n FROM c_responses GROUP BY 1")(
+    lambda s: maintenance.backfill_providers(s | {"harnesses": s["harnesses"].withColumn("source", F.lit("p1")), "providers": s["providers"].withColumn("name", F.concat(F.lit("p"), "id"))})["responses"].groupBy("provider_id").agg(F.count("*").alias("n"))
+)
+over_full("dml07_to_blobs", "SELECT sha256(result) AS hash, count(*) AS ref_count FROM c_tool_calls WHERE result IS NOT NULL GROUP BY 1")(lambda s: maintenance.to_blobs(s, AS_OF)["content_blobs"].select("hash", "ref_count"))
+
+
+@over_full("jon10_blob_results", "SELECT CAST(id AS VARCHAR) AS id, result FROM c_tool_calls")
+def _blob_results(s: dict[str, DataFrame]) -> DataFrame:
+    moved = maintenance.to_blobs(s, AS_OF)
+    return exchanges.results_with_content(moved["tool_calls"], moved).select("id", "result")
+
+
+@over_full("agg26_blob_errors", "SELECT DISTINCT sha256(result) AS hash, CASE WHEN starts_with(sha256(result), '0') THEN 'count' WHEN starts_with(sha256(result), '1') THEN 'changed' ELSE 'missing' END AS finding FROM c_tool_calls WHERE substr(sha256(result), 1, 1) IN ('0', '1', '2')")
+def _blob_errors(s: dict[str, DataFrame]) -> DataFrame:
+    moved = maintenance.to_blobs(s, AS_OF)
+    first = F.substring("hash", 1, 1)
+    blobs = moved["content_blobs"].where(first != "2").withColumns({"ref_count": F.col("ref_count") + (first == "0").cast("long"), "content": F.when(first == "1", F.concat("content", F.lit("!"))).otherwise(F.col("content"))})
+    return maintenance.blob_errors(moved | {"content_blobs": blobs})
+
+
+_KEEPERS = "n AS (SELECT w.id, w.git_remote, (SELECT count(*) FROM c_conversations c WHERE c.workspace_id = w.id) AS n FROM c_workspaces w WHERE git_remote IS NOT NULL), k AS (SELECT *, first_value(id) OVER (PARTITION BY git_remote ORDER BY n DESC, CAST(id AS VARCHAR)) AS keeper FROM n)"
+over_full("dml08_merge_workspaces", f"WITH {_KEEPERS} SELECT CAST(coalesce(keeper, workspace_id) AS VARCHAR) AS workspace_id, count(*) AS n FROM c_conversations c LEFT JOIN k ON k.id = c.workspace_id GROUP BY 1")(
+    lambda s: maintenance.merge_workspaces(s)["conversations"].groupBy("workspace_id").agg(F.count("*").alias("n"))
+)
+over_full("dml08_with_remotes", "SELECT path, coalesce(git_remote, 'found/' || path) AS git_remote FROM c_workspaces")(lambda s: maintenance.with_remotes(s, s["workspaces"].select("path", F.concat(F.lit("found/"), "path").alias("git_remote")))["workspaces"].select("path", "git_remote"))
+over_full("dml10_attributes", """
+WITH a AS (SELECT CAST(conversation_id AS VARCHAR) AS response_id, CASE WHEN provider_id IS NOT NULL THEN 'p' END AS scope, CAST(output_tokens AS VARCHAR) AS value, row_number() OVER (PARTITION BY conversation_id, provider_id IS NULL ORDER BY timestamp DESC, id DESC) AS k FROM c_responses)
+SELECT response_id, scope, value FROM a WHERE scope IS NULL OR k = 1""")(
+    lambda s: maintenance.upsert_attributes(s, "response", s["responses"].select(F.col("conversation_id").alias("response_id"), F.lit("output").alias("key"), F.col("output_tokens").cast("string").alias("value"), F.when(F.col("provider_id").isNotNull(), "p").alias("scope"), "timestamp", "id"), F.struct("timestamp", "id")).select("response_id", "scope", "value")
+)
+over_full("dml11_tag_by_search", "SELECT CAST(conversation_id AS VARCHAR) AS id, 'hot' AS tag FROM c_tool_calls GROUP BY conversation_id HAVING count(*) >= 5")(
+    lambda s: _named_tags(maintenance.tag_by_search(_none(s, "conversation_tags"), s["tool_calls"].groupBy("conversation_id").agg(F.count("*").alias("max_score")), 5, "hot", AS_OF), "conversation")
+)
+over_store("str02_latest", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY provider_id, model_id ORDER BY timestamp DESC, id DESC) AS k FROM c_responses) SELECT id AS path FROM k WHERE k = 1")(
+    lambda s: maintenance.latest_sessions(s["responses"].select(F.col("provider_id").alias("harness_id"), F.col("model_id").alias("external_id"), F.col("timestamp").alias("ended_at"), F.col("id").alias("path"))).select("path")
+)
+over_store("str02_newer", "SELECT external_id FROM c_conversations WHERE id % 5 = 0 OR started_at > '1995-06-01T00:00:00Z'")(
+    lambda s: maintenance.newer_sessions(s["conversations"].select("harness_id", "external_id", F.col("started_at").alias("ended_at")), s["conversations"].where("id % 5 <> 0").withColumn("ended_at", F.lit("1995-06-01T00:00:00Z"))).select("external_id")
+)
+over_full("snk07_ledger", "SELECT path, CASE WHEN conversation_id % 2 = 0 THEN 'again' ELSE file_hash END AS file_hash FROM c_files UNION ALL SELECT 'new/' || path, 'again' FROM c_files WHERE conversation_id % 2 <> 0")(
+    lambda s: maintenance.record_files(s, s["ingested_files"].select(F.when(F.col("conversation_id").cast("long") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("new/"), "path")).alias("path"), F.lit("again").alias("file_hash"), "harness_id", "conversation_id", "error"), AS_OF).select("path", "file_hash")
+)
+_session = lambda rows: rows.select(F.col("conversation_id").cast("string").alias("harness_session_id"), F.lit("a").alias("adapter_name"), F.lit("w").alias("workspace_path"), F.col("timestamp").alias("started_at"), F.col("timestamp").alias("last_seen_at"))
+over_store("str05_register", "SELECT CAST(conversation_id AS VARCHAR) AS harness_session_id, min(timestamp) AS started_at, max(timestamp) AS last_seen_at FROM c_tool_calls GROUP BY 1")(
+    lambda s: maintenance.register_sessions(_session(s["tool_calls"].where("status = 'success'")), _session(s["tool_calls"].where("status <> 'success'"))).select("harness_session_id", "started_at", "last_seen_at")
+)
+_queued = lambda rows, tag, at, exchange=None: rows.select(F.col("id").cast("string").alias("id"), F.col("conversation_id").cast("string").alias("harness_session_id"), F.col(tag).alias("tag_name"), F.lit("conversation").alias("entity_type"), (F.lit(None) if exchange is None else exchange).cast("int").alias("exchange_index"), F.col(at).alias("created_at"))
+over_store("str06_queue", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, tool_id ORDER BY timestamp, CAST(id AS VARCHAR)) AS k FROM c_tool_calls) SELECT CAST(id AS VARCHAR) AS id FROM k WHERE k = 1")(
+    lambda s: maintenance.queue_tags(_queued(s["tool_calls"].where("id % 2 = 0"), "tool_id", "timestamp"), _queued(s["tool_calls"].where("id % 2 <> 0"), "tool_id", "timestamp")).select("id")
+)
+
+
+@over_full("str06_consume", """
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp, id) AS k FROM c_prompts)
+SELECT 'conversation' AS entity, CAST(id AS VARCHAR) AS id, branch AS tag FROM c_conversations WHERE id % 2 = 0 UNION ALL SELECT 'prompt', p.id, branch FROM c_conversations c JOIN p ON p.conversation_id = c.id AND k = 1 WHERE c.id % 2 <> 0""")
+def _consumed(s: dict[str, DataFrame]) -> DataFrame:
+    queue = _queued(s["conversations"].withColumn("conversation_id", F.col("id")), "branch", "started_at", F.when(F.expr(_EVEN), F.lit(None)).otherwise(F.lit(0)))
+    done = maintenance.consume_tags(_none(s, "conversation_tags", "prompt_tags") | {"pending_tags": queue}, s["conversations"].select(F.col("id").alias("session_id"), F.col("id").alias("conversation_id")), AS_OF)
+    return _named_tags(done, "conversation").select(F.lit("conversation").alias("entity"), "id", "tag").union(_named_tags(done, "prompt").select(F.lit("prompt").alias("entity"), "id", "tag"))
+
+
+def _live(s: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every conversation as a live session, half of them with a queued tag."""
+    rows = s["conversations"].withColumn("conversation_id", F.col("id"))
+    return s | {"active_sessions": _session(rows.withColumn("timestamp", F.col("started_at"))), "pending_tags": _queued(rows.where(_EVEN), "branch", "started_at")}
+
+
+over_full("str07_expire", "SELECT CAST(id AS VARCHAR) AS id FROM c_conversations WHERE started_at >= '1997' AND id % 2 = 0")(lambda s: maintenance.expire_sessions(_live(s), "1997")["pending_tags"].select("id"))
+over_full("chk11_pending_tags", "SELECT 'pending-tags' AS \"check\", 'sessions, tags' AS subject, count(*) || ', ' || count(*) FILTER (id % 2 = 0) AS detail FROM c_conversations WHERE started_at < '1997'")(lambda s: health.pending_tags(_live(s), "1997"))
+over_store("chk01_ingest_pending", "SELECT 'ingest-pending' AS \"check\", harness_id AS subject, CAST(count(*) AS VARCHAR) AS detail FROM c_files WHERE conversation_id % 3 = 0 GROUP BY harness_id")(
+    lambda s: health.ingest_pending(s, s["ingested_files"].select(F.col("harness_id").alias("harness"), F.when(F.col("conversation_id") % 3 == 0, F.concat(F.lit("new/"), "path")).otherwise(F.col("path")).alias("path")))
+)
+over_full("chk10_schema_current", "SELECT 'schema-current' AS \"check\", 'tools.category' AS subject, 'missing' AS detail UNION ALL SELECT 'schema-current', 'pricing', 'missing'")(lambda s: health.schema_current({k: v.drop("category") if k == "tools" else v for k, v in s.items() if k != "pricing"}))
+
+# --- More filters, sets and joins ----------------------------------------------------------------------------------------
+
+over_store("flt00_where_all", "SELECT id FROM c_conversations WHERE started_at >= '1997' AND branch = 'F'")(lambda s: filters.where_all(s["conversations"], filters.since("1997"), None, F.col("branch") == "F").select("id"))
+over_store("flt07_tag_named", "SELECT id FROM c_tags WHERE name ILIKE 'STATUS:%'")(lambda s: s["tags"].where(filters.tag_named("STATUS:")).select("id"))
+over_tables("flt10_matching", f"WITH {_bm25(['the', 'of'], True)} SELECT conv_id AS id, round(min(rank), 4) + 0.0::DOUBLE AS rank FROM s GROUP BY 1")(lambda s, d: fulltext.conversations_matching(_index(s, d), ["the", "of"], True).select("id", _four("rank")))
+over_store("flt15_without_derivative", "SELECT id FROM c_conversations WHERE branch <> 'P'")(lambda s: filters.without_tags(s["conversations"].select("id"), s, ["status:P"]))
+over_store("flt24_newest_session", "SELECT CAST(id AS VARCHAR) AS id FROM c_conversations WHERE branch = 'F' ORDER BY started_at DESC, CAST(id AS VARCHAR) LIMIT 1")(
+    lambda s: filters.newest_session(s["conversations"].select(F.col("id").cast("string").alias("harness_session_id"), F.col("branch").alias("workspace_path"), F.col("started_at").alias("last_seen_at")), "F").select(F.col("harness_session_id").alias("id"))
+)
+over_store("ret03_candidates", f"{_IDS} JOIN c_workspaces w ON w.id = c.workspace_id JOIN c_responses r ON r.conversation_id = c.id JOIN c_models m ON m.id = r.model_id WHERE started_at >= '1997' AND w.git_remote ILIKE '%build%' AND m.name ILIKE '%brand#1%' AND NOT {_tag("t.name = 'status:P'")}")(
+    _candidates(workspace="build", model="brand#1", since_="1997", no_tags=["status:P"])
+)
+over_store("set03_orphans", "SELECT DISTINCT conversation_id AS id FROM c_chunks WHERE conversation_id NOT IN (SELECT id FROM c_conversations)")(lambda s: filters.minus(s["chunks"].select(F.col("conversation_id").alias("id")), s["conversations"]))
+over_store("set04_stale", "SELECT id FROM c_conversations WHERE id NOT IN (SELECT conversation_id FROM c_chunks)")(lambda s: chunks.stale_conversations(s["conversations"], s["chunks"]))
+over_store("set02_unused_workspaces", "SELECT id FROM c_workspaces WHERE id NOT IN (SELECT workspace_id FROM c_conversations)")(health.unused_workspaces)
+over_store("jon12_enriched", "SELECT chunk_id, c.started_at, w.path AS workspace FROM c_chunks k LEFT JOIN c_conversations c ON c.id = k.conversation_id LEFT JOIN c_workspaces w ON w.id = c.workspace_id")(lambda s: vectors.enriched(s["chunks"], s).select("chunk_id", "started_at", "workspace"))
+over_store("srt02_recent", "SELECT id FROM c_conversations ORDER BY started_at DESC, id LIMIT 10")(lambda s: export.selected(s))
+over_full("ret24_selected", "SELECT CAST(id AS VARCHAR) AS id FROM c_conversations WHERE starts_with(CAST(id AS VARCHAR), '12') OR starts_with(CAST(id AS VARCHAR), '7')")(lambda s: export.selected(s, ["12", "7"]))
+over_store("fn27_shortest_names", """
+WITH p AS (SELECT DISTINCT git_remote AS path, string_split(git_remote, '/') AS parts FROM c_workspaces WHERE git_remote IS NOT NULL), e AS (SELECT path, n, array_to_string(parts[len(parts) - n + 1:], '/') AS name FROM p, (SELECT unnest([1, 2, 3]) AS n)),
+o AS (SELECT name FROM e GROUP BY name HAVING count(*) = 1) SELECT path, min_by(name, n) AS name FROM e JOIN o USING (name) GROUP BY path""")(lambda s: live.shortest_names(s["workspaces"], "git_remote"))
+
+# --- Exchanges of whole conversations ----------------------------------------------------------------------------------------
+
+
+def _talks(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The table of conversations as a store: user turns are prompts, assistant turns answer the prompt before."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    row = (F.col("conv_id") * 1000 + F.col("turn")).cast("string")
+    rows = canonical.turns(spark, sf_dir).select("*", row.alias("id"), F.col("conv_id").cast("string").alias("conversation_id"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("timestamp"), F.to_json(F.struct("text")).alias("content"), F.lit("text").alias("block_type"), F.lit(0).alias("block_index"))
+    rows = rows.withColumn("asked", F.last(F.when(F.col("role") == "user", F.col("id")), ignorenulls=True).over(w))
+    asked, told = rows.where("role = 'user'"), rows.where("role = 'assistant'")
+    made = {
+        "prompts": asked,
+        "prompt_content": asked.withColumn("prompt_id", F.col("id")),
+        "responses": told.withColumn("prompt_id", F.col("asked")),
+        "response_content": told.withColumn("response_id", F.col("id")),
+        "conversations": rows.select(F.col("conversation_id").alias("id")).distinct(),
+    }
+    return schema.empty_store(spark) | {k: schema.conform(v, k) for k, v in made.items()}
+
+
+_TALKS = r"""t AS (SELECT *, CAST(conv_id * 1000 + turn AS VARCHAR) AS id, lpad(CAST(turn AS VARCHAR), 6, '0') AS timestamp, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations),
+a AS (SELECT conv_id, place, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY turn), '^\s+|\s+$', '', 'g') AS answer FROM t WHERE role = 'assistant' AND place > 0 GROUP BY 1, 2),
+x AS (SELECT CAST(conv_id AS VARCHAR) AS conversation_id, id AS prompt_id, timestamp, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS prompt_text, coalesce(answer, '') AS response_text, place FROM t LEFT JOIN a USING (conv_id, place) WHERE role = 'user')"""
+over_tables("ret16_exchanges", f"WITH {_TALKS} SELECT conversation_id, prompt_id, timestamp, prompt_text, response_text FROM x")(lambda s, d: exchanges.exchanges(_talks(s, d)))
+over_tables("ret17_conversation_exchanges", f"WITH {_TALKS}, j AS (SELECT conversation_id, prompt_id, timestamp, array_to_string(list_filter([prompt_text, response_text], lambda v: v <> ''), chr(10) || chr(10)) AS text FROM x) SELECT * FROM j WHERE text <> ''")(lambda s, d: exchanges.conversation_exchanges(_talks(s, d)))
+over_tables("ret22_timeline", f"WITH {_TALKS} SELECT CAST(q.conv_id AS VARCHAR) AS conversation_id, q.id AS prompt_id, r.id AS response_id, coalesce(r.timestamp, q.timestamp) AS timestamp, q.text AS prompt_text, r.text AS response_text FROM t q LEFT JOIN t r ON r.conv_id = q.conv_id AND r.place = q.place AND r.role = 'assistant' WHERE q.role = 'user'")(
+    lambda s, d: exchanges.timeline(t := _talks(s, d), t["conversations"]).select("conversation_id", "prompt_id", "response_id", "timestamp", "prompt_text", "response_text")
+)
+over_tables("jon13_content", f"WITH {_TALKS} SELECT text, id AS content_id, CASE role WHEN 'user' THEN 'prompt' ELSE 'response' END AS side, CAST(conv_id AS VARCHAR) AS conversation_id FROM t WHERE role IN ('user', 'assistant') AND text <> ''")(lambda s, d: fulltext.content(_talks(s, d)))
+over_tables("snk05_prompts", f"WITH {_TALKS}, n AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp, prompt_id) AS k FROM x WHERE prompt_text <> '') SELECT conversation_id, string_agg('## ' || k || chr(10) || chr(10) || prompt_text, chr(10) || chr(10) ORDER BY k) AS document FROM n GROUP BY 1")(
+    lambda s, d: export.prompts_markdown(exchanges.exchanges(_talks(s, d)))
+)
+over_tables("snk05_exchanges", f"""WITH {_TALKS}, n AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp, prompt_id) AS k FROM x)
+SELECT conversation_id, string_agg('## ' || k || chr(10) || chr(10) || '**User:** ' || prompt_text || CASE WHEN response_text = '' THEN '' ELSE chr(10) || chr(10) || '**Assistant:** ' || CASE WHEN length(response_text) > 500 THEN left(response_text, 500) || '...' ELSE response_text END END, chr(10) || chr(10) ORDER BY k) AS document FROM n GROUP BY 1""")(
+    lambda s, d: export.exchanges_markdown(exchanges.exchanges(_talks(s, d)))
+)
+over_tables("ret12_exchanges_behind", f"WITH {_TALKS} SELECT 'c' || conversation_id AS chunk_id, prompt_id, prompt_text, response_text FROM x UNION ALL SELECT 'whole', NULL, 'no source', NULL")(lambda s, d: vectors.exchanges_behind(
+    (e := exchanges.exchanges(_talks(s, d))).groupBy(F.concat(F.lit("c"), "conversation_id").alias("chunk_id")).agg(F.collect_list("prompt_id").alias("source_ids")).select("chunk_id", F.lit("a chunk").alias("text"), "source_ids").union(s.createDataFrame([("whole", "no source", [])], "chunk_id string, text string, source_ids array<string>")), e
+).select("chunk_id", "prompt_id", "prompt_text", "response_text"))
+over_tables("chk12_fts_stale", f"WITH {_TALKS} SELECT 'fts-stale' AS \"check\", id AS subject, 'missing' AS detail FROM t WHERE role IN ('user', 'assistant') AND text <> '' AND conv_id % 2 <> 0")(
+    lambda s, d: health.fts_stale(t := _talks(s, d), fulltext.build(fulltext.content(t).where("CAST(conversation_id AS BIGINT) % 2 = 0")))
+)
+
+# --- More scalars over tables -----------------------------------------------------------------------------------------------
+
+over_tables("fn01_json_text", "SELECT conv_id, turn, text FROM conversations")(lambda s, d: canonical.turns(s, d).select("conv_id", "turn", scalars.json_text(F.to_json(F.struct("text"))).alias("text")))
+over_store("fn07_is_newer", "SELECT id, started_at > '1995-06-01T00:00:00Z' AS newer FROM c_conversations")(lambda s: s["conversations"].select("id", scalars.is_newer(F.col("started_at"), F.lit("1995-06-01T02:00:00+02:00")).alias("newer")))
+over_store("fn10_derivative", "SELECT id, contains(input, 'git status') OR contains(input, 'git diff') AS derivative FROM c_tool_calls")(
+    lambda s: s["tool_calls"].select("id", scalars.is_derivative(F.lit("shell.execute"), F.replace(F.replace("input", F.lit("git status"), F.lit("threadmill ask x")), F.lit("git diff"), F.lit("threadmill search x")), "threadmill").alias("derivative"))
+)
+over_tables("fn11_base64", "SELECT page_id, page_id % 200 >= 125 AS base64, page_id % 3 = 0 AS binary FROM pages")(
+    lambda s, d: canonical.read(s, d, "pages").select("page_id", scalars.has_base64_run(F.concat(F.lit("- "), F.repeat(F.lit("QUJD"), (F.col("page_id") % 200).cast("int")))).alias("base64"), scalars.is_binary_text(F.concat(F.when(F.col("page_id") % 3 == 0, "%PDF-1.4 ").otherwise("plain "), "url")).alias("binary"))
+)
+over_tables("fn13_remote_url", "SELECT page_id, CASE WHEN page_id % 4 = 3 THEN '/srv/p' || page_id ELSE 'host.org/team/p' || page_id END AS remote FROM pages")(
+    lambda s, d: canonical.read(s, d, "pages").select("page_id", scalars.remote_url(F.concat(F.get(F.array(*map(F.lit, ["https://me@host.org/team/p", "git@host.org:team/p", "ssh://git@host.org:22/team/p", "file:///srv/p"])), (F.col("page_id") % 4).cast("int")), F.col("page_id").cast("string"), F.when(F.col("page_id") % 4 == 3, "/").otherwise(".git"))).alias("remote"))
+)
+over_store("fn15_stable_id", "SELECT external_id, upper(substr(sha256(harness_id || chr(31) || external_id), 1, 26)) AS id FROM c_conversations")(lambda s: s["conversations"].select("external_id", scalars.stable_id(F.col("harness_id"), F.col("external_id")).alias("id")))
+over_tables("fn16_line_numbers", "SELECT conv_id, turn, text FROM conversations")(lambda s, d: canonical.turns(s, d).select("conv_id", "turn", scalars.without_line_numbers(F.concat(F.lit("  12→"), F.replace("text", F.lit("\n"), F.lit("\n 7→")))).alias("text")))
+over_tables("fn17_file_content", "SELECT conv_id, turn, text FROM conversations")(
+    lambda s, d: canonical.turns(s, d).select("conv_id", "turn", scalars.file_content(F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("text").alias("content")))).otherwise(F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), "text")).alias("output"))))).alias("text"))
+)
+over_store("fn19_formats", "SELECT id, CASE WHEN output_tokens >= 1000 THEN printf('%.1fk', output_tokens / 1000) ELSE CAST(output_tokens AS VARCHAR) END AS tokens, CASE WHEN length(id) > 9 THEN left(id, 6) || '...' ELSE id END AS short FROM c_responses")(
+    lambda s: s["responses"].select("id", scalars.short_count(F.col("output_tokens")).alias("tokens"), scalars.truncated(F.col("id"), 9).alias("short"))
+)
+over_tables("fn23_token_count", r"SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]')) AS INTEGER) AS n FROM conversations")(lambda s, d: canonical.turns(s, d).select("conv_id", "turn", scalars.token_count(F.col("text")).alias("n")))
+over_store("fn24_short_number", "SELECT id, CASE id % 3 WHEN 0 THEN id % 50 * 1000 WHEN 1 THEN id % 50 * 1000000 ELSE id % 50 END AS n FROM c_tool_calls")(
+    lambda s: s["tool_calls"].select("id", scalars.short_number(F.concat((F.col("id") % 50).cast("string"), F.get(F.array(*map(F.lit, ["k", "M", ""])), (F.col("id") % 3).cast("int")))).alias("n"))
+)
+over_store("fn25_canonical_tool", "SELECT id, CASE WHEN tool_id = 'click' THEN 'shell.execute' ELSE tool_id END AS tool FROM c_tool_calls")(
+    lambda s: maintenance.canonical_tool(s["tool_calls"].select("id", F.col("tool_id").alias("raw_name")), s["tools"].where("name = 'click'").select(F.col("name").alias("raw_name"), F.lit("shell.execute").alias("tool"))).select("id", "tool")
+)
+over_tables("fn26_placeholders", "SELECT conv_id, turn, text || chr(10) || '[tool: x]' || chr(10) || '[image]' AS text FROM conversations")(
+    lambda s, d: canonical.turns(s, d).select("conv_id", "turn", scalars.placeholder_text(F.array(*(F.struct(F.lit(k).alias("block_type"), c.alias("content")) for k, c in [("text", F.to_json(F.struct("text"))), ("tool_use", F.lit('{"name":"x"}')), ("image", F.lit("{}"))]))).alias("text"))
+)
+over_tables("fn28_or_terms", r"""SELECT conv_id, turn, array_to_string([chr(34) || w || chr(34) FOR w IN regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+') IF length(w) >= 3], ' OR ') AS query FROM conversations""")(lambda s, d: canonical.turns(s, d).select("conv_id", "turn", scalars.or_terms(F.col("text")).alias("query")))
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -222,3 +222,45 @@ def test_stages_return_documents(spark):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         if k not in (3, 4):
             assert stage(spark, docs, "").columns == docs.columns
+
+
+# --- Near-dedup of the pipeline ----------------------------------------------------------------------------------------
+
+
+def brute_similar(rows, words=5):
+    """Of each (id, text) the smallest id of its component, by the similarity of all pairs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().encode().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 10 * len(a & b) >= 8 * len(a | b) > 0:
+                label = [label[j] if x == label[i] else x for x in label]
+    return [min(rows[j][0] for j in range(len(rows)) if label[j] == label[i]) for i in range(len(rows))]
+
+
+def test_near_dedup_by_similarity(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = ["", None, "few words", "few words", "Few  words here"]
+    for _ in range(12):
+        base = [word() for _ in range(rng.randrange(60, 300))]
+        texts.append(" ".join(base))
+        for changed in (0, 1, 2, 3, 5, 8):  # spread out, so that each costs five shingles
+            copy = list(base)
+            for k in range(changed):
+                copy[k * len(copy) // changed] = word()
+            texts.append(" ".join(copy))
+    # A chain: neighbours are similar, the ends are not.
+    chain = [word() for _ in range(200)]
+    texts += [" ".join(chain[k * 15 : k * 15 + 140]) for k in range(4)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i for (i, _), c in zip(rows, brute_similar(rows), strict=True) if i == c}
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(want)
+    assert len(want) < len({c for c in brute_components([brute_fingerprint(t) for _, t in rows], [i for i, _ in rows])})
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0

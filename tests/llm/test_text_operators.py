@@ -234,6 +234,15 @@ def test_contamination(spark, block_bytes):
     assert decontaminate.keep_clean(df.limit(0), bench).columns == df.columns
 
 
+def test_repeated_items_do_not_fill_a_block(spark, monkeypatch):
+    sizes, init = [], decontaminate.Items.__init__
+    monkeypatch.setattr(decontaminate.Items, "__init__", lambda self, ids, texts, *rest: sizes.append(len(texts)) or init(self, ids, texts, *rest))
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k")] * 500 + [(k, f"item {k} of a few words that nobody has said") for k in range(2, 8)], "item_id long, text string")
+    got = decontaminate.with_hits(frame(spark, ["a b c d e f g h i j k", "none"]), bench, block_bytes=100)
+    assert [(r["hits"]["n_hit"], r["hits"]["items"]) for r in sorted(got.collect(), key=lambda r: r["doc_id"])] == [(11, [1]), (0, [])]
+    assert sum(sizes) == 7
+
+
 # --- Secrets ----------------------------------------------------------------------------------------------------------
 
 

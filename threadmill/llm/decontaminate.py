@@ -10,7 +10,7 @@ The items are the small side: a block of them, bounded by BLOCK_BYTES of text, i
 documents stream past it without a shuffle. Where the items' measured size needs more blocks, each makes a pass of its own, and the
 hits, by doc_id and text, are put together; no block grows with the data.
 
-Null or empty text: no words, never hit; such items have no window. Items with equal texts all count. An item with a
+Null or empty text: no words, never hit; such items have no window. Items with equal texts all count; equal rows are one item. An item with a
 null item_id makes hits, but has no name to list and doesn't count in n_items. Rows are judged alone, so repeated rows get equal results.
 Other columns pass through; a column named like the result is replaced.
 """
@@ -192,7 +192,7 @@ def find(texts: pa.Array, items: Items, hashes: _Hashes) -> pa.StructArray:
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits", id_column: str = "doc_id", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs and a struct of n_words, n_hit, the word spans hit, and the ids of the items whose windows occur. benchmark: item_id, text."""
     spark = docs.sparkSession
-    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
 
     def searched(rows: list, frame: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], window, gram))
@@ -232,11 +232,12 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: st
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
-    """Functions that collect the items of a block. Their number follows the items' measured size; a block holds block_bytes on average."""
+    """Functions that collect the items of a block, which are distinct: equal rows would all have one hash. Their number follows the items' measured size; a block holds block_bytes on average."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // block_bytes))
     if parts == 1:
         return [benchmark.collect]
+    benchmark = materialize(benchmark, "items")
     return [benchmark.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(parts)) == k).collect for k in range(parts)]
 
 

@@ -275,6 +275,15 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_of_two_owners_have_a_class(spark):
+    vendor = "ghp_" + "A1b2" * 10
+    rows = [(0, f"{vendor} token=twoowners1", "a"), (1, f"{vendor} token=twoowners1", "b"), (2, "token=liveliveli", "a")] + [(3 + k, "token=example12", f"o{k}") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    got = {r["doc_id"]: r for r in secrets.scan(df).collect()}
+    assert [(got[i]["n_live"], got[i]["n_shared"], got[i]["n_example"]) for i in range(4)] == [(0, 2, 0), (0, 2, 0), (1, 0, 0), (0, 0, 1)]
+    assert got[0]["shared_spans"] == "vendor:0:44,assign:45:61" and got[2]["shared_spans"] == ""
+
+
 # --- Preference pairs -------------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,8 @@
 """Secret scans with ownership frequency: what many owners have in their files is an example, what one owner has looks live.
 
 Candidates are found by regular expressions in whole texts and hashed. Over the corpus, each hash is counted by distinct owners and
-repositories: found with EXAMPLE_OWNERS owners or more it is a widely copied example, with one owner it is live-looking. Besides the kinds
+repositories: found with EXAMPLE_OWNERS owners or more it is a widely copied example, with one owner it is live-looking,
+in between it is shared. Besides the kinds
 assign, access and hex, whose spans always count, the formats of well-known providers are candidates; the spans of those that one owner alone has are added.
 
 DataFrame functions only. A text's matches are its split at the pattern and the matched parts; their lengths in order give the spans, in
@@ -73,23 +74,26 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", owner: Column | None = None, repository: Column | None = None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """A row per row of docs: its id, counts of the base kinds, base_spans, spans (with those added), and n_live and n_example: secrets of one owner, and copied examples."""
+    """A row per row of docs: its id, counts of the base kinds, base_spans, spans (with those added), and n_live, n_shared and n_example: secrets of one owner, of several but fewer than example_owners, and copied examples. shared_spans: those of several owners, of any kind."""
     found = candidates(docs, id_column, text, owner, repository)
     judged = found.join(ownership(found), "secret").select("id", "tie", "kind", "start", "end", "owners").distinct()
     span = F.struct("start", "kind", "end")
     base = F.col("kind") < BASE
-    counted = judged.where(base | (F.col("owners") == 1)).groupBy("id", "tie").agg(
+    alone, shared = F.col("owners") == 1, (F.col("owners") > 1) & (F.col("owners") < example_owners)
+    counted = judged.where(base | alone | shared).groupBy("id", "tie").agg(
         *(F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{KINDS[k][0]}") for k in range(BASE)),
         F.collect_list(F.when(base, span)).alias("base_spans"),
-        F.collect_list(span).alias("spans"),
-        F.count(F.when(F.col("owners") == 1, 1)).alias("n_live"),
+        F.collect_list(F.when(base | alone, span)).alias("spans"),
+        F.collect_list(F.when(shared, span)).alias("shared_spans"),
+        F.count(F.when(alone, 1)).alias("n_live"),
+        F.count(F.when(shared, 1)).alias("n_shared"),
         F.count(F.when(F.col("owners") >= example_owners, 1)).alias("n_example"),
     )
-    counted = counted.select(F.col("id").alias("__tm_id"), F.col("tie").alias("__tm_tie"), *(f"n_{KINDS[k][0]}" for k in range(BASE)), _joined(F.col("base_spans")).alias("base_spans"), _joined(F.col("spans")).alias("spans"), "n_live", "n_example")
+    counted = counted.select(F.col("id").alias("__tm_id"), F.col("tie").alias("__tm_tie"), *(f"n_{KINDS[k][0]}" for k in range(BASE)), _joined(F.col("base_spans")).alias("base_spans"), _joined(F.col("spans")).alias("spans"), _joined(F.col("shared_spans")).alias("shared_spans"), "n_live", "n_shared", "n_example")
     keys = docs.select(F.col(plain(id_column)), F.xxhash64(plain(text)).alias("__tm_doc"))
     out = keys.join(counted, keys[plain(id_column)].eqNullSafe(counted["__tm_id"]) & (keys["__tm_doc"] == counted["__tm_tie"]), "left")
     zero, none = F.lit(0).cast("long"), F.lit("")
-    return out.select(F.col(plain(id_column)), *(F.coalesce(c, zero).alias(c) for c in ("n_assign", "n_access", "n_hex")), F.coalesce("base_spans", none).alias("base_spans"), F.coalesce("spans", none).alias("spans"), *(F.coalesce(c, zero).alias(c) for c in ("n_live", "n_example")))
+    return out.select(F.col(plain(id_column)), *(F.coalesce(c, zero).alias(c) for c in ("n_assign", "n_access", "n_hex")), F.coalesce("base_spans", none).alias("base_spans"), F.coalesce("spans", none).alias("spans"), F.coalesce("shared_spans", none).alias("shared_spans"), *(F.coalesce(c, zero).alias(c) for c in ("n_live", "n_shared", "n_example")))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +101,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_example")
 
 
-QUERIES = {"op6_secret_scan": op6_secret_scan}
+def op6_secret_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class that op6_secret_scan's columns leave out: found with several owners, but fewer than an example has."""
+    return scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).select("doc_id", "n_shared", "shared_spans")
+
+
+QUERIES = {"op6_secret_scan": op6_secret_scan, "op6_secret_shared": op6_secret_shared}
 
 
 def _kind_sql(kind: int) -> str:

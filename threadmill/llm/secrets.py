@@ -3,7 +3,7 @@
 Candidates are found by regular expressions in whole texts and hashed. Over the corpus, each hash is counted by distinct owners and
 repositories: found with EXAMPLE_OWNERS owners or more it is a widely copied example, with one owner it is live-looking,
 in between it is shared. Besides the kinds
-assign, access and hex, whose spans always count, the formats of well-known providers are candidates; the spans of those that one owner alone has are added.
+assign, access and hex, whose spans always count, the formats of well-known providers are candidates; the spans of those that one owner alone has are added. Repositories are counted, but decide nothing.
 
 DataFrame functions only. A text's matches are its split at the pattern and the matched parts; their lengths in order give the spans, in
 code points. Texts never move: what is shuffled are positions and hashes of texts that have a candidate. Counts are pre-aggregated per (hash, owner,

@@ -14,9 +14,12 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; set to a new local folder only where it is unset."""
+    """spark.checkpoint.dir; where it is unset, a new local folder in local mode, and an error on a cluster, whose executors wouldn't see that."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="threadmill-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         path = f"file://{local}"
@@ -24,21 +27,40 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def settled(table: DataFrame) -> DataFrame:
-    """The table, written now to the shared folder and read again: later steps don't repeat its work, and survive the loss of executors."""
-    spark = table.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet; release() deletes what is written there."""
     if not _written:
         atexit.register(release, spark)
-    _written.append(f"{shared_dir(spark)}/threadmill-store/{uuid.uuid4().hex}")
-    table.write.parquet(_written[-1])
-    return spark.read.schema(table.schema).parquet(_written[-1])
+    _written.append(f"{shared_dir(spark)}/threadmill/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def settled(table: DataFrame, name: str = "table") -> DataFrame:
+    """The table, written now to the shared folder and read again: later steps don't repeat its work, and survive the loss of executors."""
+    spark = table.sparkSession
+    path = new_path(spark, name)
+    table.write.parquet(path)
+    out = spark.read.schema(table.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more: what is left to do reads tables made from them."""
+    for table in tables:
+        _written.remove(table._settled_at)
+        _delete(table.sparkSession, table._settled_at)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete what settled() has written; called at the driver's end, too."""
+    """Delete what this driver has written; called at its end, too."""
     paths = _written[:]
     _written.clear()
     with contextlib.suppress(Exception):  # the session may have ended
         for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)

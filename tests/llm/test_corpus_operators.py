@@ -117,6 +117,24 @@ def test_warc(spark):
     assert warc.resolved_records(warc.read_archives(warc.write_archives(warc.resolve(df.limit(0)), new_path(spark, "t")))).count() == 0
 
 
+def test_warc_of_copies_and_repeated_ids(spark):
+    same, other = "<p>boilerplate</p>" * 20, "y" * 300
+    pages = [(k, "u", same) for k in range(1000)] + [(2000, "u", other)] * 3 + [(1999, "v", other), (None, "u", other), (None, "u", "z" * 200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("a.b", F.lit(1)).withColumn("original", F.lit(2))
+    resolved = warc.resolve(df.repartition(8)).repartition(8, "page_id", "digest")
+    manifest = warc.write_archives(resolved, new_path(spark, "t"), file_bytes=4000)
+    assert manifest.count() > 8
+    headers = warc.read_archives(manifest)
+    assert headers.rdd.getNumPartitions() == manifest.count()
+    rows = warc.resolved_records(headers.persist()).collect()
+    refers = Counter((r["page_id"], r["refers_to"]) for r in rows)
+    assert len(rows) == len(pages) and refers[(2000, 1999)] == 3 and refers[(None, 1999)] == 1 and refers[(None, None)] == 1
+    assert all(refers[(k, 0 if k else None)] == 1 for k in range(1000))
+    # The copies of a page are spread over the tasks that write them.
+    spread = warc.resolve(df).where("digest = sha2(repeat('<p>boilerplate</p>', 20), 256)").groupBy(F.expr("hash(page_id, digest) % 8")).count().agg(F.max("count")).first()[0]
+    assert spread < 300
+
+
 # --- LM scoring -----------------------------------------------------------------------------------------------------------
 
 

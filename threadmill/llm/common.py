@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadmill.plans.tables import discard, new_path, release, shared_dir  # noqa: F401
+from threadmill.plans.tables import settled as materialize  # noqa: F401
 
 #: Bytes of text that numpy works on at once.
 CHUNK_BYTES = 2 << 20
@@ -23,46 +22,6 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); set to a new local one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        local = tempfile.mkdtemp(prefix="threadmill-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        path = f"file://{local}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-_written: list[str] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has yet; release() deletes what is written there."""
-    if not _written:
-        atexit.register(release, spark)
-    _written.append(f"{shared_dir(spark)}/threadmill/{name}-{uuid.uuid4().hex}")
-    return _written[-1]
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables that this driver has written to the shared folder; called at its end, too."""
-    paths = _written[:]
-    _written.clear()
-    with contextlib.suppress(Exception):  # the session may have ended
-        for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: it cuts the lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows that go to a Python worker at once. Texts are long, and what a worker holds counts against the executor's memory.
 BATCH_ROWS = 1000
 
@@ -79,6 +38,29 @@ def plain(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: Bits of a filter: 8 MB, whatever the number of its keys.
+FILTER_BITS = 26
+
+
+def key_filter(keys: DataFrame, key: Column) -> DataFrame:
+    """A filter of the keys: a row (bucket, bits) per 2^15 bits, of which each key sets one. FILTER_BITS bound its size; it is meant to be broadcast."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    placed = keys.select(F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(F.lit(0x7FFF)).alias("place"))
+    return placed.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+
+
+def with_maybe(table: DataFrame, key: Column, bits: DataFrame, out: str = "__tm_maybe") -> DataFrame:
+    """table and a boolean: false where the key is certainly none of the (stored) filter's keys."""
+    kept = [F.col(plain(c)) for c in table.columns]
+    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    bits = F.broadcast(bits.select(F.col("bucket").alias("__tm_bucket"), F.col("bits").alias("__tm_bits")))
+    joined = table.withColumn("__tm_place", place).join(bits, F.shiftright("__tm_place", 15) == F.col("__tm_bucket"), "left")
+    in_bucket = F.col("__tm_place").bitwiseAND(F.lit(0x7FFF)).cast("int")
+    byte = F.conv(F.hex(F.substring("__tm_bits", F.shiftright(in_bucket, 3) + 1, 1)), 16, 10).cast("int")
+    bit = F.expr("shiftright(__tm_byte, CAST(__tm_place & 7 AS INT)) & 1 = 1")
+    return joined.withColumn("__tm_byte", byte).select(*kept, F.coalesce(bit, F.lit(False)).alias(out))
+
+
 def byte_chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of the rows in them) for runs of rows of about `most` bytes; a null counts as empty, a longer text stands alone."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")

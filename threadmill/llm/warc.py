@@ -1,15 +1,17 @@
 """WARC archives with revisit resolution.
 
 Of the records with equal payloads of at least MIN_BYTES bytes, the one with the smallest id is the response; the others become
-revisit records of it, without payload. Headers are shuffled by payload digest to find these; the archives are then written
+revisit records of it, without payload. Only headers are shuffled by payload digest to find these: (id, url, digest), pre-aggregated per digest. The
+decisions are stored and joined to the pages by id and digest, so that copies of one page are spread over the tasks; a page that repeats with its id can be
+split by adaptive execution, as both sides of the join are plain. The archives are written
 by the tasks, a gzip member per record, into the shared folder, with fresh headers. A file that a lost or repeated task
 leaves behind is named nowhere: only the manifest, which Spark commits once, says which files are archives.
-Reading streams record by record, so memory follows the largest payload. Revisit records are joined to the original
+Archives are read back by as many tasks as there are files, record by record, so memory follows the largest payload. Revisit records are joined to the original
 responses by payload digest, which gives their payload's size and the page they refer to.
 
 Null html: an empty payload. A null id is never the smallest: where all of a group's are null, all are responses; else those are revisits.
 Rows that repeat the smallest id of their payload are responses too. A null url writes no target header. An empty table gives an empty result.
-Columns that start with __tm_ are the operator's own.
+Only id, url and payload are archived; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import materialize, new_path, read
+from threadmill.llm.common import discard, materialize, new_path, plain, read
 
 MIN_BYTES = 100
 #: An archive file is closed, and the next one begun, from this size on.
@@ -35,16 +37,26 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's name space of URLs
 
 
+def decisions(pages: DataFrame, id_column: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
+    """(page_id, digest, original, original_url) of the pages that become revisits, stored; original is the page to refer to."""
+    html = F.coalesce(F.col(plain(payload)), F.lit(""))
+    headers = pages.where(F.octet_length(html) >= min_bytes).select(F.col(plain(id_column)).alias("page_id"), F.col(plain(url)).alias("url"), F.sha2(html, 256).alias("digest"))
+    headers = materialize(headers, "warc-digests")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    originals = headers.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    originals = materialize(originals.select("digest", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url")), "warc-originals")
+    revisits = headers.select("page_id", "digest").join(originals, "digest").where(~F.col("page_id").eqNullSafe(F.col("original")))
+    out = materialize(revisits.distinct(), "warc-decisions")
+    discard(headers, originals)
+    return out
+
+
 def resolve(pages: DataFrame, id_column: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
     """(page_id, url, html, digest, original, original_url): original is the page to refer to, null for responses."""
-    rows = pages.select(F.col(id_column).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha2("html", 256))
-    headers = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "url", "digest")
-    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
-    originals = headers.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
-    joined = rows.join(originals, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first.page_id")).alias("original"), F.when(revisit, F.col("first.url")).alias("original_url"))
+    html = F.coalesce(F.col(plain(payload)), F.lit(""))
+    rows = pages.select(F.col(plain(id_column)).alias("page_id"), F.col(plain(url)).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
+    made = decisions(pages, id_column, url, payload, min_bytes).select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "original", "original_url")
+    return rows.join(made, rows["page_id"].eqNullSafe(made["id"]) & (rows["digest"] == made["of"]), "left").select("page_id", "url", "html", "digest", "original", "original_url")
 
 
 def _record_id(page_id: int | None, digest: str) -> str:
@@ -115,7 +127,7 @@ def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """The headers of the archives' records: page_id, record_type, digest, payload_bytes (null for revisits), whole: the payload has its digest."""
+    """A task per file. The headers of the archives' records: page_id, record_type, digest, payload_bytes (null for revisits), whole: the payload has its digest."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -136,7 +148,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=names)
 
     names = ["page_id", "record_type", "digest", "payload_bytes", "whole"]
-    found = manifest.select("path").repartition("path").mapInPandas(scan, "page_id string, record_type string, digest string, payload_bytes string, whole boolean")
+    files = manifest.count()
+    found = manifest.select("path").repartitionByRange(max(1, files), "path").mapInPandas(scan, "page_id string, record_type string, digest string, payload_bytes string, whole boolean")
     return found.withColumns({"page_id": F.col("page_id").cast("long"), "payload_bytes": F.col("payload_bytes").cast("long")})
 
 
@@ -145,8 +158,9 @@ def resolved_records(headers: DataFrame) -> DataFrame:
     broken = F.assert_true(F.col("whole"), "a payload doesn't have its digest")
     headers = headers.where(broken.isNull())
     revisits, responses = headers.where("record_type = 'revisit'"), headers.where("record_type = 'response'")
-    originals = responses.groupBy("digest").agg(F.min("page_id").alias("original"), F.first("payload_bytes").alias("size"))
-    known = revisits.join(originals, "digest").select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("original").alias("refers_to"))
+    # Stored, so that the join with the many revisits of one response can be split.
+    originals = materialize(responses.groupBy("digest").agg(F.min("page_id").alias("original"), F.first("payload_bytes").alias("size")), "warc-responses")
+    known = revisits.select("page_id", "digest", "record_type").join(originals, "digest").select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("original").alias("refers_to"))
     return responses.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to")).union(known)
 
 

@@ -267,7 +267,7 @@ def test_secrets(spark):
         assert rows[i]["base_spans"] == ",".join(x for _, _, x in base), t
         assert [rows[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(j == n for _, j, _ in base) for n in range(3)]
     assert rows[len(texts) - 1]["n_example"] == 1 and rows[len(ODD)]["n_live"] >= 1
-    assert "vendor" not in rows[len(ODD) + 2]["spans"]  # two owners have it
+    assert "vendor:2:46" in rows[len(ODD) + 2]["spans"]  # two owners have it: no example
     alone = secrets.scan(df.where(F.col("doc_id") == len(ODD) + 3)).first()
     assert alone["spans"] == "vendor:2:46,vendor:47:91" and alone["base_spans"] == ""
     twice = secrets.scan(df.union(df)).collect()
@@ -284,6 +284,31 @@ def test_secrets_of_two_owners_have_a_class(spark):
     assert got[0]["shared_spans"] == "vendor:0:44,assign:45:61" and got[2]["shared_spans"] == ""
 
 
+def pem(k, kind="RSA "):
+    body = "\n".join(hashlib.sha256(f"{k}/{n}".encode()).hexdigest() for n in range(6))
+    return f"-----BEGIN {kind}PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB\n\n{body}\n-----END {kind}PRIVATE KEY-----"
+
+
+def test_each_private_key_is_a_secret(spark):
+    rows = [(k, f"x {pem(k)} y", f"o{k}") for k in range(3)] + [(10 + k, pem("copied", ""), f"o{k}") for k in range(3)] + [(20, "-----BEGIN RSA PRIVATE KEY----- is how a key begins", "o1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(df).collect()}
+    for k in range(3):
+        assert f"vendor:2:{2 + len(pem(k))}" in got[k].split(",")
+        assert "vendor" not in got[10 + k]
+    assert got[20] == ""
+
+
+def test_repositories_of_several_owners_make_an_example(spark):
+    rows = [(k, "token=copiedaround", f"o{k % 2}", f"repo{k // 2}") for k in range(6)] + [(10 + k, "token=oneofmine", "o1", f"repo{k}") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for scanned in (df, df.withColumn("secret", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("matches", F.lit(3)).withColumn("tie", F.lit(4))):
+        got = {r["doc_id"]: r for r in secrets.scan(scanned).collect()}
+        assert (got[0]["n_example"], got[0]["n_shared"], got[10]["n_live"], got[10]["n_example"]) == (1, 0, 1, 0)
+    scans = secrets.searched(df)._jdf.queryExecution().executedPlan().toString().count("Scan")
+    assert scans == 1
+
+
 # --- Preference pairs -------------------------------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from threadmill.llm import decontaminate, pieces, preference, quality, secrets, simhash
+from threadmill.llm import common, decontaminate, pieces, preference, quality, secrets, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "lorem ipsum dolor sit amet " * 30_000
@@ -213,8 +213,9 @@ def brute_hits(text, items):
     return len(mine), len(hit), sorted(str(x) for x in found if x is not None)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_contamination(spark, block_bytes):
+@pytest.mark.parametrize("filter_bits", [26, 15])
+def test_contamination(spark, filter_bits, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_BITS", filter_bits)  # a small filter lets more through, and loses nothing
     rng = random.Random(7)
     word = lambda: rng.choice("abcdefg")
     items = [(k, " ".join(word() for _ in range(rng.choice([12, 15, 20])))) for k in range(8)] + [(100, "x y"), (101, "solo"), (102, ""), (103, None), (None, "p q r s"), (0, "k l m n o p q r s t u")]
@@ -222,25 +223,29 @@ def test_contamination(spark, block_bytes):
     for _, t in items:
         if t:
             texts += ["Before, " + t.upper().replace(" ", "; ") + " after", " ".join(t.split()[1:]), t + " " + t]
-    texts.append(" ".join(word() for _ in range(3000)))
-    df = frame(spark, texts)
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: r["hits"] for r in decontaminate.with_hits(df, bench, block_bytes=block_bytes).collect()}
+    texts += [" ".join(word() for _ in range(3000)), LONG + items[0][1]]
+    df = frame(spark, texts).withColumn("a.b", F.lit(1)).withColumn("id", F.lit(2)).withColumn("hits", F.lit(3))
+    bench = spark.createDataFrame(items + items[:3], "item_id long, text string")
+    got = {r["doc_id"]: r["hits"] for r in decontaminate.with_hits(df, bench).collect()}
+    assert len(got) == len(texts)
     for i, t in enumerate(texts):
         n, hit, found = brute_hits(t, items)
         assert (got[i]["n_words"], got[i]["n_hit"], sorted(map(str, got[i]["items"]))) == (n, hit, found), t
         assert sum(s["end"] - s["start"] for s in got[i]["spans"]) == hit
     assert decontaminate.with_hits(df, bench.limit(0)).where("hits.n_hit > 0").count() == 0
+    clean = decontaminate.keep_clean(df.union(df), bench)
+    assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect()) == sorted(2 * [i for i, t in enumerate(texts) if not brute_hits(t, items)[1]])
     assert decontaminate.keep_clean(df.limit(0), bench).columns == df.columns
+    assert decontaminate.keep_clean(df.limit(0), bench).count() == 0
 
 
-def test_repeated_items_do_not_fill_a_block(spark, monkeypatch):
-    sizes, init = [], decontaminate.Items.__init__
-    monkeypatch.setattr(decontaminate.Items, "__init__", lambda self, ids, texts, *rest: sizes.append(len(texts)) or init(self, ids, texts, *rest))
-    bench = spark.createDataFrame([(1, "a b c d e f g h i j k")] * 500 + [(k, f"item {k} of a few words that nobody has said") for k in range(2, 8)], "item_id long, text string")
-    got = decontaminate.with_hits(frame(spark, ["a b c d e f g h i j k", "none"]), bench, block_bytes=100)
-    assert [(r["hits"]["n_hit"], r["hits"]["items"]) for r in sorted(got.collect(), key=lambda r: r["doc_id"])] == [(11, [1]), (0, [])]
-    assert sum(sizes) == 7
+def test_a_passage_of_many_items_costs_a_row_per_document_and_set(spark):
+    passage = "a b c d e f g h i j k l m n"
+    bench = spark.createDataFrame([(k, passage) for k in range(200)] + [(500, f"{passage} its own end")], "item_id long, text string")
+    items = decontaminate.Benchmark(bench)
+    found = decontaminate.hits(decontaminate.candidates(frame(spark, [passage] * 3 + ["none of it", f"x {passage} y"]), items), items)
+    assert found.select("id", "s1", "s2").distinct().count() == 4
+    assert [len(r["items"]) for r in decontaminate.judged(found, items).collect()] == [201] * 4
 
 
 # --- Secrets ----------------------------------------------------------------------------------------------------------

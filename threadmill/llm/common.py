@@ -42,17 +42,17 @@ def plain(name: str) -> str:
 FILTER_BITS = 26
 
 
-def key_filter(keys: DataFrame, key: Column) -> DataFrame:
-    """A filter of the keys: a row (bucket, bits) per 2^15 bits, of which each key sets one. FILTER_BITS bound its size; it is meant to be broadcast."""
-    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+def key_filter(keys: DataFrame, hashed: Column) -> DataFrame:
+    """A filter of the keys, by their hashes (long): a row (bucket, bits) per 2^15 bits, of which each key sets one. FILTER_BITS bound its size; it is meant to be broadcast."""
+    place = F.pmod(hashed, F.lit(1 << FILTER_BITS))
     placed = keys.select(F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(F.lit(0x7FFF)).alias("place"))
     return placed.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
 
 
-def with_maybe(table: DataFrame, key: Column, bits: DataFrame, out: str = "__tm_maybe") -> DataFrame:
-    """table and a boolean: false where the key is certainly none of the (stored) filter's keys."""
+def with_maybe(table: DataFrame, hashed: Column, bits: DataFrame, out: str = "__tm_maybe") -> DataFrame:
+    """table and a boolean: false where the hash is certainly that of none of the (stored) filter's keys. With more keys there are more true rows, up to all."""
     kept = [F.col(plain(c)) for c in table.columns]
-    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    place = F.pmod(hashed, F.lit(1 << FILTER_BITS))
     bits = F.broadcast(bits.select(F.col("bucket").alias("__tm_bucket"), F.col("bits").alias("__tm_bits")))
     joined = table.withColumn("__tm_place", place).join(bits, F.shiftright("__tm_place", 15) == F.col("__tm_bucket"), "left")
     in_bucket = F.col("__tm_place").bitwiseAND(F.lit(0x7FFF)).cast("int")
@@ -61,6 +61,34 @@ def with_maybe(table: DataFrame, key: Column, bits: DataFrame, out: str = "__tm_
     return joined.withColumn("__tm_byte", byte).select(*kept, F.coalesce(bit, F.lit(False)).alias(out))
 
 
+def filter_bytes(bits: DataFrame) -> np.ndarray:
+    """The filter as one array of 2^(FILTER_BITS - 3) bytes, for tasks in Python."""
+    out = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    for bucket, part in bits.collect():
+        out[bucket << 12 : (bucket + 1) << 12] = np.frombuffer(part, dtype=np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """False where an (unsigned) hash is certainly that of no key."""
+    place = (hashed & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def without(table: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows of table whose keys are not those of a row of gone (its columns, in the same order). Only rows that a filter of gone can't clear are shuffled."""
+    of = gone.select(*(F.col(plain(c)).alias(f"__tm_gone{k}") for k, c in enumerate(gone.columns))).distinct()
+    of = materialize(of, "gone")
+    bits = materialize(key_filter(of, F.xxhash64(*of.columns)), "gone-filter")
+    columns = [F.col(plain(c)) for c in table.columns]
+    marked = with_maybe(table, F.xxhash64(*keys), bits)
+    same = F.lit(True)
+    for k, key in enumerate(keys):
+        same &= key.eqNullSafe(F.col(f"__tm_gone{k}"))
+    clear = marked.where("NOT __tm_maybe").select(*columns)
+    return clear.union(marked.where("__tm_maybe").join(of, same, "left_anti").select(*columns))
+
+
 def byte_chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of the rows in them) for runs of rows of about `most` bytes; a null counts as empty, a longer text stands alone."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")

@@ -1,18 +1,21 @@
 """Benchmark decontamination by winnowing: passages of test items inside documents.
 
-Words are lower-cased runs of letters, digits and non-ASCII characters. Of every `WINDOW - GRAM + 1`
-neighbouring GRAM-word grams the smallest hash is kept, so every span of WINDOW words that a document shares with
+Words are lower-cased runs of letters, digits and non-ASCII characters. Of every `window - gram + 1`
+neighbouring grams of `gram` words the smallest hash is kept, so every span of `window` words that a document shares with
 an item shares a kept hash too. Kept hashes of documents are joined with those of the items; each hit is extended to the
-windows of WINDOW words around it, which are compared word by word. An item of fewer words is one window
-and is looked up by its own length, for which winnowing has no guarantee.
+windows of `window` words that keep it, which are joined with the items' windows by 128 bits over the hashes of their words. An item of
+fewer words is one window and is looked up by its own length, for which winnowing has no guarantee.
 
-The items are the small side: a block of them, bounded by BLOCK_BYTES of text, is sent to every worker, and
-documents stream past it without a shuffle. Where the items' measured size needs more blocks, each makes a pass of its own, and the
-hits, by doc_id and text, are put together; no block grows with the data.
+Scale: documents are read once, and no text moves. Hashes that no item has leave before the join, by a filter of the items' hashes whose
+size is fixed (FILTER_BITS), so what is shuffled follows the hits. Items are shuffled, never gathered: neither their number nor their size
+is bounded. The items of a window are named by a digest of their set, so a passage that many items and many documents share costs a row per
+document and set, not a row per document, item and window. The right side of each join has a row per key and is stored, so adaptive execution can split a hot
+passage's documents. A document's windows meet in one task; these are bounded by its text.
 
 Null or empty text: no words, never hit; such items have no window. Items with equal texts all count; equal rows are one item. An item with a
 null item_id makes hits, but has no name to list and doesn't count in n_items. Rows are judged alone, so repeated rows get equal results.
-Other columns pass through; a column named like the result is replaced.
+A very long text is taken whole; arrays of its words' hashes are what a task holds. Other columns pass through; a column named like the result is replaced,
+and columns that start with __tm_ are the operator's own.
 """
 
 from __future__ import annotations
@@ -25,18 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import byte_chunks, materialize, mix64, read
+from threadmill.llm.common import byte_chunks, filter_bytes, in_filter, key_filter, materialize, mix64, plain, read, without
 
 WINDOW = 10
 GRAM = 5
-#: Text of the items in one block.
-BLOCK_BYTES = 8 << 20
 
 _TO_WORDS = bytes(ord(" ") if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) else b + 32 if 65 <= b < 91 else b for b in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Words whose hash a worker remembers.
 TABLE_WORDS = 1 << 17
-SCHEMA = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<bigint>>"
+_SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 class _Hashes(dict):
@@ -70,203 +72,190 @@ def _grams(words: np.ndarray, length: int) -> np.ndarray:
     return mix64(h)
 
 
-def _winnow(words: np.ndarray, left: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of kept grams and their hashes. left: words from each place to its text's end."""
+def _left(counts: np.ndarray) -> np.ndarray:
+    """Words from each place to its text's end."""
+    ends = np.cumsum(counts)
+    return np.repeat(ends, counts) - np.arange(int(counts.sum()))
+
+
+def _least(words: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """The smallest hash of the grams in the window from each place on: the hash that winnowing keeps for it."""
     h, width = _grams(words, gram), window - gram + 1
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.int64), h[:0]
+    n = max(0, len(h) - width + 1)
     least = h[:n].copy()
     for k in range(1, width):
         np.minimum(least, h[k : n + k], out=least)
-    whole = left[:n] >= window
-    kept = np.zeros(len(h), dtype=bool)
-    for k in range(width):
-        kept[k : n + k] |= whole & (h[k : n + k] == least)
-    at = np.flatnonzero(kept)
-    return at, h[at]
+    return least
 
 
-def _left(counts: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(counts)
-    return np.repeat(ends, counts) - np.arange(int(counts.sum()))
+def _wide(words: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the windows of `length` words from `starts`."""
+    a = words[starts]
+    b = mix64(a + _SECOND)
+    for k in range(1, length):
+        w = words[starts + k]
+        a, b = a * _MULTIPLIER + w, b * _SECOND + w
+    return mix64(a + np.uint64(length)), mix64(b + np.uint64(length))
 
 
-class Items:
-    """A block of items: kept hashes, and every window by its hash, with the item and the place of its words."""
+_WINDOW = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("g", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_FOUND = "struct<n_words:bigint,windows:array<struct<start:int,n:int,g:bigint,a:bigint,b:bigint>>>"
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], window: int, gram: int):
-        self.window, self.gram, hashes = window, gram, _Hashes()
-        data = [(t or "").encode() for t in texts]
-        words, counts = _rows(b"".join(data), np.concatenate(([0], np.cumsum([len(x) for x in data]))).astype(np.int64), hashes)
-        left = _left(counts)
-        item = np.repeat(np.arange(len(ids)), counts)
-        self.words, self.ids, self.named = words, np.array([i or 0 for i in ids], dtype=np.int64), np.array([i is not None for i in ids], dtype=bool)
-        self.kept = np.unique(_winnow(words, left, gram, window)[1])
-        at = np.flatnonzero(left >= window)
-        self.by_length = {window: self._sorted(_grams(words, window)[at], item[at], at)}
-        first = np.cumsum(counts) - counts
-        for length in sorted(set(counts[(counts > 0) & (counts < window)].tolist())):
-            own = np.flatnonzero(counts == length)
-            self.by_length[length] = self._sorted(_grams(words, length)[first[own]], own, first[own])
-
-    @staticmethod
-    def _sorted(h: np.ndarray, item: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(h, kind="stable")
-        return h[order], item[order], at[order]
-
-    def match(self, words: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) for the windows of `length` words from `starts` that an item has."""
-        keys, items, places = self.by_length[length]
-        if not len(keys) or not len(starts):
-            return starts[:0], items[:0]
-        h = words[starts]
-        for k in range(1, length):
-            h = h * _MULTIPLIER + words[starts + k]
-        h = mix64(h)
-        begin, end = np.searchsorted(keys, h, side="left"), np.searchsorted(keys, h, side="right")
-        times = end - begin
-        start = np.repeat(starts, times)
-        entry = np.repeat(begin - np.cumsum(times) + times, times) + np.arange(len(start))
-        same = np.ones(len(start), dtype=bool)
-        for k in range(length):
-            same &= words[start + k] == self.words[places[entry] + k]
-        return start[same], items[entry[same]]
-
-
-def _member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(sorted_keys):
-        return np.zeros(len(keys), dtype=bool)
-    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
-
-
-def _search(items: Items, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, item) of the windows found."""
-    left, window = _left(counts), items.window
-    at, h = _winnow(words, left, items.gram, window)
-    at = at[_member(items.kept, h)]
-    # The windows around a hit, inside its text.
-    starts = np.unique((at[:, None] - np.arange(window - items.gram + 1)).ravel()) if len(at) else at
-    starts = starts[starts >= 0]
-    starts = starts[left[starts] >= window]
-    found = [(s, np.full(len(s), window), i) for s, i in [items.match(words, starts, window)]]
-    for length in items.by_length:
-        if length < window:
-            candidates = np.flatnonzero(left >= length)
-            s, i = items.match(words, candidates, length)
-            found.append((s, np.full(len(s), length), i))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def find(texts: pa.Array, items: Items, hashes: _Hashes) -> pa.StructArray:
-    n_words, n_hit, spans, ids = [], [], [], []
-    for _, data, offsets in byte_chunks(texts, 2 << 20):
+
+def _packed(counts: list[np.ndarray], windows: list[list[np.ndarray]]) -> pa.StructArray:
+    """Per text its number of words and its windows. windows: text, start, n, g, a, b, in the texts' order, per chunk."""
+    per_text = [np.bincount(w[0], minlength=len(c)) for c, w in zip(counts, windows, strict=True)]
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate(per_text)))) if counts else np.zeros(1, np.int64)
+    columns = [np.concatenate(x) for x in zip(*windows, strict=True)][1:] if windows else [np.zeros(0, np.int64)] * 5
+    fields = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, f.type) for x, f in zip(columns, _WINDOW, strict=True)]
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_WINDOW)))
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64()), lists], ["n_words", "windows"])
+
+
+def _searched(texts: pa.Array, hashes: _Hashes, window: int, gram: int, bits: np.ndarray | None, lengths: list[int]) -> pa.StructArray:
+    """The windows of texts that pass the filter; of items (bits: None) all, a shorter item being one."""
+    all_counts, all_windows = [], []
+    for _, data, offsets in byte_chunks(texts):
         words, counts = _rows(data.tobytes(), offsets, hashes)
-        start, length, item = _search(items, words, counts)
-        hit = np.zeros(len(words) + 1, dtype=np.int64)
-        np.add.at(hit, start, 1)
-        np.subtract.at(hit, start + length, 1)
-        hit = np.cumsum(hit[:-1]) > 0
+        left = _left(counts)
+        least = _least(words, window, gram)
+        starts = np.flatnonzero(left[: len(least)] >= window)
+        if bits is not None:
+            starts = starts[in_filter(bits, least[starts])]
+        parts = [(starts, window, least[starts])]
+        if bits is None:
+            first, short = np.cumsum(counts) - counts, (counts > 0) & (counts < window)
+            lengths = np.unique(counts[short]).tolist()
+        for length in lengths:
+            at = np.flatnonzero(left >= length) if bits is not None else first[short & (counts == length)]
+            parts.append((at, length, np.zeros(len(at), dtype=np.uint64)))
+        found = []
+        for at, length, g in parts:
+            a, b = _wide(words, at, length)
+            if bits is not None:
+                ok = in_filter(bits, a)
+                at, g, a, b = at[ok], g[ok], a[ok], b[ok]
+            found.append((at, np.full(len(at), length), g, a, b))
+        at, n, g, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(at, kind="stable")
+        at = at[order]
         ends = np.cumsum(counts)
-        begins = ends - counts
-        row = np.searchsorted(ends, start, side="right")
-        named = items.named[item]
-        pairs = np.unique(np.stack([row[named], items.ids[item[named]]], axis=1), axis=0) if named.any() else np.zeros((0, 2), np.int64)
-        some = {r: pairs[pairs[:, 0] == r, 1].tolist() for r in np.unique(pairs[:, 0]).tolist()}
-        total = np.concatenate(([0], np.cumsum(hit)))
-        n_words.append(counts)
-        n_hit.append(total[ends] - total[begins])
-        for k in range(len(counts)):
-            if not n_hit[-1][k]:
-                spans.append([])
-                ids.append([])
-                continue
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], hit[begins[k] : ends[k]].astype(np.int8), [0])))).tolist()
-            spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
-            ids.append(some.get(k, []))
-    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (n_words, n_hit)]
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.StructArray.from_arrays([*(pa.array(x, pa.int64()) for x in flat), pa.array(spans, kind), pa.array(ids, pa.list_(pa.int64()))], ["n_words", "n_hit", "spans", "items"])
-
-
-def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits", id_column: str = "doc_id", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs and a struct of n_words, n_hit, the word spans hit, and the ids of the items whose windows occur. benchmark: item_id, text."""
-    spark = docs.sparkSession
-    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+        row = np.searchsorted(ends, at, side="right")
+        all_counts.append(counts)
+        all_windows.append([row, at - (ends - counts)[row], n[order], g[order], a[order], b[order]])
+    return _packed(all_counts, all_windows)
+
 
-    def searched(rows: list, frame: DataFrame) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], window, gram))
+class Benchmark:
+    """The items' side of the joins, as stored tables: grams (g), windows (n, a, b, s1, s2) and sets (s1, s2, item_id); and the filter of its hashes."""
 
-        @F.arrow_udf(SCHEMA)
-        def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            items, hashes = shared.value, _Hashes()
+    def __init__(self, items: DataFrame, window: int = WINDOW, gram: int = GRAM):
+        """items: item_id, text."""
+        self.window, self.gram = window, gram
+
+        @F.arrow_udf(_FOUND)
+        def windows_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            hashes = _Hashes()
             for texts in batches:
-                yield find(texts, items, hashes)
-
-        return frame.withColumn(out, hits(F.col(text)))
-
-    blocks = _blocks(benchmark, block_bytes)
-    if len(blocks) == 1:
-        return searched(blocks[0](), docs)
-    # Several blocks: the hits of each, by id and text, then put together.
-    slim = docs.select(F.col(id_column).alias("__tm_id"), F.xxhash64(text).alias("__tm_tie"), F.col(text)).distinct()
-    parts = []
-    for rows in blocks:
-        part = searched(rows(), slim).select("__tm_id", "__tm_tie", F.col(out)["n_words"].alias("n_words"), F.col(out)["spans"].alias("spans"), F.col(out)["items"].alias("items"))
-        parts.append(materialize(part, "block"))
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.union(part)
-
-    @F.arrow_udf("array<struct<start:bigint,end:bigint>>")
+                yield _searched(texts, hashes, window, gram, None, [])
+
+        items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+        rows = items.select("item_id", F.explode(windows_of("text")["windows"]).alias("w")).select("item_id", "w.n", "w.g", "w.a", "w.b")
+        rows = materialize(rows.distinct(), "item-windows")
+        self.grams = materialize(rows.where(F.col("n") == window).select("g").distinct(), "item-grams")
+        # A set of items has 128 bits that don't depend on their order.
+        self.windows = materialize(rows.groupBy("n", "a", "b").agg(F.bit_xor(F.xxhash64("item_id", F.lit(1))).alias("s1"), F.bit_xor(F.xxhash64("item_id", F.lit(2))).alias("s2")), "windows")
+        self.sets = materialize(rows.where("item_id IS NOT NULL").join(self.windows, ["n", "a", "b"]).select("s1", "s2", "item_id").distinct(), "item-sets")
+        self.lengths = sorted(r["n"] for r in self.windows.where(F.col("n") < window).select("n").distinct().collect())  # below the window's
+        self.bits = filter_bytes(materialize(key_filter(self.grams.union(self.windows.select("a")), F.col("g")), "item-filter"))
+
+
+def candidates(docs: DataFrame, benchmark: Benchmark, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, tie, n_words, windows) of each row, stored: the windows that an item may have. tie: the text's hash."""
+    shared, lengths, window, gram = docs.sparkSession.sparkContext.broadcast(benchmark.bits), benchmark.lengths, benchmark.window, benchmark.gram
+
+    @F.arrow_udf(_FOUND)
+    def searched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = _Hashes()
+        for texts in batches:
+            yield _searched(texts, hashes, window, gram, shared.value, lengths)
+
+    column = F.col(plain(text))
+    out = materialize(docs.select(F.col(plain(id_column)).alias("id"), F.xxhash64(column).alias("tie"), searched(column).alias("s")).select("id", "tie", "s.n_words", "s.windows"), "candidates")
+    shared.unpersist()
+    return out
+
+
+def hits(rows: DataFrame, benchmark: Benchmark) -> DataFrame:
+    """(id, tie, start, n, s1, s2) of the windows that an item has, stored. rows: of candidates()."""
+    found = rows.where(F.size("windows") > 0).select("id", "tie", F.explode("windows").alias("w")).select("id", "tie", "w.*")
+    kept = found.where(F.col("n") == benchmark.window).join(benchmark.grams, "g").select("id", "tie", "start", "n", "a", "b")
+    short = found.where(F.col("n") < benchmark.window).select("id", "tie", "start", "n", "a", "b")
+    return materialize(kept.union(short).join(benchmark.windows, ["n", "a", "b"]).select("id", "tie", "start", "n", "s1", "s2").distinct(), "hits")
+
+
+def _merge(windows: list[dict]) -> list[dict]:
+    out: list[dict] = []
+    for start, end in sorted((w["start"], w["start"] + w["n"]) for w in windows):
+        if out and start <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], end)
+        else:
+            out.append({"start": start, "end": end})
+    return out
+
+
+def judged(found: DataFrame, benchmark: Benchmark) -> DataFrame:
+    """(__tm_id, __tm_tie, n_hit, spans, items) of the texts with a hit: spans in words, items' ids ascending. found: of hits()."""
+
+    @F.arrow_udf(_SPANS)
     def merged(lists: pa.Array) -> pa.Array:
         return pa.array([_merge(x.as_py()) for x in lists], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
 
-    whole = union.groupBy("__tm_id", "__tm_tie").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    whole = whole.withColumn("spans", merged("spans"))
+    spans = found.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("w")).select("id", "tie", merged("w").alias("spans"))
+    named = found.select("id", "tie", "s1", "s2").distinct().join(benchmark.sets, ["s1", "s2"]).groupBy("id", "tie").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    named = named.select(F.col("id").alias("id2"), F.col("tie").alias("tie2"), "items")
+    both = spans.join(named, spans["id"].eqNullSafe(named["id2"]) & (spans["tie"] == named["tie2"]), "left")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    whole = whole.select(F.col("__tm_id").alias("__tm_id2"), F.col("__tm_tie").alias("__tm_tie2"), F.struct("n_words", n_hit.alias("n_hit"), "spans", "items").alias("__tm_hits"))
-    keyed = docs.withColumn("__tm_tie", F.xxhash64(text))
-    joined = keyed.join(whole, keyed[id_column].eqNullSafe(whole["__tm_id2"]) & (keyed["__tm_tie"] == whole["__tm_tie2"]))
-    return joined.select(*(F.col(c) for c in docs.columns if c != out), F.col("__tm_hits").alias(out))
+    return both.select(F.col("id").alias("__tm_id"), F.col("tie").alias("__tm_tie"), n_hit.alias("n_hit"), "spans", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
-    """Functions that collect the items of a block, which are distinct: equal rows would all have one hash. Their number follows the items' measured size; a block holds block_bytes on average."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // block_bytes))
-    if parts == 1:
-        return [benchmark.collect]
-    benchmark = materialize(benchmark, "items")
-    return [benchmark.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(parts)) == k).collect for k in range(parts)]
+def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits", id_column: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs and a struct of n_words, n_hit, the word spans hit, and the ids of the items whose windows occur. benchmark: item_id, text."""
+    items = Benchmark(benchmark, window, gram)
+    rows = candidates(docs, items, id_column, text)
+    done = materialize(_of_rows(rows.select("id", "tie", "n_words").distinct(), hits(rows, items), items), "judged")
+    result = F.struct("__tm_words", "__tm_hit", "__tm_spans", "__tm_items").cast(f"struct<n_words:bigint,n_hit:bigint,spans:{_SPANS},items:array<bigint>>")
+    done = done.select(F.col("id").alias("__tm_id"), F.col("tie").alias("__tm_tie"), *(F.col(c).alias(f"__tm_{n}") for c, n in (("n_words", "words"), ("n_hit", "hit"), ("spans", "spans"), ("items", "items"))))
+    keyed = docs.withColumn("__tm_key", F.col(plain(id_column))).withColumn("__tm_hash", F.xxhash64(F.col(plain(text))))
+    joined = keyed.join(done, F.col("__tm_key").eqNullSafe(F.col("__tm_id")) & (F.col("__tm_hash") == F.col("__tm_tie")))
+    return joined.select(*(F.col(plain(c)) for c in docs.columns if c != out), result.alias(out))
 
 
-def _merge(spans: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda x: (x["start"], x["end"])):
-        if out and s["start"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], s["end"])
-        else:
-            out.append(dict(s))
-    return out
+def _of_rows(rows: DataFrame, found: DataFrame, items: Benchmark) -> DataFrame:
+    """(id, tie, n_words, n_hit, spans, items) of each row."""
+    done = rows.select("id", "tie", "n_words").join(judged(found, items), F.col("id").eqNullSafe(F.col("__tm_id")) & (F.col("tie") == F.col("__tm_tie")), "left")
+    return done.select("id", "tie", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The rows of docs without a benchmark window, with docs' columns."""
-    columns = docs.columns
-    return with_hits(docs, benchmark, text, "__tm_found", id_column).where(F.col("__tm_found")["n_hit"] == 0).select(*columns)
+    """The rows of docs without a benchmark window, with docs' columns. Only rows that a filter of the contaminated ones can't clear are shuffled."""
+    items = Benchmark(benchmark)
+    found = hits(candidates(docs, items, id_column, text), items).select("id", "tie")
+    return without(docs, found, [F.col(plain(id_column)), F.xxhash64(F.col(plain(text)))])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_hits(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))
-    names = F.array_sort(F.col("hits.items").cast("array<string>"))
-    return docs.select(
-        "doc_id",
-        F.col("hits.n_words"),
-        F.col("hits.n_hit"),
-        F.size("hits.items").cast("long").alias("n_items"),
+    items = Benchmark(read(spark, sf_dir, "benchmark"))
+    rows = candidates(read(spark, sf_dir, "documents"), items)
+    done = _of_rows(rows, hits(rows, items), items)
+    names = F.array_sort(F.col("items").cast("array<string>"))
+    return done.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"),
-        (F.col("hits.n_hit") > 0).alias("contaminated"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 

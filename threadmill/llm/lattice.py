@@ -2,17 +2,21 @@
 
 The pieces are an existing vocabulary. A unigram model gives each a probability: its start is Zipf's law over the vocabulary's own
 order of scores, then expectation-maximisation over the training texts' words. No piece crosses white space, so a
-text's lattice falls apart into those of its words, and each distinct word's lattice is run once: a forward recursion in log
-space, over all words of a batch of one length together. A text's score is the sum of its words' log10 marginal probabilities, and
-that of the end, which is a piece of its own.
+text's lattice falls apart into those of its words, and these into parts between characters that no piece has side by side (cuts.py). Each distinct word's
+lattice is run once: a forward recursion in log space, over all parts of a batch of one length together. A part of more than WIDE characters is run alone,
+character by character, with a scale that keeps its numbers finite. Both take time in proportion to the characters, whatever the words' lengths. A text's score is
+the sum of its words' log10 marginal probabilities, and that of the end, which is a piece of its own.
 
 Scale: words are counted over all texts, pre-aggregated in each task. What EM gathers are expected counts per piece, as many as the vocabulary has at
-most. Words that make up a share of COMMON or more of all tokens - at most 1 / COMMON, whatever the corpus - go to every worker as arrays;
-the others of a text meet their counts in an equi-join on the word, whose keys are rare by that definition, so none is hot.
+most. Words that make up a share of COMMON or more of all tokens - at most 1 / COMMON, whatever the corpus - and have COMMON_BYTES or less go to every worker, by
+their 128-bit hashes (so at most 1 / COMMON rows of 40 bytes);
+the others of a text meet their counts in an equi-join on the word; by that definition no key is hot but a long word that very many texts have, which adaptive
+execution can split, as the words are stored.
 
 Base: add-one smoothed unigrams over words. Training texts: crc32(id as text) mod FOLDS is not HELD_OUT.
 Null or empty text: one token, the end. A null id counts as the text ''. Rows equal in id and text get equal
 scores, and each counts in training. An empty table gives an empty result; with nothing to learn from, V and N are 0 and the start's pieces stay.
+A very long text or word is taken whole. Columns besides id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import materialize, mix64, read
+from threadmill.llm.common import discard, materialize, mix64, plain, read
+from threadmill.llm.cuts import Cuts
 
 FOLDS, HELD_OUT = 7, 2
 #: Share of all tokens from which on a word is common.
@@ -36,9 +41,14 @@ COMMON = 1e-6
 ROUNDS = 1
 #: Distinct words that a task counts before it passes the counts on.
 TASK_WORDS = 300_000
-LONGEST = 16
+COMMON_BYTES = 64
+#: Words whose lattices are run together.
+RUN_WORDS = 50_000
+#: Characters beyond which a part is run alone.
+WIDE = 64
 SPACE = "▁"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_SCALE = math.exp(230.0)
 
 
 class Vocabulary:
@@ -58,6 +68,7 @@ class Vocabulary:
             by_length.setdefault(len(names[i]), []).append(i)
             if len(names[i]) == 1:
                 self.single[ord(names[i])] = True
+        self.cuts = Cuts([names[i] for i in normal])
         self.tables = {}
         for length, ids in sorted(by_length.items()):
             codes = np.array([[ord(c) for c in names[i]] for i in ids], dtype=np.uint64)
@@ -95,21 +106,40 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, codes) of the words of one length, a space before each; few enough at once to bound the arrays."""
-    places: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
-        places.setdefault(len(w), []).append(k)
-    for length, at in places.items():
-        step = max(1, (1 << 18) // (length + 1))
-        for a in range(0, len(at), step):
-            some = at[a : a + step]
-            text = "".join(SPACE + words[k] for k in some).encode("utf-32-le")
-            yield np.array(some), np.frombuffer(text, dtype=np.uint32).reshape(len(some), length + 1)
-
-
-def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logaddexp(a, b)
+class Parts:
+    """The words' parts, a space before each word: the distinct ones by length."""
+
+    def __init__(self, words: list[str], cuts: Cuts):
+        text = "".join(SPACE + w for w in words).encode("utf-32-le")
+        self.codes = np.frombuffer(text, dtype=np.uint32)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        opens = cuts.before(self.codes) if len(words) else np.zeros(0, dtype=bool)
+        opens[np.cumsum(sizes) - sizes] = True
+        self.starts = np.flatnonzero(opens)
+        self.sizes = np.diff(np.append(self.starts, len(self.codes)))
+        self.word = np.searchsorted(np.cumsum(sizes), self.starts, side="right")
+
+    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(codes of distinct parts of one length, the places of all parts that they are, which of them each is)."""
+        order = np.argsort(self.sizes, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(self.sizes[order])) + 1) if len(order) else ():
+            length = int(self.sizes[at[0]])
+            step = max(1, (1 << 18) // length)
+            rows = self.codes[self.starts[at][:, None] + np.arange(length)] if length <= WIDE else None
+            if rows is None:  # long and rare: one by one
+                for k in at.tolist():
+                    yield self.codes[self.starts[k] : self.starts[k] + length][None, :], np.array([k]), np.zeros(1, dtype=np.int64)
+                continue
+            h = rows[:, 0].astype(np.uint64)
+            for k in range(1, length):
+                h = mix64(h * _MULTIPLIER + rows[:, k])
+            _, first, which = np.unique(h, return_index=True, return_inverse=True)
+            if (rows[first][which] != rows).any():  # two parts of one hash
+                first, which = np.arange(len(rows)), np.arange(len(rows))
+            by_part = np.argsort(which, kind="stable")
+            ends = np.searchsorted(which[by_part], np.arange(step, len(first) + step, step), side="left")
+            for k, part in enumerate(np.split(by_part, ends[:-1])):
+                yield rows[first[k * step : (k + 1) * step]], at[part], which[part] - k * step
 
 
 class Lattices:
@@ -119,12 +149,15 @@ class Lattices:
     def _byte_scores(self, codes: np.ndarray) -> np.ndarray:
         """Of characters without a piece the sum of their bytes' scores; no way for others."""
         out = np.full(codes.shape, -np.inf)
-        for i, j in np.argwhere(~self.v.single[codes]):
-            out[i, j] = sum(self.logp[self.v.byte_ids[b]] for b in chr(codes[i, j]).encode())
+        if len(at := np.flatnonzero(~self.v.single[codes].ravel())):
+            chars, which = np.unique(codes.ravel()[at], return_inverse=True)
+            out.ravel()[at] = np.array([sum(self.logp[self.v.byte_ids[b]] for b in chr(c).encode("utf-8", "surrogatepass")) for c in chars])[which]
         return out
 
     def _forward(self, scores: dict[int, np.ndarray], raw: np.ndarray) -> np.ndarray:
         n, width = raw.shape
+        if width > WIDE:
+            return np.stack([self._along({k: s[i] for k, s in scores.items()}, raw[i]) for i in range(n)], axis=1)
         a = np.full((width + 1, n), -np.inf)
         a[0] = 0
         for end in range(1, width + 1):
@@ -134,38 +167,89 @@ class Lattices:
             a[end] = top + np.log(np.exp(ways - top).sum(axis=0))
         return a
 
+    @staticmethod
+    def _along(scores: dict[int, np.ndarray], raw: np.ndarray) -> np.ndarray:
+        """The recursion over one long part: plain numbers, scaled back whenever they have become small."""
+        width, longest = len(raw), max([1, *scores])
+        ends, lengths, ways = [], [], []
+        for k, s in [(1, raw), *scores.items()]:
+            at = np.flatnonzero(np.isfinite(s))
+            ends.append(at + k)
+            lengths.append(np.full(len(at), k))
+            ways.append(np.exp(s[at]))
+        ends, lengths, ways = (np.concatenate(x) for x in (ends, lengths, ways))
+        order = np.argsort(ends, kind="stable")
+        steps = np.searchsorted(ends[order], np.arange(width + 2)).tolist()
+        lengths, ways = lengths[order].tolist(), ways[order].tolist()
+        a, scale, log_scale = [0.0] * (width + 1), np.zeros(width + 1), 0.0
+        a[0] = 1.0
+        for end in range(1, width + 1):
+            total = 0.0
+            for k in range(steps[end], steps[end + 1]):
+                total += a[end - lengths[k]] * ways[k]
+            a[end] = total
+            if total < 1e-100:
+                # What the recursion can still reach is scaled; the places before keep the scale they had.
+                log_scale -= 230.0
+                low = max(0, end - longest)
+                scale[low : end + 1] = log_scale
+                for k in range(low, end + 1):
+                    a[k] *= _SCALE
+            else:
+                scale[end] = log_scale
+        with np.errstate(divide="ignore"):
+            return np.log(np.array(a)) + scale
+
     def marginals(self, words: list[str]) -> np.ndarray:
         """Natural log of each word's probability, over all its segmentations."""
-        out = np.zeros(len(words))
-        for at, codes in _by_length(words):
+        parts = Parts(words, self.v.cuts)
+        found = np.zeros(len(parts.sizes))
+        for codes, at, which in parts.groups():
             scores = {k: self.logp[p] for k, p in self.v.find(codes).items()}
-            out[at] = self._forward(scores, self._byte_scores(codes))[-1]
-        return out
+            found[at] = self._forward(scores, self._byte_scores(codes))[-1][which]
+        return np.bincount(parts.word, weights=found, minlength=len(words))
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, the words counted as often as given."""
         out = np.zeros(self.v.size)
-        for at, codes in _by_length(words):
+        parts = Parts(words, self.v.cuts)
+        for codes, at, which in parts.groups():
+            times = np.bincount(which, weights=counts[parts.word[at]], minlength=len(codes))
             pieces = self.v.find(codes)
             scores = {k: self.logp[p] for k, p in pieces.items()}
             raw = self._byte_scores(codes)
             a = self._forward(scores, raw)
-            n, width = codes.shape
             # The same from the other end.
             b = self._forward({k: s[:, ::-1] for k, s in scores.items()}, raw[:, ::-1])[::-1]
-            weight = np.log(counts[at]) - a[-1]
+            weight = np.log(times) - a[-1]
             for k, p in pieces.items():
                 used = np.flatnonzero(p.ravel() >= 0)
                 i, j = np.divmod(used, p.shape[1])
                 share = np.exp(a[j, i] + scores[k][i, j] + b[j + k, i] + weight[i])
                 out += np.bincount(p[i, j], weights=share, minlength=self.v.size)
-            for i, j in np.argwhere(np.isfinite(raw)):
-                share = math.exp(a[j, i] + raw[i, j] + b[j + 1, i] + weight[i])
-                for byte in chr(codes[i, j]).encode():
-                    out[self.v.byte_ids[byte]] += share
+            i, j = np.nonzero(np.isfinite(raw))
+            if len(i):
+                share = np.exp(a[j, i] + raw[i, j] + b[j + 1, i] + weight[i])
+                chars, one = np.unique(codes[i, j], return_inverse=True)
+                for char, uses in zip(chars.tolist(), np.bincount(one, weights=share).tolist(), strict=True):
+                    for byte in chr(char).encode("utf-8", "surrogatepass"):
+                        out[self.v.byte_ids[byte]] += uses
         return out
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches, put together to RUN_WORDS rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= RUN_WORDS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _tokens(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
@@ -202,9 +286,8 @@ def train(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> np.nd
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattices, total = Lattices(load(path), shared.value), 0
-            for batch in batches:
-                if batch.num_rows:
-                    total = total + lattices.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy())
+            for run in _runs(batches):
+                total = total + lattices.expected(run.column(0).to_pylist(), run.column(1).to_numpy())
             if not np.isscalar(total):
                 used = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["piece", "uses"])
@@ -219,75 +302,102 @@ def train(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> np.nd
     return logp
 
 
-class _Common:
-    """Words that many texts share, as arrays sorted by hash, and those a worker has met by name."""
+class _Common(dict):
+    """Places of common words, which a worker looks up by their 128-bit hashes once; -1 for others."""
+
+    def __init__(self, table: "_Words"):
+        self.table = table
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > TASK_WORDS:
+            self.clear()
+        self[word] = place = self.table.place(word)
+        return place
+
 
-    def __init__(self, keys: np.ndarray, known: np.ndarray, scores: np.ndarray):
-        self.keys, self.known, self.scores, self.met = keys, known, scores, {}
+class _Words:
+    """Common words, by their hashes in order, and known, base and score of each."""
+
+    def __init__(self, hashes: np.ndarray, known: np.ndarray, scores: np.ndarray):
+        order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+        self.high, self.low, self.known, self.scores = hashes[order, 0], hashes[order, 1], known[order], scores[:, order]
 
     def place(self, word: bytes) -> int:
-        """The word's place, -1 if it isn't common."""
-        found = self.met.get(word)
-        if found is None:
-            if len(self.met) > TASK_WORDS:
-                self.met.clear()
-            h = np.uint64(xxhash.xxh3_64_intdigest(word))
-            at = int(np.searchsorted(self.keys, h))
-            found = self.met[word] = at if at < len(self.keys) and self.keys[at] == h else -1
-        return found
+        if len(word) > COMMON_BYTES:
+            return -1
+        high, low = _hash(word)
+        at = int(np.searchsorted(self.high, np.uint64(high)))
+        while at < len(self.high) and self.high[at] == high:
+            if self.low[at] == low:
+                return at
+            at += 1
+        return -1
+
+
+def _hash(word: bytes) -> tuple[int, int]:
+    return divmod(xxhash.xxh3_128_intdigest(word), 1 << 64)
+
+
+def _scored(words: DataFrame, logp: np.ndarray, path: str) -> DataFrame:
+    """words (word, c, n, base) and the log10 of each word's marginal probability."""
+    shared = words.sparkSession.sparkContext.broadcast(logp)
+
+    def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattices = Lattices(load(path), shared.value)
+        for run in _runs(batches):
+            score = pa.array(lattices.marginals(run.column("word").to_pylist()) / math.log(10))
+            yield from run.append_column("score", score).to_batches()
+
+    out = materialize(words.mapInArrow(marginal, "word string, c bigint, n bigint, base double, score double"), "scored-words")
+    shared.unpersist()
+    return out
 
 
 def score(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", rounds: int = ROUNDS, common: float = COMMON) -> DataFrame:
     """A row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), held_out(F.col(id_column)).alias("held_out"))
+    docs = docs.select(F.col(plain(id_column)).alias("id"), F.col(plain(text)).alias("text"), held_out(F.col(plain(id_column))).alias("held_out"))
     counted = docs.select(~F.col("held_out"), "text").mapInArrow(_count_words, "word string, c bigint, n bigint")
-    words = materialize(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
-    tokens, all_tokens, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    counts = materialize(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
+    tokens, all_tokens, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     ends = docs.where(~F.col("held_out")).count()
     tokens, kinds = tokens + ends, kinds + (ends > 0)
     base = lambda c: math.log10((c + 1) / (tokens + kinds + 1))
-    logp = train(words, ends, path, rounds)
-    shared = spark.sparkContext.broadcast(logp)
-
-    @F.arrow_udf("double")
-    def marginal(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lattices = Lattices(load(path), shared.value)
-        for batch in batches:
-            yield pa.array(lattices.marginals(batch.to_pylist()) / math.log(10))
-
-    words = materialize(words.select("word", "c", "n", F.log10((F.col("c") + 1) / F.lit(float(tokens + kinds + 1))).alias("base"), marginal("word").alias("score")), "scored-words")
-    # No more than 1 / common words can have this share.
+    logp = train(counts, ends, path, rounds)
+    words = _scored(counts.select("word", "c", "n", F.log10((F.col("c") + 1) / F.lit(float(tokens + kinds + 1))).alias("base")), logp, path)
+    discard(counts)
+    # No more than 1 / common words can have this share, nor more than COMMON_BYTES each.
     least = max(1, math.ceil(common * all_tokens))
-    rows = words.where(F.col("n") >= least).toArrow()
-    keys = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in rows["word"].to_pylist()], dtype=np.uint64)
-    order = np.argsort(keys)
-    known = rows["c"].to_numpy()[order] > 0
-    scores = np.stack([rows["base"].to_numpy()[order], rows["score"].to_numpy()[order]])
-    table = spark.sparkContext.broadcast(_Common(keys[order], known, scores))
+    is_common = (F.col("n") >= least) & (F.octet_length("word") <= COMMON_BYTES)
+    rows = words.where(is_common).toArrow()
+    hashes = np.array([_hash(w.encode()) for w in rows["word"].to_pylist()], dtype=np.uint64).reshape(-1, 2)
+    table = spark.sparkContext.broadcast(_Words(hashes, rows["c"].to_numpy() > 0, np.stack([rows["base"].to_numpy(), rows["score"].to_numpy()])))
 
     @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,base:double,score:double,rare:array<struct<word:string,times:bigint>>>")
     def common_part(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        shares = table.value
-        kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
+        shares, places = table.value, _Common(table.value)
         for texts in batches:
-            n, known_n, sums, rare = [], [], [], []
+            n, known_n, sums, rare_words, rare_times, ends_at = [], [], [], [], [], [0]
             for text in texts:
                 found = _tokens(text.as_py())
-                at = np.fromiter(map(shares.place, found), dtype=np.int64, count=len(found))
+                at = np.fromiter(map(places.__getitem__, found), dtype=np.int64, count=len(found))
                 here = at[at >= 0]
                 n.append(len(found))
                 known_n.append(int(shares.known[here].sum()))
                 sums.append(shares.scores[:, here].sum(axis=1))
-                left = Counter(found[k] for k in np.flatnonzero(at < 0).tolist())
-                rare.append([{"word": w.decode(), "times": k} for w, k in left.items()])
+                left = Counter(map(found.__getitem__, np.flatnonzero(at < 0).tolist()))
+                rare_words += left
+                rare_times += left.values()
+                ends_at.append(len(rare_words))
             base_sum, score_sum = np.array(sums).reshape(-1, 2).T if sums else np.zeros((2, 0))
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array(base_sum), pa.array(score_sum), pa.array(rare, kind)], ["n_tokens", "n_known", "base", "score", "rare"])
+            pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(rare_times, pa.int64())], ["word", "times"])
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array(base_sum), pa.array(score_sum), pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pairs)], ["n_tokens", "n_known", "base", "score", "rare"])
 
     parts = materialize(docs.select("id", "held_out", F.xxhash64("text").alias("tie"), common_part("text").alias("s")).select("id", "held_out", "tie", "s.*"), "common-parts")
+    table.unpersist()
     # The rare words of a text, whatever the number of rows that have it.
     rare = parts.where(F.size("rare") > 0).groupBy("id", "tie").agg(F.first("rare").alias("rare")).select("id", "tie", F.explode("rare").alias("r")).select("id", "tie", "r.word", "r.times")
-    found = rare.join(words.where(F.col("n") < least).select("word", "c", "base", "score"), "word")
+    found = rare.join(words.where(~is_common).select("word", "c", "base", "score"), "word")
     sums = found.groupBy("id", "tie").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.col("base")).alias("more_base"), F.sum(F.col("times") * F.col("score")).alias("more_score"))
     sums = sums.select(F.col("id").alias("id2"), F.col("tie").alias("tie2"), "more_known", "more_base", "more_score")
     done = parts.join(sums, parts["id"].eqNullSafe(sums["id2"]) & (parts["tie"] == sums["tie2"]), "left")

@@ -1,13 +1,16 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
-A text is cut where no piece of the vocabulary can cross: before a run of spaces, and around line feeds.
-The distinct cuts ("words") of a batch become one flat numpy array of symbols. In each round every word
+A text is cut where no piece of the vocabulary can cross: before a run of spaces, around line feeds, and inside the
+resulting words between characters that no piece has side by side (cuts.py). The distinct words of a batch become one flat numpy array of symbols. In each round every part
+of a word
 takes the smallest rank among its adjacent pairs, and all words at once merge that pair, from the left and
-not overlapping; the array is compacted, and words without a pair leave. A word merges several places of
+not overlapping; the array is compacted, and parts without a pair leave. A part merges several places of
 a rank in one round only as far as no merge makes a pair of that rank or a better one, so the result is that
 of merging one best, leftmost pair after another. Characters without a piece become byte pieces.
 The vocabulary is an existing file, read once per Python worker; nothing is trained. Words met before are
-kept in a table of bounded size. Memory follows the batch and the longest text; there is no shuffle.
+kept in a table of bounded size. Memory follows the batch and the longest text; there is no shuffle. Rounds follow the longest part, not the
+longest word, so a megabyte of Chinese or base64 without a space costs about what ordinary text does; only a long run inside which all neighbours fit together,
+as of one letter, needs more.
 
 Null or empty text: no pieces but the end id. A null list of ids decodes to null. Repeated rows get equal
 results; other columns pass through; a column named like the result is replaced.
@@ -25,7 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import read
+from threadmill.llm.common import plain, read
+from threadmill.llm.cuts import Cuts, Table
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
@@ -48,32 +52,6 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(steps)
 
 
-class _Table:
-    """Places of 64-bit keys in a list, found by hashing: keys that meet in a slot go on to a further table."""
-
-    def __init__(self, keys: np.ndarray):
-        self.missing, self.levels = len(keys), []
-        left = np.arange(len(keys))
-        while len(left):
-            bits = max(10, int(len(left)).bit_length() + 3)
-            shift, factor = np.uint64(64 - bits), np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.levels))
-            slot = (keys[left].view(np.uint64) * factor >> shift).astype(np.int64)
-            slots, taken = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, self.missing, dtype=np.int32)
-            _, first = np.unique(slot, return_index=True)
-            slots[slot[first]], taken[slot[first]] = keys[left[first]], left[first]
-            self.levels.append((factor, shift, slots, taken))
-            left = np.delete(left, first)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, the number of keys where there is none."""
-        out = None
-        for factor, shift, slots, taken in self.levels:
-            slot = (keys.view(np.uint64) * factor >> shift).view(np.int64)
-            here = np.where(slots[slot] == keys, taken[slot], self.missing)
-            out = here if out is None else np.minimum(out, here)
-        return out
-
-
 class Pieces:
     """A SentencePiece BPE vocabulary with byte pieces, no normalisation and a leading space."""
 
@@ -98,9 +76,10 @@ class Pieces:
         rank = {s: k for k, s in enumerate(scores)}
         pairs = [((ids[n[:k]] << 22) + ids[n[k:]], i, rank[sp.get_score(i)]) for n, i in ids.items() for k in range(1, len(n)) if n[:k] in ids and n[k:] in ids]
         keys, *values = zip(*pairs, strict=True)
-        self.pairs = _Table(np.array(keys, dtype=np.int64))
+        self.pairs = Table(np.array(keys, dtype=np.int64))
         self.pair_ids, self.pair_ranks = np.array([*values[0], 0], dtype=np.int32), np.array([*values[1], NONE], dtype=np.int32)
-        # Cuts: no piece may hold a space after another character, nor a line feed beside others.
+        self.cuts = Cuts(list(ids))
+        # Words: no piece may hold a space after another character, nor a line feed beside others.
         if any(SPACE in n.lstrip(SPACE) for n in ids):
             raise ValueError("a piece holds a space inside: words can't be cut at spaces")
         feed = not any("\n" in n for n in ids)
@@ -130,7 +109,11 @@ class Pieces:
         codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
         symbols = self.symbol[codes]
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        word = np.repeat(np.arange(len(words)), sizes)
+        # Parts of words that no piece can cross merge on their own, so a long word needs no more rounds than its longest part.
+        opens = self.cuts.before(codes)
+        opens[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        word_of = np.repeat(np.arange(len(words)), sizes)[opens]
+        word = np.cumsum(opens) - 1
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             same = word[:-1] == word[1:]
@@ -180,7 +163,7 @@ class Pieces:
             is_byte = np.repeat(unknown, times)
             symbols = np.repeat(symbols, times)
             symbols[is_byte] = self.byte_ids[np.frombuffer(b"".join(chars), dtype=np.uint8)]
-        return symbols, np.bincount(word, minlength=len(words))
+        return symbols, np.bincount(word_of[word], minlength=len(words))
 
     def _learn(self, words: list[str]) -> None:
         """Enter new words in the table."""
@@ -198,7 +181,7 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, the end id after each, and how many each text has."""
-        if len(self.index) > TABLE_WORDS:
+        if len(self.index) > TABLE_WORDS or self.used > 16 * TABLE_WORDS:
             self._reset()
         cuts = [self.cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if new := list(set(chain.from_iterable(cuts)).difference(self.index)):
@@ -316,7 +299,7 @@ def with_ids(df: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     def encode(texts: pa.Array) -> pa.Array:
         return encode_column(texts, path)
 
-    return df.withColumn(out, encode(F.col(text)))
+    return df.withColumn(out, encode(F.col(plain(text))))
 
 
 def with_decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -337,7 +320,7 @@ def with_round_trip(df: DataFrame, path: str, text: str = "text", out: str = "pi
         ids = encode_column(texts, path)
         return pa.StructArray.from_arrays([ids, decode_column(ids, path)], ["ids", "decoded"])
 
-    return df.withColumn(out, both(F.col(text)))
+    return df.withColumn(out, both(F.col(plain(text))))
 
 
 def digests(docs: DataFrame) -> DataFrame:

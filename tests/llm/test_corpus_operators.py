@@ -6,9 +6,11 @@ import gzip
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_text_operators import LONG, ODD, PATH, WORD, brute_components, brute_fingerprint, brute_hits, brute_quality
-from threadmill.llm import lattice, linededup, sharding, warc
+from threadmill.llm import lattice, linededup, sharding, similar, warc
 from threadmill.llm.common import new_path
 
 # --- Line dedup --------------------------------------------------------------------------------------------------------
@@ -165,17 +167,42 @@ def test_marginals_sum_all_segmentations(vocabulary):
     words = ["the", "thering", "a", "x中z", "😀b", "zqxj", "é", "internationalization", "\x00"]
     got = lattice.Lattices(v, v.start).marginals(words)
     assert got == pytest.approx([brute_marginal(w, v.start, names, v.byte_ids) for w in words])
-    used = lattice.Lattices(v, v.start).expected(["thering", "the"], __import__("numpy").array([3, 2]))
+    used = lattice.Lattices(v, v.start).expected(["thering", "the"], np.array([3, 2]))
     assert sum(used[i] * len(n) for n, i in names.items()) == pytest.approx(3 * 8 + 2 * 4)
     assert math.isclose(sum(math.exp(x) for x, s in zip(v.start, v.scored, strict=True) if s), 1, rel_tol=1e-6)
 
 
+def test_long_words_take_time_in_proportion(vocabulary):
+    v, names = vocabulary
+    rng = random.Random(3)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(of) for _ in range(n))
+    lattices = lattice.Lattices(v, v.start)
+    words = [letters(600), "a" * 600, "the" * 200, letters(600, "中文字化学é😀"), letters(600, "abcXYZ0123456789+/")]
+    sums = [0.0] * len(words)
+    for k, w in enumerate(words):  # in slices that no piece crosses, so that brute force needs no deep recursion
+        codes = [ord(c) for c in lattice.SPACE + w]
+        opens = [*[i for i, o in enumerate(v.cuts.before(np.array(codes))) if o], len(codes)]
+        a = {0: 0.0}
+        for e in range(1, len(codes) + 1):
+            ways = [a[e - n] + v.start[names[(lattice.SPACE + w)[e - n : e]]] for n in range(1, min(16, e) + 1) if (lattice.SPACE + w)[e - n : e] in names]
+            if chr(codes[e - 1]) not in names:
+                ways.append(a[e - 1] + sum(v.start[v.byte_ids[b]] for b in chr(codes[e - 1]).encode()))
+            a[e] = max(ways) + math.log(sum(math.exp(x - max(ways)) for x in ways))
+        sums[k] = a[len(codes)]
+        assert len(opens) > 1
+    assert lattices.marginals(words) == pytest.approx(sums)
+    began = time.process_time()
+    lattices.marginals([letters(200_000), "a" * 200_000, letters(200_000, "中文字化学")])
+    assert time.process_time() - began < 20
+
+
 @pytest.mark.parametrize("common", [1e-6, 0.05])
 def test_scores(spark, vocabulary, common):
     rng = random.Random(8)
     texts = [*ODD, *[" ".join(rng.choice(["The", "thing", "of", "Rust", "code"]) + rng.choice(["", "s", "ing"]) for _ in range(rng.randrange(40))) for _ in range(60)]]
+    texts += [LONG, "x" * 3000, "word" * 40 + " word" * 3] * 2
     rows = [(i if i != 3 else None, t) for i, t in enumerate(texts)] + [(0, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit(1)).withColumn("a.b", F.lit(1)).withColumn("score", F.lit(1))
     tokens = lambda t: [w for w in WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     counts = Counter(w for i, t in rows if not held(i) for w in tokens(t))
@@ -259,7 +286,10 @@ def brute_similar(rows, words=5):
     return [min(rows[j][0] for j in range(len(rows)) if label[j] == label[i]) for i in range(len(rows))]
 
 
-def test_near_dedup_by_similarity(spark):
+@pytest.mark.parametrize("block", [4096, 5])
+def test_near_dedup_by_similarity(spark, block, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar.links, "__defaults__", (*similar.links.__defaults__[:-1], block))
     rng = random.Random(12)
     word = lambda: f"w{rng.randrange(5000)}"
     texts = ["", None, "few words", "few words", "Few  words here"]
@@ -276,9 +306,24 @@ def test_near_dedup_by_similarity(spark):
     texts += [" ".join(chain[k * 15 : k * 15 + 140]) for k in range(4)]
     rows = list(enumerate(texts))
     rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("v", F.lit(1)).withColumn("a.b", F.lit(1)).withColumn("component_id", F.lit(1))
     want = {i for (i, _), c in zip(rows, brute_similar(rows), strict=True) if i == c}
     got = corpus_pipeline.near_dedup(spark, df, "")
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(want)
     assert len(want) < len({c for c in brute_components([brute_fingerprint(t) for _, t in rows], [i for i, _ in rows])})
     assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
+
+
+def test_bit_maps_lose_no_link():
+    rng = np.random.default_rng(4)
+    sets = []
+    for size in (1, 3, 40, 60, 63, 64, 65, 500, 5000, 20_000):
+        base = rng.integers(0, 2**64, size, dtype=np.uint64)
+        for share in (1, 0.95, 0.9, 0.88, 0.8, 0.5):
+            n = int(size * share)
+            sets.append(np.unique(np.concatenate((base[:n], rng.integers(0, 2**64, size - n, dtype=np.uint64)))))
+    maps, n = [similar._bit_map(x) for x in sets], np.array([len(x) for x in sets])
+    p, q = np.nonzero(np.ones((len(sets), len(sets)), dtype=bool))
+    ok = similar._may_be_alike(p, q, n, np.array([len(m) for m in maps]), similar._levels(maps), 80)
+    alike = np.array([10 * len(np.intersect1d(sets[a], sets[b])) >= 8 * len(np.union1d(sets[a], sets[b])) for a, b in zip(p, q, strict=True)])
+    assert ok[alike].all() and ok.sum() < 1.3 * alike.sum()

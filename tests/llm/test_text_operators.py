@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -102,6 +104,16 @@ def test_pieces_are_the_library_s(library):
     assert pieces.decode_column(got, PATH).to_pylist() == [library.decode(x) for x in want]
 
 
+def test_unbroken_text_takes_time_in_proportion(library):
+    rng = random.Random(5)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(of) for _ in range(n))
+    texts = [letters(200_000), letters(100_000, "".join(map(chr, range(0x4E00, 0x5E00)))), letters(500_000, "ABCDEFGHabcdefgh0123456789+/"), "a" * 100_000, "the" * 30_000, letters(1000) + " " + letters(1000)]
+    began = time.process_time()
+    got = pieces.encode_column(pa.array(texts), PATH).to_pylist()
+    assert time.process_time() - began < 20
+    assert got == [library.encode(t, add_eos=True) for t in texts]
+
+
 def test_any_ids_decode_as_the_library_s(library):
     rng = random.Random(4)
     lists = [[rng.randrange(32000 if rng.random() < 0.3 else 300) for _ in range(rng.randrange(9))] for _ in range(4000)]
@@ -190,10 +202,28 @@ def test_components(spark, node_most):
 
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{k}" for k in range(40))
-    df = frame(spark, [text, text, "quite another text of a few words", None, ""]).union(frame(spark, [text]))
+    df = frame(spark, [text, text, "quite another text of a few words", None, "", LONG, LONG + "x"]).union(frame(spark, [text]))
+    for name in ("component_id", "fp", "a.b", "root", "u"):
+        df = df.withColumn(name, F.lit(7))
     kept = simhash.keep_one(df)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
-    assert simhash.near_duplicates(df.limit(0)).count() == 0
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 5]
+    assert sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()) == [(0, 0), (0, 0), (1, 0), (2, 2), (3, 3), (4, 3), (5, 5), (6, 5)]
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_nodes_are_streamed(monkeypatch):
+    monkeypatch.setattr(simhash, "NODE_ROWS", 50)
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({"mask": 15, "bits": np.repeat(np.arange(40), 20), "fp": rng.integers(0, 2**8, 800)}).sort_values(["mask", "bits"], ignore_index=True)
+    once = pd.concat(simhash._node_edges(3)(iter([rows])))
+    streamed = pd.concat(simhash._node_edges(3)(rows[k : k + 7] for k in range(0, 800, 7)))
+    assert len(once) and sorted(map(tuple, once.to_numpy().tolist())) == sorted(map(tuple, streamed.to_numpy().tolist()))
+
+
+def test_a_hub_of_many_links(spark):
+    edges = spark.range(1, 5000).selectExpr("id AS u", "0L AS v").union(spark.range(1, 400).selectExpr("id + 10000 AS u", "id + 9999 AS v"))
+    roots = {r["u"]: r["root"] for r in simhash.components(edges).collect()}
+    assert len(roots) == 4999 + 399 and {roots[u] for u in range(1, 5000)} == {0} and {roots[u] for u in range(10001, 10400)} == {10000}
 
 
 # --- Winnowing --------------------------------------------------------------------------------------------------------

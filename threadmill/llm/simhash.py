@@ -6,7 +6,7 @@ component. Fingerprints are made per text in numpy. Then, over the distinct fing
 * upper nodes: of `most + 1` disjoint blocks of bits, two linked fingerprints agree in one at least, so each
   fingerprint goes to a node per block, named by the masked bit pattern that the node's members share. A node
   with more than NODE_MOST members is cut by longer masks in the same way, until none is too large: no
-  task gets an unbounded group, and no link is lost.
+  task gets an unbounded group, and no link is lost. Tasks take nodes in order and hold a bounded number of rows.
 * lower nodes: a node's members stand in Gray order, where neighbours differ in few bits. Runs of eight, of
   eight runs and so on form a tree; each tree node holds the bits that all below it share. A search goes
   from the top, adds up the differences in the bits that each step newly fixes, and drops a whole group once
@@ -16,7 +16,8 @@ component. Fingerprints are made per text in numpy. Then, over the distinct fing
 
 Null or empty text: fingerprint zero, linked like any other. Rows with equal texts have equal fingerprints and
 cost one entry in the index, however many they are. component_id is the smallest doc_id that isn't null
-(null where a component has no other). An empty table gives an empty result.
+(null where a component has no other). An empty table gives an empty result. A very long text is taken whole, its shingles in slices. Columns that
+start with __tm_ are the operator's own; all others pass through keep_one, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import materialize, read
+from threadmill.llm.common import discard, materialize, plain, read, without
 
 MOST_BITS = 3
 SHINGLE_WORDS = 3
 #: Members of an index node beyond which it is cut again.
 NODE_MOST = 512
+#: Members of nodes that a task works on at once.
+NODE_ROWS = 1 << 16
 FAN = 8
 
 
@@ -65,7 +68,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
         found = (_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle_words) for t in texts)
         return pa.array(np.fromiter(found, dtype=np.uint64, count=len(texts)).view(np.int64))
 
-    return df.withColumn(out, fingerprint(F.col(text)))
+    return df.withColumn(out, fingerprint(F.col(plain(text))))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -130,22 +133,34 @@ def _smallest(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return labels
 
 
+def _edges(mask: np.ndarray, bits: np.ndarray, patterns: np.ndarray, most: int) -> pd.DataFrame:
+    """Trees of the links in whole nodes."""
+    order = np.lexsort((gray_rank(patterns), bits, mask))
+    mask, bits, patterns = mask[order], bits[order], patterns[order]
+    group = np.cumsum(np.concatenate(([0], (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1]))))
+    labels = np.arange(len(patterns))
+    for i, j in linked(patterns, group, most):
+        labels = _smallest(labels, i, j)
+    tied = np.flatnonzero(labels != np.arange(len(labels)))
+    return pd.DataFrame({"u": patterns[tied].view(np.int64), "v": patterns[labels[tied]].view(np.int64)})
+
+
 def _node_edges(most: int):
     def edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(frames)
-        if not parts:
-            return
-        frame = pd.concat(parts, ignore_index=True)
-        mask, bits, patterns = (frame[c].to_numpy() for c in ("mask", "bits", "fp"))
-        patterns = patterns.view(np.uint64)
-        order = np.lexsort((gray_rank(patterns), bits, mask))
-        mask, bits, patterns = mask[order], bits[order], patterns[order]
-        group = np.cumsum(np.concatenate(([0], (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1]))))
-        labels = np.arange(len(patterns))
-        for i, j in linked(patterns, group, most):
-            labels = _smallest(labels, i, j)
-        tied = np.flatnonzero(labels != np.arange(len(labels)))
-        yield pd.DataFrame({"u": patterns[tied].view(np.int64), "v": patterns[labels[tied]].view(np.int64)})
+        """frames: sorted by node. What a task holds is NODE_ROWS rows and a node."""
+        held = [np.zeros(0, np.int64)] * 3
+        for frame in frames:
+            held = [np.concatenate((x, frame[c].to_numpy())) for x, c in zip(held, ("mask", "bits", "fp"), strict=True)]
+            if len(held[0]) < NODE_ROWS:
+                continue
+            mask, bits, patterns = held
+            last = np.flatnonzero((mask != mask[-1]) | (bits != bits[-1]))  # the last node may go on
+            if len(last):
+                end = last[-1] + 1
+                yield _edges(mask[:end], bits[:end], patterns[:end].view(np.uint64), most)
+                held = [x[end:] for x in held]
+        if len(held[0]):
+            yield _edges(held[0], held[1], held[2].view(np.uint64), most)
 
     return edges
 
@@ -168,7 +183,7 @@ def links(fingerprints: DataFrame, most: int = MOST_BITS, node_most: int = NODE_
     while True:
         large = materialize(rows.groupBy("mask", "bits").count().where(F.col("count") > node_most).select("mask", "bits"), "simhash-large")
         fine = rows.join(large, ["mask", "bits"], "left_anti")
-        found.append(fine.repartition("mask", "bits").mapInPandas(_node_edges(most), "u bigint, v bigint"))
+        found.append(fine.repartition("mask", "bits").sortWithinPartitions("mask", "bits").mapInPandas(_node_edges(most), "u bigint, v bigint"))
         if large.isEmpty():
             break
         # Each mask is cut alike wherever it is too large.
@@ -184,48 +199,68 @@ def links(fingerprints: DataFrame, most: int = MOST_BITS, node_most: int = NODE_
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(u, root) for the vertices of the edges (u, v) that aren't the smallest of their component, root being that."""
+    """(u, root) for the vertices of the edges (u, v) that aren't the smallest of their component, root being that. What is joined is stored, so that a vertex with many edges can be split."""
     edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
         # Large star: every neighbour above u moves to the smallest of u and its neighbours.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large-least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "large-star")
+        discard(edges, least)
         # Small star: u and its neighbours below move to the smallest of them.
-        edges = materialize(edges, "large-star")
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        edges = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(edges, "small-star")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "small-least")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        edges = materialize(small, "small-star")
+        discard(large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.select("u", F.col("v").alias("root"))
         before = now
 
 
-def classes(marked: DataFrame, fingerprint: str = "fingerprint", id_column: str = "doc_id", most: int = MOST_BITS, node_most: int = NODE_MOST) -> DataFrame:
-    """(fp, component_id) of the distinct fingerprints of a stored table."""
-    named = materialize(marked.groupBy(F.col(fingerprint).alias("fp")).agg(F.min(id_column).alias("least")), "fingerprints")
-    roots = components(links(named.select("fp"), most, node_most))
-    of = named.join(roots, named["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return of.join(ids, "root").select("fp", "component_id")
+def smallest_ids(vertices: DataFrame, roots: DataFrame) -> DataFrame:
+    """(v, component_id) of all vertices (v, least): of each component the smallest least, stored. roots: of components()."""
+    roots = roots.select(F.col("u").alias("__tm_u"), "root")
+    of = materialize(vertices.join(roots, vertices["v"] == roots["__tm_u"], "left").select("v", "least", F.coalesce("root", "v").alias("root")), "rooted")
+    ids = materialize(of.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    out = materialize(of.join(ids, "root").select("v", "component_id"), "classes")
+    discard(of, ids)
+    return out
+
+
+def classes(marked: DataFrame, fingerprint: str = "__tm_fp", id_column: str = "doc_id", most: int = MOST_BITS, node_most: int = NODE_MOST) -> DataFrame:
+    """(v, component_id) of the distinct fingerprints v of a stored table, stored."""
+    named = materialize(marked.groupBy(F.col(fingerprint).alias("v")).agg(F.min(plain(id_column)).alias("least")), "fingerprints")
+    return smallest_ids(named, components(links(named.select(F.col("v").alias("fp")), most, node_most)))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", most: int = MOST_BITS, node_most: int = NODE_MOST) -> DataFrame:
     """A row per row of docs: its id, its fingerprint (16 hex digits), and the smallest id of its component."""
-    marked = materialize(with_fingerprint(docs.select(F.col(id_column), F.col(text)), text, "__fp").select(id_column, "__fp"), "marked")
-    found = classes(marked, "__fp", id_column, most, node_most)
-    return marked.join(found, marked["__fp"] == found["fp"]).select(id_column, F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
+    marked = with_fingerprint(docs.select(F.col(plain(id_column)).alias("__tm_id"), F.col(plain(text)).alias("__tm_text")), "__tm_text", "__tm_fp").select("__tm_id", "__tm_fp")
+    marked = materialize(marked, "marked")
+    found = classes(marked, "__tm_fp", "__tm_id", most, node_most)
+    return marked.join(found, marked["__tm_fp"] == found["v"]).select(F.col("__tm_id").alias(id_column), F.lpad(F.lower(F.hex("__tm_fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_rows(marked: DataFrame, found: DataFrame, columns: list[str], id_column: str) -> DataFrame:
+    """Of each class the row with the smallest id, one of repeated rows. marked: stored rows with __tm_row and __tm_v; found: v and component_id. Only rows that a filter of those to go can't clear are shuffled."""
+    slim = marked.select("__tm_row", "__tm_v", F.col(plain(id_column)).alias("__tm_id"))
+    judged = slim.join(found, slim["__tm_v"] == found["v"]).select("__tm_row", "__tm_v", "__tm_id", F.col("__tm_id").eqNullSafe(F.col("component_id")).alias("__tm_stays"))
+    judged = materialize(judged, "judged")
+    # Rows that repeat id and class: the first stays.
+    again = judged.where("__tm_stays").groupBy("__tm_id", "__tm_v").agg(F.min("__tm_row").alias("__tm_first"), F.count("*").alias("__tm_n")).where("__tm_n > 1")
+    again = materialize(again.select(F.col("__tm_id").alias("i"), F.col("__tm_v").alias("v"), "__tm_first"), "repeated")
+    repeated = judged.where("__tm_stays").join(again, F.col("__tm_id").eqNullSafe(F.col("i")) & (F.col("__tm_v") == F.col("v"))).where("__tm_row <> __tm_first")
+    gone = judged.where("NOT __tm_stays").select("__tm_row").union(repeated.select("__tm_row"))
+    return without(marked, gone, [F.col("__tm_row")]).select(*(F.col(plain(c)) for c in columns))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", most: int = MOST_BITS) -> DataFrame:
     """Of each component the row with the smallest id, one of repeated rows, with docs' columns. A component without any id keeps a row per fingerprint."""
-    columns = docs.columns
-    marked = materialize(with_fingerprint(docs, text, "__fp"), "marked-docs")
-    found = classes(marked, "__fp", id_column, most)
-    kept = marked.join(found, marked["__fp"] == found["fp"]).where(F.col(id_column).eqNullSafe(F.col("component_id")))
-    return kept.dropDuplicates([id_column, "__fp"]).select(*columns)
+    marked = materialize(with_fingerprint(docs, text, "__tm_v").withColumn("__tm_row", F.monotonically_increasing_id()), "marked-docs")
+    return keep_rows(marked, classes(marked, "__tm_v", id_column, most), docs.columns, id_column)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -74,6 +76,48 @@ def test_search_folds_case_and_marks(spark):
     assert [r["conversation_id"] for r in fulltext.search(index, "CAFE").collect()] == ["a"]
 
 
+def test_match_queries(spark):
+    rows = [("a", "red fox jumps"), ("b", "fox red"), ("c", "Foxes and wolves"), ("d", "a red wolf"), ("e", "the Red Fox, again the red fox")]
+    index = texts(spark, rows)
+    ids = lambda q: "".join(sorted(r["conversation_id"] for r in fulltext.search(index, q).collect()))
+    asked = {"red fox": "abe", '"red fox"': "ae", "fox*": "abce", "fox NOT jumps": "be", "wolf OR wolves": "cd", "(wolf OR fox) AND red": "abde", "red AND fox OR wolves": "abce", '"red fo"*': "ae", '"red fox" NOT again': "a", "RED not": "", "fóx": "abe"}
+    assert {q: ids(q) for q in asked} == asked
+    for bad in ("red AND", "(red", "red)", "OR", '"red', "red-fox", "", "NOT red", "()"):
+        with pytest.raises(ValueError, match="malformed"):
+            fulltext.match(bad)
+    best = fulltext.search(index, '"red fox"').collect()
+    assert best[0]["snippet"].count(">>>") == 4 and best[0]["conversation_id"] == "e"
+
+
+def test_inserting_equals_building(spark, tmp_path):
+    rows = [(f"text {k} of some words {k % 3}", f"t{k}", "prompt", f"c{k % 4}") for k in range(20)]
+    frame = spark.createDataFrame(rows, "text string, content_id string, side string, conversation_id string")
+    path = str(tmp_path / "index")
+    fulltext.write(fulltext.build(frame.where("conversation_id = 'c1'"), "one"), path)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "index").rglob("*.parquet")}
+    fulltext.insert(frame.union(frame), path)
+    fulltext.insert(frame, path)
+    stored, whole = fulltext.read(spark, path), fulltext.build(frame)
+    key = lambda t: sorted(map(str, t.drop("segment").select("term", "content_id", "tf", "positions").collect()))
+    assert key(stored.postings) == key(whole.postings) and stored.texts.count() == 20
+    assert {p: p.stat().st_mtime_ns for p in before} == before
+    assert [tuple(r) for r in fulltext.search(stored, "words 2").collect()] == [tuple(r) for r in fulltext.search(whole, "words 2").collect()]
+
+
+def test_nearest_is_the_top_of_all(spark):
+    rng = np.random.default_rng(5)
+    m = rng.integers(-3, 4, (60, 5)).astype(float)
+    m[7] = 0
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "chunk_id long, embedding array<float>").repartition(3)
+    asked = frame.where("chunk_id % 7 = 0").select(F.col("chunk_id").alias("query"), "embedding")
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    for block in (3, 512):
+        got = {(r["query"], r["place"]): r["score"] for r in vectors.nearest(frame, asked, 4, block).collect()}
+        assert len(got) == 9 * 4
+        for q in range(0, 60, 7):
+            assert [got[q, p] for p in range(1, 5)] == pytest.approx(sorted((unit @ unit[q]).tolist(), reverse=True)[:4])
+
+
 def test_snippet(spark):
     frame = spark.createDataFrame([("one two three four five six",)], "x string")
     assert frame.select(fulltext.snippet(F.col("x"), ["three", "four"], 3)).first()[0] == "...>>>three<<< >>>four<<< five..."

@@ -269,3 +269,20 @@ def test_readers_by_path_and_name(spark):
         for known in (logs.HARNESSES, logs.READERS, logs.PLACES):
             del known["own"]
     assert has_table(SCHEMAS, "pricing") and not has_table(SCHEMAS, "none")
+
+
+def test_latest_in_stream(spark, tmp_path):
+    given = [[("a", "2024-01-01 10:00:00"), ("b", "2024-01-01 09:00:00"), ("a", "2024-01-01 08:00:00")], [("a", "2024-01-01 09:30:00"), ("b", "2024-01-01 09:00:01"), ("c", None)], [("a", "2024-01-02 00:00:00")]]
+    for k, rows in enumerate(given):
+        spark.createDataFrame(rows, "session_id string, e string").selectExpr("session_id", "CAST(e AS TIMESTAMP) AS ended_at").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/k={k}"))
+    stream = spark.readStream.schema("session_id string, ended_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = []
+    query = ingest.latest_in_stream(stream).writeStream.outputMode("update").foreachBatch(lambda f, _: seen.append(sorted((r["session_id"], str(r["ended_at"])) for r in f.collect()))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert [x for x in seen if x] == [[("a", "2024-01-01 10:00:00"), ("b", "2024-01-01 09:00:00")], [("b", "2024-01-01 09:00:01")], [("a", "2024-01-02 00:00:00")]]
+
+
+def test_a_check_that_fails_while_it_runs_is_a_finding(spark):
+    late = lambda: spark.range(1).selectExpr("'x' AS check", "CAST(id AS STRING) AS subject", "raise_error('late') AS detail")
+    fine = lambda: spark.range(1).selectExpr("'fine' AS check", "'s' AS subject", "'d' AS detail")
+    assert sorted((r["check"], r["subject"]) for r in health.run(spark, {"late": late, "fine": fine}).collect()) == [("fine", "s"), ("late", "error")]

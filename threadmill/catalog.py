@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from threadmill.functions import scalars
 from threadmill.operators import analytics, chunks, exchanges, export, filters, fulltext, health, maintenance, vectors
 from threadmill.plans import canonical
 from threadmill.plans.canonical import with_store
+from threadmill.plans.tables import new_path
 from threadmill.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,9 +222,29 @@ def _counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = r"t AS (SELECT conv_id * 1000 + turn AS content_id, conv_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) AS term FROM conversations), len AS (SELECT content_id, conv_id, count(*) AS dl FROM t GROUP BY 1, 2)"
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.turns(spark, sf_dir).select("text", (F.col("conv_id") * 1000 + F.col("turn")).alias("content_id"), F.col("role").alias("side"), F.col("conv_id").alias("conversation_id"))
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> fulltext.Index:
-    rows = canonical.turns(spark, sf_dir).select("text", (F.col("conv_id") * 1000 + F.col("turn")).alias("content_id"), F.col("role").alias("side"), F.col("conv_id").alias("conversation_id"))
-    return fulltext.build(rows)
+    """The index of a folder's conversations, written by the first query of a session that asks for it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        path = new_path(spark, "fulltext")
+        fulltext.write(fulltext.build(_texts(spark, sf_dir)), path)
+        _STORED[key] = path
+    return fulltext.read(spark, _STORED[key], "bigint", "bigint")
+
+
+def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of an index of some texts into which all were inserted, some of them twice."""
+    path, texts = new_path(spark, "fulltext-grown"), _texts(spark, sf_dir)
+    fulltext.write(fulltext.build(texts.where("conversation_id % 3 = 0"), "first"), path)
+    fulltext.insert(texts.union(texts.where("conversation_id % 2 = 0")), path, "bigint", "bigint")
+    return fulltext.read(spark, path, "bigint", "bigint").postings.select("content_id", "term", "tf")
 
 
 def _bm25(words: list[str], every: bool) -> str:
@@ -235,9 +257,24 @@ s AS (SELECT content_id, conv_id, -sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 +
 
 _four = lambda c: (F.round(c, 4) + F.lit(0.0)).alias(c)
 _WORDS = ["ththanou", "threadhe", "theing", "unning", "ofer", "tionre"]
-over_tables("fts_postings", f"WITH {_TERMS} SELECT content_id, term, count(*) AS tf FROM t GROUP BY 1, 2")(lambda s, d: _index(s, d).postings)
+over_tables("fts_postings", f"WITH {_TERMS} SELECT content_id, term, count(*) AS tf FROM t GROUP BY 1, 2")(lambda s, d: _index(s, d).postings.select("content_id", "term", "tf"))
+over_tables("snk04_insert", f"WITH {_TERMS} SELECT content_id, term, count(*) AS tf FROM t GROUP BY 1, 2")(_grown)
 over_tables("ret01_search_any", f"WITH {_bm25(_WORDS, False)} SELECT content_id, round(rank, 4) + 0.0::DOUBLE AS rank FROM s")(lambda s, d: fulltext.scored(_index(s, d), _WORDS).select("content_id", _four("rank")))
 over_tables("ret01_search_all", f"WITH {_bm25(['the', 'of'], True)} SELECT content_id, round(rank, 4) + 0.0::DOUBLE AS rank FROM s ORDER BY s.rank, content_id LIMIT 20")(lambda s, d: fulltext.search(_index(s, d), "the of", 20).select("content_id", _four("rank")))
+_LISTS = r"l AS (SELECT conv_id * 1000 + turn AS content_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w, ' ' || array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+'), ' ') || ' ' AS line FROM conversations)"
+#: Match queries and what they say of a text's words (w) and of the words in a line.
+_MATCHES = {
+    "or": ("theing OR (unning AND the)", "list_contains(w, 'theing') OR list_contains(w, 'unning') AND list_contains(w, 'the')"),
+    "not": ("the NOT of NOT and", "list_contains(w, 'the') AND NOT list_contains(w, 'of') AND NOT list_contains(w, 'and')"),
+    "phrase": ('"and the" OR "of the"', "contains(line, ' and the ') OR contains(line, ' of the ')"),
+    "prefix": ('unn* "of th" *'.replace('" *', '"*'), "contains(line, ' unn') AND contains(line, ' of th')"),
+}
+for _name, (_query, _sql) in _MATCHES.items():
+    over_tables(f"ret01_match_{_name}", f"WITH {_LISTS} SELECT content_id FROM l WHERE {_sql}")(lambda s, d, q=_query: fulltext.scored(_index(s, d), fulltext.match(q)).select("content_id"))
+over_tables("fn05_snippet", f"""WITH {_bm25(['unning'], True)}, top AS (SELECT * FROM s ORDER BY s.rank, content_id LIMIT 10)
+SELECT content_id, regexp_extract_all(c.text, '[\\p{{L}}\\p{{N}}]+')[list_position(regexp_extract_all(lower(strip_accents(c.text)), '[\\p{{L}}\\p{{N}}]+'), 'unning')] AS first_hit FROM top JOIN conversations c ON c.conv_id * 1000 + c.turn = content_id""")(
+    lambda s, d: fulltext.search(_index(s, d), "unning", 10).select("content_id", F.regexp_extract("snippet", ">>>(.*?)<<<", 1).alias("first_hit"))
+)
 over_tables("ret02_recall_and", f"WITH {_bm25(['the', 'of'], True)}, c AS (SELECT conv_id AS id, min(rank) AS rank FROM s GROUP BY 1) SELECT id, 'and' AS mode FROM c ORDER BY rank, id LIMIT 80")(lambda s, d: fulltext.recall(_index(s, d), "the of"))
 over_tables("ret02_recall_or", f"WITH {_bm25(['and', 'zzzz', 'the'], False)}, c AS (SELECT conv_id AS id, min(rank) AS rank FROM s GROUP BY 1) SELECT id, 'or' AS mode FROM c ORDER BY rank, id LIMIT 80")(lambda s, d: fulltext.recall(_index(s, d), "and zzzz the"))
 over_tables("ret08_search_only", f"WITH {_bm25(['the'], True)} SELECT content_id, round(abs(rank), 4) AS score FROM s WHERE conv_id % 2 = 0 ORDER BY rank, content_id LIMIT 10")(lambda s, d: fulltext.search_only(_index(s, d), "the", canonical.turns(s, d).where("conv_id % 2 = 0").select(F.col("conv_id").alias("id")), 10).select("content_id", _four("score")))
@@ -252,6 +289,10 @@ _scored = lambda s: vectors.similar(s["chunks"], QUERY)
 over_store("fn20_cosine", f"WITH {_SIM} SELECT chunk_id, round(score, 4) AS score FROM v")(lambda s: _scored(s).select("chunk_id", _four("score")))
 over_store("ret04_top_k", f"WITH {_SIM} SELECT chunk_id, round(score, 4) AS score FROM v ORDER BY v.score DESC, chunk_id LIMIT 20")(lambda s: vectors.top_k(s["chunks"], QUERY, 20).select("chunk_id", _four("score")))
 over_store("ret04_top_k_of", f"WITH {_SIM} SELECT chunk_id, round(score, 4) AS score FROM v WHERE conversation_id IN (1, 3) ORDER BY v.score DESC, chunk_id LIMIT 20")(lambda s: vectors.top_k(s["chunks"], QUERY, 20, s["chunks"].where("conversation_id IN (1, 3)").select(F.col("conversation_id").alias("id"))).select("chunk_id", _four("score")))
+_ASKED = "q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), k AS (SELECT query, vec_id AS chunk_id, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings)"
+over_tables("ret04_nearest", f"WITH {_ASKED}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS place FROM k) SELECT query, CAST(place AS INT) AS place, round(score, 4) + 0.0::DOUBLE AS score FROM r WHERE place <= 10")(
+    lambda s, d: vectors.nearest(canonical.chunks(s, d), canonical.read(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding"), 10).select("query", "place", _four("score"))
+)
 over_store("ret05_recency", f"SELECT id, round(1 + 0.15 * exp(-ln(2) * greatest(epoch(TIMESTAMP '2026-01-01') - epoch(CAST(replace(replace(started_at, 'T', ' '), 'Z', '') AS TIMESTAMP)), 0) / 86400 / 3000), 6) AS weight FROM c_conversations")(lambda s: s["conversations"].select("id", F.round(vectors.recency_weight(F.col("started_at"), F.to_timestamp(F.lit(AS_OF)), 3000), 6).alias("weight")))
 over_store("ret10_conversation_scores", f"WITH {_SIM} SELECT conversation_id, round(max(score), 4) AS max_score, round(avg(score), 4) AS mean_score, count(*) AS chunks, substr(max_by(text, score), 1, 500) AS excerpt FROM v GROUP BY 1 ORDER BY max(score) DESC, 1 LIMIT 5")(lambda s: vectors.conversation_scores(_scored(s), 5).select("conversation_id", _four("max_score"), _four("mean_score"), "chunks", "excerpt"))
 over_store("ret11_threads", f"WITH {_SIM}, b AS (SELECT conversation_id, max(score) AS m FROM v GROUP BY 1) SELECT chunk_id, CASE WHEN m > (SELECT avg(m) FROM b) THEN 1 ELSE 2 END AS tier FROM v JOIN b USING (conversation_id)")(lambda s: vectors.threads(_scored(s)).select("chunk_id", "tier"))
@@ -537,9 +578,15 @@ over_tables("fn26_placeholders", "SELECT conv_id, turn, text || chr(10) || '[too
 over_tables("fn28_or_terms", r"""SELECT conv_id, turn, array_to_string([chr(34) || w || chr(34) FOR w IN regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+') IF length(w) >= 3], ' OR ') AS query FROM conversations""")(lambda s, d: canonical.turns(s, d).select("conv_id", "turn", scalars.or_terms(F.col("text")).alias("query")))
 
 
+def _all() -> None:
+    importlib.import_module("threadmill.catalog_logs")  # it registers its own here
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

@@ -101,40 +101,40 @@ def is_newer(ts: Column, than: Column) -> Column:
 
 
 def model_name(raw: Column) -> Column:
-    """FN-08: name, creator, family, version, variant, released of a raw model name."""
-    claude, gemini = "|".join(CLAUDE_VARIANTS), "|".join(GEMINI_VARIANTS)
-    part = lambda pattern, k: F.regexp_extract(raw, pattern, k)
-    none = F.lit(None).cast("string")
-
-    def row(name: Column, creator: str | None, version: Column, variant: Column, released: Column) -> Column:
-        made = F.lit(creator), F.lit({"anthropic": "claude", "google": "gemini"}.get(creator or ""))
-        return F.struct(name.alias("name"), made[0].cast("string").alias("creator"), made[1].cast("string").alias("family"), version.alias("version"), variant.alias("variant"), released.alias("released"))
-
-    date = lambda d: F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2))
-    four = rf"^claude-({claude})-(\d+)-(\d+)-(\d{{8}})$"
-    three = rf"^claude-(\d+)-(\d+)-({claude})-(\d{{8}})$"
-    whole = rf"^claude-(\d+)-({claude})-(\d{{8}})$"
-    google = rf"^gemini-(\d+(?:\.\d+)?)-({gemini})(-preview)?$"
+    """FN-08: name, creator, family, version, variant, released of a raw model name; of one of no known make the name alone.
+
+    A name's parts stand between hyphens. Between `claude` and a date are one variant and its version, two numbers where the variant comes first, else one or two;
+    after `gemini` come a number, a variant, and perhaps `preview`."""
+    part = F.split(raw, "-")
+    last, inner = F.try_element_at(part, F.lit(-1)), F.slice(part, 2, F.greatest(F.size(part) - 2, F.lit(0)))
+    is_number = lambda x: x.rlike(r"^\d+$")
+    numbers, words = F.filter(inner, is_number), F.filter(inner, lambda x: ~is_number(x))
+    variant = F.get(words, F.lit(0))
+    ordered = F.when(F.get(inner, F.lit(0)) == variant, F.size(numbers) == 2).otherwise((F.try_element_at(inner, F.lit(-1)) == variant) & F.size(numbers).between(1, 2))
+    claude = (F.get(part, F.lit(0)) == "claude") & (F.size(words) == 1) & variant.isin(CLAUDE_VARIANTS) & last.rlike(r"^\d{8}$") & ordered
+    gemini = (F.get(part, F.lit(0)) == "gemini") & F.get(part, F.lit(1)).rlike(r"^\d+(\.\d+)?$") & F.get(part, F.lit(2)).isin(GEMINI_VARIANTS) & ((F.size(part) == 3) | ((F.size(part) == 4) & (last == "preview")))
+
+    def made(name: Column, **known: Column) -> Column:
+        return F.struct(name.alias("name"), *(known.get(k, F.lit(None)).cast("string").alias(k) for k in ("creator", "family", "version", "variant", "released")))
+
+    date = F.concat_ws("-", F.substring(last, 1, 4), F.substring(last, 5, 2), F.substring(last, 7, 2))
     return (
-        F.when(raw.rlike(four), row(F.concat_ws("-", F.lit("claude"), part(four, 1), part(four, 2), part(four, 3)), "anthropic", F.concat_ws(".", part(four, 2), part(four, 3)), part(four, 1), date(part(four, 4))))
-        .when(raw.rlike(three), row(F.concat_ws("-", F.lit("claude"), part(three, 1), part(three, 2), part(three, 3)), "anthropic", F.concat_ws(".", part(three, 1), part(three, 2)), part(three, 3), date(part(three, 4))))
-        .when(raw.rlike(whole), row(F.concat_ws("-", F.lit("claude"), part(whole, 1), part(whole, 2)), "anthropic", part(whole, 1), part(whole, 2), date(part(whole, 3))))
-        .when(raw.rlike(google), row(F.concat_ws("-", F.lit("gemini"), part(google, 1), part(google, 2)), "google", part(google, 1), part(google, 2), none))
-        .otherwise(row(raw, None, none, none, none))
+        F.when(claude, made(F.array_join(F.slice(part, 1, F.size(part) - 1), "-"), creator=F.lit("anthropic"), family=F.lit("claude"), version=F.array_join(numbers, "."), variant=variant, released=date))
+        .when(gemini, made(F.array_join(F.slice(part, 1, 3), "-"), creator=F.lit("google"), family=F.lit("gemini"), version=F.get(part, F.lit(1)), variant=F.get(part, F.lit(2))))
+        .otherwise(made(raw))
     )
 
 
 def shell_category(command: Column) -> Column:
-    """FN-09: the category of a shell command, null if none fits. Tests and linters are tried first."""
+    """FN-09: the category of a shell command, null if none fits; the first category that fits counts."""
     first = F.split(strip(F.regexp_replace(command, r"^cd\s+[^&]+&&\s*", "")), r"\s+")[0]
     out = None
     for category, (words, firsts, pipes, patterns) in SHELL_CATEGORIES.items():
-        early = category in ("test", "lint")
         tests = [command.contains(w) for w in words]
         tests += [command.rlike(p) for p in patterns]
         tests += [first.isin(firsts)] if firsts else []
         tests += [command.rlike(rf"\|\s*{p}\b") for p in pipes]
-        fits = any_of(tests if early else tests)
+        fits = any_of(tests)
         out = F.when(fits, category) if out is None else out.when(fits, category)
     return F.when(F.coalesce(F.length(command), F.lit(0)) > 0, out)
 
@@ -205,16 +205,14 @@ def result_without_binary(result: Column) -> Column:
     )
 
 
+#: A remote: scheme, user and port are left behind; host and path are kept, the path without `.git` or slashes at its end.
+_REMOTE = r"^(?:(?:https?|ssh|git)://)?(?:[^@/]*@)?([^/:@]+)(?::\d+(?=/))?[:/]+(.*?)(?:\.git|/+)?$"
+
+
 def remote_url(url: Column) -> Column:
-    """FN-13: a git remote as host/path: no protocol, user, port, `.git` or closing slash. Local paths stay paths."""
-    local = F.regexp_replace(F.regexp_replace(url, r"^file://", ""), r"/+$", "")
-    x = F.regexp_replace(url, r"^(https?|ssh|git)://", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"^git@", ""), r"^[^@]+@", "")
-    x = F.regexp_replace(x, r"^([^/:]+):(\d+)/", "$1/")
-    head, rest = F.substring_index(x, "/", 1), F.regexp_extract(x, r"^[^/]*(/.*)$", 1)
-    x = F.when(~x.contains("/"), F.regexp_replace(x, r"^([^:]*):", "$1/")).otherwise(F.concat(F.replace(head, F.lit(":"), F.lit("/")), rest))
-    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\.git$", ""), r"/+$", ""), r"//+", "/")
-    return F.when(url.startswith("file://") | url.startswith("/"), local).otherwise(x)
+    """FN-13: a git remote as host/path; a local path stays a path. What is neither stays as it is."""
+    local, host, path = F.regexp_extract(url, r"^(?:file://)?(/.*?)/*$", 1), F.regexp_extract(url, _REMOTE, 1), F.regexp_extract(url, _REMOTE, 2)
+    return F.when(local != "", local).when(host != "", F.regexp_replace(F.concat_ws("/", host, path), "//+", "/")).otherwise(url)
 
 
 def content_hash(text: Column) -> Column:
@@ -291,7 +289,7 @@ def short_number(text: Column) -> Column:
     """FN-24: 4.5k, 1.2m or 500 as a long; null if it isn't a number."""
     x = F.lower(F.regexp_replace(F.trim(text), ",", ""))
     times = F.when(x.endswith("k"), 1000).when(x.endswith("m"), 1_000_000).otherwise(1)
-    return F.expr("null").cast("long") if text is None else (F.regexp_replace(x, "[km]$", "").try_cast("double") * times).cast("long")
+    return (F.regexp_replace(x, "[km]$", "").try_cast("double") * times).cast("long")
 
 
 def placeholder_text(blocks: Column) -> Column:

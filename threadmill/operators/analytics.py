@@ -15,6 +15,10 @@ from threadmill.schema import Store
 
 
 
+#: Conversations of a listing up to which their ids are broadcast.
+LISTED = 10_000
+
+
 def share(of: Column) -> Column:
     """WIN-01: percent of the total over all rows, to one place."""
     return F.round(of * F.lit(100.0) / F.sum(of).over(Window.partitionBy()), 1)
@@ -325,8 +329,14 @@ def listing(store: Store, ids: DataFrame | None = None, model: str | None = None
         responses = responses.join(store["models"].where(of_model(model)).select(F.col("id").alias("model_id")), "model_id", "left_semi")
         rows = rows.join(responses.select(F.col("conversation_id").alias("id")), "id", "left_semi")
     sort = [F.desc("started_at") if newest_first else F.asc("started_at"), F.asc("id")]
-    rows = rows.orderBy(*sort).limit(limit) if limit > 0 else rows
-    sums = priced(responses, store).groupBy(F.col("conversation_id").alias("id")).agg(F.count_distinct("rid").alias("responses") if "rid" in responses.columns else F.count("*").alias("responses"), F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tokens"), dollars(F.col("cost")).alias("cost"))
+    if 0 < limit:
+        rows = rows.orderBy(*sort).limit(limit)
+        # What is counted, summed and named is that of the chosen conversations: `limit` ids at most, which go to every task up to LISTED.
+        chosen = rows.select(F.col("id").alias("conversation_id"))
+        chosen = F.broadcast(chosen) if limit <= LISTED else chosen
+        of = lambda table: table.join(chosen, "conversation_id", "left_semi")
+        store, responses = store | {t: of(store[t]) for t in ("responses", "prompts", "conversation_tags")}, of(responses)
+    sums = priced(responses, store).groupBy(F.col("conversation_id").alias("id")).agg(F.count("*").alias("responses"), F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tokens"), dollars(F.col("cost")).alias("cost"))
     prompts = store["prompts"].groupBy(F.col("conversation_id").alias("id")).agg(F.count("*").alias("prompts"))
     out = rows.select("id", "workspace_id", "started_at").join(_renamed(store["workspaces"], "workspace_id", workspace="path"), "workspace_id", "left")
     out = out.join(prompts, "id", "left").join(sums, "id", "left").join(dominant_model(store), "id", "left").join(tags_of(store), "id", "left")

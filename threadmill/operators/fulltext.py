@@ -1,16 +1,20 @@
-"""Full-text search: an inverted index as tables, BM25, two-phase recall.
+"""Full-text search: an inverted index as tables, BM25, match queries, two-phase recall, snippets.
 
-An index is two tables: postings (term, content_id, tf) and texts (content_id, conversation_id, side, length). A query touches the
-postings of its own terms alone; stored sorted by term, Parquet skips the rest.
+An index is two tables: postings (term, content_id, tf, positions) and texts (content_id, conversation_id, side, length, text), both with the segment that they were
+inserted with. write() stores them, the postings in the order of their terms, so that a query reads the row groups of its own terms and Parquet's statistics skip the
+rest; insert() adds a segment of the texts that the index lacks and touches nothing else. Segments whose texts were never written - of an insert that failed - count for
+nothing. A query's work is in its terms' postings; texts are read for the rows that are returned alone.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.functions.scalars import json_text
@@ -46,6 +50,10 @@ class Index:
     texts: DataFrame
 
 
+_POSTINGS = "term string, content_id {id}, tf bigint, positions array<int>, segment string"
+_TEXTS = "content_id {id}, conversation_id {conversation}, side string, length bigint, text string, segment string"
+
+
 def content(store: Store) -> DataFrame:
     """SNK-04, JON-13, SET-08: the texts to index: text, content_id, side, conversation_id; empty ones are left out."""
     asked = store["prompt_content"].join(store["prompts"].select(F.col("id").alias("prompt_id"), "conversation_id"), "prompt_id").select(json_text(F.col("content")).alias("text"), F.col("id").alias("content_id"), F.lit("prompt").alias("side"), "conversation_id", "block_type")
@@ -53,47 +61,157 @@ def content(store: Store) -> DataFrame:
     return asked.unionByName(told).where("block_type = 'text' AND text <> ''").drop("block_type")
 
 
-def build(texts: DataFrame) -> Index:
+def build(texts: DataFrame, segment: str = "all") -> Index:
     """texts: text, content_id, side, conversation_id."""
-    split = texts.select("content_id", "conversation_id", "side", terms(F.col("text")).alias("terms"))
-    postings = split.select("content_id", F.explode("terms").alias("term")).groupBy("term", "content_id").agg(F.count("*").alias("tf"))
-    return Index(postings, split.select("content_id", "conversation_id", "side", F.size("terms").cast("long").alias("length")))
+    split = texts.select("content_id", "conversation_id", "side", "text", terms(F.col("text")).alias("terms"))
+    places = split.select("content_id", F.posexplode("terms").alias("at", "term"))
+    postings = places.groupBy("term", "content_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+    named = F.lit(segment).alias("segment")
+    return Index(postings.select("*", named), split.select("content_id", "conversation_id", "side", F.size("terms").cast("long").alias("length"), "text", named))
+
+
+def write(index: Index, path: str) -> None:
+    """SNK-04: add the index under path. A frequent term is spread over several files; texts come last, as postings without them count for nothing."""
+    order = ["term", "content_id"]
+    index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("segment").parquet(f"{path}/postings")
+    index.texts.write.mode("append").partitionBy("segment").parquet(f"{path}/texts")
+
+
+def read(spark: SparkSession, path: str, id_type: str = "string", conversation_type: str = "string") -> Index:
+    """A stored index."""
+    load = lambda name, schema: spark.read.schema(schema.format(id=id_type, conversation=conversation_type)).parquet(f"{path}/{name}")
+    return Index(load("postings", _POSTINGS), load("texts", _TEXTS))
 
 
-def scored(index: Index, words: list[str], all_words: bool = False) -> DataFrame:
-    """(content_id, rank): negative BM25, so the best is the least. all_words: only texts that have each of them."""
-    hits = index.postings.where(F.col("term").isin(words))
+def insert(texts: DataFrame, path: str, id_type: str = "string", conversation_type: str = "string") -> None:
+    """SNK-04: the texts that a stored index lacks become a segment of it."""
+    known = read(texts.sparkSession, path, id_type, conversation_type).texts.select("content_id")
+    write(build(texts.join(known, "content_id", "left_anti").dropDuplicates(["content_id"]), uuid.uuid4().hex), path)
+
+
+# --- Match queries -------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Match:
+    """leaves: lists of words that stand one after the other, and whether the last one is a prefix. test: the query, over the array of the leaves that a text has."""
+
+    leaves: list[tuple[list[str], bool]]
+    test: Callable[[Column], Column]
+
+    @staticmethod
+    def words(words: list[str], every: bool) -> "Match":
+        wanted = F.array(*(F.lit(k) for k in range(len(words))))
+        return Match([([w], False) for w in words], lambda has: F.size(has) == len(words) if every else F.arrays_overlap(has, wanted))
+
+
+_PART = re.compile(r'\s*(?:"((?:[^"]|"")*)"(\*?)|([()])|([\w]+)(\*?))')
+
+
+def match(query: str) -> Match:
+    """RET-01: words and "phrases", each with * as a prefix, joined by NOT, AND (or nothing) and OR, which bind in this order, and parentheses. A query that isn't one is an error."""
+    parts, at, query = [], 0, query.rstrip()
+    while at < len(query):
+        if not (m := _PART.match(query, at)):
+            raise ValueError(f"malformed query at {query[at:][:20]!r}")
+        phrase, phrase_star, mark, word, star = m.groups()
+        parts.append(("mark", mark, False) if mark else ("phrase", phrase, bool(phrase_star)) if phrase is not None else ("mark", word, False) if word in ("AND", "OR", "NOT") else ("phrase", word, bool(star)))
+        at = m.end()
+    leaves: list[tuple[list[str], bool]] = []
+
+    def joined(level: int) -> Callable[[Column], Column]:
+        if level == 3:
+            if not parts or parts[0][0] == "mark" and parts[0][1] != "(":
+                raise ValueError(f"malformed query: an operand is missing in {query!r}")
+            kind, text, prefix = parts.pop(0)
+            if kind == "mark":
+                inner = joined(0)
+                if not parts or parts.pop(0)[:2] != ("mark", ")"):
+                    raise ValueError(f"malformed query: a parenthesis is open in {query!r}")
+                return inner
+            k, said = len(leaves), re.findall(r"[^\W_]+", "".join(_MARKED.get(c, c) for c in text).lower())
+            leaves.append((said, prefix))
+            return lambda has: F.array_contains(has, k) if said else F.lit(False)
+        left, name = joined(level + 1), ("OR", "AND", "NOT")[level]
+        while parts and (parts[0][:2] == ("mark", name) or level == 1 and parts[0][:2] not in (("mark", "OR"), ("mark", ")"), ("mark", "NOT"))):
+            if parts[0][:2] == ("mark", name):
+                parts.pop(0)
+            both = left, joined(level + 1)
+            left = (lambda has, a=both[0], b=both[1]: a(has) | b(has)) if name == "OR" else (lambda has, a=both[0], b=both[1]: a(has) & b(has)) if name == "AND" else (lambda has, a=both[0], b=both[1]: a(has) & ~b(has))
+        return left
+
+    test = joined(0)
+    if parts:
+        raise ValueError(f"malformed query at {parts[0][1]!r} in {query!r}")
+    return Match(leaves, test)
+
+
+def _leaf(index: Index, words: list[str], prefix: bool) -> DataFrame:
+    """(content_id, segment, tf): where the words stand one after the other."""
+    is_word = [F.col("term").startswith(w) if prefix and k == len(words) - 1 else F.col("term") == w for k, w in enumerate(words)]
+    hits = index.postings.where(_any(is_word))
+    if len(words) == 1:
+        return hits.groupBy("content_id", "segment").agg(F.sum("tf").alias("tf"))
+    places = hits.groupBy("content_id", "segment").agg(*(F.flatten(F.collect_list(F.when(c, F.col("positions")))).alias(f"p{k}") for k, c in enumerate(is_word)))
+    starts = F.filter("p0", lambda x: _all([F.array_contains(F.col(f"p{k}"), x + k) for k in range(1, len(words))]))
+    return places.select("content_id", "segment", F.size(starts).cast("long").alias("tf")).where("tf > 0")
+
+
+def _any(tests: list[Column]) -> Column:
+    return F.coalesce(*(F.when(t, F.lit(True)) for t in tests), F.lit(False))
+
+
+def _all(tests: list[Column]) -> Column:
+    return ~_any([~t for t in tests])
+
+
+def scored(index: Index, query: Match | list[str], all_words: bool = False) -> DataFrame:
+    """(content_id, segment, rank) of the texts that match: negative BM25 over the query's leaves, so the best is the least. A list of words stands for any of them, or for all."""
+    found = Match.words(query, all_words) if isinstance(query, list) else query
+    hits = None
+    for k, (words, prefix) in enumerate(found.leaves):
+        if words:
+            rows = _leaf(index, words, prefix).withColumn("leaf", F.lit(k))
+            hits = rows if hits is None else hits.union(rows)
+    if hits is None:
+        return index.texts.select("content_id", "segment", F.lit(0.0).alias("rank")).limit(0)
     n = index.texts.agg(F.count("*").alias("texts"), F.avg("length").alias("mean"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has words
+    rows = hits.join(index.texts.select("content_id", "segment", "length"), ["content_id", "segment"])
+    df = rows.groupBy("leaf").agg(F.count("*").alias("df"))  # as many rows as the query has leaves
     idf = F.log((F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.crossJoin(F.broadcast(n)).select("term", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
-    rows = hits.join(F.broadcast(weights), "term").join(index.texts.select("content_id", "length"), "content_id")
+    weights = df.crossJoin(F.broadcast(n)).select("leaf", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    out = rows.groupBy("content_id").agg((-F.sum(part)).alias("rank"), F.count("*").alias("words"))
-    return (out.where(F.col("words") == len(words)) if all_words else out).drop("words")
+    out = rows.join(F.broadcast(weights), "leaf").groupBy("content_id", "segment").agg((-F.sum(part)).alias("rank"), F.collect_set("leaf").alias("has"))
+    return out.where(found.test(F.col("has"))).select("content_id", "segment", "rank")
 
 
-def search(index: Index, query: str, limit: int = 20, all_words: bool = True) -> DataFrame:
-    """RET-01, SRT-04: (conversation_id, side, content_id, rank), best first."""
-    found = scored(index, query_terms(query), all_words).join(index.texts, "content_id")
-    return found.select("conversation_id", "side", "content_id", "rank").orderBy("rank", "content_id").limit(limit)
+def search(index: Index, query: str, limit: int = 20) -> DataFrame:
+    """RET-01, SRT-04: (conversation_id, side, content_id, rank, snippet) of the texts that match, best first."""
+    found = match(query)
+    best = scored(index, found).orderBy("rank", "content_id").limit(limit)
+    marked = snippet(F.col("text"), [w for words, _ in found.leaves for w in words])
+    return best.join(index.texts, ["content_id", "segment"]).select("conversation_id", "side", "content_id", "rank", marked.alias("snippet")).orderBy("rank", "content_id")
 
 
 def conversations_matching(index: Index, words: list[str], all_words: bool) -> DataFrame:
     """(id, rank): conversations by their best text."""
-    return scored(index, words, all_words).join(index.texts, "content_id").groupBy(F.col("conversation_id").alias("id")).agg(F.min("rank").alias("rank"))
+    return scored(index, words, all_words).join(index.texts, ["content_id", "segment"]).groupBy(F.col("conversation_id").alias("id")).agg(F.min("rank").alias("rank"))
 
 
 def recall(index: Index, query: str, limit: int = 80, enough: int = ENOUGH) -> DataFrame:
-    """RET-02, SRT-05, T14: (id, mode): texts with all words, if those are of `enough` conversations, else texts with any word of three letters or more."""
+    """RET-02, SRT-05, T14: (id, mode): texts with all words, if those are of `enough` conversations, else texts with any word of three letters or more.
+
+    Whether there are enough is asked at once, so only one of the two is searched for afterwards."""
     words, some = query_terms(query), query_terms(query, 3)
-    both = conversations_matching(index, words, True).orderBy("rank", "id").limit(limit) if words else None
-    either = conversations_matching(index, some, False).orderBy("rank", "id").limit(limit) if some else None
-    if both is None:
-        return index.texts.select(F.col("conversation_id").alias("id"), F.lit("none").alias("mode")).limit(0)
-    n = F.broadcast(both.agg(F.count("*").alias("n")))  # one row
-    out = both.crossJoin(n).where(F.col("n") >= enough).select("id", F.lit("and").alias("mode"))
-    return out if either is None else out.union(either.crossJoin(n).where(F.col("n") < enough).select("id", F.lit("or").alias("mode")))
+    none = index.texts.select(F.col("conversation_id").alias("id"), F.lit("none").alias("mode")).limit(0)
+    if not words:
+        return none
+    both = conversations_matching(index, words, True)
+    if both.limit(enough).count() >= enough:
+        return both.orderBy("rank", "id").limit(limit).select("id", F.lit("and").alias("mode"))
+    if not some:
+        return none
+    return conversations_matching(index, some, False).orderBy("rank", "id").limit(limit).select("id", F.lit("or").alias("mode"))
 
 
 def snippet(text: Column, words: list[str], tokens: int = 64, before: str = ">>>", after: str = "<<<", gap: str = "...") -> Column:
@@ -112,7 +230,7 @@ def snippet(text: Column, words: list[str], tokens: int = 64, before: str = ">>>
 
 def search_only(index: Index, query: str, ids: DataFrame | None = None, limit: int = 10) -> DataFrame:
     """RET-08, SRT-10, T12: full text alone, filtered before the limit; score is the rank without its sign."""
-    found = scored(index, query_terms(query), True).join(index.texts, "content_id")
+    found = scored(index, query_terms(query), True).join(index.texts, ["content_id", "segment"])
     if ids is not None:
         found = found.join(ids.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
     return found.select("conversation_id", "content_id", "side", F.abs("rank").alias("score")).orderBy(F.desc("score"), "content_id").limit(limit)

@@ -219,6 +219,15 @@ def upsert_attributes(store: Store, entity: str, rows: DataFrame, order: Column
     return upsert(store[table], made, [key, "key", "scope"], keep_new=True)
 
 
+def backfill_attributes(store: Store, logs) -> Store:
+    """JON-14, DML-06: what the logs still say of answers and the store lacks: a record meets the response of its conversation's and its own external id. Zeros and empty values are left out."""
+    records = logs.records.where("kind = 'response' AND external_id IS NOT NULL").join(logs.sessions.select("path", "session", F.col("external_id").alias("session_id")), ["path", "session"])
+    said = records.select("session_id", "external_id", "seq", F.explode("attributes").alias("key", "value")).where("value IS NOT NULL AND value NOT IN ('', '0')")
+    known = store["responses"].select(F.col("id").alias("response_id"), "conversation_id", "external_id").join(store["conversations"].select(F.col("id").alias("conversation_id"), F.col("external_id").alias("session_id")), "conversation_id")
+    rows = said.join(known, ["session_id", "external_id"]).select("response_id", "key", "value", "seq", F.lit("provider").alias("scope"))
+    return store | {"response_attributes": upsert_attributes(store, "response", rows, F.col("seq"))}
+
+
 def filter_binary(store: Store) -> Store:
     """DML-06: contents and results without binary data; only what may hold some is parsed."""
     out = dict(store)

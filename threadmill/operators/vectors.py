@@ -6,14 +6,15 @@ join before it. Only re-ranking for diversity is sequential; it gets CANDIDATES
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadmill.functions.scalars import cosine, parse_timestamp
+from threadmill.functions.scalars import parse_timestamp
 from threadmill.operators import fulltext
 from threadmill.operators.filters import at_least, intersect_or_all, minus
 from threadmill.schema import Store
@@ -21,12 +22,60 @@ from threadmill.schema import Store
 #: Rows that re-ranking looks at; a limit of the feature.
 CANDIDATES = 1000
 FIRST_MENTION = 0.65
+#: Queries and chunks whose product is one matrix.
+QUERY_BLOCK, CHUNK_BATCH = 512, 4096
 
 
 def similar(chunks: DataFrame, query: list[float]) -> DataFrame:
-    """RET-04, JON-16: chunks with `score`, the cosine to the query. A vector of another length is an error."""
-    same = F.assert_true(F.size("embedding") == len(query), F.concat(F.lit(f"the query has {len(query)} dimensions, a chunk "), F.size("embedding")))
-    return chunks.where(same.isNull()).withColumn("score", cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in query))))
+    """RET-04, JON-16: chunks with `score`, the cosine to the query: a matrix product a batch. A vector of another length is an error; one without length has 0."""
+    unit, d = _units(np.array([query], dtype=float))[0], len(query)
+
+    @F.arrow_udf("double")
+    def score(vectors: pa.Array) -> pa.Array:
+        return pa.array(_matrix(vectors, d) @ unit)
+
+    same = F.assert_true(F.coalesce(F.size("embedding"), F.lit(-1)) == d, F.concat(F.lit(f"the query has {d} dimensions, a chunk "), F.size("embedding")))
+    return chunks.where(same.isNull()).withColumn("score", score("embedding"))
+
+
+def _units(m: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(size == 0, 1, size)
+
+
+def _matrix(vectors: pa.Array, d: int) -> np.ndarray:
+    """The vectors of a batch, each of length 1 or 0."""
+    return _units(vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d))
+
+
+def nearest(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """RET-04 for many queries (query, embedding): (query, chunk_id, score, place) of each one's k most similar chunks, ties by smaller chunk_id.
+
+    Queries go in blocks, one row each, past batches of chunks; each pair of them is a matrix product that passes on k rows a query, and a top k over these
+    is the result. Which pairs there are doesn't depend on the data, so no task gets more than others."""
+    numbered = queries.select("query", "embedding", F.pmod(F.xxhash64("query"), F.greatest(F.lit(1), F.ceil(F.lit(queries.count() / block)))).alias("block"))
+    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query", "embedding")).alias("queries"))
+    rows = chunks.select("chunk_id", F.col("embedding").alias("vector"))
+    parts = rows.withColumn("batch", F.floor(F.monotonically_increasing_id() / CHUNK_BATCH)).groupBy("batch").agg(F.collect_list(F.struct("chunk_id", "vector")).alias("chunks"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *chunks.schema]}
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, held in zip(batch.column(0), batch.column(1), strict=True):
+                asked, held = asked.values, held.values
+                if not len(asked) or not len(held):
+                    continue
+                d = len(asked.field("embedding")[0])
+                score = _matrix(asked.field("embedding"), d) @ _matrix(held.field("vector"), d).T
+                ids = held.field("chunk_id").to_pandas()
+                by_id = np.argsort(ids.to_numpy(), kind="stable")
+                top = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :k]]
+                of = np.repeat(np.arange(len(asked)), top.shape[1])
+                yield pa.RecordBatch.from_arrays([asked.field("query").take(pa.array(of)), held.field("chunk_id").take(pa.array(top.ravel())), pa.array(score[of, top.ravel()])], ["query", "chunk_id", "score"])
+
+    found = blocks.select("queries").crossJoin(parts.select("chunks")).mapInArrow(best, f"query {kinds['query']}, chunk_id {kinds['chunk_id']}, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("chunk_id")))
+    return found.withColumn("place", place).where(F.col("place") <= k)
 
 
 def top_k(chunks: DataFrame, query: list[float], k: int, ids: DataFrame | None = None) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadmill.functions.scalars import stable_id
 from threadmill.operators.maintenance import auto_shell_tags, consume_tags, delete_rows, latest_sessions, newer_sessions, record_files, to_ingest
@@ -71,9 +73,25 @@ def ingest_stream(files: DataFrame, harness: str, load: Callable[[], Store], sav
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_in_stream(sessions: DataFrame, delay: str = "2 days") -> DataFrame:
-    """STR-02 as a stream: of sessions (session_id, ended_at timestamp, ...) the first sighting of each end within the delay."""
-    return sessions.withWatermark("ended_at", delay).dropDuplicatesWithinWatermark(["session_id", "ended_at"])
+def latest_in_stream(sessions: DataFrame) -> DataFrame:
+    """STR-02 as a stream: of sessions (session_id, ended_at timestamp, ...) each one's latest so far, whenever a batch brings an end later than all before. What is kept is a time a session."""
+    columns = [f.name for f in sessions.schema]
+
+    def newer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = state.get[0] if state.exists else None
+        row = None
+        for frame in frames:
+            frame = frame[frame["ended_at"].notna()]
+            if len(frame):
+                last = frame.loc[[frame["ended_at"].idxmax()]]
+                end = int(last["ended_at"].iloc[0].value)
+                if best is None or end > best:
+                    best, row = end, last
+        if row is not None:
+            state.update((best,))
+            yield row[columns]
+
+    return sessions.groupBy("session_id").applyInPandasWithState(newer, sessions.schema, "ended_at bigint", "update", GroupStateTimeout.NoTimeout)
 
 
 def active_stream(seen: DataFrame, gap: str = "2 hours") -> DataFrame:

@@ -578,6 +578,24 @@ over_tables("fn26_placeholders", "SELECT conv_id, turn, text || chr(10) || '[too
 over_tables("fn28_or_terms", r"""SELECT conv_id, turn, array_to_string([chr(34) || w || chr(34) FOR w IN regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+') IF length(w) >= 3], ' OR ') AS query FROM conversations""")(lambda s, d: canonical.turns(s, d).select("conv_id", "turn", scalars.or_terms(F.col("text")).alias("query")))
 
 
+# --- Lookups, children, layouts ----------------------------------------------------------------------------------------
+
+over_store("flt21_found", "SELECT id, started_at FROM c_conversations WHERE harness_id = '1-URGENT' AND external_id = 'o1' OR harness_id = '5-LOW' AND external_id = 'o2' OR harness_id = '2-HIGH' AND external_id = 'o3'")(
+    lambda s: filters.found(s, "conversations", harness_id="1-URGENT", external_id="o1").union(filters.found(s, "conversations", harness_id="5-LOW", external_id="o2")).union(filters.found(s, "conversations", harness_id="2-HIGH", external_id="o3")).select("id", "started_at")
+)
+over_store("flt22_children", "SELECT id, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp, id) - 1 AS INT) AS place FROM c_responses WHERE conversation_id % 7 = 0")(
+    lambda s: filters.children_of(s, "responses", "conversation_id", s["conversations"].where("id % 7 = 0")).select("id", "place")
+)
+over_store("snk06_by_time", f"""WITH {_SIM}, r AS (SELECT v.*, c.started_at FROM v JOIN c_conversations c ON c.id = v.conversation_id)
+SELECT substr(started_at, 1, 10) AS day, string_agg(substr(started_at, 12, 5) || '  ' || conversation_id || '  ' || text, chr(10) ORDER BY started_at, chunk_id) AS text FROM r GROUP BY 1""")(
+    lambda s: export.by_time_text(vectors.similar(s["chunks"], QUERY).join(s["conversations"].select(F.col("id").alias("conversation_id"), "started_at"), "conversation_id"))
+)
+over_store("snk06_threads", f"""WITH {_SIM}, b AS (SELECT conversation_id, max(score) AS m FROM v GROUP BY 1), k AS (SELECT v.*, m > (SELECT avg(m) FROM b) AS first FROM v JOIN b USING (conversation_id))
+SELECT conversation_id, CASE WHEN first THEN 1 ELSE 2 END AS tier, CASE WHEN first THEN string_agg(text, chr(10) ORDER BY chunk_id) ELSE max_by(text, score) END AS said FROM k GROUP BY conversation_id, first""")(
+    lambda s: export.thread_text(vectors.threads(vectors.similar(s["chunks"], QUERY)).join(s["conversations"].select(F.col("id").alias("conversation_id"), "started_at"), "conversation_id", "left")).select("conversation_id", "tier", F.expr("substring(text, instr(text, chr(10)) + 1)").alias("said"))
+)
+
+
 def _all() -> None:
     importlib.import_module("threadmill.catalog_logs")  # it registers its own here
 

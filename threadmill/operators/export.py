@@ -66,6 +66,37 @@ def results_text(results: DataFrame, style: str = "list") -> DataFrame:
     return results.select(F.concat_ws("\n", head, text).alias("line"))
 
 
+def context_text(context: DataFrame) -> DataFrame:
+    """SNK-06: (chunk_id, text) of WIN-03's exchanges around hits, in order; those of the hit are marked with >."""
+    head = F.concat(F.when(F.col("is_hit"), "> ").otherwise("  "), F.lit("["), F.col("place").cast("string"), F.lit("] "), F.coalesce("timestamp", F.lit("")))
+    part = F.concat_ws("\n", head, F.nullif("prompt_text", F.lit("")), F.nullif("response_text", F.lit("")))
+    rows = F.array_sort(F.collect_list(F.struct("place", part.alias("part"))))
+    return context.groupBy("chunk_id").agg(F.array_join(F.transform(rows, lambda r: r["part"]), "\n\n").alias("text"))
+
+
+def thread_text(threaded: DataFrame) -> DataFrame:
+    """SNK-06: a text per conversation of RET-11's results: those of tier 1 with all their chunks by time, those of tier 2 with the best one's beginning."""
+    one = lambda text: F.regexp_replace(text, r"\s+", " ")
+    all_parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda r: one(r["text"])), "\n")
+    best = F.substring(one(F.max_by("text", F.struct("score", "chunk_id"))), 1, 80)
+    rows = threaded.groupBy("conversation_id", "tier").agg(F.min("started_at").alias("started_at"), F.max("score").alias("score"), F.when(F.col("tier") == 1, all_parts).otherwise(best).alias("said"))
+    head = F.concat_ws("  ", F.substring(F.coalesce("started_at", F.lit("")), 1, 10), F.col("conversation_id").cast("string"), F.format_number("score", 3))
+    return rows.select("conversation_id", "tier", F.concat_ws("\n", head, "said").alias("text"))
+
+
+def by_time_text(results: DataFrame) -> DataFrame:
+    """SNK-06: (day, text): the results of each day in the order of their times."""
+    line = F.concat_ws("  ", F.substring("started_at", 12, 5), F.col("conversation_id").cast("string"), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 80))
+    rows = F.array_sort(F.collect_list(F.struct("started_at", "chunk_id", line.alias("line"))))
+    return results.groupBy(F.substring("started_at", 1, 10).alias("day")).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+
+
+def references_text(refs: DataFrame) -> DataFrame:
+    """SNK-06: (prompt_id, text): SET-07's files, `r`, `w` or `e` before each name, one a line."""
+    line = F.concat_ws(" ", "op", "name")
+    return refs.groupBy("prompt_id").agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("text"))
+
+
 # --- Saved query texts (EXT-04) ---------------------------------------------------------------------------------------
 
 

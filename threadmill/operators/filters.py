@@ -5,7 +5,7 @@ Substring tests fold the case of letters, and `%` and `_` in what is asked for a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.functions.scalars import all_of, any_of, json_text
@@ -157,3 +157,21 @@ def newest_session(sessions: DataFrame, workspace: str) -> DataFrame:
 def times_of(rows: DataFrame, table: DataFrame, key: str, ts: str) -> DataFrame:
     """FLT-23: rows and the time of what they name, '' where there is none."""
     return rows.join(table.select(F.col("id").alias(key), F.col(ts).alias("time")), key, "left").withColumn("time", F.coalesce("time", F.lit("")))
+
+
+def found(store: Store, table: str, **key) -> DataFrame:
+    """FLT-21: the rows of a table with this key; a null meets nulls."""
+    rows = store[table]
+    for column, value in key.items():
+        rows = rows.where(F.col(column).eqNullSafe(F.lit(value)))
+    return rows
+
+
+#: Of each child table the order in which its rows stand under their parent.
+CHILD_ORDER = {"prompts": ["timestamp", "id"], "responses": ["timestamp", "id"], "tool_calls": ["timestamp", "id"], "prompt_content": ["block_index"], "response_content": ["block_index"], "conversation_tags": ["tag_id"]}
+
+
+def children_of(store: Store, table: str, parent: str, ids: DataFrame) -> DataFrame:
+    """FLT-22: the rows of a child table under these parents (id), with their place, from 0."""
+    rows = store[table].join(ids.select(F.col("id").alias(parent)), parent, "left_semi")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(parent).orderBy(*CHILD_ORDER[table])) - 1)

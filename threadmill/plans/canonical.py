@@ -10,6 +10,9 @@ from threadmill.schema import Store
 #: Shell commands that stand in for what events don't have; an event takes the one at event_id mod their number.
 COMMANDS = ["git status", "git add .", "git log -3", "cd /x && git diff", "git push", "pytest -q", "uv run pytest", "ruff check", "ls -la", "cat a | head", "grep x y", "docker ps", "python run.py", "npm test", "uv pip list", "curl http://h", "gh pr list", "yadm status", "echo hi", "foo bar"]
 
+#: Added to the label of some vectors: chunks of conversations that don't exist. Likewise no conversation is in a workspace whose number ends in 9.
+ORPHAN = 1 << 40
+
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -26,7 +29,7 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     lines = t("lineitem")
     line_id = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     command = F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("event_id") % len(COMMANDS) + 1).cast("int"))
-    conversations = t("orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("external_id"), F.col("o_orderpriority").alias("harness_id"), F.col("o_custkey").alias("workspace_id"), F.col("o_orderstatus").alias("branch"), _iso("o_orderdate").alias("started_at"))
+    conversations = t("orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("external_id"), F.col("o_orderpriority").alias("harness_id"), (F.col("o_custkey") - (F.col("o_custkey") % 10 == 9).cast("long")).alias("workspace_id"), F.col("o_orderstatus").alias("branch"), _iso("o_orderdate").alias("started_at"))
     statuses = t("orders").select(F.col("o_orderkey").alias("conversation_id"), F.concat(F.lit("status:"), F.col("o_orderstatus")).alias("tag_id"))
     classes = t("orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("conversation_id"), F.concat(F.lit("prio:"), F.substring("o_orderpriority", 1, 1)).alias("tag_id"))
     segments = t("customer").select(F.col("c_custkey").alias("workspace_id"), F.concat(F.lit("segment:"), F.col("c_mktsegment")).alias("tag_id"))
@@ -56,7 +59,7 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
-    return rows.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("conversation_id"), F.concat(F.lit("chunk "), F.col("vec_id")).alias("text"), "embedding", F.array(F.col("vec_id")).alias("source_ids"))
+    return rows.select(F.col("vec_id").alias("chunk_id"), (F.col("label") + F.when(F.col("vec_id") % 25 == 13, ORPHAN).otherwise(0)).cast("long").alias("conversation_id"), F.concat(F.lit("chunk "), F.col("vec_id")).alias("text"), "embedding", F.array(F.col("vec_id")).alias("source_ids"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +73,7 @@ _LIST = "[" + ", ".join("'" + c + "'" for c in COMMANDS) + "]"
 SQL = {
     "c_harnesses": "SELECT DISTINCT o_orderpriority AS id, o_orderpriority AS name FROM orders",
     "c_workspaces": "SELECT c_custkey AS id, c_name AS path, CASE WHEN c_custkey % 5 <> 0 THEN 'host/' || lower(c_mktsegment) || '/' || CAST(c_custkey % 40 AS VARCHAR) END AS git_remote FROM customer",
-    "c_conversations": f"SELECT o_orderkey AS id, 'o' || o_orderkey AS external_id, o_orderpriority AS harness_id, o_custkey AS workspace_id, o_orderstatus AS branch, {_ISO_SQL.format('o_orderdate')} AS started_at FROM orders",
+    "c_conversations": f"SELECT o_orderkey AS id, 'o' || o_orderkey AS external_id, o_orderpriority AS harness_id, o_custkey - CASE WHEN o_custkey % 10 = 9 THEN 1 ELSE 0 END AS workspace_id, o_orderstatus AS branch, {_ISO_SQL.format('o_orderdate')} AS started_at FROM orders",
     "c_responses": f"SELECT {_LINE_ID} AS id, l_orderkey AS conversation_id, l_partkey AS model_id, CASE WHEN l_suppkey % 10 <> 0 THEN l_suppkey END AS provider_id, {_ISO_SQL.format('l_shipdate')} AS timestamp, CASE WHEN l_linenumber <> 3 THEN CAST(trunc(l_quantity * 100) AS BIGINT) END AS input_tokens, CAST(floor(l_extendedprice) AS BIGINT) AS output_tokens FROM lineitem",
     "c_prompts": f"SELECT {_LINE_ID} AS id, l_orderkey AS conversation_id, {_ISO_SQL.format('l_shipdate')} AS timestamp FROM lineitem WHERE l_returnflag = 'R'",
     "c_models": "SELECT p_partkey AS id, p_name AS raw_name, p_brand AS name FROM part",
@@ -83,7 +86,7 @@ SQL = {
     "c_tool_call_tags": "SELECT event_id AS tool_call_id, 'shell:' || CASE event_type WHEN 'click' THEN 'vcs' WHEN 'view' THEN 'test' ELSE 'file' END AS tag_id FROM events",
     "c_tags": "SELECT DISTINCT tag_id AS id, tag_id AS name FROM (SELECT tag_id FROM c_conversation_tags UNION ALL SELECT tag_id FROM c_workspace_tags UNION ALL SELECT tag_id FROM c_tool_call_tags)",
     "c_files": "SELECT url AS path, sha256(html) AS file_hash, ['1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW'][page_id % 4 + 1] AS harness_id, page_id AS conversation_id, CASE WHEN page_id % 50 = 7 THEN 'broken' END AS error FROM pages",
-    "c_chunks": "SELECT vec_id AS chunk_id, CAST(label AS BIGINT) AS conversation_id, 'chunk ' || vec_id AS text, embedding FROM embeddings",
+    "c_chunks": f"SELECT vec_id AS chunk_id, CAST(label + CASE WHEN vec_id % 25 = 13 THEN {ORPHAN} ELSE 0 END AS BIGINT) AS conversation_id, 'chunk ' || vec_id AS text, embedding FROM embeddings",
 }
 
 

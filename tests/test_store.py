@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadmill.operators import analytics, exchanges, export, filters, fulltext, health, maintenance
 from threadmill.schema import SCHEMAS, empty_store, has_table, read_store, write_store
 from threadmill.sources import logs
-from threadmill.streaming import ingest, live
+from threadmill.streaming import buckets, ingest, live
 
 AT = "2024-02-01T00:00:00Z"
 
@@ -286,3 +286,27 @@ def test_a_check_that_fails_while_it_runs_is_a_finding(spark):
     late = lambda: spark.range(1).selectExpr("'x' AS check", "CAST(id AS STRING) AS subject", "raise_error('late') AS detail")
     fine = lambda: spark.range(1).selectExpr("'fine' AS check", "'s' AS subject", "'d' AS detail")
     assert sorted((r["check"], r["subject"]) for r in health.run(spark, {"late": late, "fine": fine}).collect()) == [("fine", "s"), ("late", "error")]
+
+
+def test_a_batch_touches_its_own_buckets(spark, tmp_path):
+    at, path = tmp_path / "store", str(tmp_path / "store")
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / f"in/{k}.jsonl").write_text(claude(session=f"session-{k}"))
+    found = lambda name: logs.files(spark, str(tmp_path / "in"), name)
+    buckets.write(empty_store(spark), path, 64)
+    whole = buckets.ingest_into(spark, path, found("*.jsonl"), "claude_code", AT, n=64)
+    count = lambda: {t: buckets.read(spark, path)[t].count() for t in ("conversations", "prompts", "responses", "tool_calls", "response_content", "ingested_files", "tool_call_tags")}
+    first = count()
+    assert len(whole) > 1 and first["conversations"] == 3 and first["ingested_files"] == 3
+    stamps = lambda: {p: p.stat().st_mtime_ns for p in at.rglob("*.parquet") if "bucket=" in str(p)}
+    before = stamps()
+    (tmp_path / "in/1.jsonl").write_text(claude("hello again", session="session-1"))
+    one = buckets.ingest_into(spark, path, found("*.jsonl"), "claude_code", "2024-03-01T00:00:00Z", n=64)
+    after = stamps()
+    assert len(one) == 1 and count() == first
+    changed = {p.parent.name for p in {*before, *after} if before.get(p) != after.get(p) and "ingested_files" not in str(p)}
+    assert changed == {f"bucket={one[0]}"}
+    said = [r["content"] for r in buckets.read(spark, path)["prompt_content"].collect()]
+    assert sum("hello again" in s for s in said) == 1 and len(said) == first["prompts"]
+    assert buckets.ingest_into(spark, path, found("*.jsonl"), "claude_code", AT, n=64) == []

@@ -45,7 +45,8 @@ def settled(table: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, wherever Hadoop's file systems reach."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -54,7 +55,7 @@ def discard(*tables: DataFrame) -> None:
     """Delete settled tables that nothing reads any more: what is left to do reads tables made from them."""
     for table in tables:
         _written.remove(table._settled_at)
-        _delete(table.sparkSession, table._settled_at)
+        delete(table.sparkSession, table._settled_at)
 
 
 def release(spark: SparkSession) -> None:
@@ -63,4 +64,4 @@ def release(spark: SparkSession) -> None:
     _written.clear()
     with contextlib.suppress(Exception):  # the session may have ended
         for path in paths:
-            _delete(spark, path)
+            delete(spark, path)

@@ -249,11 +249,16 @@ def linked_calls(records: DataFrame) -> DataFrame:
     return joined.select("path", "session", "seq", "k", "id", "name", "input", "r.result", F.coalesce("r.status", F.lit("pending")).alias("status"), "r.timestamp")
 
 
+def with_ids(sessions: DataFrame) -> DataFrame:
+    """Sessions with the ids that their conversation, harness and workspace have in a store."""
+    named = sessions.withColumn("harness_id", stable_id(F.lit("harnesses"), F.col("harness"))).withColumn("workspace_id", F.when(F.col("workspace_path").isNotNull(), stable_id(F.lit("workspaces"), F.col("workspace_path"))))
+    return named.withColumn("id", stable_id(F.lit("conversations"), F.col("harness_id"), F.col("external_id")))
+
+
 def flatten(logs: Logs, at: str) -> Store:
     """SNK-01, T20: sessions and records as the store's tables. Answers before the first prompt are left out; ids come from natural keys, a message's without an id from its place (T25)."""
     harness = logs.sessions.select(F.col("harness").alias("name")).distinct()
-    conversations = logs.sessions.withColumn("harness_id", stable_id(F.lit("harnesses"), F.col("harness"))).withColumn("workspace_id", F.when(F.col("workspace_path").isNotNull(), stable_id(F.lit("workspaces"), F.col("workspace_path"))))
-    conversations = conversations.withColumn("id", stable_id(F.lit("conversations"), F.col("harness_id"), F.col("external_id")))
+    conversations = with_ids(logs.sessions)
     keyed = logs.records.join(conversations.select("path", "session", F.col("id").alias("conversation_id")), ["path", "session"]).withColumn("in", F.struct("path", "session"))
     rows = fold(keyed, "conversation_id", "seq", F.col("kind") == "prompt")
     # A call without an answer before it in its exchange begins one; others join the last answer.

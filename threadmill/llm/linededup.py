@@ -17,7 +17,7 @@ Every step is a shuffle of numbers; texts move once, to meet the stretches to de
 gathered: counts and smallest places are pre-aggregated, large joins are left to adaptive skew splitting.
 
 Lines are compared whole, by a 128-bit hash. Null or empty text: no lines, nothing deleted, text kept as it is. A null doc_id
-comes after all others. Rows equal in doc_id and text are one document, so neither is a later copy of the other,
+comes after all others, together with the largest possible id. A very long text is taken whole. Rows equal in doc_id and text are one document, so neither is a later copy of the other,
 and both get the same result. Blank lines stay unless the lines on both sides of them, in one stretch, go.
 Other columns pass through; columns that start with __tm_ are the operator's own.
 """
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import materialize, read
+from threadmill.llm.common import discard, materialize, plain, read
 
 MIN_WORDS = 50
 _LAST = 2**63 - 1
@@ -103,15 +103,17 @@ def _named(stretches: DataFrame, level: DataFrame, k: int) -> DataFrame:
 
 def later_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, tie, p, n): stretches of n lines with a word, from the p-th on, that an earlier place has. doc: the id, tie: the hash of the text."""
-    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    docs = docs.select(F.col(plain(id_column)).cast("long").alias("id"), F.xxhash64(F.col(plain(text))).alias("tie"), F.col(plain(text)).alias("text"))
     rows = docs.mapInArrow(_lines(min_words), "doc bigint, tie bigint, p int, h1 bigint, h2 bigint, ahead int, back int")
     lines = materialize(rows, "lines")
     ranks = _ranked(lines, ["h1", "h2"], "line-ranks")
     level = materialize(lines.join(ranks, ["h1", "h2"]).groupBy("doc", "tie", "p").agg(F.first("rank").alias("rank"), F.first("ahead").alias("ahead"), F.first("back").alias("back")), "level-0")
+    discard(lines, ranks)
     from_here = level.where("ahead > 0").select("doc", "tie", "p", F.col("ahead").alias("n"))
     up_to_here = level.where("back > 0").select("doc", "tie", F.expr("p + 1 - back").alias("p"), F.col("back").alias("n"))
     stretches = materialize(from_here.union(up_to_here).distinct(), "stretches")
-    level, named, k = level.select("doc", "tie", "p", "rank"), [], 0
+    named, done, k = [], [stretches, level], 0
+    level = level.select("doc", "tie", "p", "rank")
     while True:
         named.append(_named(stretches, level, k))
         if 1 << k + 1 > min_words:
@@ -120,6 +122,8 @@ def later_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         pairs = materialize(level.join(later, ["doc", "tie", "p"]), f"pairs-{k}")
         ranks = _ranked(pairs.select("rank", "next").withColumnRenamed("rank", "r"), ["r", "next"], f"ranks-{k + 1}")
         level = materialize(pairs.withColumnRenamed("rank", "r").join(ranks, ["r", "next"]).select("doc", "tie", "p", "rank"), f"level-{k + 1}")
+        done.append(level)
+        discard(pairs, ranks)
         if level.isEmpty():
             break
         k += 1
@@ -127,6 +131,7 @@ def later_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     for more in named[1:]:
         found = found.union(more)
     found = materialize(found, "named")
+    discard(*done)
     place = F.struct("doc", "tie", "p")
     first = found.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     first = materialize(first, "first-copies")  # a join of two stored tables can be split where an interval is large
@@ -162,15 +167,15 @@ def without_later_copies(docs: DataFrame, id_column: str = "doc_id", text: str =
     """docs with the later copies of repeated runs deleted from the text, and the columns __tm_lines and __tm_kept: lines with a word before and after."""
     gone = later_copies(docs, id_column, text, min_words).groupBy("doc", "tie").agg(F.collect_list(F.struct("p", "n")).alias("__tm_gone"))
     gone = gone.select(F.col("doc").alias("__tm_doc"), F.col("tie").alias("__tm_tie"), "__tm_gone")
-    keyed = docs.withColumns({"__tm_id": F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)), "__tm_hash": F.xxhash64(text)})
+    keyed = docs.withColumns({"__tm_id": F.coalesce(F.col(plain(id_column)).cast("long"), F.lit(_LAST)), "__tm_hash": F.xxhash64(F.col(plain(text)))})
     joined = keyed.join(gone, (keyed["__tm_id"] == gone["__tm_doc"]) & (keyed["__tm_hash"] == gone["__tm_tie"]), "left")
 
     @F.arrow_udf("struct<text:string,lines:bigint,kept:bigint>")
     def without(texts: pa.Array, places: pa.Array) -> pa.Array:
         return _without(texts, places)
 
-    done = joined.withColumn("__tm_done", without(F.col(text), F.col("__tm_gone")))
-    columns = [F.col("__tm_done")["text"].alias(text) if c == text else F.col(c) for c in docs.columns]
+    done = joined.withColumn("__tm_done", without(F.col(plain(text)), F.col("__tm_gone")))
+    columns = [F.col("__tm_done")["text"].alias(text) if c == text else F.col(plain(c)) for c in docs.columns]
     return done.select(*columns, F.col("__tm_done")["lines"].alias("__tm_lines"), F.col("__tm_done")["kept"].alias("__tm_kept"))
 
 

@@ -1,15 +1,17 @@
 """Sharding along a Hilbert curve: rows that lie close in several dimensions share a shard, so files can be pruned by any of them.
 
 Each dimension is quantised to 2^bits buckets of about equal counts, whose bounds are approximate percentiles (at most
-2^bits - 1 numbers a dimension reach the driver, whatever the table's size). Strings count by their first bytes, in their order.
+2^bits - 1 numbers a dimension reach the driver, whatever the table's size). A string counts by the rank of its whole value among the distinct values.
 The bucket numbers become a Hilbert index; rows are sorted by it across the cluster and cut into runs of equal counts.
 A row's place is its partition's first place plus its place there: no row passes through a single task. All of it is
 DataFrame functions; rows are spread by the index, the id, the digest and lastly their own position, so neither a hot value nor repeated rows
 gather in one partition.
 
 The law is `rows`: shard s of n holds the places ceil(s * N / n) to ceil((s + 1) * N / n) - 1, so counts are at most one apart.
-A null dimension is bucket 0 with the smallest values. Null or empty text has no bytes, and the checksum of no bytes. Ties in all
-sorting columns are rows alike. An empty table gives an empty result. Columns that start with __tm_ are the operator's own.
+A null dimension is bucket 0 with the smallest values. Null or empty text has no bytes, and the checksum of no bytes; of a very long one only size and checksum are
+kept. Ties in all sorting columns are rows alike, repeated rows among them: each has a place of its own. An empty table gives an empty result. Bounds are approximate, and may
+differ a little from run to run, and with them the shard of a row; the law holds for any bounds. Columns that start with __tm_ are the operator's own; others pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,16 +28,22 @@ _PLACE = 33  # monotonically_increasing_id: the partition above, the row in it b
 
 
 def as_number(df: DataFrame, name: str) -> Column:
-    """A dimension as a long in its own order; a string by its first seven bytes."""
+    """A dimension that is no string as a number in its own order."""
     kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.col(plain(name)).cast("binary"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
     if isinstance(kind, (T.DateType, T.TimestampType)):
         return F.coalesce(F.unix_timestamp(F.col(plain(name)).cast("timestamp")), F.lit(-(2**62)))
     return F.coalesce(F.col(plain(name)).cast("double"), F.lit(float("-inf")))
 
 
+def with_rank(df: DataFrame, name: str, out: str) -> DataFrame:
+    """df and the rank of a string among the column's distinct values (a long in their order, -1 for null). A rank is its partition's number above, its place there below, so the values pass through no single task; the join's small side has a row per value and is stored, so a hot value can be split."""
+    column = plain(name)
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("__tm_value")).distinct()
+    ranks = materialize(values.repartitionByRange("__tm_value").sortWithinPartitions("__tm_value").withColumn("__tm_rank", F.monotonically_increasing_id()), "shard-ranks")
+    joined = df.join(ranks, F.col(column) == F.col("__tm_value"), "left")
+    return joined.select(*(F.col(plain(c)) for c in df.columns), F.coalesce("__tm_rank", F.lit(-1)).alias(out))
+
+
 def curve_sql(axes: str, n: int, bits: int) -> str:
     """The place on the Hilbert curve of the point in the array column `axes` (Skilling's transposition), as SQL."""
     if n == 1:
@@ -59,8 +67,10 @@ def _bucket(number: Column, bounds: list) -> Column:
 def hilbert_shards(df: DataFrame, dimensions: list[str], tie_breaks: list[str], n_shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """df with __tm_curve (Hilbert index), shard and slot, stored in that order. Columns of these names are replaced."""
     columns = [c for c in df.columns if c not in ("shard", "slot", "__tm_curve")]
-    numbers = {f"__tm_d{k}": as_number(df, name) for k, name in enumerate(dimensions)}
-    measured = materialize(df.select(*(F.col(plain(c)) for c in columns), *(v.alias(k) for k, v in numbers.items())), "shard-input")
+    numbers, measured = [f"__tm_d{k}" for k in range(len(dimensions))], df
+    for number, name in zip(numbers, dimensions, strict=True):
+        measured = with_rank(measured, name, number) if isinstance(df.schema[name].dataType, T.StringType) else measured.withColumn(number, as_number(df, name))
+    measured = materialize(measured.select(*(F.col(plain(c)) for c in columns), *numbers), "shard-input")
     cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
     bounds = measured.agg(*(F.percentile_approx(k, cuts, 10_000).alias(k) for k in numbers)).first()
     buckets = [_bucket(F.col(k), sorted(set(bounds[k] or []))) for k in numbers]

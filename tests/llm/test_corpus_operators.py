@@ -57,6 +57,18 @@ def test_line_dedup(spark, min_words):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {i: t for (i, _), t in zip(docs, brute_dedup(docs, min_words), strict=True)}
 
 
+def test_line_dedup_of_runs_longer_than_the_last_level(spark):
+    rng = random.Random(21)
+    line = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randrange(60)) for _ in range(rng.randrange(1, 4)))
+    long_run, other, short = [line() for _ in range(90)], [line() for _ in range(70)], [line() for _ in range(8)]
+    own = lambda n: [line() for _ in range(n)]
+    docs = [own(5) + long_run + own(3), own(4) + long_run[10:85] + own(6), own(2) + other + own(2) + other[20:] + own(3), short + own(9) + long_run[:40], own(7) + short + long_run[50:], other + long_run, own(30) + ["w"] * 160 + own(4)]
+    rows = [(k, "\n".join(x)) for k, x in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("a.b", F.lit(1)).withColumn("rank", F.lit(1))
+    got = linededup.without_later_copies(df)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == dict(zip(range(len(docs)), brute_dedup(rows, linededup.MIN_WORDS), strict=True))
+
+
 def test_line_dedup_of_rows_alike_and_of_nothing(spark):
     text = "\n".join(f"line {k} of many words" for k in range(20))
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
@@ -90,6 +102,30 @@ def test_shards(spark, n):
     assert ordered == sorted(ordered)
 
 
+def test_long_common_starts_are_told_apart(spark):
+    rows = [(i, f"https://common.start/{'abcd'[i % 4]}", i % 10) for i in range(400)] + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, a_b int").withColumnRenamed("a_b", "a.b").withColumn("rank", F.lit(1))
+    got = sharding.hilbert_shards(df, ["source", "a.b"], ["doc_id"], 8)
+    assert got.columns == [*df.columns, "__tm_curve", "shard", "slot"]
+    rows = got.collect()
+    assert len(rows) == 403 and len({(r["source"], r["__tm_curve"] // 256) for r in rows}) < len({r["__tm_curve"] for r in rows})
+    assert len({r["source"] for r in rows if r["shard"] == 1}) < 4  # sources lie together
+
+
+def test_sharding_query(spark, tmp_path):
+    rng = random.Random(11)
+    docs = [(i if i != 5 else None, t, rng.choice(["en", "fr", None]), f"src{rng.choice([0, 0, 0, 1, 2])}", 0) for i, t in enumerate([None, "", "é中😀", LONG, LONG, *["text " * rng.randrange(40) for _ in range(90)]])]
+    docs += [docs[0], docs[7], docs[7]]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op2_sharding(spark, str(tmp_path)).collect()
+    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in docs)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    counts = Counter(r["shard"] for r in got)
+    assert set(counts) == set(range(24)) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in counts.items())
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+
+
 def test_shards_are_written(spark, tmp_path):
     df = spark.range(50).select(F.col("id").alias("doc_id"), (F.col("id") % 5).alias("size"))
     sharding.write_shards(sharding.hilbert_shards(df, ["size"], ["doc_id"], 4), str(tmp_path / "out"))
@@ -261,12 +297,20 @@ def test_pipeline(spark, tmp_path):
     assert got == want and 5 not in {i for i, _, _ in got} and len(got) >= 20
 
 
-def test_stages_return_documents(spark):
-    names = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = spark.createDataFrame([(1, "few", "en", "s", 3)], names)
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        if k not in (3, 4):
-            assert stage(spark, docs, "").columns == docs.columns
+def test_stages_take_odd_documents(spark, tmp_path):
+    text = "\n".join(" ".join(f"w{k}x{j}" for j in range(12)) for k in range(9))
+    rows = [(1, text, "en", None, None, 7, 8), (1, text, "en", None, None, 7, 8), (2, text, None, "s", 3, 7, 8), (None, text + " more", "en", "s", 3, 7, 8), (3, None, "en", "s", 3, 7, 8), (4, "", "en", "s", 3, 7, 8), (5, LONG, "en", "s", 3, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id int, `a.b` int")
+    spark.createDataFrame([(1, "none of these ten words stands in any of the texts"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left, nothing = docs, docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left, nothing = stage(spark, left, str(tmp_path)), stage(spark, nothing, str(tmp_path))
+        assert left.columns == docs.columns == nothing.columns
+    last = text.split("\n")[-1] + " more"
+    assert sorted(((r["doc_id"], r["text"], r["n_chars"], r["a.b"]) for r in left.collect()), key=str) == [(1, text, None, 8), (None, last, len(last), 8)]
+    assert nothing.count() == 0
+    for docs in (left, nothing):
+        assert corpus_pipeline.sentencepiece(spark, docs, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
 # --- Near-dedup of the pipeline ----------------------------------------------------------------------------------------

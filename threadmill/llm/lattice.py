@@ -294,6 +294,7 @@ def train(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> np.nd
 
         # As many rows as the vocabulary has pieces, at most.
         uses = words.where("c > 0").select("word", "c").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        shared.unpersist()
         weight = np.where(vocabulary.scored, 0.1, 0.0)
         for piece, n in uses:
             weight[piece] += n

@@ -8,7 +8,8 @@ compared across pairs. Pairs are those of the query: conversations 2k (chosen) a
 
 Turns are sorted by turn (null first), role and text, so repeated rows are repeated turns. A null role or text is rendered as empty, and is
 equal to another null only. Rows with a null conv_id belong to no conversation. A pair without one of its sides has an empty completion for it
-and its whole other side as completion; usable says whether both completions hold an assistant turn. An empty table gives an empty result.
+and its whole other side as completion (of a negative conv_id the pair is rounded down, too). A very long text is rendered whole; turns' further columns are left out, whatever
+their names. usable says whether both completions hold an assistant turn. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def format_pairs(turns: DataFrame, pair: str = "pair_id", chosen: str = "is_chos
 
 
 def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read(spark, sf_dir, "conversations").select(F.expr("conv_id DIV 2").alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("is_chosen"), "turn", "role", "text")
+    turns = read(spark, sf_dir, "conversations").select(F.shiftright("conv_id", 1).alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("is_chosen"), "turn", "role", "text")
     done = format_pairs(turns)
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return done.select("pair_id", "prompt_turns", "prompt", "chosen", spans("chosen_mask").alias("chosen_mask"), "rejected", spans("rejected_mask").alias("rejected_mask"), "usable")

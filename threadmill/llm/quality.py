@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import IS_SPACE, after_first, byte_chunks, covered, in_repeated, mix64, read, row_sums, spans_per_row, word_bounds
+from threadmill.llm.common import IS_SPACE, after_first, byte_chunks, covered, in_repeated, mix64, plain, read, row_sums, spans_per_row, word_bounds
 
 #: Largest percentage of characters in repeated n-grams, by n, and in repeated lines: the limits published with the Gopher model.
 NGRAM_PERCENT = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
@@ -115,13 +115,13 @@ def with_repetition(df: DataFrame, text: str = "text", out: str = "repetition",
     def repetition(texts: pa.Array) -> pa.Array:
         return measure(texts, limits, line_percent)
 
-    return df.withColumn(out, repetition(F.col(text)))
+    return df.withColumn(out, repetition(F.col(plain(text))))
 
 
 def keep_unrepetitive(df: DataFrame, text: str = "text", limits: dict[int, int] | None = None) -> DataFrame:
     """The rows of df that pass the base rules and the coverage limits, with df's columns."""
     columns, out = df.columns, "__tm_repetition"
-    return with_repetition(df, text, out, limits).where(F.col(out)["kept"]).select(*columns)
+    return with_repetition(df, text, out, limits).where(F.col(out)["kept"]).select(*(F.col(plain(c)) for c in columns))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

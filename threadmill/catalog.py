@@ -298,8 +298,26 @@ over_store("ret10_conversation_scores", f"WITH {_SIM} SELECT conversation_id, ro
 over_store("ret11_threads", f"WITH {_SIM}, b AS (SELECT conversation_id, max(score) AS m FROM v GROUP BY 1) SELECT chunk_id, CASE WHEN m > (SELECT avg(m) FROM b) THEN 1 ELSE 2 END AS tier FROM v JOIN b USING (conversation_id)")(lambda s: vectors.threads(_scored(s)).select("chunk_id", "tier"))
 over_store("flt14_threshold", f"WITH {_SIM} SELECT chunk_id FROM v WHERE score >= 0.05")(lambda s: filters.at_least(_scored(s), 0.05).select("chunk_id"))
 over_store("ret09_first_mention", f"WITH {_SIM} SELECT chunk_id FROM v LEFT JOIN c_conversations c ON c.id = v.conversation_id WHERE score >= 0.05 ORDER BY coalesce(c.started_at, ''), chunk_id LIMIT 1")(lambda s: vectors.first_mention(_scored(s), s | {"prompts": s["prompts"].limit(0).select(F.lit(0).cast("long").alias("id"), "timestamp")}, 0.05).select("chunk_id"))
-over_store("ret06_mmr")(lambda s: vectors.mmr(vectors.top_k(s["chunks"], QUERY, 100).withColumn("query", F.lit("q")), 10).select("chunk_id", "conversation_id", "mmr_rank", F.round("mmr_penalty", 6).alias("mmr_penalty")))
-over_store("ret07_hybrid")(lambda s: vectors.hybrid(s, "q", lambda _: QUERY, F.to_timestamp(F.lit(AS_OF))).select("chunk_id", "mmr_rank", F.round("score", 6).alias("score")))
+
+
+def _mmr_sql(cand: str, n: int = 10) -> str:
+    """The picks of a re-ranking, step by step: k0 to k{n - 1}, and all of them as picks."""
+    both = "sim AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim, a.conversation_id = b.conversation_id AS same FROM cand a, cand b)"
+    steps = ["k0 AS (SELECT chunk_id, 0 AS k, 0.0::DOUBLE AS pen FROM cand ORDER BY 0.7::DOUBLE * score DESC, chunk_id DESC LIMIT 1)"]
+    for k in range(1, n):
+        taken = " UNION ALL ".join(f"SELECT chunk_id FROM k{j}" for j in range(k))
+        pen = "CASE WHEN bool_or(coalesce(same, false)) THEN 1.0::DOUBLE ELSE greatest(0, max(sim)) END"
+        steps.append(f"k{k} AS (SELECT chunk_id, {k} AS k, pen FROM (SELECT c.chunk_id, c.score, {pen} AS pen FROM cand c JOIN sim ON sim.a = c.chunk_id JOIN ({taken}) t ON t.chunk_id = sim.b WHERE c.chunk_id NOT IN ({taken}) GROUP BY ALL) ORDER BY 0.7::DOUBLE * score - 0.3::DOUBLE * pen DESC, chunk_id DESC LIMIT 1)")
+    return f"cand AS ({cand}), {both}, {', '.join(steps)}, picks AS ({' UNION ALL '.join(f'SELECT * FROM k{k}' for k in range(n))})"
+
+
+over_store("ret06_mmr", f"WITH {_SIM}, {_mmr_sql('SELECT * FROM v ORDER BY v.score DESC, chunk_id LIMIT 100')} SELECT chunk_id, c.conversation_id, CAST(k + 1 AS INT) AS mmr_rank, round(pen, 6) AS mmr_penalty FROM picks JOIN cand c USING (chunk_id)")(
+    lambda s: vectors.mmr(vectors.top_k(s["chunks"], QUERY, 100).withColumn("query", F.lit("q")), 10).select("chunk_id", "conversation_id", "mmr_rank", F.round("mmr_penalty", 6).alias("mmr_penalty"))
+)
+_WEIGHT = "CASE WHEN started_at IS NULL THEN 1 ELSE 1 + 0.15::DOUBLE * exp(-ln(2) * greatest(epoch(TIMESTAMP '2026-01-01') - epoch(CAST(replace(replace(started_at, 'T', ' '), 'Z', '') AS TIMESTAMP)), 0) / 86400 / 30) END"
+over_store("ret07_hybrid", f"WITH {_SIM}, t AS (SELECT * FROM v ORDER BY v.score DESC, chunk_id LIMIT 30), {_mmr_sql(f'SELECT t.chunk_id, t.conversation_id, t.embedding, t.score * {_WEIGHT} AS score FROM t LEFT JOIN c_conversations o ON o.id = t.conversation_id')} SELECT chunk_id, CAST(k + 1 AS INT) AS mmr_rank, round(c.score, 6) AS score FROM picks JOIN cand c USING (chunk_id)")(
+    lambda s: vectors.hybrid(s, "q", lambda _: QUERY, F.to_timestamp(F.lit(AS_OF))).select("chunk_id", "mmr_rank", F.round("score", 6).alias("score"))
+)
 _RANKED = f"WITH {_SIM}, k AS (SELECT conversation_id % 2 AS g, conversation_id AS q, chunk_id, score, row_number() OVER (PARTITION BY conversation_id ORDER BY score DESC, chunk_id) AS rank FROM v), t AS (SELECT * FROM k WHERE rank <= 10)"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["linededup", "sharding", "warc", "quality", "simhash", "secrets", "preference", "pieces", "decontaminate", "lattice"]
+MODULES = ["linededup", "sharding", "warc", "quality", "simhash", "secrets", "preference", "pieces", "decontaminate", "lattice", "idfiles", "filteraudit", "divergence"]
 
 
 def _all(name: str) -> dict:

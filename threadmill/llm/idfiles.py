@@ -155,9 +155,6 @@ class _Writer:
         self.doc_ids.append(doc_ids)
         self.nulls, self.n_ids, self.docs = self.nulls + nulls, self.n_ids + len(ids), self.docs + len(counts)
 
-    def full(self) -> bool:
-        return self.n_ids >= FILE_IDS or self.docs >= FILE_DOCS
-
     def close(self) -> tuple[str, int, int]:
         bounds = EliasFano.of(np.concatenate(([0], np.cumsum(np.concatenate(self.counts))))).to_bytes()
         docs = EliasFano.of(np.concatenate(self.doc_ids)).to_bytes()
@@ -176,7 +173,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, id_column: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
     """Write the ids of all texts, in ascending order of their document ids, under folder. The manifest, stored: part and seq (the files' order), path, docs, ids."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +184,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, id_column:
             ids, counts = own.encode(batch.column(1).to_pylist(), end)
             out = out or _Writer(folder, own.width)
             out.add(keys.drop_null().to_numpy(zero_copy_only=False), keys.null_count, ids, counts)
-            if out.full():
+            if out.n_ids >= file_ids or out.docs >= file_docs:
                 done.append((part, seq, *out.close()))
                 out, seq = None, seq + 1
         if out is not None:

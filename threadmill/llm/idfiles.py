@@ -1,8 +1,8 @@
 """Token ids in binary files with Elias-Fano encoded document boundaries.
 
 Documents are range-partitioned and sorted by id, and each task encodes its own and writes files: the ids of all its documents one after another (two bytes each where
-the vocabulary fits, else four), then the boundaries and the document ids as Elias-Fano sequences (eliasfano.py), then a footer. No file is larger than FILE_IDS ids
-and FILE_DOCS documents beyond its last document, so what a task holds is bounded. Files come from Spark's tasks: a file that a lost or repeated task leaves behind is
+the vocabulary fits, else four), then the boundaries and the document ids as Elias-Fano sequences (eliasfano.py), then a footer. A file ends with the document that
+brings it to FILE_IDS ids or FILE_DOCS documents, so what a task holds is bounded. Files come from Spark's tasks: a file that a lost or repeated task leaves behind is
 named nowhere, as only the manifest, which Spark commits once, says which files there are and in which order. Offsets in the whole corpus are the file's place in
 the manifest plus the boundary in it, so nothing grows but the manifest by a row a file. Files go through pyarrow.fs.
 
@@ -182,11 +182,18 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, id_column:
         for batch in chain.from_iterable(map(_slices, batches)):
             keys = batch.column(0)
             ids, counts = own.encode(batch.column(1).to_pylist(), end)
-            out = out or _Writer(folder, own.width)
-            out.add(keys.drop_null().to_numpy(zero_copy_only=False), keys.null_count, ids, counts)
-            if out.n_ids >= file_ids or out.docs >= file_docs:
-                done.append((part, seq, *out.close()))
-                out, seq = None, seq + 1
+            ends, k = np.cumsum(counts), 0
+            while k < len(counts):
+                out = out or _Writer(folder, own.width)
+                begin = int(ends[k] - counts[k])
+                # As many documents as fit, the one that fills the file included.
+                n = min(len(counts) - k, file_docs - out.docs, int(np.searchsorted(ends[k:], begin + file_ids - out.n_ids)) + 1)
+                some = keys.slice(k, n)
+                out.add(some.drop_null().to_numpy(zero_copy_only=False), some.null_count, ids[begin : ends[k + n - 1]], counts[k : k + n])
+                k += n
+                if out.n_ids >= file_ids or out.docs >= file_docs:
+                    done.append((part, seq, *out.close()))
+                    out, seq = None, seq + 1
         if out is not None:
             done.append((part, seq, *out.close()))
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in done], schema)

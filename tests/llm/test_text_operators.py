@@ -7,6 +7,7 @@ import random
 import re
 import time
 
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -362,3 +363,29 @@ def test_preference(spark):
     assert (got[2]["prompt_turns"], got[2]["chosen"], got[2]["usable"]) == (1, "", False)
     assert (got[3]["prompt_turns"], got[3]["rejected"]) == (0, "") and got[4]["prompt_turns"] == 1
     assert preference.format_pairs(df.limit(0)).count() == 0
+
+
+JWT = "eyJ" + "a1" * 8 + ".eyJ" + "b-" * 8 + "." + "c_" * 8
+
+
+def test_secret_scan_equals_its_sql_where_there_are_providers_secrets(spark, tmp_path):
+    """The given tables have none of the kinds access and vendor."""
+    parts = [JWT, f"x{JWT}", f"-{JWT}", f"é{JWT} {JWT}.{JWT}", "AKIA" + "X1" * 8, "ghp_" + "A1b2" * 10, f"{pem(1)}{JWT}", pem(2, ""), pem(3).replace("\n", "\\n"), "eyJ" * 50, "sk_live_" + "z" * 20, "AIza" + "Q" * 40, "xoxb-" + "1-" * 9]
+    parts += ["-----BEGIN PRIVATE KEY-----\nDEK-Info: AAAA-----END PRIVATE KEY-----\n", "token=" + JWT, ".eyJ" * 9 + "." + JWT]
+    rows = [(i, f"{a} and {b}", f"o{i % 5}", f"l{i % 3}") for i, (a, b) in enumerate((a, b) for a in parts for b in parts[::3])]
+    rows += [(10**6, None, None, None), *((2 * 10**6 + k, f"{'y' * k} {JWT.replace('c_', 'd2')} secret=oftwoowners", f"o{k % 2}", "l") for k in range(4))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name, query in secrets.QUERIES.items():
+        found, want = query(spark, str(tmp_path)), db.sql(secrets.ORACLE_SQL[name])
+        assert sorted(map(tuple, found.select(*want.columns).collect())) == sorted(want.fetchall())
+    assert found.where("n_shared = 2 AND shared_spans LIKE '%vendor%assign%'").count() == 4
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJ" + "a" * 20 + ".", "-----BEGIN PRIVATE KEY-----\n", "Proc-Type: 4\n", "-----BEGIN PRIVATE KEY-----Proc-Type ", "QUJDREVG", "AKIA", "abc0", "secret ", "password= ", "-----BEGIN A "])
+def test_secrets_of_a_long_text_take_no_time(spark, unit):
+    df = spark.createDataFrame([(1, "-----BEGIN PRIVATE KEY-----" + unit * (1_000_000 // len(unit)), "o", "r")], "doc_id long, text string, source string, lang string")
+    began = time.time()
+    secrets.searched(df)
+    assert time.time() - began < 10

@@ -11,6 +11,9 @@ and the matched parts; their lengths in order give the spans, in code points. Te
 pre-aggregated per (hash, owner, repository), so a hash that all documents share stays small; they are stored before they are joined back,
 so that adaptive execution can split the join where one secret has many places.
 
+No pattern searches a stretch of text more than a few times: a token of three parts starts only where its characters start, what is repeated doesn't give back, and a private key's
+header has 8 lines of 120 characters at most. So a text's cost is in proportion to its length, whatever is in it.
+
 Null or empty text: no spans. A null owner or repository is one of its own. Rows equal in id and text get equal
 results, and count once for their owner. A very long text is searched whole, in one row; its candidates are one array. Other columns are left out,
 whatever their names.
@@ -32,8 +35,12 @@ KINDS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]+", 0, 32),
-    ("vendor", r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\x20\x09-\x0D\\]*(?:Proc-Type|DEK-Info)[^\n]*)*[A-Za-z0-9+/=\x20\x09-\x0D\\]+-----END [A-Z ]*PRIVATE KEY-----", 0, 16),
-]
+    ("vendor", "|".join([
+        r"gh[pousr]_[A-Za-z0-9]{36,}", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"sk_live_[A-Za-z0-9]{16,}", r"AIza[A-Za-z0-9_-]{35}",
+        r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\x20\x09-\x0D\\nr]*+(?:Proc-Type|DEK-Info)[^\n\\]{0,100}+[\n\\]){0,8}+[A-Za-z0-9+/=\x20\x09-\x0D\\]++-----END [A-Z ]*PRIVATE KEY-----",
+    ]), 0, 16),
+]
 BASE = 3
 #: Runs of at least so many characters are the matches of [0-9a-f]+ that count; the search needs no others.
 _SEARCH = {"hex": r"[0-9a-f]{32,}", "access": r"AKIA[A-Z0-9]{12,}"}
@@ -107,11 +114,11 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", owner:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
-    return done.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_example")
+    return done.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_example", "n_shared", "shared_spans")
 
 
 def op6_secret_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class that op6_secret_scan's columns leave out: found with several owners, with no example among them."""
+    """The class between live and example alone: found with several owners, with no example among them."""
     return scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).select("doc_id", "n_shared", "shared_spans")
 
 
@@ -122,9 +129,12 @@ def _kind_sql(kind: int) -> str:
     name, pattern, group, least = KINDS[kind]
     letters = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
     pattern = pattern.replace("(?i:password|passwd|secret|token|api_?key)", letters).replace("'", "''")
-    return f"""k{kind} AS (SELECT doc_id, source, lang, {kind} AS kind, upto - size AS start, upto AS "end", '{name}:' || value AS secret FROM (
+    # RE2 needs no possessive repetition and has no look-behind: the character before is part of the hit, and no match before has it.
+    pattern = pattern.replace("}+", "}").replace("++-----", "+-----").replace("*+", "*").replace("(?<![A-Za-z0-9_-])eyJ", "(?:^|[^A-Za-z0-9_-])eyJ")
+    cut = "[regexp_replace(h, '^[^A-Za-z0-9_-]eyJ', 'eyJ') FOR h IN vals]" if name == "vendor" else "vals"
+    return f"""k{kind} AS (SELECT doc_id, source, lang, {kind} AS kind, upto - {'length(value)' if name == 'vendor' else 'size'} AS start, upto AS "end", '{name}:' || value AS secret FROM (
   SELECT doc_id, source, lang, size, value, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (
-    SELECT doc_id, source, lang, unnest(range(len(hits))) AS i, unnest([length(x) FOR x IN pieces[1:len(hits)]]) AS gap, unnest([length(x) FOR x IN hits]) AS size, unnest(vals) AS value FROM (
+    SELECT doc_id, source, lang, unnest(range(len(hits))) AS i, unnest([length(x) FOR x IN pieces[1:len(hits)]]) AS gap, unnest([length(x) FOR x IN hits]) AS size, unnest({cut}) AS value FROM (
       SELECT doc_id, source, lang, string_split_regex(text, '{pattern}') AS pieces, regexp_extract_all(text, '{pattern}', 0) AS hits, regexp_extract_all(text, '{pattern}', {group}) AS vals
       FROM documents WHERE regexp_matches(text, '{pattern}')))) WHERE length(value) >= {least})"""
 
@@ -140,9 +150,10 @@ ORACLE_SQL = {
     "op6_secret_scan": f"""{_FOUND},
 counted AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{KINDS[k][0]}" for k in range(BASE))},
   string_agg(name, ',' ORDER BY start, kind) FILTER (kind < {BASE}) AS base, string_agg(name, ',' ORDER BY start, kind) AS spans,
-  count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (example) AS n_example FROM judged GROUP BY doc_id)
+  count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (example) AS n_example,
+  count(*) FILTER (owners > 1 AND NOT example) AS n_shared, string_agg(name, ',' ORDER BY start, kind) FILTER (owners > 1 AND NOT example) AS shared_spans FROM judged GROUP BY doc_id)
 SELECT d.doc_id, {", ".join(f"coalesce(n_{KINDS[k][0]}, 0) AS n_{KINDS[k][0]}" for k in range(BASE))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM documents d LEFT JOIN counted USING (doc_id)""",
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_shared, 0) AS n_shared, coalesce(shared_spans, '') AS shared_spans FROM documents d LEFT JOIN counted USING (doc_id)""",
     "op6_secret_shared": f"""{_FOUND},
 counted AS (SELECT doc_id, count(*) AS n_shared, string_agg(name, ',' ORDER BY start, kind) AS shared_spans FROM judged WHERE owners > 1 AND NOT example GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_shared, 0) AS n_shared, coalesce(shared_spans, '') AS shared_spans FROM documents d LEFT JOIN counted USING (doc_id)""",

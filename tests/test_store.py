@@ -295,18 +295,105 @@ def test_a_batch_touches_its_own_buckets(spark, tmp_path):
         (tmp_path / f"in/{k}.jsonl").write_text(claude(session=f"session-{k}"))
     found = lambda name: logs.files(spark, str(tmp_path / "in"), name)
     buckets.write(empty_store(spark), path, 64)
-    whole = buckets.ingest_into(spark, path, found("*.jsonl"), "claude_code", AT, n=64)
+    whole = buckets.ingest_into(spark, path, found("*.jsonl"), "claude_code", AT)
     count = lambda: {t: buckets.read(spark, path)[t].count() for t in ("conversations", "prompts", "responses", "tool_calls", "response_content", "ingested_files", "tool_call_tags")}
-    first = count()
+    first, before, reader = count(), buckets.latest(spark, path), buckets.read(spark, path)
     assert len(whole) > 1 and first["conversations"] == 3 and first["ingested_files"] == 3
-    stamps = lambda: {p: p.stat().st_mtime_ns for p in at.rglob("*.parquet") if "bucket=" in str(p)}
-    before = stamps()
+    stamps = lambda: {p: p.stat().st_mtime_ns for p in at.rglob("*.parquet")}
+    files = stamps()
     (tmp_path / "in/1.jsonl").write_text(claude("hello again", session="session-1"))
-    one = buckets.ingest_into(spark, path, found("*.jsonl"), "claude_code", "2024-03-01T00:00:00Z", n=64)
-    after = stamps()
+    one = buckets.ingest_into(spark, path, found("*.jsonl"), "claude_code", "2024-03-01T00:00:00Z")
+    after = buckets.latest(spark, path)
     assert len(one) == 1 and count() == first
-    changed = {p.parent.name for p in {*before, *after} if before.get(p) != after.get(p) and "ingested_files" not in str(p)}
-    assert changed == {f"bucket={one[0]}"}
-    said = [r["content"] for r in buckets.read(spark, path)["prompt_content"].collect()]
-    assert sum("hello again" in s for s in said) == 1 and len(said) == first["prompts"]
-    assert buckets.ingest_into(spark, path, found("*.jsonl"), "claude_code", AT, n=64) == []
+    # All files that there were are still the same; the new version names others for one bucket alone.
+    assert files.items() <= stamps().items()
+    for name in buckets.IN_BUCKETS - {"ingested_files"}:
+        assert {k for k in {**before.folders[name], **after.folders[name]} if before.folders[name].get(k) != after.folders[name].get(k)} <= {str(one[0])}
+    said = lambda store: [r["content"] for r in store["prompt_content"].collect()]
+    assert sum("hello again" in s for s in said(buckets.read(spark, path))) == 1 and len(said(buckets.read(spark, path))) == first["prompts"]
+    # Who read before still sees what there was.
+    assert not any("hello again" in s for s in said(reader)) and not any("hello again" in s for s in said(buckets.read(spark, path, version=before)))
+    assert buckets.ingest_into(spark, path, found("*.jsonl"), "claude_code", AT) == []
+    gone = buckets.vacuum(spark, path, keep=1)
+    assert gone and count() == first and len(said(buckets.read(spark, path))) == first["prompts"]
+    with pytest.raises(Exception, match="versions"):
+        buckets.at_version(spark, path, before.number)
+
+
+def _sorted(store, names=("conversations", "prompts", "responses", "tool_calls", "prompt_content", "response_content", "ingested_files", "tool_call_tags", "response_attributes")):
+    return {t: sorted(map(str, store[t].collect())) for t in names}
+
+
+def test_buckets_split(spark, tmp_path):
+    path = str(tmp_path / "store")
+    (tmp_path / "in").mkdir()
+    for k in range(12):
+        (tmp_path / f"in/{k}.jsonl").write_text(claude(session=f"session-{k}"))
+    buckets.write(empty_store(spark), path, 2)
+    buckets.ingest_into(spark, path, logs.files(spark, str(tmp_path / "in"), "*.jsonl"), "claude_code", AT)
+    rows = _sorted(buckets.read(spark, path))
+    assert buckets.crowded(spark, path, 4) >= 2
+    first = buckets.split(spark, path)
+    assert (first.level, first.split, first.n) == (2, 1, 3) and _sorted(buckets.read(spark, path)) == rows
+    second = buckets.split(spark, path, 5)
+    assert (second.level, second.split) == (4, 0) and _sorted(buckets.read(spark, path)) == rows
+    assert set(second.folders["conversations"]) <= {"0", "1", "2", "3"} and len(second.folders["conversations"]) > 2
+    # Each row is in its bucket: a changed file finds its own.
+    (tmp_path / "in/7.jsonl").write_text(claude("changed", session="session-7"))
+    assert len(buckets.ingest_into(spark, path, logs.files(spark, str(tmp_path / "in"), "*.jsonl"), "claude_code", AT)) == 1
+    assert {t: len(x) for t, x in _sorted(buckets.read(spark, path)).items()} == {t: len(x) for t, x in rows.items()}
+
+
+def test_batches_of_a_stream_become_versions(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_text(claude(session="a"))
+    buckets.write(empty_store(spark), path, 8)
+    run = lambda: buckets.ingest_stream_into(ingest.file_stream(spark, str(tmp_path / "in")), "claude_code", path, str(tmp_path / "cp"), lambda: AT, "logs").awaitTermination()
+    run()
+    known = lambda: sorted(r["external_id"] for r in buckets.read(spark, path)["conversations"].collect())
+    assert known() == ["claude_code::a"] and buckets.latest(spark, path).streams == {"logs": 0}
+    # A batch that comes again is nothing.
+    version = buckets.latest(spark, path).number
+    assert buckets.ingest_into(spark, path, logs.files(spark, str(tmp_path / "in"), "*.jsonl"), "claude_code", AT, stream="logs", batch=0) == []
+    assert buckets.latest(spark, path).number == version
+    # A batch that fails between two tables leaves the store as it was; it comes again, whole.
+    (tmp_path / "in/b.jsonl").write_text(claude(session="b"))
+    made = buckets._with_bucket
+
+    def failing(store, name, version):
+        if name == "prompts":
+            raise RuntimeError("lost")
+        return made(store, name, version)
+
+    monkeypatch.setattr(buckets, "_with_bucket", failing)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert known() == ["claude_code::a"] and buckets.latest(spark, path).number == version
+    monkeypatch.setattr(buckets, "_with_bucket", made)
+    run()
+    assert known() == ["claude_code::a", "claude_code::b"] and buckets.latest(spark, path).streams == {"logs": 1}
+    # Two writers from one version: the second is told.
+    with pytest.raises(buckets.Conflict):
+        buckets._commit(spark, path, buckets.at_version(spark, path, version))
+    with pytest.raises(FileExistsError):
+        buckets.write(empty_store(spark), path)
+
+
+def test_stores_of_other_schemas(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    store = {"conversations": spark.createDataFrame([("c1", "x::1", "h", "w", None, "2024", None)], SCHEMAS["conversations"])}
+    buckets.write(store, path, 4)
+    # An older file without a column, and a store without most tables.
+    version = buckets.latest(spark, path)
+    ((k, folder),) = version.folders["conversations"].items()
+    old = spark.read.parquet(f"{path}/data/conversations/{folder}/bucket={k}").drop("branch", "ended_at")
+    old.write.parquet(f"{path}/data/conversations/old/bucket={k}")
+    buckets._commit(spark, path, buckets.replace(version, folders={"conversations": {k: "old"}}))
+    row = buckets.read(spark, path)["conversations"].first()
+    assert (row["id"], row["branch"], row["ended_at"]) == ("c1", None, None) and buckets.read(spark, path)["prompts"].count() == 0
+    monkeypatch.setattr(buckets, "VERSION", 2)
+    buckets._commit(spark, path, buckets.latest(spark, path))
+    monkeypatch.setattr(buckets, "VERSION", 1)
+    with pytest.raises(ValueError, match="version 2"):
+        buckets.latest(spark, path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from threadmill import schema
 from threadmill.functions import scalars
-from threadmill.operators import analytics, chunks, exchanges, export, filters, fulltext, health, maintenance, vectors
+from threadmill.operators import analytics, cells, chunks, exchanges, export, filters, fulltext, health, maintenance, vectors
 from threadmill.plans import canonical
 from threadmill.plans.canonical import with_store
 from threadmill.plans.tables import new_path
@@ -290,9 +290,23 @@ over_store("fn20_cosine", f"WITH {_SIM} SELECT chunk_id, round(score, 4) AS scor
 over_store("ret04_top_k", f"WITH {_SIM} SELECT chunk_id, round(score, 4) AS score FROM v ORDER BY v.score DESC, chunk_id LIMIT 20")(lambda s: vectors.top_k(s["chunks"], QUERY, 20).select("chunk_id", _four("score")))
 over_store("ret04_top_k_of", f"WITH {_SIM} SELECT chunk_id, round(score, 4) AS score FROM v WHERE conversation_id IN (1, 3) ORDER BY v.score DESC, chunk_id LIMIT 20")(lambda s: vectors.top_k(s["chunks"], QUERY, 20, s["chunks"].where("conversation_id IN (1, 3)").select(F.col("conversation_id").alias("id"))).select("chunk_id", _four("score")))
 _ASKED = "q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), k AS (SELECT query, vec_id AS chunk_id, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings)"
-over_tables("ret04_nearest", f"WITH {_ASKED}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS place FROM k) SELECT query, CAST(place AS INT) AS place, round(score, 4) + 0.0::DOUBLE AS score FROM r WHERE place <= 10")(
-    lambda s, d: vectors.nearest(canonical.chunks(s, d), canonical.read(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding"), 10).select("query", "place", _four("score"))
-)
+_NEAREST = f"WITH {_ASKED}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS place FROM k) SELECT query, CAST(place AS INT) AS place, round(score, 4) + 0.0::DOUBLE AS score FROM r WHERE place <= 10"
+_asked = lambda s, d: canonical.read(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+over_tables("ret04_nearest", _NEAREST)(lambda s, d: vectors.nearest(canonical.chunks(s, d), _asked(s, d), 10).select("query", "place", _four("score")))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> cells.Cells:
+    """The cells of a folder's embeddings, two thirds written and a third added, by the first query of a session that asks for them."""
+    key = spark.sparkContext.applicationId, f"cells of {sf_dir}"
+    if key not in _STORED:
+        path, rows = new_path(spark, "cells"), canonical.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+        cells.write(rows.where("chunk_id % 3 < 2"), path)
+        cells.add(rows.where("chunk_id % 3 = 2"), path)
+        _STORED[key] = path
+    return cells.read(spark, _STORED[key])
+
+
+over_tables("ret04_cells", _NEAREST)(lambda s, d: cells.search(_cells(s, d), _asked(s, d), 10).select("query", "place", _four("score")))
 over_store("ret05_recency", f"SELECT id, round(1 + 0.15 * exp(-ln(2) * greatest(epoch(TIMESTAMP '2026-01-01') - epoch(CAST(replace(replace(started_at, 'T', ' '), 'Z', '') AS TIMESTAMP)), 0) / 86400 / 3000), 6) AS weight FROM c_conversations")(lambda s: s["conversations"].select("id", F.round(vectors.recency_weight(F.col("started_at"), F.to_timestamp(F.lit(AS_OF)), 3000), 6).alias("weight")))
 over_store("ret10_conversation_scores", f"WITH {_SIM} SELECT conversation_id, round(max(score), 4) AS max_score, round(avg(score), 4) AS mean_score, count(*) AS chunks, substr(max_by(text, score), 1, 500) AS excerpt FROM v GROUP BY 1 ORDER BY max(score) DESC, 1 LIMIT 5")(lambda s: vectors.conversation_scores(_scored(s), 5).select("conversation_id", _four("max_score"), _four("mean_score"), "chunks", "excerpt"))
 over_store("ret11_threads", f"WITH {_SIM}, b AS (SELECT conversation_id, max(score) AS m FROM v GROUP BY 1) SELECT chunk_id, CASE WHEN m > (SELECT avg(m) FROM b) THEN 1 ELSE 2 END AS tier FROM v JOIN b USING (conversation_id)")(lambda s: vectors.threads(_scored(s)).select("chunk_id", "tier"))

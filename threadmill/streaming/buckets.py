@@ -1,88 +1,227 @@
-"""A store on disk in buckets of conversations: a batch of files reads and rewrites the buckets of its own conversations, and no others.
+"""A store on disk in buckets of conversations and in versions: a batch of files reads and rewrites the buckets of its own conversations, and no others.
 
 Tables that belong to conversations are partitioned by a hash of the conversation's id, the ledger by a hash of the path; vocabularies and the like, which are small, are
-single tables. The ledger is written last: a batch that failed half way is due again, and replaces what it has written.
+single tables. Nothing is ever written over. A batch writes the buckets that it touches into folders of their own; then one small file, versions/<number>, says for each table
+and bucket in which folder it is. That file comes last and is there whole or not at all, so a reader sees the version before or the one after, whatever fails in between, and a reader
+that has begun goes on with its version. Two writers that start from one version can't both commit: the second gets Conflict, and begins again. vacuum() deletes what no
+version that is kept names.
+
+Each version also has the number of the last batch of every stream, so a batch that comes twice is nothing the second time (STR-01), and the schema's version: columns that older
+files lack are null, tables they lack are empty, and a store of a newer schema is an error (SNK-09).
+
+Buckets grow by splitting, a few at a time: of `level` buckets the first `split` ones have been split in two by the next bit of the hash; when all have, the level doubles. So a store
+that has grown a hundredfold is read and written bucket by bucket as before.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from threadmill.operators.maintenance import to_ingest
+from threadmill.plans.pointers import Taken, names, read_text, write_once
 from threadmill.plans.tables import delete, settled
-from threadmill.schema import CHILDREN, SCHEMAS, Store
+from threadmill.schema import CHILDREN, SCHEMAS, VERSION, Store
 from threadmill.sources.logs import READERS, first_sessions, with_ids
 from threadmill.streaming.ingest import ingest
 
 BUCKETS = 256
+#: Responses and calls in a bucket, on average, from which on crowded() asks for splits.
+MOST_ROWS = 2_000_000
 LEDGER, PARENTS = "ingested_files", ("prompts", "responses", "tool_calls")
 #: Tables of conversations by their column that names one, and tables of what belongs to one by their parent and the column that names it.
 OF_CONVERSATION = {"conversations": "id"} | dict(CHILDREN["conversations"])
 OF_CHILD = {table: (parent, column) for parent in PARENTS for table, column in CHILDREN[parent]}
+IN_BUCKETS = {LEDGER, *OF_CONVERSATION, *OF_CHILD}
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed a version since this one began."""
+
+
+@dataclass(frozen=True)
+class Version:
+    number: int = 0
+    level: int = BUCKETS
+    split: int = 0
+    schema: int = VERSION
+    #: Of each table the folder of each bucket; single tables have the bucket "".
+    folders: dict[str, dict[str, str]] = field(default_factory=dict)
+    #: Of each stream its last batch.
+    streams: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def n(self) -> int:
+        return self.level + self.split
+
+
+def bucket(key: str, version: Version) -> Column:
+    hashed = F.xxhash64(key)
+    first = F.pmod(hashed, F.lit(version.level))
+    return F.when(first < version.split, F.pmod(hashed, F.lit(2 * version.level))).otherwise(first).cast("int").alias("bucket")
+
+
+def _name(number: int) -> str:
+    return f"{number:012d}"
+
 
+def latest(spark: SparkSession, path: str) -> Version:
+    """The last version of the store under path."""
+    there = [n for n in names(spark, f"{path}/versions") if n.isdigit()]
+    if not there:
+        raise FileNotFoundError(f"no store under {path}")
+    return at_version(spark, path, int(there[-1]))
 
-def bucket(key: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("bucket")
 
+def at_version(spark: SparkSession, path: str, number: int) -> Version:
+    found = Version(**json.loads(read_text(spark, f"{path}/versions/{_name(number)}")))
+    if found.schema > VERSION:
+        raise ValueError(f"the store has version {found.schema} of the schema, this library knows {VERSION}")
+    return found
 
-def _with_bucket(store: Store, name: str, n: int) -> DataFrame | None:
-    """A table with its buckets; None for one without."""
+
+def _commit(spark: SparkSession, path: str, version: Version) -> Version:
+    made = replace(version, number=version.number + 1, schema=VERSION)
+    try:
+        write_once(spark, f"{path}/versions", _name(made.number), json.dumps(made.__dict__, separators=(",", ":")))
+    except Taken:
+        raise Conflict(f"{path} has a version {made.number} already") from None
+    return made
+
+
+def _with_bucket(store: Store, name: str, version: Version) -> DataFrame:
+    """A table with its buckets."""
     if name == LEDGER:
-        return store[name].withColumn("bucket", bucket("path", n))
+        return store[name].withColumn("bucket", bucket("path", version))
     if name in OF_CONVERSATION:
-        return store[name].withColumn("bucket", bucket(OF_CONVERSATION[name], n))
-    if name in OF_CHILD:
-        parent, column = OF_CHILD[name]
-        parents = store[parent].select(F.col("id").alias(column), F.col("conversation_id").alias("__c"))
-        return store[name].join(parents, column).withColumn("bucket", bucket("__c", n)).drop("__c")
-    return None
-
-
-def write(store: Store, path: str, n: int = BUCKETS, only: list[str] | None = None, touched: list[int] | None = None, ledger: list[int] | None = None) -> None:
-    """The tables under path. Of those in buckets the touched ones are replaced, of the ledger those of `ledger`. No table may be read from there any more."""
-    for name in sorted(only or store, key=lambda t: t == LEDGER):
-        rows, columns = _with_bucket(store, name, n), SCHEMAS[name].names
-        if rows is None:
-            store[name].select(*columns).write.mode("overwrite").parquet(f"{path}/{name}")
-            continue
-        rows = rows.select(*columns, "bucket")
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
-        old = (ledger if name == LEDGER else touched) or []
-        left = {r["bucket"] for r in rows.select("bucket").distinct().collect()} if old else set()  # n numbers at most
-        for k in set(old) - left:  # of these no row is left
-            delete(rows.sparkSession, f"{path}/{name}/bucket={k}")
-
-
-def read(spark: SparkSession, path: str, buckets: list[int] | None = None, ledger: list[int] | None = None) -> Store:
-    """The store under path, or these buckets of it and of its ledger."""
-    out = {}
-    for name, schema in SCHEMAS.items():
-        if name != LEDGER and name not in OF_CONVERSATION and name not in OF_CHILD:
-            out[name] = spark.read.schema(schema).parquet(f"{path}/{name}")
+        return store[name].withColumn("bucket", bucket(OF_CONVERSATION[name], version))
+    parent, column = OF_CHILD[name]
+    parents = store[parent].select(F.col("id").alias(column), F.col("conversation_id").alias("__c"))
+    return store[name].join(parents, column).withColumn("bucket", bucket("__c", version)).drop("__c")
+
+
+def _written(store: Store, path: str, version: Version, tables: list[str], touched: list[int] | None, ledger: list[int] | None) -> Version:
+    """The tables in new folders, and a version that names them instead of what these buckets had; not committed."""
+    folders = {t: dict(of) for t, of in version.folders.items()}
+    for name in tables:
+        folder, columns = uuid.uuid4().hex[:16], SCHEMAS[name].names
+        place = f"{path}/data/{name}/{folder}"
+        if name not in IN_BUCKETS:
+            store[name].select(*columns).write.parquet(place)
+            folders[name] = {"": folder}
             continue
-        some = ledger if name == LEDGER else buckets
-        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{path}/{name}")
-        out[name] = (rows if some is None else rows.where(F.col("bucket").isin(some))).select(*schema.names)
-    return out
+        rows = _with_bucket(store, name, version).select(*columns, "bucket")
+        key = "path" if name == LEDGER else "id"
+        rows.repartitionByRange("bucket", F.xxhash64(key)).write.partitionBy("bucket").parquet(place)
+        made = {n.removeprefix("bucket="): folder for n in names(rows.sparkSession, place) if n.startswith("bucket=")}
+        old = ledger if name == LEDGER else touched
+        gone = set(folders.get(name, {})) if old is None else {str(k) for k in old}
+        folders[name] = {k: f for k, f in folders.get(name, {}).items() if k not in gone} | made
+    return replace(version, folders=folders)
+
+
+def write(store: Store, path: str, n: int = BUCKETS) -> Version:
+    """A new store under path, with all these tables."""
+    spark = next(iter(store.values())).sparkSession
+    if names(spark, f"{path}/versions"):
+        raise FileExistsError(f"there is a store under {path}")
+    return _commit(spark, path, _written(store, path, Version(level=n), sorted(store), None, None))
+
 
+def _table(spark: SparkSession, path: str, version: Version, name: str, some: list[int] | None) -> DataFrame:
+    schema, of = SCHEMAS[name], version.folders.get(name, {})
+    if name not in IN_BUCKETS:
+        return spark.read.schema(schema).parquet(f"{path}/data/{name}/{of['']}") if of else spark.createDataFrame([], schema)
+    wanted = of if some is None else {str(k): of[str(k)] for k in some if str(k) in of}
+    paths = [f"{path}/data/{name}/{folder}/bucket={k}" for k, folder in sorted(wanted.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
-def _numbers(rows: DataFrame, key: str, n: int) -> list[int]:
-    """The buckets of the rows: n at most."""
-    return sorted(r["bucket"] for r in rows.where(F.col(key).isNotNull()).select(bucket(key, n)).distinct().collect())
 
+def read(spark: SparkSession, path: str, buckets: list[int] | None = None, ledger: list[int] | None = None, version: Version | None = None) -> Store:
+    """SRC-13: the store under path, or these buckets of it and of its ledger, as of a version, the last one if not said. Batches that are committed later don't show in it."""
+    version = version or latest(spark, path)
+    return {name: _table(spark, path, version, name, ledger if name == LEDGER else buckets) for name in SCHEMAS}
 
-def ingest_into(spark: SparkSession, path: str, files: DataFrame, harness: str, at: str, program: str = "threadmill", n: int = BUCKETS) -> list[int]:
-    """STR-01: ingest() into a store in buckets; the buckets of conversations that were read and written. Its cost follows the batch and these buckets."""
+
+def _numbers(rows: DataFrame, key: str, version: Version) -> list[int]:
+    """The buckets of the rows: no more than the store has."""
+    return sorted(r["bucket"] for r in rows.where(F.col(key).isNotNull()).select(bucket(key, version)).distinct().collect())
+
+
+def ingest_into(spark: SparkSession, path: str, files: DataFrame, harness: str, at: str, program: str = "threadmill", stream: str | None = None, batch: int | None = None) -> list[int]:
+    """STR-01: ingest() into a store in buckets, as one version; the buckets of conversations that were read and written. Its cost follows the batch and these buckets.
+
+    With a stream's name and the number of its batch, the batch is left out if the store has it already."""
+    version = latest(spark, path)
+    if stream is not None and batch is not None and version.streams.get(stream, -1) >= batch:
+        return []
     files = settled(files)
-    of_files = _numbers(files, "path", n)
-    due = settled(to_ingest(files, read(spark, path, [], of_files)[LEDGER]))
+    of_files = _numbers(files, "path", version)
+    due = settled(to_ingest(files, read(spark, path, [], of_files, version)[LEDGER]))
     sessions = first_sessions(READERS[harness](due)).sessions
     touched = with_ids(sessions).select("id").union(due.select(F.col("old_conversation_id").alias("id")))
-    buckets = _numbers(touched, "id", n)
-    before = read(spark, path, buckets, of_files)
+    buckets = _numbers(touched, "id", version)
+    before = read(spark, path, buckets, of_files, version)
     after = ingest(before, files, harness, at, program)
-    changed = [name for name in after if after[name] is not before[name]]
-    write({name: settled(table) for name, table in after.items() if name in changed or name in PARENTS}, path, n, changed, buckets, of_files)
+    changed = [name for name in sorted(after) if after[name] is not before[name]]
+    made = _written({name: settled(table) if name in changed else table for name, table in after.items()}, path, version, changed, buckets, of_files)
+    _commit(spark, path, replace(made, streams=version.streams | ({stream: batch} if stream is not None and batch is not None else {})))
     return buckets
+
+
+def ingest_stream_into(files: DataFrame, harness: str, path: str, checkpoint: str, now: Callable[[], str], stream: str) -> StreamingQuery:
+    """STR-01: every batch of a stream of files (ingest.file_stream) becomes a version of the store under path; one that comes again after a failure is nothing if it was committed."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        ingest_into(rows.sparkSession, path, rows, harness, now(), stream=stream, batch=number)
+
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# --- Upkeep ------------------------------------------------------------------------------------------------------------
+
+
+def crowded(spark: SparkSession, path: str, most: int = MOST_ROWS) -> int:
+    """How many buckets to split so that the average bucket has no more responses and calls than this; counted from the files' footers."""
+    version = latest(spark, path)
+    rows = sum(_table(spark, path, version, name, None).count() for name in ("responses", "tool_calls"))
+    return max(0, -(-rows // most) - version.n)
+
+
+def split(spark: SparkSession, path: str, some: int = 1) -> Version:
+    """Split the next buckets in two, as one version. They are read and written, no others; single tables aren't touched."""
+    version = latest(spark, path)
+    some = min(some, version.level - version.split)
+    old = list(range(version.split, version.split + some))
+    after = replace(version, split=version.split + some)
+    made = _written(read(spark, path, old, old, version), path, after, sorted(IN_BUCKETS), old, old)
+    if made.split == made.level:
+        made = replace(made, level=2 * made.level, split=0)
+    return _commit(spark, path, made)
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete all versions but the last `keep`, and the folders that none of these names; those of a batch that is being written, too, so no writer may be at work. What was deleted."""
+    numbers = [int(n) for n in names(spark, f"{path}/versions") if n.isdigit()]
+    kept = [at_version(spark, path, n) for n in numbers[-max(1, keep) :]]
+    gone = [f"{path}/versions/{_name(n)}" for n in numbers[: -max(1, keep)]]
+    for name in SCHEMAS:
+        used: dict[str, set[str]] = {}
+        for version in kept:
+            for k, folder in version.folders.get(name, {}).items():
+                used.setdefault(folder, set()).add(k)
+        for folder in names(spark, f"{path}/data/{name}"):
+            place = f"{path}/data/{name}/{folder}"
+            if folder not in used:
+                gone.append(place)
+            elif name in IN_BUCKETS:
+                gone += [f"{place}/{n}" for n in names(spark, place) if n.startswith("bucket=") and n.removeprefix("bucket=") not in used[folder]]
+    for place in gone:
+        delete(spark, place)
+    return gone

@@ -6,8 +6,9 @@ brings it to FILE_IDS ids or FILE_DOCS documents, so what a task holds is bounde
 named nowhere, as only the manifest, which Spark commits once, says which files there are and in which order. Offsets in the whole corpus are the file's place in
 the manifest plus the boundary in it, so nothing grows but the manifest by a row a file. Files go through pyarrow.fs.
 
-A text is cut at spaces, tabs and line ends, which no token of these vocabularies crosses; each distinct word is encoded once by the tokenizers library and kept in a table of
-bounded size, so the ids are the library's for the whole text. `crosses` raises an error for a tokenizer of which that isn't known to hold.
+A text is cut at spaces, tabs and line ends, and between ASCII letters and other ASCII characters, where the vocabulary's pattern cuts it in any case; each distinct word is
+encoded by the tokenizers library, many at a time with a special token between them, and kept in a table of bounded size. So the ids are the library's for the whole text.
+A slice with the name of an added token is cut at white space alone. A tokenizer of which `crosses` can't tell that this holds is an error.
 
 Null or empty text: the end id alone. A null id sorts first. Rows of one id are in the order of their texts' hashes; rows that repeat are all written, and may be split
 among files. A very long text is one document of whatever length, read and written whole. An empty table gives no files and an empty result. Only id and
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import materialize, new_path, plain, read
+from threadmill.llm.common import byte_chunks, materialize, new_path, plain, read
 from threadmill.llm.eliasfano import EliasFano
 from threadmill.llm.pieces import _ragged
 
@@ -38,11 +39,13 @@ from threadmill.llm.pieces import _ragged
 FILE_IDS = 1 << 26
 FILE_DOCS = 1 << 22
 #: Bytes of text that are encoded at once, and ids that are read at once; a longer document stands alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 SLICE_IDS = 1 << 20
-#: Words, and their characters and ids together, that a worker keeps; beyond it the table starts anew.
-TABLE_WORDS = 250_000
-TABLE_SIZE = 16 * TABLE_WORDS
+#: New words that are encoded at once.
+LEARN_WORDS = 2000
+#: Words, and their bytes and ids together, that a worker keeps; beyond it the half that was met most often stays.
+TABLE_WORDS = 400_000
+TABLE_SIZE = 32 * TABLE_WORDS
 MAGIC = b"TMIDS001"
 _FOOTER = struct.Struct("<QQQQB8s")  # ids, bytes of the boundaries, bytes of the document ids, null document ids, bytes an id, magic
 
@@ -58,6 +61,15 @@ def crosses(spec: dict) -> bool:
     return not dropped or added or not {r.get("type") for r in rules.get("normalizers", [rules])} <= known
 
 
+#: Bytes of ASCII letters, those that separate words, and the rest of ASCII without the apostrophe, which may belong to the letters after it.
+_LETTER, _SPACE, _OTHER, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
+_OTHER[:0x80] = ~(_LETTER | _SPACE)[:0x80]
+_OTHER[0x27] = False
+_LOWER[0x41:0x5B] += 32
+
+
 class Encoder:
     """Ids of texts, an end id after each."""
 
@@ -71,40 +83,93 @@ class Encoder:
             raise ValueError(f"texts can't be cut at white space for {path}")
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.starts, self.lengths, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        ids = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(lengths.sum()))
+        added = spec.get("added_tokens", [])
+        self.added = [t["content"].lower().encode() for t in added]
+        lower = any(r.get("type") == "Lowercase" for r in (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {}]))
+        #: A token that stands between words when many are encoded at once, for a tokenizer that lowers letters.
+        self.mark = next(((t["content"], t["id"]) for t in added if t["special"] and not t["normalized"]), None) if lower else None
+        self.index: dict[bytes, int] = {}
+        self.ids, self.starts, self.lengths, self.hits = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))
+        self.size = 0
+
+    def _shrink(self) -> None:
+        """Keep the words met most often, as long as these have half of the room."""
+        names = list(self.index)
+        sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names)) + self.lengths
+        order = np.argsort(-self.hits, kind="stable")[: TABLE_WORDS // 2]
+        kept = np.sort(order[: np.searchsorted(np.cumsum(sizes[order]), TABLE_SIZE // 2)])
+        self.ids = self.ids[_ragged(self.starts[kept], self.lengths[kept])]
+        self.lengths, self.hits, self.size = self.lengths[kept], self.hits[kept] // 2, int(sizes[kept].sum())
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.index = {names[k]: n for n, k in enumerate(kept.tolist())}
+
+    def _encoded(self, words: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words in one array, and how many each has. joined: no word has the mark."""
+        parts, lengths = [], []
+        for k in range(0, len(words), LEARN_WORDS):
+            some = words[k : k + LEARN_WORDS]
+            if joined:
+                mark, mark_id = self.mark
+                ids = np.array(self.tokenizer.encode(mark.join(some) + mark, add_special_tokens=False).ids, dtype=np.int32)
+                ends = np.flatnonzero(ids == mark_id)
+                lengths.append(np.diff(ends, prepend=-1) - 1)
+                parts.append(ids[ids != mark_id])
+            else:
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                lengths.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+                parts.append(np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(lengths[-1].sum())))
+        return np.concatenate(parts), np.concatenate(lengths)
+
+    def _learn(self, words: list[bytes], joined: bool) -> None:
+        ids, lengths = self._encoded([w.decode() for w in words], joined)
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
         self.lengths, self.ids = np.concatenate((self.lengths, lengths)), np.concatenate((self.ids, ids))
+        self.hits = np.concatenate((self.hits, np.zeros(len(words), np.int64)))
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
         self.size += sum(map(len, words)) + len(ids)
 
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one array, and how many each text has."""
+    def _slice(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > TABLE_WORDS or self.size > TABLE_SIZE:
-            self._reset()
-        cut = [t.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
-        if new := list(set(chain.from_iterable(cut)).difference(self.index)):
-            self._learn(new)
-        words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
-        lengths = self.lengths[words]
-        total = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(np.fromiter(map(len, cut), dtype=np.int64, count=len(cut)))]
+            self._shrink()
+        keep = ~_SPACE[data]
+        # Between an ASCII letter and another ASCII character but the apostrophe the pattern cuts, too; then case doesn't matter. Not where a text may have added tokens.
+        lower = _LOWER[data]
+        whole = lower.tobytes()
+        finer = self.mark is not None and not any(t in whole for t in self.added)
+        opens = keep.copy()
+        opens[1:] &= ~keep[:-1]
+        if finer:
+            letter, other = _LETTER[data], _OTHER[data]
+            opens[1:] |= keep[1:] & (letter[:-1] & other[1:] | other[:-1] & letter[1:])
+        first = offsets[:-1][offsets[:-1] < len(data)]
+        opens[first] |= keep[first]
+        starts = np.flatnonzero(opens)
+        at = np.append(np.cumsum(keep)[starts] - 1, keep.sum()).astype(np.int64)
+        flat = (lower if finer else data)[keep]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(flat)]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        if new := [w for w in distinct if w not in self.index]:
+            self._learn(new, finer)
+        known = np.fromiter(map(self.index.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        at = words.indices.to_numpy(zero_copy_only=False)
+        self.hits[known] += np.bincount(at, minlength=len(distinct))
+        word = known[at]
+        lengths = self.lengths[word]
+        total = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(starts, offsets[1:])]
         counts = np.diff(total, prepend=0) + 1
         out = np.empty(int(counts.sum()), dtype=np.int32)
         ends = np.cumsum(counts) - 1
         inner = np.ones(len(out), dtype=bool)
         inner[ends] = False
-        out[inner] = self.ids[_ragged(self.starts[words], lengths)]
+        out[inner] = self.ids[_ragged(self.starts[word], lengths)]
         out[ends] = end
         return out, counts
 
+    def encode(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of runs of texts the first one's place, the ids of all in one array, and how many each has."""
+        for first, data, offsets in byte_chunks(texts, SLICE_BYTES):
+            yield first, *self._slice(data, offsets, end)
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -163,37 +228,26 @@ class _Writer:
         return self.path, self.docs, self.n_ids
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about SLICE_BYTES of text."""
-    sizes = np.array([len(t) if t else 0 for t in batch.column(1).to_pylist()], dtype=np.int64)
-    group = (np.cumsum(sizes) - sizes) // SLICE_BYTES
-    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, id_column: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
     """Write the ids of all texts, in ascending order of their document ids, under folder. The manifest, stored: part and seq (the files' order), path, docs, ids."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, out, own = TaskContext.get().partitionId(), 0, None, encoder(tokenizer)
         done: list[tuple] = []
-        for batch in chain.from_iterable(map(_slices, batches)):
-            keys = batch.column(0)
-            ids, counts = own.encode(batch.column(1).to_pylist(), end)
-            ends, k = np.cumsum(counts), 0
-            while k < len(counts):
-                out = out or _Writer(folder, own.width)
-                begin = int(ends[k] - counts[k])
-                # As many documents as fit, the one that fills the file included.
-                n = min(len(counts) - k, file_docs - out.docs, int(np.searchsorted(ends[k:], begin + file_ids - out.n_ids)) + 1)
-                some = keys.slice(k, n)
-                out.add(some.drop_null().to_numpy(zero_copy_only=False), some.null_count, ids[begin : ends[k + n - 1]], counts[k : k + n])
-                k += n
-                if out.n_ids >= file_ids or out.docs >= file_docs:
-                    done.append((part, seq, *out.close()))
-                    out, seq = None, seq + 1
+        for batch in batches:
+            for first, ids, counts in own.encode(batch.column(1), end):
+                keys, ends, k = batch.column(0).slice(first, len(counts)), np.cumsum(counts), 0
+                while k < len(counts):
+                    out = out or _Writer(folder, own.width)
+                    begin = int(ends[k] - counts[k])
+                    # As many documents as fit, the one that fills the file included.
+                    n = min(len(counts) - k, file_docs - out.docs, int(np.searchsorted(ends[k:], begin + file_ids - out.n_ids)) + 1)
+                    some = keys.slice(k, n)
+                    out.add(some.drop_null().to_numpy(zero_copy_only=False), some.null_count, ids[begin : ends[k + n - 1]], counts[k : k + n])
+                    k += n
+                    if out.n_ids >= file_ids or out.docs >= file_docs:
+                        done.append((part, seq, *out.close()))
+                        out, seq = None, seq + 1
         if out is not None:
             done.append((part, seq, *out.close()))
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in done], schema)

@@ -13,6 +13,10 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries without rows on the smallest tables; they have some on the next larger ones.
+MAY_BE_EMPTY: set[str] = set()
+
+
 def cell(v):
     if v is None or v != v:
         return "NULL"
@@ -32,8 +36,8 @@ def duck():
 def test_query(spark, duck, name):
     frame = catalog.queries()[name](spark, SF)
     rows = [r.asDict() for r in frame.collect()]
+    assert rows or name in MAY_BE_EMPTY
     if name not in catalog.oracle_sql():
-        assert rows
         return
     found = duck.sql(catalog.oracle_sql()[name])
     columns = sorted(frame.columns)

@@ -98,12 +98,79 @@ def test_inserting_equals_building(spark, tmp_path):
     fulltext.insert(frame.union(frame), path)
     fulltext.insert(frame, path)
     stored, whole = fulltext.read(spark, path), fulltext.build(frame)
-    key = lambda t: sorted(map(str, t.drop("segment").select("term", "content_id", "tf", "positions").collect()))
+    key = lambda t: sorted(map(str, t.select("term", "content_id", "tf", "positions").collect()))
     assert key(stored.postings) == key(whole.postings) and stored.texts.count() == 20
     assert {p: p.stat().st_mtime_ns for p in before} == before
     assert [tuple(r) for r in fulltext.search(stored, "words 2").collect()] == [tuple(r) for r in fulltext.search(whole, "words 2").collect()]
 
 
+def _frame(spark, rows):
+    return spark.createDataFrame(rows, "text string, content_id string, side string, conversation_id string")
+
+
+def test_upkeep_equals_rebuilding(spark, tmp_path):
+    path, rng = str(tmp_path / "index"), np.random.default_rng(2)
+    made = lambda k, v: (" ".join(rng.choice([*"abcdefgh", "common"], rng.integers(1, 9))) + f" common {v}", f"t{k:03}", "prompt", f"c{k % 5}")
+    now = {}
+    for step in range(7):
+        rows = [made(k, step) for k in range(step * 6, step * 6 + 6)]
+        now |= {r[1]: r for r in rows}
+        fulltext.insert(_frame(spark, rows), path)
+        assert fulltext.insert(_frame(spark, rows[:2]), path) is None
+        fulltext.merge(spark, path)
+        assert len(fulltext.read(spark, path).segments) < 2 * fulltext.WIDTH
+    gone = sorted(now)[::5]
+    reader = fulltext.read(spark, path)
+    assert fulltext.delete(spark.createDataFrame([(i,) for i in [*gone, "nothing"]], "content_id string"), path) == len(gone)
+    assert fulltext.delete(spark.createDataFrame([(i,) for i in gone], "content_id string"), path) == 0
+    now = {k: r for k, r in now.items() if k not in gone}
+    changed = [made(int(i[1:]), "changed") for i in sorted(now)[::4]]
+    now |= {r[1]: r for r in changed}
+    fulltext.replace(_frame(spark, changed), path)
+    whole = fulltext.build(_frame(spark, list(now.values())))
+    rank = lambda rows: [(r["content_id"], round(r["rank"], 9)) for r in rows.orderBy("rank", "content_id").collect()]
+    queries = [["common", "a"], ["changed"], ["b", "c", "d"]]
+
+    def same(index):
+        for q in queries:
+            for every in (False, True):
+                want = rank(fulltext.scored(whole, q, every))
+                assert rank(fulltext.scored(index, q, every)) == want
+                assert rank(fulltext.best(index, q, 5, every)) == want[:5]
+        assert rank(fulltext.scored(index, fulltext.match('"common changed" OR a*'))) == rank(fulltext.scored(whole, fulltext.match('"common changed" OR a*')))
+        assert fulltext.stale(index, _frame(spark, list(now.values()))).count() == 0
+        assert sorted(r["content_id"] for r in index.live().collect()) == sorted(now)
+
+    stored = fulltext.read(spark, path)
+    assert stored.marks.count() > 0 and stored.totals == (len(now), sum(len(r[0].split()) for r in now.values()))
+    same(stored)
+    assert reader.live().count() == 42  # it began before
+    # A segment that no version names counts for nothing.
+    fulltext._add_segment(_frame(spark, [made(999, 0)]), path, "failed")
+    same(fulltext.read(spark, path))
+    while fulltext.due(version := fulltext._version(spark, path)) is None:
+        fulltext.delete(spark.createDataFrame([(i := sorted(now)[0],)], "content_id string"), path)
+        del now[i]
+    whole = fulltext.build(_frame(spark, list(now.values())))
+    assert fulltext.merge(spark, path) > 0 and fulltext._version(spark, path)["number"] > version["number"]
+    fulltext.vacuum(spark, path)
+    same(fulltext.read(spark, path))
+
+
+def test_best_reads_few_blocks(spark, tmp_path, monkeypatch):
+    """Short texts score higher: long ones' blocks can't reach the best."""
+    monkeypatch.setattr(fulltext, "BLOCK_TEXTS", 8)
+    path = str(tmp_path / "index")
+    rows = [("word " + "filler " * (k % 40) + "other " * (k % 3), f"t{k:03}", "prompt", f"c{k}") for k in range(400)]
+    fulltext.insert(_frame(spark, rows), path)
+    index, seen = fulltext.read(spark, path), []
+    got = fulltext.best(index, ["word", "other"], 5, read_blocks=seen).collect()
+    want = fulltext.scored(fulltext.build(_frame(spark, rows)), ["word", "other"]).orderBy("rank", "content_id").limit(5).collect()
+    assert [(r["content_id"], round(r["rank"], 9)) for r in got] == [(r["content_id"], round(r["rank"], 9)) for r in want]
+    read = sum(r["n"] for f in seen for r in f.collect())
+    assert read < 0.5 * index.postings.where("term IN ('word', 'other')").count()
+
+
 def test_nearest_is_the_top_of_all(spark):
     rng = np.random.default_rng(5)
     m = rng.integers(-3, 4, (60, 5)).astype(float)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -247,6 +248,21 @@ def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.read(spark, path, "bigint", "bigint").postings.select("content_id", "term", "tf")
 
 
+def _kept_up(spark: SparkSession, sf_dir: str) -> fulltext.Index:
+    """An index after inserts, a deletion, a change and the merges that were due: texts of conversations 0 modulo 7 are gone, those of 1 modulo 7 were others before."""
+    key = spark.sparkContext.applicationId, f"upkeep of {sf_dir}"
+    if key not in _STORED:
+        path, texts, kinds = new_path(spark, "fulltext-upkeep"), _texts(spark, sf_dir), ("bigint", "bigint")
+        before = texts.withColumn("text", F.when(F.col("conversation_id") % 7 == 1, F.concat(F.lit("of the old "), F.reverse("text"))).otherwise(F.col("text")))
+        for k in range(3):
+            fulltext.insert(before.where(F.col("conversation_id") % 3 == k), path, *kinds)
+        fulltext.delete(texts.where("conversation_id % 7 = 0").select("content_id"), path, *kinds)
+        fulltext.merge(spark, path, *kinds)
+        fulltext.replace(texts.where("conversation_id % 7 = 1"), path, *kinds)
+        _STORED[key] = path
+    return fulltext.read(spark, _STORED[key], "bigint", "bigint")
+
+
 def _bm25(words: list[str], every: bool) -> str:
     listed = ", ".join(f"'{w}'" for w in words)
     having = f"HAVING count(*) = {len(words)}" if every else ""
@@ -259,21 +275,24 @@ _four = lambda c: (F.round(c, 4) + F.lit(0.0)).alias(c)
 _WORDS = ["ththanou", "threadhe", "theing", "unning", "ofer", "tionre"]
 over_tables("fts_postings", f"WITH {_TERMS} SELECT content_id, term, count(*) AS tf FROM t GROUP BY 1, 2")(lambda s, d: _index(s, d).postings.select("content_id", "term", "tf"))
 over_tables("snk04_insert", f"WITH {_TERMS} SELECT content_id, term, count(*) AS tf FROM t GROUP BY 1, 2")(_grown)
+_KEPT_TERMS = _TERMS.replace("FROM conversations", "FROM conversations WHERE conv_id % 7 <> 0", 1)
+over_tables("snk04_upkeep", f"WITH {_KEPT_TERMS} SELECT content_id, term, count(*) AS tf FROM t GROUP BY 1, 2")(lambda s, d: (i := _kept_up(s, d)).postings.join(i.marks, ["content_id", "segment"], "left_anti").select("content_id", "term", "tf"))
+over_tables("srt04_best", f"WITH {_bm25(['the', 'thing', 'zzzz'], False).replace(_TERMS, _KEPT_TERMS)} SELECT content_id, round(rank, 4) + 0.0::DOUBLE AS rank FROM s ORDER BY s.rank, content_id LIMIT 15")(lambda s, d: fulltext.best(_kept_up(s, d), ["the", "thing", "zzzz"], 15).select("content_id", _four("rank")))
 over_tables("ret01_search_any", f"WITH {_bm25(_WORDS, False)} SELECT content_id, round(rank, 4) + 0.0::DOUBLE AS rank FROM s")(lambda s, d: fulltext.scored(_index(s, d), _WORDS).select("content_id", _four("rank")))
 over_tables("ret01_search_all", f"WITH {_bm25(['the', 'of'], True)} SELECT content_id, round(rank, 4) + 0.0::DOUBLE AS rank FROM s ORDER BY s.rank, content_id LIMIT 20")(lambda s, d: fulltext.search(_index(s, d), "the of", 20).select("content_id", _four("rank")))
 _LISTS = r"l AS (SELECT conv_id * 1000 + turn AS content_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w, ' ' || array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+'), ' ') || ' ' AS line FROM conversations)"
 #: Match queries and what they say of a text's words (w) and of the words in a line.
 _MATCHES = {
-    "or": ("theing OR (unning AND the)", "list_contains(w, 'theing') OR list_contains(w, 'unning') AND list_contains(w, 'the')"),
+    "or": ("thing OR (ther AND the)", "list_contains(w, 'thing') OR list_contains(w, 'ther') AND list_contains(w, 'the')"),
     "not": ("the NOT of NOT and", "list_contains(w, 'the') AND NOT list_contains(w, 'of') AND NOT list_contains(w, 'and')"),
     "phrase": ('"and the" OR "of the"', "contains(line, ' and the ') OR contains(line, ' of the ')"),
-    "prefix": ('unn* "of th" *'.replace('" *', '"*'), "contains(line, ' unn') AND contains(line, ' of th')"),
+    "prefix": ('thin* "of th"*', "contains(line, ' thin') AND contains(line, ' of th')"),
 }
 for _name, (_query, _sql) in _MATCHES.items():
     over_tables(f"ret01_match_{_name}", f"WITH {_LISTS} SELECT content_id FROM l WHERE {_sql}")(lambda s, d, q=_query: fulltext.scored(_index(s, d), fulltext.match(q)).select("content_id"))
-over_tables("fn05_snippet", f"""WITH {_bm25(['unning'], True)}, top AS (SELECT * FROM s ORDER BY s.rank, content_id LIMIT 10)
-SELECT content_id, regexp_extract_all(c.text, '[\\p{{L}}\\p{{N}}]+')[list_position(regexp_extract_all(lower(strip_accents(c.text)), '[\\p{{L}}\\p{{N}}]+'), 'unning')] AS first_hit FROM top JOIN conversations c ON c.conv_id * 1000 + c.turn = content_id""")(
-    lambda s, d: fulltext.search(_index(s, d), "unning", 10).select("content_id", F.regexp_extract("snippet", ">>>(.*?)<<<", 1).alias("first_hit"))
+over_tables("fn05_snippet", f"""WITH {_bm25(['thing'], True)}, top AS (SELECT * FROM s ORDER BY s.rank, content_id LIMIT 10)
+SELECT content_id, regexp_extract_all(c.text, '[\\p{{L}}\\p{{N}}]+')[list_position(regexp_extract_all(lower(strip_accents(c.text)), '[\\p{{L}}\\p{{N}}]+'), 'thing')] AS first_hit FROM top JOIN conversations c ON c.conv_id * 1000 + c.turn = content_id""")(
+    lambda s, d: fulltext.search(_index(s, d), "thing", 10).select("content_id", F.regexp_extract("snippet", ">>>(.*?)<<<", 1).alias("first_hit"))
 )
 over_tables("ret02_recall_and", f"WITH {_bm25(['the', 'of'], True)}, c AS (SELECT conv_id AS id, min(rank) AS rank FROM s GROUP BY 1) SELECT id, 'and' AS mode FROM c ORDER BY rank, id LIMIT 80")(lambda s, d: fulltext.recall(_index(s, d), "the of"))
 over_tables("ret02_recall_or", f"WITH {_bm25(['and', 'zzzz', 'the'], False)}, c AS (SELECT conv_id AS id, min(rank) AS rank FROM s GROUP BY 1) SELECT id, 'or' AS mode FROM c ORDER BY rank, id LIMIT 80")(lambda s, d: fulltext.recall(_index(s, d), "and zzzz the"))
@@ -612,8 +631,9 @@ over_tables("fn28_or_terms", r"""SELECT conv_id, turn, array_to_string([chr(34)
 
 # --- Lookups, children, layouts ----------------------------------------------------------------------------------------
 
-over_store("flt21_found", "SELECT id, started_at FROM c_conversations WHERE harness_id = '1-URGENT' AND external_id = 'o1' OR harness_id = '5-LOW' AND external_id = 'o2' OR harness_id = '2-HIGH' AND external_id = 'o3'")(
-    lambda s: filters.found(s, "conversations", harness_id="1-URGENT", external_id="o1").union(filters.found(s, "conversations", harness_id="5-LOW", external_id="o2")).union(filters.found(s, "conversations", harness_id="2-HIGH", external_id="o3")).select("id", "started_at")
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+over_store("flt21_found", "SELECT id, started_at FROM c_conversations WHERE external_id = 'o1' OR harness_id = '5-LOW' AND external_id IN ('o2', 'o8')")(
+    lambda s: reduce(DataFrame.union, [filters.found(s, "conversations", harness_id=h, external_id="o1") for h in _PRIORITIES] + [filters.found(s, "conversations", harness_id="5-LOW", external_id=x) for x in ("o2", "o8")]).select("id", "started_at")
 )
 over_store("flt22_children", "SELECT id, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp, id) - 1 AS INT) AS place FROM c_responses WHERE conversation_id % 7 = 0")(
     lambda s: filters.children_of(s, "responses", "conversation_id", s["conversations"].where("id % 7 = 0")).select("id", "place")

@@ -1,13 +1,22 @@
 """Full-text search: an inverted index as tables, BM25, match queries, two-phase recall, snippets.
 
-An index is two tables: postings (term, content_id, tf, positions) and texts (content_id, conversation_id, side, length, text), both with the segment that they were
-inserted with. write() stores them, the postings in the order of their terms, so that a query reads the row groups of its own terms and Parquet's statistics skip the
-rest; insert() adds a segment of the texts that the index lacks and touches nothing else. Segments whose texts were never written - of an insert that failed - count for
-nothing. A query's work is in its terms' postings; texts are read for the rows that are returned alone.
+An index is two tables: postings (term, content_id, tf, length, positions) and texts (content_id, conversation_id, side, length, text). A stored one has them in segments, a segment
+for each insert, and one small file, versions/<number>, that says which segments and deletions count; it comes last, so an insert, a deletion or a merge that fails leaves the index as it
+was, and readers keep the version they began with.
+
+Postings are stored in the order of their terms, so a query reads the row groups of its own terms, and each has its text's length, so ranking reads nothing else; texts are read for
+the rows that are returned. Deleting writes marks, which queries subtract, and how many texts of each term are gone, so a term's frequency stays exact. Segments are merged in tiers: as soon as
+WIDTH segments are of one size they become one, so there are at most WIDTH for each power of WIDTH; what is marked is left out on the way, and a segment of which much is marked is
+rewritten alone.
+
+A segment's texts are in blocks of like length, and for every term and block the largest frequency and the least length are stored (blocks). These bound what any text of the
+block can score, so the best k are found by scoring the most promising blocks, and then only those whose bound reaches the k-th rank (best).
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
 import unicodedata
 import uuid
@@ -18,6 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.functions.scalars import json_text
+from threadmill.plans.pointers import names, read_text, write_once
+from threadmill.plans.tables import delete as delete_path
+from threadmill.plans.tables import discard, settled
 from threadmill.schema import Store
 
 K1, B = 1.2, 0.75
@@ -46,12 +58,33 @@ def query_terms(query: str, least: int = 1) -> list[str]:
 
 @dataclass
 class Index:
+    """marks, blocks, gone and totals are those of a stored index: deleted entries (content_id, segment), bounds (term, segment, block, n, max_tf, min_length), how many deleted texts had
+    a term (term, n), and (texts, words) of what is left."""
+
     postings: DataFrame
     texts: DataFrame
-
-
-_POSTINGS = "term string, content_id {id}, tf bigint, positions array<int>, segment string"
-_TEXTS = "content_id {id}, conversation_id {conversation}, side string, length bigint, text string, segment string"
+    marks: DataFrame | None = None
+    blocks: DataFrame | None = None
+    gone: DataFrame | None = None
+    totals: tuple[int, int] | None = None
+    segments: dict[str, list] | None = None
+
+    def live(self) -> DataFrame:
+        """The texts without deleted ones."""
+        return self.texts if self.marks is None else self.texts.join(self.marks, ["content_id", "segment"], "left_anti")
+
+
+_POSTINGS = "term string, content_id {id}, tf bigint, length bigint, positions array<int>, block int, segment string"
+_TEXTS = "content_id {id}, conversation_id {conversation}, side string, length bigint, text string, block int, segment string"
+_BLOCKS = "term string, block int, n bigint, max_tf bigint, min_length bigint, segment string"
+_MARKS = "content_id {id}, segment string"
+_GONE = "term string, n bigint"
+#: Texts in a block, and bounds of length between blocks; where there are more texts, blocks of one length are split further by hash.
+BLOCK_TEXTS, LENGTHS = 4096, 256
+#: Segments of one size before they are merged, and the share of marked texts from which on a segment is rewritten alone.
+WIDTH, MARKED = 4, 0.2
+#: Blocks that a search for the best begins with.
+FIRST_BLOCKS = 4
 
 
 def content(store: Store) -> DataFrame:
@@ -61,32 +94,169 @@ def content(store: Store) -> DataFrame:
     return asked.unionByName(told).where("block_type = 'text' AND text <> ''").drop("block_type")
 
 
+def _postings(texts: DataFrame) -> DataFrame:
+    """Postings of texts (content_id, length, text, block, segment)."""
+    places = texts.select("content_id", "length", "block", "segment", F.posexplode(terms(F.col("text"))).alias("at", "term"))
+    return places.groupBy("term", "content_id", "length", "block", "segment").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+
+
 def build(texts: DataFrame, segment: str = "all") -> Index:
-    """texts: text, content_id, side, conversation_id."""
-    split = texts.select("content_id", "conversation_id", "side", "text", terms(F.col("text")).alias("terms"))
-    places = split.select("content_id", F.posexplode("terms").alias("at", "term"))
-    postings = places.groupBy("term", "content_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
-    named = F.lit(segment).alias("segment")
-    return Index(postings.select("*", named), split.select("content_id", "conversation_id", "side", F.size("terms").cast("long").alias("length"), "text", named))
+    """An index that isn't stored. texts: text, content_id, side, conversation_id."""
+    rows = texts.select("content_id", "conversation_id", "side", F.size(terms(F.col("text"))).cast("long").alias("length"), "text", F.lit(0).alias("block"), F.lit(segment).alias("segment"))
+    return Index(_postings(rows), rows)
+
+
+# --- A stored index --------------------------------------------------------------------------------------------------
+
+
+def _version(spark: SparkSession, path: str) -> dict:
+    """segments: of each its texts, words, least and largest content_id; marks: of each folder of them the texts and words that it takes away, by segment."""
+    there = [n for n in names(spark, f"{path}/versions") if n.isdigit()]
+    return json.loads(read_text(spark, f"{path}/versions/{there[-1]}")) if there else {"number": 0, "segments": {}, "marks": {}}
+
+
+def _commit(spark: SparkSession, path: str, version: dict) -> None:
+    number = version["number"] + 1
+    write_once(spark, f"{path}/versions", f"{number:012d}", json.dumps(version | {"number": number}))
+
+
+def _add_segment(texts: DataFrame, path: str, segment: str) -> list | None:
+    """Write texts (content_id, conversation_id, side, text) as a segment, in blocks of like length; what the version says of it, or None if there are none."""
+    spark, columns = texts.sparkSession, ["content_id", "conversation_id", "side", "length", "text"]
+    rows = settled(texts.select("content_id", "conversation_id", "side", F.size(terms(F.col("text"))).cast("long").alias("length"), "text"), "fulltext-texts")
+    n, words, least, most = rows.agg(F.count("*"), F.sum("length"), F.min("content_id"), F.max("content_id")).first()
+    if not n:
+        return None
+    blocks = -(-n // BLOCK_TEXTS)
+    bounds, parts = min(blocks, LENGTHS), -(-blocks // LENGTHS)
+    cuts = sorted(set(rows.agg(F.percentile_approx("length", [k / bounds for k in range(1, bounds)], 10_000)).first()[0])) if bounds > 1 else []
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("length"))) if cuts else F.lit(0)
+    placed = rows.select(*columns, (below * parts + F.pmod(F.xxhash64("content_id"), F.lit(parts))).cast("int").alias("block"))
+    placed.write.parquet(f"{path}/texts/segment={segment}")
+    stored = spark.read.schema(placed.schema).parquet(f"{path}/texts/segment={segment}").withColumn("segment", F.lit(segment))
+    order = ["term", "block", "content_id"]
+    _postings(stored).drop("segment").repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/postings/segment={segment}")
+    postings = spark.read.parquet(f"{path}/postings/segment={segment}")
+    bound = postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
+    bound.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks/segment={segment}")
+    discard(rows)
+    return [n, words, least, most]
 
 
 def write(index: Index, path: str) -> None:
-    """SNK-04: add the index under path. A frequent term is spread over several files; texts come last, as postings without them count for nothing."""
-    order = ["term", "content_id"]
-    index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("segment").parquet(f"{path}/postings")
-    index.texts.write.mode("append").partitionBy("segment").parquet(f"{path}/texts")
+    """SNK-04: add an index that isn't stored to the one under path, as a segment. A frequent term is spread over several files."""
+    spark, version, segment = index.texts.sparkSession, _version(index.texts.sparkSession, path), uuid.uuid4().hex
+    if made := _add_segment(index.texts, path, segment):
+        version["segments"][segment] = made
+    _commit(spark, path, version)
 
 
 def read(spark: SparkSession, path: str, id_type: str = "string", conversation_type: str = "string") -> Index:
-    """A stored index."""
-    load = lambda name, schema: spark.read.schema(schema.format(id=id_type, conversation=conversation_type)).parquet(f"{path}/{name}")
-    return Index(load("postings", _POSTINGS), load("texts", _TEXTS))
+    """A stored index as of now."""
+    version = _version(spark, path)
+    segments, marks = version["segments"], version["marks"]
+
+    def load(name: str, schema: str) -> DataFrame:
+        schema = schema.format(id=id_type, conversation=conversation_type)
+        return spark.read.schema(schema).parquet(f"{path}/{name}").where(F.col("segment").isin(list(segments))) if segments else spark.createDataFrame([], schema)
+
+    def taken(name: str, schema: str) -> DataFrame | None:
+        return spark.read.schema(schema.format(id=id_type)).parquet(*(f"{path}/{name}/{m}" for m in sorted(marks))) if marks else None
+
+    lost = [sum(of[k] for m in marks.values() for of in m.values()) for k in (0, 1)]
+    totals = tuple(sum(of[k] for of in segments.values()) - lost[k] for k in (0, 1))
+    return Index(load("postings", _POSTINGS), load("texts", _TEXTS), taken("marks", _MARKS), load("blocks", _BLOCKS), taken("gone", _GONE), totals, segments)
 
 
 def insert(texts: DataFrame, path: str, id_type: str = "string", conversation_type: str = "string") -> None:
-    """SNK-04: the texts that a stored index lacks become a segment of it."""
-    known = read(texts.sparkSession, path, id_type, conversation_type).texts.select("content_id")
-    write(build(texts.join(known, "content_id", "left_anti").dropDuplicates(["content_id"]), uuid.uuid4().hex), path)
+    """SNK-04: the texts that a stored index lacks become a segment of it. Only segments whose range of ids meets that of the texts are asked what they have."""
+    spark = texts.sparkSession
+    version, rows = _version(spark, path), settled(texts.dropDuplicates(["content_id"]), "fulltext-insert")
+    least, most = rows.agg(F.min("content_id"), F.max("content_id")).first()
+    meeting = [] if least is None else [s for s, of in version["segments"].items() if of[2] <= most and of[3] >= least]
+    if meeting:
+        known = read(spark, path, id_type, conversation_type).live().where(F.col("segment").isin(meeting)).select("content_id")
+        rows = rows.join(known, "content_id", "left_anti")
+    segment = uuid.uuid4().hex
+    if made := _add_segment(rows, path, segment):
+        version["segments"][segment] = made
+        _commit(spark, path, version)
+
+
+def delete(ids: DataFrame, path: str, id_type: str = "string", conversation_type: str = "string") -> int:
+    """DML-05: the texts with these content_ids are marked as deleted; how many there were. The work is in these texts, which are read for their terms, and a scan of the ids."""
+    spark, version = ids.sparkSession, _version(ids.sparkSession, path)
+    index = read(spark, path, id_type, conversation_type)
+    gone = settled(index.live().join(ids.select("content_id").distinct(), "content_id", "left_semi"), "fulltext-gone")
+    of = {r.segment: [r.n, r.words] for r in gone.groupBy("segment").agg(F.count("*").alias("n"), F.sum("length").alias("words")).collect()}  # a row a segment
+    if of:
+        name = uuid.uuid4().hex
+        gone.select("content_id", "segment").write.parquet(f"{path}/marks/{name}")
+        gone.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).write.parquet(f"{path}/gone/{name}")
+        version["marks"][name] = of
+        _commit(spark, path, version)
+    discard(gone)
+    return sum(n for n, _ in of.values())
+
+
+def replace(texts: DataFrame, path: str, id_type: str = "string", conversation_type: str = "string") -> None:
+    """DML-05, SNK-04: texts that have changed, or are new, in place of what the index has under their content_ids."""
+    texts = settled(texts, "fulltext-replace")
+    delete(texts.select("content_id"), path, id_type, conversation_type)
+    insert(texts, path, id_type, conversation_type)
+
+
+def due(version: dict) -> list[str] | None:
+    """The segments to merge next: those of a tier that is full, or one of which much is marked."""
+    lost: dict[str, int] = {}
+    for of in version["marks"].values():
+        for s, (n, _) in of.items():
+            lost[s] = lost.get(s, 0) + n
+    tiers: dict[int, list[str]] = {}
+    for s, of in sorted(version["segments"].items()):
+        tiers.setdefault(int(math.log(max(1, of[0] - lost.get(s, 0)), WIDTH)), []).append(s)
+    full = [t for t in sorted(tiers) if len(tiers[t]) >= WIDTH]
+    if full:
+        return tiers[full[0]]
+    return next(([s] for s in sorted(lost) if s in version["segments"] and lost[s] >= MARKED * version["segments"][s][0]), None)
+
+
+def merge(spark: SparkSession, path: str, id_type: str = "string", conversation_type: str = "string") -> int:
+    """SNK-04, CHK-13: merge segments until no tier is full and none has many marks, a version each time; how many merges that took. Marked texts are gone afterwards."""
+    done = 0
+    while segments := due(version := _version(spark, path)):
+        index = read(spark, path, id_type, conversation_type)
+        left = index.live().where(F.col("segment").isin(segments))
+        segment = uuid.uuid4().hex
+        made = _add_segment(left, path, segment)
+        version["segments"] = {s: of for s, of in version["segments"].items() if s not in segments} | ({segment: made} if made else {})
+        # Marks of other segments stay; what is gone of their terms is counted anew.
+        if version["marks"]:
+            rest = {s: [sum(m.get(s, [0, 0])[k] for m in version["marks"].values()) for k in (0, 1)] for s in version["segments"] if s != segment}
+            rest = {s: of for s, of in rest.items() if of[0]}
+            version["marks"] = {}
+            if rest:
+                name = uuid.uuid4().hex
+                kept = index.marks.where(F.col("segment").isin(list(rest)))
+                kept.write.parquet(f"{path}/marks/{name}")
+                texts = index.texts.where(F.col("segment").isin(list(rest))).join(spark.read.schema(_MARKS.format(id=id_type)).parquet(f"{path}/marks/{name}"), ["content_id", "segment"], "left_semi")
+                texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).write.parquet(f"{path}/gone/{name}")
+                version["marks"] = {name: rest}
+        _commit(spark, path, version)
+        done += 1
+    return done
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Delete what the last version doesn't name; no reader of an earlier one, and no writer, may be at work."""
+    version = _version(spark, path)
+    for name in ("texts", "postings", "blocks", "marks", "gone"):
+        for folder in names(spark, f"{path}/{name}"):
+            if folder.removeprefix("segment=") not in (version["segments"] if "segment=" in folder else version["marks"]):
+                delete_path(spark, f"{path}/{name}/{folder}")
+    for number in names(spark, f"{path}/versions"):
+        if number != f"{version['number']:012d}":
+            delete_path(spark, f"{path}/versions/{number}")
 
 
 # --- Match queries -------------------------------------------------------------------------------------------------------
@@ -146,15 +316,15 @@ def match(query: str) -> Match:
     return Match(leaves, test)
 
 
-def _leaf(index: Index, words: list[str], prefix: bool) -> DataFrame:
-    """(content_id, segment, tf): where the words stand one after the other."""
+def _leaf(postings: DataFrame, words: list[str], prefix: bool) -> DataFrame:
+    """(content_id, segment, length, tf): where the words stand one after the other."""
     is_word = [F.col("term").startswith(w) if prefix and k == len(words) - 1 else F.col("term") == w for k, w in enumerate(words)]
-    hits = index.postings.where(_any(is_word))
+    hits = postings.where(_any(is_word))
     if len(words) == 1:
-        return hits.groupBy("content_id", "segment").agg(F.sum("tf").alias("tf"))
-    places = hits.groupBy("content_id", "segment").agg(*(F.flatten(F.collect_list(F.when(c, F.col("positions")))).alias(f"p{k}") for k, c in enumerate(is_word)))
+        return hits.groupBy("content_id", "segment", "length").agg(F.sum("tf").alias("tf")) if prefix else hits.select("content_id", "segment", "length", "tf")
+    places = hits.groupBy("content_id", "segment", "length").agg(*(F.flatten(F.collect_list(F.when(c, F.col("positions")))).alias(f"p{k}") for k, c in enumerate(is_word)))
     starts = F.filter("p0", lambda x: _all([F.array_contains(F.col(f"p{k}"), x + k) for k in range(1, len(words))]))
-    return places.select("content_id", "segment", F.size(starts).cast("long").alias("tf")).where("tf > 0")
+    return places.select("content_id", "segment", "length", F.size(starts).cast("long").alias("tf")).where("tf > 0")
 
 
 def _any(tests: list[Column]) -> Column:
@@ -165,32 +335,88 @@ def _all(tests: list[Column]) -> Column:
     return ~_any([~t for t in tests])
 
 
-def scored(index: Index, query: Match | list[str], all_words: bool = False) -> DataFrame:
-    """(content_id, segment, rank) of the texts that match: negative BM25 over the query's leaves, so the best is the least. A list of words stands for any of them, or for all."""
+def _weights(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """(leaf, mean, idf) of rows (leaf, df), as many as the query has leaves."""
+    idf = F.log((F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return df.crossJoin(F.broadcast(totals)).select("leaf", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
+
+
+def _part(tf: Column, length: Column) -> Column:
+    """What a leaf adds to a text's score."""
+    return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("mean")))
+
+
+def _totals(index: Index) -> DataFrame:
+    """(texts, mean length): a row."""
+    if index.totals is None:
+        return index.texts.agg(F.count("*").alias("texts"), F.avg("length").alias("mean"))
+    texts, words = index.totals
+    return index.texts.sparkSession.createDataFrame([(texts, words / texts if texts else None)], "texts long, mean double")
+
+
+def scored(index: Index, query: Match | list[str], all_words: bool = False, postings: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """(content_id, segment, rank) of the texts that match: negative BM25 over the query's leaves, so the best is the least. A list of words stands for any of them, or for all.
+
+    postings: some of the index's; weights: of each leaf, if they are known."""
     found = Match.words(query, all_words) if isinstance(query, list) else query
     hits = None
     for k, (words, prefix) in enumerate(found.leaves):
         if words:
-            rows = _leaf(index, words, prefix).withColumn("leaf", F.lit(k))
+            rows = _leaf(index.postings if postings is None else postings, words, prefix).withColumn("leaf", F.lit(k))
             hits = rows if hits is None else hits.union(rows)
     if hits is None:
         return index.texts.select("content_id", "segment", F.lit(0.0).alias("rank")).limit(0)
-    n = index.texts.agg(F.count("*").alias("texts"), F.avg("length").alias("mean"))
-    rows = hits.join(index.texts.select("content_id", "segment", "length"), ["content_id", "segment"])
-    df = rows.groupBy("leaf").agg(F.count("*").alias("df"))  # as many rows as the query has leaves
-    idf = F.log((F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.crossJoin(F.broadcast(n)).select("leaf", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    out = rows.join(F.broadcast(weights), "leaf").groupBy("content_id", "segment").agg((-F.sum(part)).alias("rank"), F.collect_set("leaf").alias("has"))
+    if index.marks is not None:
+        hits = hits.join(index.marks, ["content_id", "segment"], "left_anti")
+    if weights is None:
+        weights = _weights(hits.groupBy("leaf").agg(F.count("*").alias("df")), _totals(index))
+    out = hits.join(F.broadcast(weights), "leaf").groupBy("content_id", "segment").agg((-F.sum(_part(F.col("tf"), F.col("length")))).alias("rank"), F.collect_set("leaf").alias("has"))
     return out.where(found.test(F.col("has"))).select("content_id", "segment", "rank")
 
 
+def bounds(index: Index, found: Match) -> tuple[DataFrame, DataFrame]:
+    """Of a query whose leaves are single words: (segment, block, n, bound), where no text of the block can have a rank below -bound and n counts its postings, and the leaves' weights."""
+    spark = index.texts.sparkSession
+    leaves = spark.createDataFrame([(k, words[0]) for k, (words, _) in enumerate(found.leaves) if words], "leaf int, term string")
+    rows = settled(index.blocks.where(F.col("term").isin([w[0] for w, _ in found.leaves if w])).join(F.broadcast(leaves), "term"), "fulltext-blocks")
+    df = rows.groupBy("leaf").agg(F.sum("n").alias("df"))
+    if index.gone is not None:
+        less = index.gone.join(F.broadcast(leaves), "term").groupBy("leaf").agg(F.sum("n").alias("less"))
+        df = df.join(less, "leaf", "left").select("leaf", (F.col("df") - F.coalesce("less", F.lit(0))).alias("df"))
+    weights = settled(_weights(df, _totals(index)), "fulltext-weights")
+    bound = rows.join(F.broadcast(weights), "leaf").groupBy("segment", "block").agg(F.sum("n").alias("n"), F.sum(_part(F.col("max_tf"), F.col("min_length"))).alias("bound"))
+    return settled(bound, "fulltext-bounds"), weights
+
+
+def best(index: Index, query: Match | list[str], limit: int, all_words: bool = False, read_blocks: list[DataFrame] | None = None) -> DataFrame:
+    """SRT-04: the rows of scored() with the least ranks, ties by content_id. Of a stored index only blocks are read that can have any of these, if the query is of single words.
+
+    read_blocks gets the blocks that were read."""
+    found, order = Match.words(query, all_words) if isinstance(query, list) else query, ["rank", "content_id"]
+    if index.blocks is None or not any(w for w, _ in found.leaves) or any(prefix or len(words) > 1 for words, prefix in found.leaves):
+        return scored(index, found).orderBy(*order).limit(limit)
+    every, weights = bounds(index, found)
+
+    def top(blocks: DataFrame) -> DataFrame:
+        rows = index.postings.join(blocks.select("segment", "block"), ["segment", "block"], "left_semi")
+        return scored(index, found, postings=rows, weights=weights).orderBy(*order).limit(limit)
+
+    first = settled(every.orderBy(F.desc("bound"), "segment", "block").limit(FIRST_BLOCKS), "fulltext-first")
+    got = settled(top(first), "fulltext-got")
+    n, reached = got.agg(F.count("*"), F.max("rank")).first()
+    rest = every.join(first, ["segment", "block"], "left_anti")
+    if n == limit:
+        rest = rest.where(F.col("bound") >= -reached - 1e-9)
+    if read_blocks is not None:
+        read_blocks += [first, rest]
+    return got.union(top(rest)).orderBy(*order).limit(limit)
+
+
 def search(index: Index, query: str, limit: int = 20) -> DataFrame:
     """RET-01, SRT-04: (conversation_id, side, content_id, rank, snippet) of the texts that match, best first."""
     found = match(query)
-    best = scored(index, found).orderBy("rank", "content_id").limit(limit)
     marked = snippet(F.col("text"), [w for words, _ in found.leaves for w in words])
-    return best.join(index.texts, ["content_id", "segment"]).select("conversation_id", "side", "content_id", "rank", marked.alias("snippet")).orderBy("rank", "content_id")
+    return best(index, found, limit).join(index.texts, ["content_id", "segment"]).select("conversation_id", "side", "content_id", "rank", marked.alias("snippet")).orderBy("rank", "content_id")
 
 
 def conversations_matching(index: Index, words: list[str], all_words: bool) -> DataFrame:
@@ -239,6 +465,6 @@ def search_only(index: Index, query: str, ids: DataFrame | None = None, limit: i
 def stale(index: Index, texts: DataFrame) -> DataFrame:
     """CHK-12, CHK-13: (content_id, finding): texts that the index lacks, entries without a text, and texts whose number of words differs."""
     now = texts.select("content_id", F.size(terms(F.col("text"))).cast("long").alias("now"))
-    both = now.join(index.texts.select("content_id", F.col("length").alias("was")), "content_id", "full")
+    both = now.join(index.live().select("content_id", F.col("length").alias("was")), "content_id", "full")
     finding = F.when(F.col("was").isNull(), "missing").when(F.col("now").isNull(), "orphan").when(F.col("was") != F.col("now"), "changed")
     return both.select("content_id", finding.alias("finding")).where("finding IS NOT NULL")

@@ -11,6 +11,7 @@ from threadmill.functions import scalars
 from threadmill.operators import maintenance
 from threadmill.plans import canonical
 from threadmill.plans.tables import new_path, settled
+from threadmill.sources import lines as log_lines
 from threadmill.sources import logs
 from threadmill.streaming import live
 
@@ -124,6 +125,33 @@ over_tables("src06_rejected", f"WITH {_T} SELECT '/l/' || conv_id AS path, seq +
 over_tables("src11_tail", f"WITH {_T} SELECT '/l/' || conv_id AS path, seq FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) <= 2")(lambda s, d: live.tail(_broken(s, d), 2).select("path", "seq"))
 
 
+_ON_DISK: dict[tuple[str, str], str] = {}
+
+
+def _on_disk(spark: SparkSession, sf_dir: str) -> str:
+    """The turns as text files, a line each: the turn, its role, and the text in one line."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _ON_DISK:
+        path = new_path(spark, "lines")
+        rows = canonical.turns(spark, sf_dir).select(F.col("conv_id").alias("conv"), "turn", F.concat_ws(" ", "turn", "role", F.regexp_replace("text", "[\r\n]+", " ")).alias("line"))
+        rows.repartition("conv").sortWithinPartitions("conv", "turn").select("conv", "line").write.partitionBy("conv").text(path)
+        _ON_DISK[key] = path
+    return _ON_DISK[key]
+
+
+def _conv() -> Column:
+    return F.regexp_extract("path", r"/conv=(\d+)/", 1).cast("long").alias("conv_id")
+
+
+_LINE_SQL = r"turn || ' ' || role || ' ' || regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g')"
+over_tables("src11_tail_seek", f"SELECT conv_id, rtrim({_LINE_SQL}) AS line FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")(
+    lambda s, d: log_lines.read(s, _on_disk(s, d), "*.txt", last=2).select(_conv(), F.rtrim("line").alias("line"))
+)
+over_tables("src08_split_lines", "SELECT conv_id, turn, CAST(sum(CASE role WHEN 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS exchange FROM conversations")(
+    lambda s, d: log_lines.fold_splits(log_lines.read(s, _on_disk(s, d), "*.txt", split_bytes=2000), F.split("line", " ")[1] == "user").select(_conv(), F.split("line", " ")[0].cast("long").alias("turn"), "exchange")
+)
+
+
 def _with_blocks(spark: SparkSession, sf_dir: str) -> logs.Logs:
     """Typed messages whose content is a list: a text, and an image for some; for others a text alone, as a string."""
     text = F.to_json(_object(type=F.lit("text"), text=F.col("text")))

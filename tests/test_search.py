@@ -236,3 +236,13 @@ def test_runs(spark):
     calls = spark.createDataFrame([("r", k, t, s) for k, (t, s) in enumerate([("a", "ok"), ("a", "ok"), ("b", "ok"), ("a", "ok"), ("a", "error"), (None, None)])], "id string, k int, tool string, status string")
     got = exchanges.collapsed_calls(calls, "id", ["k"]).orderBy("run").collect()
     assert [(r["tool"], r["status"], r["n"]) for r in got] == [("a", "ok", 2), ("b", "ok", 1), ("a", "ok", 1), ("a", "error", 1), ("unknown", "unknown", 1)]
+
+
+def test_a_conversation_of_any_length_is_cut_in_order(spark):
+    """Rows of one conversation come in many batches; what is held is the open window."""
+    rows = [("long", f"p{k:05}", f"{k:05}", "one two three four") for k in range(5000)] + [("short", "q", "1", "alpha beta"), ("none", "q", "1", "")]
+    frame = spark.createDataFrame(rows, "conversation_id string, prompt_id string, timestamp string, text string").repartition(7)
+    got = chunks.chunk_exchanges(frame, target=10, most=12).orderBy("conversation_id", "chunk_no").collect()
+    long = [r for r in got if r["conversation_id"] == "long"]
+    assert [r["chunk_no"] for r in long] == list(range(2500)) and [i for r in long for i in r["source_ids"]] == [f"p{k:05}" for k in range(5000)]
+    assert {(r["conversation_id"], r["text"]) for r in got if r["conversation_id"] != "long"} == {("short", "alpha beta"), ("none", "")}

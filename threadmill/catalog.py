@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -351,6 +352,12 @@ _WEIGHT = "CASE WHEN started_at IS NULL THEN 1 ELSE 1 + 0.15::DOUBLE * exp(-ln(2
 over_store("ret07_hybrid", f"WITH {_SIM}, t AS (SELECT * FROM v ORDER BY v.score DESC, chunk_id LIMIT 30), {_mmr_sql(f'SELECT t.chunk_id, t.conversation_id, t.embedding, t.score * {_WEIGHT} AS score FROM t LEFT JOIN c_conversations o ON o.id = t.conversation_id')} SELECT chunk_id, CAST(k + 1 AS INT) AS mmr_rank, round(c.score, 6) AS score FROM picks JOIN cand c USING (chunk_id)")(
     lambda s: vectors.hybrid(s, "q", lambda _: QUERY, F.to_timestamp(F.lit(AS_OF))).select("chunk_id", "mmr_rank", F.round("score", 6).alias("score"))
 )
+over_store("ret15_breakdown", f"""WITH {_SIM}, t AS (SELECT * FROM v ORDER BY v.score DESC, chunk_id LIMIT 30),
+{_mmr_sql(f'SELECT t.chunk_id, t.conversation_id, t.embedding, t.score AS cosine, {_WEIGHT} AS boost, t.score * {_WEIGHT} AS score FROM t LEFT JOIN c_conversations o ON o.id = t.conversation_id')}
+SELECT chunk_id, round(cosine, 4) AS embedding_sim, round(boost, 4) AS recency_boost, round(score, 4) AS pre_mmr_score, round(pen, 4) AS mmr_penalty, CAST(k + 1 AS INT) AS mmr_rank, round(0.7::DOUBLE * score - 0.3::DOUBLE * pen, 4) AS final_score FROM picks JOIN cand c USING (chunk_id)""")(
+    lambda s: vectors.explained(vectors.mmr(vectors.with_recency(vectors.top_k(s["chunks"], QUERY, 30), s["conversations"], F.to_timestamp(F.lit(AS_OF))).withColumn("query", F.lit("q")), 10))
+    .select("chunk_id", F.from_json("breakdown", "embedding_sim double, recency_boost double, pre_mmr_score double, mmr_penalty double, mmr_rank int, final_score double").alias("x")).select("chunk_id", "x.*")
+)
 _RANKED = f"WITH {_SIM}, k AS (SELECT conversation_id % 2 AS g, conversation_id AS q, chunk_id, score, row_number() OVER (PARTITION BY conversation_id ORDER BY score DESC, chunk_id) AS rank FROM v), t AS (SELECT * FROM k WHERE rank <= 10)"
 
 
@@ -387,10 +394,49 @@ over_store("str01_to_ingest", "SELECT path FROM c_files WHERE conversation_id %
 over_store("ret20_unindexed", "SELECT count(*) AS n FROM c_prompts WHERE conversation_id NOT IN (SELECT conversation_id FROM c_chunks)")(lambda s: chunks.unindexed(s["prompts"], s["chunks"]).agg(F.count("*").alias("n")))
 
 
-@over_tables("ret18_chunks")
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = canonical.turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("conversation_id"), F.col("turn").cast("string").alias("prompt_id"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("timestamp"), "text")
-    return chunks.chunk_exchanges(rows).select("conversation_id", "chunk_no", "token_count", F.size("source_ids").alias("sources"))
+_COUNTED = r"len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]'))"
+
+
+def _exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("conversation_id"), F.col("turn").cast("string").alias("prompt_id"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("timestamp"), "text")
+
+
+over_tables("ret18_chunks")(lambda s, d: chunks.chunk_exchanges(_exchanges(s, d)).select("conversation_id", "chunk_no", "token_count", F.size("source_ids").alias("sources")))
+# Windows alone: no exchange is cut.
+over_tables("ret18_windows", f"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, {_COUNTED} AS n FROM conversations),
+f AS (SELECT conv_id, k, n, n AS size, 0 AS chunk_no FROM t WHERE k = 1
+  UNION ALL SELECT t.conv_id, t.k, t.n, CASE WHEN f.size + t.n > 256 THEN t.n ELSE f.size + t.n END, CASE WHEN f.size + t.n > 256 THEN f.chunk_no + 1 ELSE f.chunk_no END FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1)
+SELECT CAST(conv_id AS VARCHAR) AS conversation_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(sum(n) AS INTEGER) AS token_count, CAST(count(*) AS INTEGER) AS sources FROM f GROUP BY 1, 2""")(
+    lambda s, d: chunks.chunk_exchanges(_exchanges(s, d), most=10**9).select("conversation_id", "chunk_no", "token_count", F.size("source_ids").alias("sources"))
+)
+
+
+def _only_words(text: str) -> list[str]:
+    return chunks.split_text(" ".join(re.findall(r"\w+", text)))
+
+
+# Texts of words alone: those of more than 512 fall into windows of 256, each with the last 25 of the one before.
+over_tables("ret19_split", rf"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}_]+') AS w FROM conversations),
+k AS (SELECT *, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 512 THEN 1 ELSE 1 + CAST(ceil((len(w) - 256) / 231.0) AS BIGINT) END)) AS part FROM w)
+SELECT conv_id, turn, CAST(part AS INTEGER) AS part, sha256(array_to_string(CASE WHEN len(w) <= 512 THEN w ELSE w[1 + part * 231 : part * 231 + 256] END, ' ')) AS digest FROM k""")(
+    lambda s, d: canonical.turns(s, d).select("conv_id", "turn", F.posexplode(F.udf(_only_words, "array<string>", useArrow=True)("text")).alias("part", "t")).select("conv_id", "turn", "part", F.sha2("t", 256).alias("digest"))
+)
+over_tables("ret21_incompatible", "SELECT p_partkey AS index, CASE WHEN p_partkey % 7 = 0 THEN 'schema_version' WHEN p_size % 2 = 1 THEN 'backend' WHEN p_brand <> 'Brand#11' AND p_size <> 4 THEN 'model' ELSE 'dimension' END AS key FROM part WHERE p_partkey % 7 = 0 OR p_size % 2 = 1 OR p_brand <> 'Brand#11' AND p_size <> 4 OR p_size <> 2")(
+    lambda s, d: chunks.incompatible(
+        canonical.read(s, d, "part").select(F.col("p_partkey").alias("index"), F.explode(F.map_filter(F.create_map(
+            F.lit("schema_version"), F.when(F.col("p_partkey") % 7 == 0, "0").otherwise(chunks.META["schema_version"]), F.lit("backend"), F.when(F.col("p_size") % 2 == 1, "other").otherwise("own"),
+            F.lit("model"), F.when(F.col("p_size") != 4, F.col("p_brand")), F.lit("dimension"), F.col("p_size").cast("string")), lambda _, v: v.isNotNull())).alias("key", "value")), "own", "Brand#11", 2).select("index", "key")
+)
+over_tables("dml02_aliases", "SELECT DISTINCT event_type AS raw_name, CASE event_type WHEN 'click' THEN 'shell.execute' ELSE 'file.read' END AS tool FROM events WHERE event_type IN ('click', 'view')")(
+    lambda s, d: maintenance.register_aliases(tools := schema.empty_store(s) | {"tools": maintenance.seed_tools(s)}, "h", canonical.read(s, d, "events").select(F.col("event_type").alias("raw_name")).distinct().withColumn("tool", F.when(F.col("raw_name") == "click", "shell.execute").when(F.col("raw_name") == "view", "file.read").otherwise("no.such.tool")))
+    .join(tools["tools"].select(F.col("id").alias("tool_id"), F.col("name").alias("tool")), "tool_id").select("raw_name", "tool")
+)
+over_store("ext04_saved_query", "SELECT harness_id, count(*) AS n FROM c_conversations WHERE started_at >= '1995' AND branch <> ':since' GROUP BY 1")(
+    lambda s: (export.register({"conversations": s["conversations"]}), export.run_text(s["conversations"].sparkSession, "-- :nothing\nSELECT 1; SELECT harness_id, count(*) AS n FROM conversations WHERE started_at >= :since AND branch <> ':since' GROUP BY 1", {"since": "1995", "more": 1}))[1]
+)
+over_tables("chk08_drop_ins", "SELECT 'drop-ins-valid' AS \"check\", n_name AS subject FROM nation WHERE n_nationkey % 3 = 0")(
+    lambda s, d: health.queries_valid(s, {r.n_name: "SELECT * FROM (" if r.n_nationkey % 3 == 0 else f"SELECT * FROM {r.n_name.replace(' ', '_')}" for r in canonical.read(s, d, "nation").collect()}).select("check", "subject")
+)
 
 
 # --- Health -----------------------------------------------------------------------------------------------------------

@@ -1,13 +1,15 @@
 """Chunks for the vector index: windows of exchanges bounded in tokens, kept up to date.
 
-A conversation's exchanges are cut in its own task, in order; conversations spread over the cluster. Vectors are made batch by batch by a
+Conversations are spread over the cluster; a conversation's exchanges pass its task in order, sorted by Spark, and no more than the open window of them is held, so a
+conversation of any length takes constant memory. Vectors are made batch by batch by a
 function that is loaded once per worker.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +20,8 @@ from threadmill.operators.filters import minus
 
 TARGET, MOST, OVERLAP = 256, 512, 25
 BATCH = 64
+#: Chunks that go back to Spark at once.
+OUT_ROWS = 1000
 SCHEMA = "conversation_id string, chunk_no int, chunk_type string, text string, token_count int, source_ids array<string>"
 _WORD = re.compile(r"\w+|[^\w\s]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -63,7 +67,7 @@ def split_text(text: str, count: Counter = count_words, target: int = TARGET, mo
     return out + [" ".join(r) for r in _packed(held, count, target, overlap)]
 
 
-def windows(exchanges: list[tuple[str, str]], count: Counter = count_words, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> Iterator[tuple[str, list[str]]]:
+def windows(exchanges: Iterable[tuple[str, str]], count: Counter = count_words, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> Iterator[tuple[str, list[str]]]:
     """RET-18: (text, prompt ids) of runs of exchanges (prompt id, text) of about target tokens; an exchange of more than `most` is cut on its own."""
     held: list[tuple[str, str]] = []
     size = 0
@@ -88,12 +92,21 @@ def windows(exchanges: list[tuple[str, str]], count: Counter = count_words, targ
 def chunk_exchanges(exchanges: DataFrame, count: Counter = count_words, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
     """RET-18: SCHEMA, from conversation_id, prompt_id, timestamp, text."""
 
-    def cut(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["timestamp", "prompt_id"])
-        rows = [(frame["conversation_id"].iloc[0], k, "exchange", text, count(text), ids) for k, (text, ids) in enumerate(windows(list(zip(frame["prompt_id"], frame["text"], strict=True)), count, target, most, overlap))]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    return exchanges.groupBy("conversation_id").applyInPandas(cut, SCHEMA)
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for f in frames for r in zip(f["conversation_id"], f["prompt_id"], f["text"], strict=True))
+        out: list[tuple] = []
+        for conversation, own in groupby(rows, key=lambda r: r[0]):
+            for k, (text, ids) in enumerate(windows(((p, t) for _, p, t in own), count, target, most, overlap)):
+                out.append((conversation, k, "exchange", text, count(text), ids))
+                if len(out) == OUT_ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        yield pd.DataFrame(out, columns=names)
+
+    order = ["conversation_id", "timestamp", "prompt_id"]
+    return exchanges.select(*order, "text").repartition("conversation_id").sortWithinPartitions(*order).select("conversation_id", "prompt_id", "text").mapInPandas(cut, SCHEMA)
 
 
 def embedded(chunks: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], created_at: str) -> DataFrame:
@@ -134,6 +147,15 @@ def index_meta(spark, backend: str, model: str, dimension: int, built_at: str) -
     return spark.createDataFrame(sorted(rows.items()), "key string, value string")
 
 
+def incompatible(metas: DataFrame, backend: str, model: str, dimension: int) -> DataFrame:
+    """RET-21, CHK-04: of many indexes' metas (index, key, value) those that differ: index, and of schema, backend, model and dimension the first that does, was and now."""
+    wanted = [("schema_version", META["schema_version"]), ("backend", backend), ("model", model), ("dimension", str(dimension))]
+    place = F.array_position(F.array(*(F.lit(k) for k, _ in wanted)), F.col("key"))
+    now = F.element_at(F.create_map(*(F.lit(x) for pair in wanted for x in pair)), F.col("key"))
+    differing = metas.where(F.col("key").isin([k for k, _ in wanted])).withColumn("now", now).where(F.col("value") != F.col("now"))
+    return differing.groupBy("index").agg(F.min_by(F.struct("key", F.col("value").alias("was"), "now"), place).alias("x")).select("index", "x.*")
+
+
 def check_compatible(meta: dict[str, str], backend: str, model: str, dimension: int) -> None:
     """RET-21, CHK-04: an error for the first of schema, backend, model, dimension that differs; what an index doesn't say is no difference."""
     for key, now in (("schema_version", META["schema_version"]), ("backend", backend), ("model", model), ("dimension", str(dimension))):

@@ -58,10 +58,9 @@ def seed_tools(spark: SparkSession) -> DataFrame:
     return conform(rows.withColumn("id", stable_id(F.lit("tools"), F.col("name"))), "tools")
 
 
-def register_aliases(store: Store, harness_id: str, aliases: dict[str, str]) -> DataFrame:
-    """DML-02: tool_aliases with a harness's names; those of unknown tools are left out."""
-    spark = store["tools"].sparkSession
-    given = spark.createDataFrame(sorted(aliases.items()), "raw_name string, tool string")
+def register_aliases(store: Store, harness_id: str, aliases: dict[str, str] | DataFrame) -> DataFrame:
+    """DML-02: tool_aliases with a harness's names (raw_name, tool); those of unknown tools are left out."""
+    given = aliases if isinstance(aliases, DataFrame) else store["tools"].sparkSession.createDataFrame(sorted(aliases.items()), "raw_name string, tool string")
     rows = given.join(store["tools"].select(F.col("id").alias("tool_id"), F.col("name").alias("tool")), "tool").withColumn("harness_id", F.lit(harness_id))
     return get_or_create(store, "tool_aliases", rows)
 

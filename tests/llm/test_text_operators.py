@@ -365,6 +365,21 @@ def test_preference(spark):
     assert preference.format_pairs(df.limit(0)).count() == 0
 
 
+def test_pairs_of_branches_share_their_prefix(spark):
+    long = "very " * 200_000
+    rows = [
+        (0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", None), (0, 3, "assistant", "last of 0"), (0, 4, "user", "after"),
+        (1, 0, "user", "q1"), (1, 1, "assistant", "last of 1"), (1, 1, "assistant", "last of 1"), (2, 0, "user", "no answer"), (3, 0, "assistant", long), (4, 0, None, "x"), (4, 1, "assistant", "y"), (None, 0, "assistant", "z"), (4, None, "assistant", "w"),
+    ]
+    df = spark.createDataFrame([(*r, "p", True, "c") for r in rows], "conv_id long, turn int, role string, text string, pair_id string, is_chosen boolean, last string")
+    got = {r["pair_id"]: r for r in preference.format_pairs(preference.branches(df)).collect()}
+    assert set(got) == {0, 1, 3, 4}
+    assert (got[0]["prompt_turns"], got[0]["chosen"], got[0]["rejected"], got[0]["usable"]) == (3, "<|assistant|>\nlast of 0<|end|>\n", "<|assistant|>\nlast of 1<|end|>\n", True)
+    assert (got[1]["prompt_turns"], got[1]["rejected"], got[1]["chosen"].count("last of 1")) == (1, "", 2)  # conversation 2 has no answer
+    assert got[3]["rejected"] == "<|assistant|>\ny<|end|>\n" and long in got[3]["chosen"] and got[4]["usable"] is False
+    assert preference.branches(df.limit(0)).count() == 0
+
+
 JWT = "eyJ" + "a1" * 8 + ".eyJ" + "b-" * 8 + "." + "c_" * 8
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import discard, materialize, new_path, plain, read
+from threadmill.llm.common import discard, key_filter, materialize, new_path, plain, read, with_maybe
 
 MIN_BYTES = 100
 #: An archive file is closed, and the next one begun, from this size on.
@@ -52,11 +52,16 @@ def decisions(pages: DataFrame, id_column: str = "page_id", url: str = "url", pa
 
 
 def resolve(pages: DataFrame, id_column: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(page_id, url, html, digest, original, original_url): original is the page to refer to, null for responses."""
+    """(page_id, url, html, digest, original, original_url): original is the page to refer to, null for responses. Only pages that a filter of the decisions (of bounded size) can't clear are shuffled."""
     html = F.coalesce(F.col(plain(payload)), F.lit(""))
     rows = pages.select(F.col(plain(id_column)).alias("page_id"), F.col(plain(url)).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     made = decisions(pages, id_column, url, payload, min_bytes).select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "original", "original_url")
-    return rows.join(made, rows["page_id"].eqNullSafe(made["id"]) & (rows["digest"] == made["of"]), "left").select("page_id", "url", "html", "digest", "original", "original_url")
+    bits = materialize(key_filter(made, F.xxhash64("id", "of")), "warc-filter")
+    marked = with_maybe(rows, F.xxhash64("page_id", "digest"), bits)
+    kinds = {f.name: f.dataType for f in made.schema}
+    clear = marked.where("NOT __tm_maybe").select(*rows.columns, *(F.lit(None).cast(kinds[c]).alias(c) for c in ("original", "original_url")))
+    maybe = marked.where("__tm_maybe").select(*rows.columns)
+    return clear.union(maybe.join(made, maybe["page_id"].eqNullSafe(made["id"]) & (maybe["digest"] == made["of"]), "left").select(*rows.columns, "original", "original_url"))
 
 
 def _record_id(page_id: int | None, digest: str) -> str:

@@ -262,7 +262,22 @@ def test_scores(spark, vocabulary, common):
 def test_training_helps_held_out_texts(spark):
     df = spark.createDataFrame([(i, f"the quantum flux of node{i % 9} rises and the flux falls") for i in range(200)], "doc_id long, text string")
     mean = lambda rounds: lattice.score(df, PATH, rounds=rounds).where("held_out").agg(F.avg(F.col("score") / F.col("n_tokens"))).first()[0]
-    assert mean(0) < mean(1)
+    few, more, most = mean(0), mean(1), mean(lattice.ROUNDS)
+    assert few < more < most
+
+
+def test_rounds_end_when_they_gain_little(spark, vocabulary):
+    counts = [("thering", 30), ("the", 200), ("internationalization", 4), ("zqxj", 1)]
+    words = spark.createDataFrame(counts, "word string, c long")
+    fit = lambda logp: sum(n * x for (_, n), x in zip(counts, lattice.Lattices(vocabulary[0], logp).marginals([w for w, _ in counts]), strict=True)) + 9 * logp[vocabulary[0].end]
+    fits = [fit(lattice.train(words, 9, PATH, rounds=r, tolerance=0)) for r in range(4)]
+    assert fits == sorted(fits)
+    done = fit(lattice.train(words, 9, PATH))
+    assert fits[1] < done and done - fits[3] > -lattice.TOLERANCE * abs(done)
+
+
+def test_scoring_nothing(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     empty = lattice.score(df.limit(0), PATH)
     assert empty.count() == 0
 

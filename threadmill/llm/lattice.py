@@ -1,7 +1,7 @@
 """LM scoring by subword lattices: a text's probability is the sum over all its segmentations into pieces.
 
 The pieces are an existing vocabulary. A unigram model gives each a probability: its start is Zipf's law over the vocabulary's own
-order of scores, then expectation-maximisation over the training texts' words. No piece crosses white space, so a
+order of scores, then rounds of expectation-maximisation over the training texts' words, until one gains less than TOLERANCE. No piece crosses white space, so a
 text's lattice falls apart into those of its words, and these into parts between characters that no piece has side by side (cuts.py). Each distinct word's
 lattice is run once: a forward recursion in log space, over all parts of a batch of one length together. A part of more than WIDE characters is run alone,
 character by character, with a scale that keeps its numbers finite. Both take time in proportion to the characters, whatever the words' lengths. A text's score is
@@ -38,7 +38,8 @@ from threadmill.llm.cuts import Cuts
 FOLDS, HELD_OUT = 7, 2
 #: Share of all tokens from which on a word is common.
 COMMON = 1e-6
-ROUNDS = 1
+#: Rounds of expectation-maximisation end with the one that raises the training words' log probability by less than this share, or after ROUNDS.
+TOLERANCE, ROUNDS = 0.03, 8
 #: Distinct words that a task counts before it passes the counts on.
 TASK_WORDS = 300_000
 COMMON_BYTES = 64
@@ -210,8 +211,8 @@ class Lattices:
         return np.bincount(parts.word, weights=found, minlength=len(words))
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece, the words counted as often as given."""
-        out = np.zeros(self.v.size)
+        """Expected uses of each piece, the words counted as often as given; last, the log probability of all of them."""
+        out, likelihood = np.zeros(self.v.size), 0.0
         parts = Parts(words, self.v.cuts)
         for codes, at, which in parts.groups():
             times = np.bincount(which, weights=counts[parts.word[at]], minlength=len(codes))
@@ -222,6 +223,7 @@ class Lattices:
             # The same from the other end.
             b = self._forward({k: s[:, ::-1] for k, s in scores.items()}, raw[:, ::-1])[::-1]
             weight = np.log(times) - a[-1]
+            likelihood += float(times @ a[-1])
             for k, p in pieces.items():
                 used = np.flatnonzero(p.ravel() >= 0)
                 i, j = np.divmod(used, p.shape[1])
@@ -234,7 +236,7 @@ class Lattices:
                 for char, uses in zip(chars.tolist(), np.bincount(one, weights=share).tolist(), strict=True):
                     for byte in chr(char).encode("utf-8", "surrogatepass"):
                         out[self.v.byte_ids[byte]] += uses
-        return out
+        return np.append(out, likelihood)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -277,10 +279,10 @@ def held_out(id_column: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))), F.lit(FOLDS)) == HELD_OUT
 
 
-def train(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Log probabilities of the pieces. words: word, c; ends: the end's count."""
+def train(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Log probabilities of the pieces. words: word, c; ends: the end's count. Rounds go on until one has raised the training words' log probability by less than the tolerance, or there were `rounds`."""
     vocabulary, spark = load(path), words.sparkSession
-    logp = vocabulary.start
+    logp, before = vocabulary.start, -math.inf
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(logp)
 
@@ -295,11 +297,17 @@ def train(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> np.nd
         # As many rows as the vocabulary has pieces, at most.
         uses = words.where("c > 0").select("word", "c").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         shared.unpersist()
-        weight = np.where(vocabulary.scored, 0.1, 0.0)
+        weight, likelihood = np.where(vocabulary.scored, 0.1, 0.0), ends * logp[vocabulary.end]
         for piece, n in uses:
-            weight[piece] += n
+            if piece == vocabulary.size:
+                likelihood += n
+            else:
+                weight[piece] += n
         weight[vocabulary.end] += ends
         logp = np.where(weight > 0, np.log(np.maximum(weight, 1e-300)) - math.log(weight.sum()), vocabulary.start.min())
+        if likelihood - before < tolerance * abs(likelihood):
+            break
+        before = likelihood
     return logp
 
 
@@ -354,7 +362,7 @@ def _scored(words: DataFrame, logp: np.ndarray, path: str) -> DataFrame:
     return out
 
 
-def score(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", rounds: int = ROUNDS, common: float = COMMON) -> DataFrame:
+def score(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", rounds: int = ROUNDS, tolerance: float = TOLERANCE, common: float = COMMON) -> DataFrame:
     """A row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(plain(id_column)).alias("id"), F.col(plain(text)).alias("text"), held_out(F.col(plain(id_column))).alias("held_out"))
@@ -364,7 +372,7 @@ def score(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "te
     ends = docs.where(~F.col("held_out")).count()
     tokens, kinds = tokens + ends, kinds + (ends > 0)
     base = lambda c: math.log10((c + 1) / (tokens + kinds + 1))
-    logp = train(counts, ends, path, rounds)
+    logp = train(counts, ends, path, rounds, tolerance)
     words = _scored(counts.select("word", "c", "n", F.log10((F.col("c") + 1) / F.lit(float(tokens + kinds + 1))).alias("base")), logp, path)
     discard(counts)
     # No more than 1 / common words can have this share, nor more than COMMON_BYTES each.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadmill.operators import analytics, exchanges, export, filters, fulltext, health, maintenance
 from threadmill.schema import SCHEMAS, empty_store, has_table, read_store, write_store
 from threadmill.sources import logs
-from threadmill.streaming import buckets, ingest, live
+from threadmill.streaming import buckets, ingest, live, rollups
 
 AT = "2024-02-01T00:00:00Z"
 
@@ -320,6 +320,41 @@ def test_a_batch_touches_its_own_buckets(spark, tmp_path):
         buckets.at_version(spark, path, before.number)
 
 
+def test_rollups_follow_the_batches(spark, tmp_path):
+    path = str(tmp_path / "store")
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        (tmp_path / f"in/{k}.jsonl").write_text(claude(session=f"session-{k}"))
+    run = lambda: buckets.ingest_into(spark, path, logs.files(spark, str(tmp_path / "in"), "*.jsonl"), "claude_code", AT)
+    buckets.write(empty_store(spark), path, 16)
+    with pytest.raises(ValueError, match="keep_rollups"):
+        buckets.rollup(spark, path, "rollup_days")
+    run()
+    buckets.keep_rollups(spark, path)
+
+    def same():
+        store, of = buckets.read(spark, path), lambda name: buckets.rollup(spark, path, name)
+        key = lambda t: sorted(str(tuple(r[c] for c in sorted(t.columns))) for r in t.collect())
+        for got, want in (
+            (rollups.cost(of("rollup_usage"), store), analytics.cost(store)), (rollups.daily_activity(of("rollup_days")), analytics.daily_activity(store)),
+            (rollups.daily_activity(of("rollup_days"), True), analytics.daily_activity_exact(store)), (rollups.harness_stats(of("rollup_days"), store), analytics.harness_stats(store)),
+            (rollups.model_usage(of("rollup_usage"), store), analytics.model_usage(store)),
+        ):
+            assert key(got) == key(want) and key(got)
+
+    same()
+    before = buckets.latest(spark, path)
+    (tmp_path / "in/2.jsonl").write_text(claude("other", session="session-2"))
+    (one,) = run()
+    after = buckets.latest(spark, path)
+    for name in rollups.ROLLUPS:
+        assert {k for k in {**before.folders[name], **after.folders[name]} if before.folders[name].get(k) != after.folders[name].get(k)} == {str(one)}
+    same()
+    buckets.split(spark, path, 16)
+    buckets.vacuum(spark, path, keep=1)
+    same()
+
+
 def _sorted(store, names=("conversations", "prompts", "responses", "tool_calls", "prompt_content", "response_content", "ingested_files", "tool_call_tags", "response_attributes")):
     return {t: sorted(map(str, store[t].collect())) for t in names}
 

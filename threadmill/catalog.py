@@ -16,7 +16,7 @@ from threadmill.operators import analytics, cells, chunks, exchanges, export, fi
 from threadmill.plans import canonical
 from threadmill.plans.canonical import with_store
 from threadmill.plans.tables import new_path
-from threadmill.streaming import live
+from threadmill.streaming import buckets, live, rollups
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -449,6 +449,32 @@ over_store("chk07_pricing_gaps", """
 WITH u AS (SELECT DISTINCT model_id, provider_id FROM c_responses), g AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM c_pricing p WHERE p.model_id = u.model_id AND (u.provider_id IS NULL OR p.provider_id = u.provider_id)))
 SELECT 'pricing-gaps' AS "check", m.raw_name AS subject, coalesce(p.name, '') AS detail FROM g JOIN c_models m ON m.id = g.model_id LEFT JOIN c_providers p ON p.id = g.provider_id""")(health.pricing_gaps)
 
+# --- Roll-ups of a store in buckets ------------------------------------------------------------------------------------------
+
+
+def _rolled_up(spark: SparkSession, sf_dir: str) -> str:
+    """The tables as a store in buckets with roll-ups, of which some were split, written by the first query of a session that asks for it."""
+    key = spark.sparkContext.applicationId, f"buckets of {sf_dir}"
+    if key not in _STORED:
+        path, tables = new_path(spark, "buckets"), _full(canonical.store(spark, sf_dir))
+        buckets.write({t: tables[t] for t in ("conversations", "prompts", "responses", "tool_calls", "models", "providers", "pricing", "workspaces", "harnesses")}, path, 4)
+        buckets.keep_rollups(spark, path)
+        buckets.split(spark, path, 2)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+_stored = lambda s, d: buckets.read(s, _rolled_up(s, d))
+_rollup = lambda s, d, name: buckets.rollup(s, _rolled_up(s, d), f"rollup_{name}")
+for _name, _of in {
+    "agg02_cost": lambda s, d: rollups.cost(_rollup(s, d, "usage"), _stored(s, d)), "agg03_daily_activity": lambda s, d: rollups.daily_activity(_rollup(s, d, "days")),
+    "agg04_harness_stats": lambda s, d: rollups.harness_stats(_rollup(s, d, "days"), _stored(s, d)), "agg05_model_usage": lambda s, d: rollups.model_usage(_rollup(s, d, "usage"), _stored(s, d)),
+}.items():
+    over_tables(f"{_name}_rolled", _SQL[_name])(_of)
+over_tables("snk09_split_store", "WITH " + ", ".join(f"{t} AS ({canonical.SQL[t]})" for t in ("c_conversations", "c_responses")) + " SELECT CAST(r.id AS VARCHAR) AS id, c.branch FROM c_responses r LEFT JOIN c_conversations c ON c.id = r.conversation_id")(
+    lambda s, d: _stored(s, d)["responses"].select("id", "conversation_id").join(_stored(s, d)["conversations"].select(F.col("id").alias("conversation_id"), "branch"), "conversation_id", "left").select("id", "branch")
+)
+
 # --- Upkeep of the store: vocabularies, tags, deletions, merges, blobs, ledger, sessions -----------------------------------------
 
 

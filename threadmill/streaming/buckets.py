@@ -30,6 +30,7 @@ from threadmill.plans.tables import delete, settled
 from threadmill.schema import CHILDREN, SCHEMAS, VERSION, Store
 from threadmill.sources.logs import READERS, first_sessions, with_ids
 from threadmill.streaming.ingest import ingest
+from threadmill.streaming.rollups import ROLLUPS
 
 BUCKETS = 256
 #: Responses and calls in a bucket, on average, from which on crowded() asks for splits.
@@ -126,6 +127,35 @@ def _written(store: Store, path: str, version: Version, tables: list[str], touch
     return replace(version, folders=folders)
 
 
+def _rolled(store: Store, path: str, version: Version, touched: list[int] | None) -> Version:
+    """A version with the roll-ups of these buckets made anew, all if None. store: at least these buckets."""
+    folders = dict(version.folders)
+    for name, (_, make) in ROLLUPS.items():
+        folder = uuid.uuid4().hex[:16]
+        place = f"{path}/data/{name}/{folder}"
+        rows = make(store, lambda key: bucket(key, version))
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(place)
+        made = {n.removeprefix("bucket="): folder for n in names(rows.sparkSession, place) if n.startswith("bucket=")}
+        kept = {} if touched is None else {k: f for k, f in folders.get(name, {}).items() if int(k) not in touched}
+        folders[name] = kept | made
+    return replace(version, folders=folders)
+
+
+def keep_rollups(spark: SparkSession, path: str) -> Version:
+    """From now on the store has roll-ups (rollups.py), and every batch keeps those of its buckets up to date."""
+    version = latest(spark, path)
+    return _commit(spark, path, _rolled(read(spark, path, version=version), path, version, None))
+
+
+def rollup(spark: SparkSession, path: str, name: str, version: Version | None = None) -> DataFrame:
+    """A roll-up of all buckets."""
+    version, schema = version or latest(spark, path), ROLLUPS[name][0]
+    if name not in version.folders:
+        raise ValueError("the store has no roll-ups; see keep_rollups()")
+    paths = [f"{path}/data/{name}/{folder}/bucket={k}" for k, folder in sorted(version.folders[name].items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def write(store: Store, path: str, n: int = BUCKETS) -> Version:
     """A new store under path, with all these tables."""
     spark = next(iter(store.values())).sparkSession
@@ -170,7 +200,10 @@ def ingest_into(spark: SparkSession, path: str, files: DataFrame, harness: str,
     before = read(spark, path, buckets, of_files, version)
     after = ingest(before, files, harness, at, program)
     changed = [name for name in sorted(after) if after[name] is not before[name]]
-    made = _written({name: settled(table) if name in changed else table for name, table in after.items()}, path, version, changed, buckets, of_files)
+    after = {name: settled(table) if name in changed else table for name, table in after.items()}
+    made = _written(after, path, version, changed, buckets, of_files)
+    if set(ROLLUPS) <= set(made.folders):
+        made = _rolled(after, path, made, buckets)
     _commit(spark, path, replace(made, streams=version.streams | ({stream: batch} if stream is not None and batch is not None else {})))
     return buckets
 
@@ -200,7 +233,10 @@ def split(spark: SparkSession, path: str, some: int = 1) -> Version:
     some = min(some, version.level - version.split)
     old = list(range(version.split, version.split + some))
     after = replace(version, split=version.split + some)
-    made = _written(read(spark, path, old, old, version), path, after, sorted(IN_BUCKETS), old, old)
+    store = read(spark, path, old, old, version)
+    made = _written(store, path, after, sorted(IN_BUCKETS), old, old)
+    if set(ROLLUPS) <= set(made.folders):
+        made = _rolled(store, path, made, old)
     if made.split == made.level:
         made = replace(made, level=2 * made.level, split=0)
     return _commit(spark, path, made)
@@ -211,7 +247,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     numbers = [int(n) for n in names(spark, f"{path}/versions") if n.isdigit()]
     kept = [at_version(spark, path, n) for n in numbers[-max(1, keep) :]]
     gone = [f"{path}/versions/{_name(n)}" for n in numbers[: -max(1, keep)]]
-    for name in SCHEMAS:
+    for name in [*SCHEMAS, *ROLLUPS]:
         used: dict[str, set[str]] = {}
         for version in kept:
             for k, folder in version.folders.get(name, {}).items():
@@ -220,7 +256,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
             place = f"{path}/data/{name}/{folder}"
             if folder not in used:
                 gone.append(place)
-            elif name in IN_BUCKETS:
+            elif name in IN_BUCKETS or name in ROLLUPS:
                 gone += [f"{place}/{n}" for n in names(spark, place) if n.startswith("bucket=") and n.removeprefix("bucket=") not in used[folder]]
     for place in gone:
         delete(spark, place)

@@ -355,7 +355,7 @@ def test_rollups_follow_the_batches(spark, tmp_path):
     same()
 
 
-def _sorted(store, names=("conversations", "prompts", "responses", "tool_calls", "prompt_content", "response_content", "ingested_files", "tool_call_tags", "response_attributes")):
+def _sorted(store, names=("conversations", "prompts", "responses", "tool_calls", "prompt_content", "response_content", "ingested_files", "tool_call_tags", "response_attributes", "content_blobs")):
     return {t: sorted(map(str, store[t].collect())) for t in names}
 
 
@@ -366,6 +366,9 @@ def test_buckets_split(spark, tmp_path):
         (tmp_path / f"in/{k}.jsonl").write_text(claude(session=f"session-{k}"))
     buckets.write(empty_store(spark), path, 2)
     buckets.ingest_into(spark, path, logs.files(spark, str(tmp_path / "in"), "*.jsonl"), "claude_code", AT)
+    blobs = spark.createDataFrame([(f"h{k}", f"content {k}", 1, AT) for k in range(40)], SCHEMAS["content_blobs"])
+    version = buckets.latest(spark, path)
+    buckets._commit(spark, path, buckets._written({"content_blobs": blobs}, path, version, ["content_blobs"], None, None))
     rows = _sorted(buckets.read(spark, path))
     assert buckets.crowded(spark, path, 4) >= 2
     first = buckets.split(spark, path)

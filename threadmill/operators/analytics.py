@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions.scalars import day, suffix, week_of_year
 from threadmill.operators.filters import in_workspace, of_model
+from threadmill.plans.tables import settled
 from threadmill.schema import Store
 
 
@@ -330,7 +331,7 @@ def listing(store: Store, ids: DataFrame | None = None, model: str | None = None
         rows = rows.join(responses.select(F.col("conversation_id").alias("id")), "id", "left_semi")
     sort = [F.desc("started_at") if newest_first else F.asc("started_at"), F.asc("id")]
     if 0 < limit:
-        rows = rows.orderBy(*sort).limit(limit)
+        rows = settled(rows.orderBy(*sort).limit(limit), "listing")  # chosen once, for all that is looked up below
         # What is counted, summed and named is that of the chosen conversations: `limit` ids at most, which go to every task up to LISTED.
         chosen = rows.select(F.col("id").alias("conversation_id"))
         chosen = F.broadcast(chosen) if limit <= LISTED else chosen

@@ -1,6 +1,6 @@
 """A store on disk in buckets of conversations and in versions: a batch of files reads and rewrites the buckets of its own conversations, and no others.
 
-Tables that belong to conversations are partitioned by a hash of the conversation's id, the ledger by a hash of the path; vocabularies and the like, which are small, are
+Tables that belong to conversations are partitioned by a hash of the conversation's id, the ledger by a hash of the path, blobs by their own hash; vocabularies and the like, which are small, are
 single tables. Nothing is ever written over. A batch writes the buckets that it touches into folders of their own; then one small file, versions/<number>, says for each table
 and bucket in which folder it is. That file comes last and is there whole or not at all, so a reader sees the version before or the one after, whatever fails in between, and a reader
 that has begun goes on with its version. Two writers that start from one version can't both commit: the second gets Conflict, and begins again. vacuum() deletes what no
@@ -35,11 +35,13 @@ from threadmill.streaming.rollups import ROLLUPS
 BUCKETS = 256
 #: Responses and calls in a bucket, on average, from which on crowded() asks for splits.
 MOST_ROWS = 2_000_000
-LEDGER, PARENTS = "ingested_files", ("prompts", "responses", "tool_calls")
+LEDGER, BLOBS, PARENTS = "ingested_files", "content_blobs", ("prompts", "responses", "tool_calls")
 #: Tables of conversations by their column that names one, and tables of what belongs to one by their parent and the column that names it.
 OF_CONVERSATION = {"conversations": "id"} | dict(CHILDREN["conversations"])
 OF_CHILD = {table: (parent, column) for parent in PARENTS for table, column in CHILDREN[parent]}
-IN_BUCKETS = {LEDGER, *OF_CONVERSATION, *OF_CHILD}
+#: The column by whose hash a row of the tables that don't belong to conversations finds its bucket.
+BY_KEY = {LEDGER: "path", BLOBS: "hash"}
+IN_BUCKETS = {*BY_KEY, *OF_CONVERSATION, *OF_CHILD}
 
 
 class Conflict(RuntimeError):
@@ -98,8 +100,8 @@ def _commit(spark: SparkSession, path: str, version: Version) -> Version:
 
 def _with_bucket(store: Store, name: str, version: Version) -> DataFrame:
     """A table with its buckets."""
-    if name == LEDGER:
-        return store[name].withColumn("bucket", bucket("path", version))
+    if name in BY_KEY:
+        return store[name].withColumn("bucket", bucket(BY_KEY[name], version))
     if name in OF_CONVERSATION:
         return store[name].withColumn("bucket", bucket(OF_CONVERSATION[name], version))
     parent, column = OF_CHILD[name]
@@ -107,8 +109,8 @@ def _with_bucket(store: Store, name: str, version: Version) -> DataFrame:
     return store[name].join(parents, column).withColumn("bucket", bucket("__c", version)).drop("__c")
 
 
-def _written(store: Store, path: str, version: Version, tables: list[str], touched: list[int] | None, ledger: list[int] | None) -> Version:
-    """The tables in new folders, and a version that names them instead of what these buckets had; not committed."""
+def _written(store: Store, path: str, version: Version, tables: list[str], touched: list[int] | None, ledger: list[int] | None, blobs: list[int] | None = None) -> Version:
+    """The tables in new folders, and a version that names them instead of what these buckets (all, if None) had; not committed."""
     folders = {t: dict(of) for t, of in version.folders.items()}
     for name in tables:
         folder, columns = uuid.uuid4().hex[:16], SCHEMAS[name].names
@@ -118,10 +120,10 @@ def _written(store: Store, path: str, version: Version, tables: list[str], touch
             folders[name] = {"": folder}
             continue
         rows = _with_bucket(store, name, version).select(*columns, "bucket")
-        key = "path" if name == LEDGER else "id"
+        key = BY_KEY.get(name, "id")
         rows.repartitionByRange("bucket", F.xxhash64(key)).write.partitionBy("bucket").parquet(place)
         made = {n.removeprefix("bucket="): folder for n in names(rows.sparkSession, place) if n.startswith("bucket=")}
-        old = ledger if name == LEDGER else touched
+        old = {LEDGER: ledger, BLOBS: blobs}.get(name, touched)
         gone = set(folders.get(name, {})) if old is None else {str(k) for k in old}
         folders[name] = {k: f for k, f in folders.get(name, {}).items() if k not in gone} | made
     return replace(version, folders=folders)
@@ -173,10 +175,10 @@ def _table(spark: SparkSession, path: str, version: Version, name: str, some: li
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def read(spark: SparkSession, path: str, buckets: list[int] | None = None, ledger: list[int] | None = None, version: Version | None = None) -> Store:
-    """SRC-13: the store under path, or these buckets of it and of its ledger, as of a version, the last one if not said. Batches that are committed later don't show in it."""
+def read(spark: SparkSession, path: str, buckets: list[int] | None = None, ledger: list[int] | None = None, version: Version | None = None, blobs: list[int] | None = None) -> Store:
+    """SRC-13: the store under path, or these buckets of it, of its ledger and of its blobs, as of a version, the last one if not said. Batches that are committed later don't show in it."""
     version = version or latest(spark, path)
-    return {name: _table(spark, path, version, name, ledger if name == LEDGER else buckets) for name in SCHEMAS}
+    return {name: _table(spark, path, version, name, {LEDGER: ledger, BLOBS: blobs}.get(name, buckets)) for name in SCHEMAS}
 
 
 def _numbers(rows: DataFrame, key: str, version: Version) -> list[int]:
@@ -233,8 +235,8 @@ def split(spark: SparkSession, path: str, some: int = 1) -> Version:
     some = min(some, version.level - version.split)
     old = list(range(version.split, version.split + some))
     after = replace(version, split=version.split + some)
-    store = read(spark, path, old, old, version)
-    made = _written(store, path, after, sorted(IN_BUCKETS), old, old)
+    store = read(spark, path, old, old, version, old)
+    made = _written(store, path, after, sorted(IN_BUCKETS), old, old, old)
     if set(ROLLUPS) <= set(made.folders):
         made = _rolled(store, path, made, old)
     if made.split == made.level:

@@ -345,10 +345,9 @@ def brute_similar(rows, words=5):
     return [min(rows[j][0] for j in range(len(rows)) if label[j] == label[i]) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("block", [4096, 5])
-def test_near_dedup_by_similarity(spark, block, monkeypatch):
-    monkeypatch.setattr(similar, "BLOCK", block)
-    monkeypatch.setattr(similar.links, "__defaults__", (*similar.links.__defaults__[:-1], block))
+@pytest.mark.parametrize("block, most_blocks", [(4096, 32), (5, 32), (5, 0)])
+def test_near_dedup_by_similarity(spark, block, most_blocks, monkeypatch):
+    monkeypatch.setattr(similar.links, "__defaults__", (*similar.links.__defaults__[:-2], most_blocks, block))
     rng = random.Random(12)
     word = lambda: f"w{rng.randrange(5000)}"
     texts = ["", None, "few words", "few words", "Few  words here"]
@@ -373,6 +372,24 @@ def test_near_dedup_by_similarity(spark, block, monkeypatch):
     assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
 
 
+def test_a_bucket_of_one_passage_is_split(spark, monkeypatch):
+    """Documents that share a passage of half their length, and have the rest of their own: one bucket, no links, and no shuffle by blocks."""
+    monkeypatch.setattr(similar.links, "__defaults__", (*similar.links.__defaults__[:-2], 1, 64))
+    rng, asked, compared = random.Random(5), [], similar._compared
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(k, passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for k in range(600)] + [(1000 + k, passage + " one two three four five six seven eight nine ten eleven " + "x " * k) for k in range(4)]
+
+    def counting(buckets, *rest):
+        asked.append(buckets.count())
+        return compared(buckets, *rest)
+
+    monkeypatch.setattr(similar, "_compared", counting)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in similar.keep_one(df).collect())
+    assert kept == sorted({c for c in brute_similar(rows)})
+    assert len(asked) == 2 and asked[1] < 2 * len(rows)  # rows after the split, whatever the number of blocks
+
+
 def test_bit_maps_lose_no_link():
     rng = np.random.default_rng(4)
     sets = []

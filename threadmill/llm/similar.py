@@ -9,8 +9,9 @@ Texts with equal sets are one vertex, however many rows they are. In each band's
 smallest id, so a large group of near copies costs a comparison a vertex. Only buckets that these links leave in several components
 are searched on, in numpy: in blocks of BLOCK vertices, each compared with each other block. Fingerprints rule out pairs that differ in more than FAR
 bits (a pair at 0.8 does with a probability below 1 in a million); then bit maps of the sets' hashes bound the similarity from above, which loses nothing and leaves little but pairs
-close to `least`. No task holds more than two blocks, and only what is left is passed on; but
-comparing blocks, though cheap, grows with the square of such a bucket. Sizes alone rule out pairs below `least`. Components as in simhash.
+close to `least`. No task holds more than two blocks, and only what is left is passed on. A vertex is shuffled once for each block of its bucket; a bucket of more
+than MOST_BLOCKS is split first: its sets' hashes are counted, and vertices meet only where they share one of the rarest fifth of their hashes, as two sets of the
+similarity must. So passages that very many documents share, which make such buckets, bring together only documents that consist of them. Sizes alone rule out pairs below `least`. Components as in simhash.
 
 Words are as in simhash: ASCII lower case, split at ASCII white space. A text of fewer words than a shingle has is one shingle; null or empty text has
 none, and is equal to others of the kind only. Rows are judged by their text alone. A very long text is taken whole. An empty table gives an empty result. Columns that
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.llm.common import discard, key_filter, materialize, mix64, plain, with_maybe
@@ -39,6 +40,8 @@ _MULTIPLIERS = np.random.default_rng(42).integers(0, 2**64, BANDS * ROWS, dtype=
 _STEP = 1 << 12
 #: Vertices of a bucket in one block, and the most bits in which fingerprints of candidates differ.
 BLOCK, FAR = 4096, 24
+#: Blocks of a bucket up to which all of them are compared; each vertex is shuffled as often.
+MOST_BLOCKS = 32
 #: Least and largest length of a set's bit map.
 MAP_BITS = (1 << 10, 1 << 16)
 
@@ -149,6 +152,16 @@ def _bit_map(found: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _folded(maps: Column) -> Column:
+    """Maps of the least length: what they rule out, the whole ones rule out, too."""
+
+    @F.arrow_udf("binary")
+    def folded(maps: pa.Array) -> pa.Array:
+        return pa.array([np.bitwise_or.reduce(np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, MAP_BITS[0] // 64), axis=0).tobytes() for x in maps], pa.binary())
+
+    return folded(maps)
+
+
 def _levels(maps: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length, the maps of at least that length, folded to it: (row of each vertex, maps)."""
     sizes, out = np.array([len(m) for m in maps]), {}
@@ -206,7 +219,35 @@ def _block_pairs(least: int):
     return pairs
 
 
-def links(marked: DataFrame, vertices: DataFrame, text: str, least: int = LEAST, shingle_words: int = SHINGLE_WORDS, block: int = BLOCK) -> DataFrame:
+def _prefixes(hot: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """(h, w) for the vertices of hot (v): of each set's hashes the rarest n - least * n + 1, as far as another one has them. Two sets of the similarity share one of these, as all sets
+    take the same order: by how many of these vertices have a hash, then by the hash."""
+
+    @F.arrow_udf("array<bigint>")
+    def hashes(sets: pa.Array) -> pa.Array:
+        parts = [np.frombuffer(x.as_buffer(), np.int64) for x in sets]
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+    elements = materialize(sets.join(hot.select(F.col("v").alias("w")).distinct(), "w", "left_semi").select("w", F.explode(hashes("s")).alias("h")), "elements")
+    often = materialize(elements.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    of_set = Window.partitionBy("w")
+    ranked = elements.join(often, "h", "left").withColumns({"df": F.coalesce("df", F.lit(1)), "n": F.count("*").over(of_set), "place": F.row_number().over(of_set.orderBy(F.coalesce("df", F.lit(1)), "h"))})
+    out = materialize(ranked.where((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * least / 100) + 1)).select("h", "w"), "prefixes")
+    discard(elements, often)
+    return out
+
+
+def _compared(rows: DataFrame, maps: DataFrame, least: int, block: int) -> DataFrame:
+    """Candidates (u, v) of the rows (band, v, n, fp, root) of a bucket, in blocks; buckets of one component have none. maps: __tm_w, map."""
+    apart = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
+    apart = materialize(apart.select("band", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "apart")
+    left = rows.join(apart, "band").withColumn("side", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.join(maps, left["v"] == maps["__tm_w"]).select("band", F.least("side", "j").alias("i"), F.greatest("side", "j").alias("k"), "side", "v", "n", "root", "fp", "map")
+    return left.repartition("band", "i", "k").sortWithinPartitions("band", "i", "k").mapInPandas(_block_pairs(least), "u bigint, v bigint")
+
+
+def links(marked: DataFrame, vertices: DataFrame, text: str, least: int = LEAST, shingle_words: int = SHINGLE_WORDS, most_blocks: int = MOST_BLOCKS, block: int = BLOCK) -> DataFrame:
     """Pairs (u, v) of linked vertices that join each component. vertices: v, n, fp, bands, the least id, `least`, and the row that gives the set; marked: stored rows with __tm_row."""
     bucketed = vertices.select("v", "n", "fp", "least", "row", F.explode("bands").alias("band"))
     first = bucketed.groupBy("band").agg(F.min(F.struct(F.col("least").isNull(), "least", "v", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
@@ -230,12 +271,14 @@ def links(marked: DataFrame, vertices: DataFrame, text: str, least: int = LEAST,
     found = linked(tried)
     roots = components(found).select(F.col("u").alias("__tm_u"), "root")
     named = materialize(shared.join(roots, shared["v"] == roots["__tm_u"], "left").select("band", "v", "n", "fp", F.coalesce("root", "v").alias("root")), "named")
-    apart = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
-    apart = materialize(apart.select("band", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "apart")
-    left = named.join(apart, "band").withColumn("side", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Buckets of so many blocks that comparing all of them would shuffle each vertex too often are split by what their sets have that few others have.
+    sizes = materialize(named.groupBy("band").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("low") != F.col("high")) & (F.col("members") > most_blocks * block)).select("band"), "hot-buckets")
     maps = sets.select(F.col("w").alias("__tm_w"), _maps(F.col("s")).alias("map"))
-    left = left.join(maps, left["v"] == maps["__tm_w"]).select("band", F.least("side", "j").alias("i"), F.greatest("side", "j").alias("k"), "side", "v", "n", "root", "fp", "map")
-    rest = left.repartition("band", "i", "k").sortWithinPartitions("band", "i", "k").mapInPandas(_block_pairs(least), "u bigint, v bigint")
+    rest = _compared(named.join(sizes, "band", "left_anti"), maps, least, block)
+    if not sizes.isEmpty():
+        hot = materialize(named.join(sizes, "band", "left_semi").select("v", "n", "fp", "root").distinct(), "hot")
+        split = _prefixes(hot, sets, least).join(hot, F.col("w") == F.col("v")).select(F.col("h").alias("band"), "v", "n", "fp", "root")
+        rest = rest.union(_compared(materialize(split, "hot-split"), maps.withColumn("map", _folded(F.col("map"))), least, block))
     rest = materialize(rest.distinct(), "candidates")
     # What is linked so far is a star per component already.
     return roots.select(F.col("__tm_u").alias("u"), F.col("root").alias("v")).union(linked(rest.join(tried, ["u", "v"], "left_anti")))

@@ -403,13 +403,19 @@ def _exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 over_tables("ret18_chunks")(lambda s, d: chunks.chunk_exchanges(_exchanges(s, d)).select("conversation_id", "chunk_no", "token_count", F.size("source_ids").alias("sources")))
 # Windows alone: no exchange is cut.
-over_tables("ret18_windows", f"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, {_COUNTED} AS n FROM conversations),
+_WINDOWS_SQL = f"""RECURSIVE t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, {_COUNTED} AS n FROM conversations),
 f AS (SELECT conv_id, k, n, n AS size, 0 AS chunk_no FROM t WHERE k = 1
-  UNION ALL SELECT t.conv_id, t.k, t.n, CASE WHEN f.size + t.n > 256 THEN t.n ELSE f.size + t.n END, CASE WHEN f.size + t.n > 256 THEN f.chunk_no + 1 ELSE f.chunk_no END FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1)
+  UNION ALL SELECT t.conv_id, t.k, t.n, CASE WHEN f.size + t.n > 256 THEN t.n ELSE f.size + t.n END, CASE WHEN f.size + t.n > 256 THEN f.chunk_no + 1 ELSE f.chunk_no END FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1)"""
+over_tables("ret18_windows", f"""WITH {_WINDOWS_SQL}
 SELECT CAST(conv_id AS VARCHAR) AS conversation_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(sum(n) AS INTEGER) AS token_count, CAST(count(*) AS INTEGER) AS sources FROM f GROUP BY 1, 2""")(
     lambda s, d: chunks.chunk_exchanges(_exchanges(s, d), most=10**9).select("conversation_id", "chunk_no", "token_count", F.size("source_ids").alias("sources"))
 )
 
+over_tables("snk03_chunks", f"""WITH {_WINDOWS_SQL}
+SELECT upper(substr(sha256(conv_id || chr(31) || chunk_no), 1, 26)) AS id, CAST(conv_id AS VARCHAR) AS conversation_id, CAST(sum(n) AS INTEGER) AS token_count, list(CAST(turn AS VARCHAR) ORDER BY turn)[1] AS first_source, 64 AS dimension FROM f JOIN t USING (conv_id, k, n) GROUP BY conv_id, chunk_no""")(
+    lambda s, d: chunks.embedded(chunks.chunk_exchanges(_exchanges(s, d), most=10**9), lambda: lambda texts: [vectors.hashed_vector(t) for t in texts], AS_OF).select("id", "conversation_id", "token_count", F.get("source_ids", F.lit(0)).alias("first_source"), F.size("embedding").alias("dimension"))
+)
+
 
 def _only_words(text: str) -> list[str]:
     return chunks.split_text(" ".join(re.findall(r"\w+", text)))
@@ -434,6 +440,17 @@ over_tables("dml02_aliases", "SELECT DISTINCT event_type AS raw_name, CASE event
 over_store("ext04_saved_query", "SELECT harness_id, count(*) AS n FROM c_conversations WHERE started_at >= '1995' AND branch <> ':since' GROUP BY 1")(
     lambda s: (export.register({"conversations": s["conversations"]}), export.run_text(s["conversations"].sparkSession, "-- :nothing\nSELECT 1; SELECT harness_id, count(*) AS n FROM conversations WHERE started_at >= :since AND branch <> ':since' GROUP BY 1", {"since": "1995", "more": 1}))[1]
 )
+
+
+def _late() -> DataFrame:
+    raise RuntimeError("no such service")
+
+
+over_store("ext05_checks", """WITH s AS (SELECT 'embeddings-stale' AS "check", CAST(id AS VARCHAR) AS subject FROM c_conversations WHERE id NOT IN (SELECT conversation_id FROM c_chunks)),
+o AS (SELECT 'orphaned-chunks' AS "check", CAST(conversation_id AS VARCHAR) AS subject FROM c_chunks WHERE conversation_id NOT IN (SELECT id FROM c_conversations) GROUP BY conversation_id)
+SELECT * FROM s UNION ALL SELECT * FROM o UNION ALL SELECT 'late', 'error'""")(
+    lambda s: health.run(s["chunks"].sparkSession, {"late": _late, "stale": lambda: health.embeddings_stale(s), "orphans": lambda: health.orphaned_chunks(s)}).select("check", "subject")
+)
 over_tables("chk08_drop_ins", "SELECT 'drop-ins-valid' AS \"check\", n_name AS subject FROM nation WHERE n_nationkey % 3 = 0")(
     lambda s, d: health.queries_valid(s, {r.n_name: "SELECT * FROM (" if r.n_nationkey % 3 == 0 else f"SELECT * FROM {r.n_name.replace(' ', '_')}" for r in canonical.read(s, d, "nation").collect()}).select("check", "subject")
 )

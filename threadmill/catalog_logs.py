@@ -125,6 +125,19 @@ over_tables("src06_rejected", f"WITH {_T} SELECT '/l/' || conv_id AS path, seq +
 over_tables("src11_tail", f"WITH {_T} SELECT '/l/' || conv_id AS path, seq FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) <= 2")(lambda s, d: live.tail(_broken(s, d), 2).select("path", "seq"))
 
 
+def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readers of files once one for a tenth of the pages is registered."""
+    logs.register("own_pages", logs.claude_code, "me", "jsonl", {}, "file", r"[0-9]*7(\.html?)?$")
+    try:
+        found = canonical.read(spark, sf_dir, "pages").select(F.concat(F.lit("/srv/"), F.col("page_id")).alias("path"))
+        return logs.discovered(found.union(found.select(F.concat(F.lit("/h/.codex/sessions/"), F.element_at(F.split("path", "/"), -1), F.lit("x.jsonl"))))).select("path", "harness")
+    finally:
+        for known in (logs.HARNESSES, logs.READERS, logs.PLACES):
+            del known["own_pages"]
+
+
+over_tables("src14_registry", "SELECT '/srv/' || page_id AS path, 'own_pages' AS harness FROM pages WHERE page_id % 10 = 7 UNION ALL SELECT '/h/.codex/sessions/' || page_id || 'x.jsonl', 'codex_cli' FROM pages")(_registered)
+
 _ON_DISK: dict[tuple[str, str], str] = {}
 
 

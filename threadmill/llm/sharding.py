@@ -90,8 +90,8 @@ def hilbert_shards(df: DataFrame, dimensions: list[str], tie_breaks: list[str],
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """A folder per shard, the rows of a file in curve order."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").drop("__tm_curve").write.partitionBy("shard").parquet(path)
+    """A folder per shard, with as many files as it takes; each file has a range of slots, in their order, so a shard of any size is written by many tasks."""
+    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("__tm_curve").write.partitionBy("shard").parquet(path)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

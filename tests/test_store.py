@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadmill.operators import analytics, exchanges, export, filters, fulltext, health, maintenance
+from threadmill.plans import pointers
 from threadmill.schema import SCHEMAS, empty_store, has_table, read_store, write_store
 from threadmill.sources import logs
 from threadmill.streaming import buckets, ingest, live, rollups
@@ -435,3 +436,15 @@ def test_stores_of_other_schemas(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(buckets, "VERSION", 1)
     with pytest.raises(ValueError, match="version 2"):
         buckets.latest(spark, path)
+
+
+def test_scratch_tables_go(spark):
+    from threadmill.plans import tables
+
+    kept = tables.settled(spark.range(3), "kept")
+    with tables.scratch(spark):
+        gone = tables.settled(spark.range(4), "gone")
+        assert gone.count() == 4
+    assert kept.count() == 3 and not pointers.names(spark, gone._settled_at)
+    tables.discard(kept, gone)  # gone is gone already
+    assert not pointers.names(spark, kept._settled_at)

@@ -6,11 +6,14 @@ import atexit
 import contextlib
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_lock = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,10 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has yet; release() deletes what is written there."""
-    if not _written:
-        atexit.register(release, spark)
-    _written.append(f"{shared_dir(spark)}/threadmill/{name}-{uuid.uuid4().hex}")
-    return _written[-1]
+    path = f"{shared_dir(spark)}/threadmill/{name}-{uuid.uuid4().hex}"
+    with _lock:
+        if not _written:
+            atexit.register(release, spark)
+        _written.append(path)
+    return path
 
 
 def settled(table: DataFrame, name: str = "table") -> DataFrame:
@@ -54,14 +59,34 @@ def delete(spark: SparkSession, path: str) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete settled tables that nothing reads any more: what is left to do reads tables made from them."""
     for table in tables:
-        _written.remove(table._settled_at)
-        delete(table.sparkSession, table._settled_at)
+        with _lock:
+            known = table._settled_at in _written
+            if known:
+                _written.remove(table._settled_at)
+        if known:  # else it was released already
+            delete(table.sparkSession, table._settled_at)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written inside goes at the end: for a driver that lives long, around each query and the use of its result. Not for queries that run side by side in threads."""
+    with _lock:
+        before = set(_written)
+    try:
+        yield
+    finally:
+        with _lock:
+            made = [p for p in _written if p not in before]
+            _written[:] = [p for p in _written if p in before]
+        for path in made:
+            delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete what this driver has written; called at its end, too."""
-    paths = _written[:]
-    _written.clear()
+    with _lock:
+        paths = _written[:]
+        _written.clear()
     with contextlib.suppress(Exception):  # the session may have ended
         for path in paths:
             delete(spark, path)

@@ -178,8 +178,14 @@ def test_nearest_is_the_top_of_all(spark):
     frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "chunk_id long, embedding array<float>").repartition(3)
     asked = frame.where("chunk_id % 7 = 0").select(F.col("chunk_id").alias("query"), "embedding")
     unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    for block in (3, 512):
-        got = {(r["query"], r["place"]): r["score"] for r in vectors.nearest(frame, asked, 4, block).collect()}
+    ties = {}
+    for block, most in ((3, 1 << 20), (512, 1 << 20), (512, 0)):
+        rows = vectors.nearest(frame, asked, 4, block, most)
+        assert "NestedLoop" not in rows._jdf.queryExecution().toString() and "Cartesian" not in rows._jdf.queryExecution().toString()
+        rows = rows.collect()
+        got = {(r["query"], r["place"]): r["score"] for r in rows}
+        ties.setdefault("ids", [(r["query"], r["place"], r["chunk_id"]) for r in sorted(rows)])
+        assert [(r["query"], r["place"], r["chunk_id"]) for r in sorted(rows)] == ties["ids"]
         assert len(got) == 9 * 4
         for q in range(0, 60, 7):
             assert [got[q, p] for p in range(1, 5)] == pytest.approx(sorted((unit @ unit[q]).tolist(), reverse=True)[:4])

@@ -270,6 +270,11 @@ over_tables("str08_live_files", "SELECT page_id FROM pages WHERE page_id % 100 <
 # --- Names and blocks ----------------------------------------------------------------------------------------------------
 
 _NAMES = ["claude-opus-4-5-20251101", "claude-3-5-sonnet-20241022", "claude-3-haiku-20240307", "gemini-2.5-pro-preview", "gemini-2.0-flash", "claude-opus-4-20250514", "gpt-x", "claude-3-5-sonnet-latest"]
+over_tables("fn08_model_parts", """SELECT p_partkey, 'claude-' || p_size || '-' || v AS name, CAST(p_size AS VARCHAR) AS version, v AS variant, '2024-' || lpad(CAST(p_size % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') AS released
+FROM (SELECT *, CASE WHEN p_retailprice < 1000 THEN 'opus' WHEN p_brand < 'Brand#3' THEN 'sonnet' ELSE 'haiku' END AS v FROM part)""")(
+    lambda s, d: canonical.read(s, d, "part").select("p_partkey", scalars.model_name(F.concat_ws("-", F.lit("claude"), "p_size", F.when(F.col("p_retailprice") < 1000, "opus").when(F.col("p_brand") < "Brand#3", "sonnet").otherwise("haiku"), F.concat(F.lit("2024"), F.lpad((F.col("p_size") % 12 + 1).cast("string"), 2, "0"), F.lpad((F.col("p_partkey") % 28 + 1).cast("string"), 2, "0")))).alias("m"))
+    .select("p_partkey", "m.name", "m.version", "m.variant", "m.released")
+)
 over_tables("fn08_model_name", """WITH m(k, name, creator, version, variant, released) AS (VALUES (0, 'claude-opus-4-5', 'anthropic', '4.5', 'opus', '2025-11-01'), (1, 'claude-3-5-sonnet', 'anthropic', '3.5', 'sonnet', '2024-10-22'),
   (2, 'claude-3-haiku', 'anthropic', '3', 'haiku', '2024-03-07'), (3, 'gemini-2.5-pro', 'google', '2.5', 'pro', NULL), (4, 'gemini-2.0-flash', 'google', '2.0', 'flash', NULL), (5, 'claude-opus-4-20250514', NULL, NULL, NULL, NULL),
   (6, 'gpt-x', NULL, NULL, NULL, NULL), (7, 'claude-3-5-sonnet-latest', NULL, NULL, NULL, NULL)) SELECT page_id, name, creator, version, variant, released FROM pages JOIN m ON k = page_id % 8""")(

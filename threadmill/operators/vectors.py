@@ -13,17 +13,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from threadmill.functions.scalars import parse_timestamp
 from threadmill.operators import fulltext
 from threadmill.operators.filters import at_least, intersect_or_all, minus
+from threadmill.plans.tables import new_path
 from threadmill.schema import Store
 
 #: Rows that re-ranking looks at; a limit of the feature.
 CANDIDATES = 1000
 FIRST_MENTION = 0.65
-#: Queries and chunks whose product is one matrix.
-QUERY_BLOCK, CHUNK_BATCH = 512, 4096
+#: Queries that are scored at once, and the bytes of queries that go to every task.
+QUERY_BLOCK, QUERY_BYTES = 512, 64 << 20
 
 
 def similar(chunks: DataFrame, query: list[float]) -> DataFrame:
@@ -48,32 +50,51 @@ def _matrix(vectors: pa.Array, d: int) -> np.ndarray:
     return _units(vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d))
 
 
-def nearest(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, most: int = QUERY_BYTES) -> DataFrame:
     """RET-04 for many queries (query, embedding): (query, chunk_id, score, place) of each one's k most similar chunks, ties by smaller chunk_id.
 
-    Queries go in blocks, one row each, past batches of chunks; each pair of them is a matrix product that passes on k rows a query, and a top k over these
-    is the result. Which pairs there are doesn't depend on the data, so no task gets more than others."""
-    numbered = queries.select("query", "embedding", F.pmod(F.xxhash64("query"), F.greatest(F.lit(1), F.ceil(F.lit(queries.count() / block)))).alias("block"))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query", "embedding")).alias("queries"))
-    rows = chunks.select("chunk_id", F.col("embedding").alias("vector"))
-    parts = rows.withColumn("batch", F.floor(F.monotonically_increasing_id() / CHUNK_BATCH)).groupBy("batch").agg(F.collect_list(F.struct("chunk_id", "vector")).alias("chunks"))
+    Queries of up to `most` bytes in all go to every task, which scores the chunks that it reads, a block of queries at a time, and keeps the best k of each query: chunks
+    aren't shuffled. More queries than that meet the chunks in cells (cells.py)."""
+    shape = queries.select(F.count("*"), F.max(F.size("embedding"))).first()
+    n, d = shape[0], shape[1] or 0
+    if 8 * n * d > most:
+        from threadmill.operators import cells
+
+        path = new_path(queries.sparkSession, "nearest")
+        cells.write(chunks.select("chunk_id", "embedding"), path)
+        kind = chunks.schema["chunk_id"].dataType.simpleString()
+        return cells.search(cells.read(queries.sparkSession, path, kind), queries, k).drop("scored")
+    asked = queries.select("query", "embedding").toArrow().combine_chunks()
+    names = asked.column("query").combine_chunks()
+    units = _matrix(asked.column("embedding").combine_chunks(), d) if n else np.zeros((0, d))
+    sent = queries.sparkSession.sparkContext.broadcast((names, units))
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *chunks.schema]}
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, units = sent.value
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for asked, held in zip(batch.column(0), batch.column(1), strict=True):
-                asked, held = asked.values, held.values
-                if not len(asked) or not len(held):
-                    continue
-                d = len(asked.field("embedding")[0])
-                score = _matrix(asked.field("embedding"), d) @ _matrix(held.field("vector"), d).T
-                ids = held.field("chunk_id").to_pandas()
-                by_id = np.argsort(ids.to_numpy(), kind="stable")
-                top = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :k]]
-                of = np.repeat(np.arange(len(asked)), top.shape[1])
-                yield pa.RecordBatch.from_arrays([asked.field("query").take(pa.array(of)), held.field("chunk_id").take(pa.array(top.ravel())), pa.array(score[of, top.ravel()])], ["query", "chunk_id", "score"])
-
-    found = blocks.select("queries").crossJoin(parts.select("chunks")).mapInArrow(best, f"query {kinds['query']}, chunk_id {kinds['chunk_id']}, score double")
+            if not len(batch):
+                continue
+            ids = np.array(batch.column(0).to_pylist())
+            order = np.argsort(ids, kind="stable")
+            ids, vectors = ids[order], _matrix(batch.column(1), d)[order]
+            for first in range(0, len(units), block):
+                score = units[first : first + block] @ vectors.T
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                score, own = np.take_along_axis(score, top, axis=1), ids[top]
+                if first in held:
+                    score, own = np.concatenate((held[first][0], score), axis=1), np.concatenate((held[first][1], own), axis=1)
+                    top = np.lexsort((own, -score), axis=1)[:, :k]
+                    score, own = np.take_along_axis(score, top, axis=1), np.take_along_axis(own, top, axis=1)
+                held[first] = score, own
+        for first, (score, own) in held.items():
+            of = np.repeat(np.arange(first, first + len(score)), score.shape[1])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), pa.array(own.ravel().tolist(), chunk_type), pa.array(score.ravel())], ["query", "chunk_id", "score"])
+
+    chunk_type = to_arrow_type(chunks.schema["chunk_id"].dataType)
+    same = F.assert_true(F.coalesce(F.size("embedding"), F.lit(-1)) == d, F.lit(f"the queries have {d} dimensions, a chunk has others"))
+    found = chunks.where(same.isNull()).select("chunk_id", "embedding").mapInArrow(best, f"query {kinds['query']}, chunk_id {kinds['chunk_id']}, score double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("chunk_id")))
     return found.withColumn("place", place).where(F.col("place") <= k)
 

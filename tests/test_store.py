@@ -267,8 +267,8 @@ def test_readers_by_path_and_name(spark):
         with pytest.raises(ValueError):
             logs.register("a::b", None, "s", "f")
     finally:
-        for known in (logs.HARNESSES, logs.READERS, logs.PLACES):
-            del known["own"]
+        logs.unregister("own")
+        assert "own" not in logs.READERS
     assert has_table(SCHEMAS, "pricing") and not has_table(SCHEMAS, "none")
 
 

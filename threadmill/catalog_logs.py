@@ -132,10 +132,29 @@ def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = canonical.read(spark, sf_dir, "pages").select(F.concat(F.lit("/srv/"), F.col("page_id")).alias("path"))
         return logs.discovered(found.union(found.select(F.concat(F.lit("/h/.codex/sessions/"), F.element_at(F.split("path", "/"), -1), F.lit("x.jsonl"))))).select("path", "harness")
     finally:
-        for known in (logs.HARNESSES, logs.READERS, logs.PLACES):
-            del known["own_pages"]
+        logs.unregister("own_pages")
 
 
+def _overruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readers of session files once a drop-in has claimed those of even pages, which a package's reader claims in vain."""
+    logs.register("even", logs.codex_cli, "me", "jsonl", place=r"[02468]\.jsonl$")
+    logs.register("package", logs.codex_cli, "me", "jsonl", place=r"\.jsonl$", origin="package")
+    try:
+        assert not logs.register("even", logs.claude_code, "other", "jsonl", place=r"never$", origin="package")
+        found = canonical.read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/h/.codex/sessions/"), F.col("page_id"), F.when(F.col("page_id") % 3 == 0, ".jsonl").otherwise(".json")).alias("path"))
+        return logs.discovered(found).select("page_id", "harness")
+    finally:
+        logs.unregister("even")
+        logs.unregister("package")
+
+
+over_tables("set09_priorities", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'package' END AS harness FROM pages WHERE page_id % 3 = 0")(_overruled)
+over_tables("src16_content", "SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS n, CASE turn % 4 WHEN 2 THEN NULL ELSE coalesce(text, '') END AS first FROM conversations")(
+    lambda s, d: canonical.turns(s, d).withColumn("t", F.coalesce("text", F.lit(""))).withColumn("v", F.parse_json(
+        F.when(F.col("turn") % 4 == 0, F.to_json(_object(content=F.col("t")))).when(F.col("turn") % 4 == 1, F.to_json(_object(content=_object(text=F.col("t")))))
+        .when(F.col("turn") % 4 == 2, F.lit('{"content":null}')).otherwise(F.to_json(_object(content=F.array(_object(text=F.col("t")), _object(text=F.lit("more"))))))))
+    .withColumn("e", logs.content_elements("$.content")).select("conv_id", "turn", F.size("e").alias("n"), F.coalesce(F.try_variant_get(F.get("e", F.lit(0)), "$.text", "string"), F.try_variant_get(F.get("e", F.lit(0)), "$", "string")).alias("first"))
+)
 over_tables("src14_registry", "SELECT '/srv/' || page_id AS path, 'own_pages' AS harness FROM pages WHERE page_id % 10 = 7 UNION ALL SELECT '/h/.codex/sessions/' || page_id || 'x.jsonl', 'codex_cli' FROM pages")(_registered)
 
 _ON_DISK: dict[tuple[str, str], str] = {}

@@ -80,8 +80,8 @@ def _json(c: Column) -> Column:
     return F.to_json(c)
 
 
-def _elements(path: str) -> Column:
-    """A JSON array's elements as variants; a string or an object as the only one; nothing for null."""
+def content_elements(path: str) -> Column:
+    """SRC-16: a JSON array's elements as variants; a string or an object as the only one; nothing for null. path: in the column v."""
     c = _get(path, "variant")
     kind = F.schema_of_variant(c)
     return F.when(kind.startswith("ARRAY"), _get(path, "array<variant>")).when(c.isNull() | (kind == "VOID"), F.array().cast("array<variant>")).otherwise(F.array(c))
@@ -114,7 +114,7 @@ def claude_code(files_: DataFrame) -> Logs:
     first = lambda p: F.min_by(_get(p), F.when(_get(p).isNotNull(), F.col("seq")))
     found = rows.groupBy("path").agg(first("$.sessionId").alias("session"), first("$.agentId").alias("agent"), first("$.cwd").alias("workspace_path"), F.min(_get("$.timestamp")).alias("started_at"), F.max(_get("$.timestamp")).alias("ended_at"))
     name = F.concat_ws("::", F.lit("claude_code"), F.coalesce("session", _stem(F.col("path"))), F.when(F.col("agent").isNotNull(), F.concat(F.lit("agent::"), F.col("agent"))))
-    elements = _elements("$.message.content")
+    elements = content_elements("$.message.content")
     of_type = lambda t: F.filter(elements, lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == t, F.lit(False)))
     role = F.coalesce(_get("$.message.role"), F.col("type"))
     results = F.transform(of_type("tool_result"), lambda b: F.struct(
@@ -160,7 +160,7 @@ def codex_cli(files_: DataFrame) -> Logs:
     result = F.struct(call_id.alias("id"), F.concat(F.lit('{"output":'), F.coalesce(F.to_json(_get("$.payload.output", "variant")), F.lit('""')), F.lit("}")).alias("result"), F.lit("success").alias("status"), F.col("ts").alias("timestamp"))
     records = items.withColumn("kind", kind).where("kind IS NOT NULL").select(*_record(
         kind=F.col("kind"), timestamp=F.col("ts"), model=F.when(F.col("kind").isin("response", "call"), F.col("model")),
-        blocks=F.when(is_call, F.array(use_block)).otherwise(F.transform(_elements("$.payload.content"), rename)), uses=F.when(is_call, F.array(use)).otherwise(F.array().cast(USES)), results=F.when(is_output, F.array(result)).otherwise(F.array().cast(RESULTS)),
+        blocks=F.when(is_call, F.array(use_block)).otherwise(F.transform(content_elements("$.payload.content"), rename)), uses=F.when(is_call, F.array(use)).otherwise(F.array().cast(USES)), results=F.when(is_output, F.array(result)).otherwise(F.array().cast(RESULTS)),
     ))
     sessions = found.select("path", F.lit(0).alias("session"), F.lit("codex_cli").alias("harness"), F.concat_ws("::", F.lit("codex_cli"), F.coalesce("id", _stem(F.col("path")))).alias("external_id"), "workspace_path", "started_at", "ended_at")
     return Logs(sessions, records, errors)
@@ -180,8 +180,8 @@ def gemini_cli(files_: DataFrame, known_paths: DataFrame | None = None) -> Logs:
     messages = rows.select("path", F.posexplode(_get("$.messages", "array<variant>")).alias("seq", "v"))
     text = F.nullif(_get("$.content"), F.lit(""))
     texts = F.when(text.isNotNull(), F.array(_text_block(text))).otherwise(F.array().cast(BLOCKS))
-    thoughts = F.transform(_elements("$.thoughts"), lambda t: F.struct(F.lit("thinking").alias("block_type"), F.to_json(F.struct(*(F.try_variant_get(t, f"$.{k}", "string").alias(k) for k in ("subject", "description", "timestamp")))).alias("content")))
-    calls = _elements("$.toolCalls")
+    thoughts = F.transform(content_elements("$.thoughts"), lambda t: F.struct(F.lit("thinking").alias("block_type"), F.to_json(F.struct(*(F.try_variant_get(t, f"$.{k}", "string").alias(k) for k in ("subject", "description", "timestamp")))).alias("content")))
+    calls = content_elements("$.toolCalls")
     name = lambda c: F.coalesce(F.try_variant_get(c, "$.name", "string"), F.lit("unknown"))
     args = lambda c: F.coalesce(F.to_json(F.try_variant_get(c, "$.args", "variant")), F.lit("{}"))
     uses = F.transform(calls, lambda c: F.struct(F.try_variant_get(c, "$.id", "string").alias("id"), name(c).alias("name"), args(c).alias("input")))
@@ -318,19 +318,36 @@ PLACES = {
 }
 
 
-def register(name: str, reader, source: str, log_format: str, tools: dict[str, str] | None = None, by: str = "file", place: str | None = None) -> None:
-    """A reader of one's own: it takes files and returns Logs. One of a known name takes its place. by: whether a file or a session is what is new."""
-    if not name or "::" in name or not callable(reader) or by not in ("file", "session"):
-        raise ValueError("a reader needs a name without '::', a function of files, and to go by file or by session")
+#: Where readers come from, the least first: of one name the last counts, and of places that both fit a path, too.
+ORIGINS = ("built in", "package", "drop-in")
+_ORIGIN: dict[str, str] = {}
+
+
+def register(name: str, reader, source: str, log_format: str, tools: dict[str, str] | None = None, by: str = "file", place: str | None = None, origin: str = "drop-in") -> bool:
+    """A reader of one's own: it takes files and returns Logs. One of a known name takes its place, unless that comes from a stronger origin (SET-09); whether it did. by: whether a file or a
+    session is what is new."""
+    if not name or "::" in name or not callable(reader) or by not in ("file", "session") or origin not in ORIGINS:
+        raise ValueError("a reader needs a name without '::', a function of files, an origin, and to go by file or by session")
+    if name in READERS and ORIGINS.index(origin) < ORIGINS.index(_ORIGIN.get(name, ORIGINS[0])):
+        return False
+    _ORIGIN[name] = origin
     HARNESSES[name] = (source, log_format, dict(tools or {}), by)
     READERS[name] = reader
     if place:
         PLACES[name] = place
+    return True
+
+
+def unregister(name: str) -> None:
+    """Forget a reader."""
+    for known in (HARNESSES, READERS, PLACES, _ORIGIN):
+        known.pop(name, None)
 
 
 def harness_of(path: Column) -> Column:
-    """The harness whose place a path is in; null for other paths."""
-    return F.coalesce(*(F.when(path.rlike(pattern), F.lit(name)) for name, pattern in PLACES.items()))
+    """The harness whose place a path is in, of the strongest origin where several fit; null for other paths."""
+    places = sorted(PLACES.items(), key=lambda x: -ORIGINS.index(_ORIGIN.get(x[0], ORIGINS[0])))
+    return F.coalesce(*(F.when(path.rlike(pattern), F.lit(name)) for name, pattern in places))
 
 
 def discovered(files_: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ PRIOR = 5
 SCALE = 1_000_000_000
 TOP = 50
 #: Bytes of text whose terms are counted together.
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 5 << 20
 #: Entries of the matrices of sources that a task adds up before it hands them on.
 ROOM = 4 << 20
 

@@ -85,6 +85,8 @@ BLOCK_TEXTS, LENGTHS = 4096, 256
 WIDTH, MARKED = 4, 0.2
 #: Blocks that a search for the best begins with.
 FIRST_BLOCKS = 4
+#: Results up to which those of the first blocks are held by the driver.
+LOCAL = 10_000
 
 
 def content(store: Store) -> DataFrame:
@@ -374,16 +376,21 @@ def scored(index: Index, query: Match | list[str], all_words: bool = False, post
     return out.where(found.test(F.col("has"))).select("content_id", "segment", "rank")
 
 
+def _here(rows: DataFrame) -> DataFrame:
+    """A few rows, computed now and held by the driver."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def bounds(index: Index, found: Match) -> tuple[DataFrame, DataFrame]:
     """Of a query whose leaves are single words: (segment, block, n, bound), where no text of the block can have a rank below -bound and n counts its postings, and the leaves' weights."""
     spark = index.texts.sparkSession
     leaves = spark.createDataFrame([(k, words[0]) for k, (words, _) in enumerate(found.leaves) if words], "leaf int, term string")
-    rows = settled(index.blocks.where(F.col("term").isin([w[0] for w, _ in found.leaves if w])).join(F.broadcast(leaves), "term"), "fulltext-blocks")
+    rows = index.blocks.where(F.col("term").isin([w[0] for w, _ in found.leaves if w])).join(F.broadcast(leaves), "term")
     df = rows.groupBy("leaf").agg(F.sum("n").alias("df"))
     if index.gone is not None:
         less = index.gone.join(F.broadcast(leaves), "term").groupBy("leaf").agg(F.sum("n").alias("less"))
         df = df.join(less, "leaf", "left").select("leaf", (F.col("df") - F.coalesce("less", F.lit(0))).alias("df"))
-    weights = settled(_weights(df, _totals(index)), "fulltext-weights")
+    weights = _here(_weights(df, _totals(index)))  # a row a leaf
     bound = rows.join(F.broadcast(weights), "leaf").groupBy("segment", "block").agg(F.sum("n").alias("n"), F.sum(_part(F.col("max_tf"), F.col("min_length"))).alias("bound"))
     return settled(bound, "fulltext-bounds"), weights
 
@@ -401,8 +408,8 @@ def best(index: Index, query: Match | list[str], limit: int, all_words: bool = F
         rows = index.postings.join(blocks.select("segment", "block"), ["segment", "block"], "left_semi")
         return scored(index, found, postings=rows, weights=weights).orderBy(*order).limit(limit)
 
-    first = settled(every.orderBy(F.desc("bound"), "segment", "block").limit(FIRST_BLOCKS), "fulltext-first")
-    got = settled(top(first), "fulltext-got")
+    first = _here(every.orderBy(F.desc("bound"), "segment", "block").limit(FIRST_BLOCKS))
+    got = _here(top(first)) if limit <= LOCAL else settled(top(first), "fulltext-got")
     n, reached = got.agg(F.count("*"), F.max("rank")).first()
     rest = every.join(first, ["segment", "block"], "left_anti")
     if n == limit:

@@ -13,7 +13,7 @@ from threadmill.plans import canonical
 from threadmill.plans.tables import new_path, settled
 from threadmill.sources import lines as log_lines
 from threadmill.sources import logs
-from threadmill.streaming import live
+from threadmill.streaming import live, sessions
 
 AT = "2026-01-01T00:00:00Z"
 def _time() -> Column:
@@ -155,6 +155,18 @@ over_tables("src16_content", "SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN 0
         .when(F.col("turn") % 4 == 2, F.lit('{"content":null}')).otherwise(F.to_json(_object(content=F.array(_object(text=F.col("t")), _object(text=F.lit("more"))))))))
     .withColumn("e", logs.content_elements("$.content")).select("conv_id", "turn", F.size("e").alias("n"), F.coalesce(F.try_variant_get(F.get("e", F.lit(0)), "$.text", "string"), F.try_variant_get(F.get("e", F.lit(0)), "$", "string")).alias("first"))
 )
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry after a stream of the events, each a sighting of its user: who wasn't seen for 48 hours before the watermark is gone."""
+    path = new_path(spark, "session-events")
+    rows = canonical.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("harness_session_id"), F.lit("seen").alias("kind"), F.col("ts").cast("timestamp").alias("at"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("started_at"))
+    kinds = dict(c.split(" ") for c in sessions.EVENTS.split(", "))
+    rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items())).coalesce(1).write.parquet(f"{path}/in")
+    sessions.start(spark.readStream.schema(sessions.EVENTS).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return sessions.current(spark, f"{path}/out")[0].select("harness_session_id", "started_at", "last_seen_at")
+
+
+over_tables("str05_session_stream", """WITH e AS (SELECT user_id, ts, max(ts) OVER () AS newest FROM events)
+SELECT CAST(user_id AS VARCHAR) AS harness_session_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS started_at, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_seen_at FROM e GROUP BY user_id, newest HAVING max(ts) + INTERVAL 48 HOUR > newest - INTERVAL 2 HOUR""")(_streamed)
 over_tables("src14_registry", "SELECT '/srv/' || page_id AS path, 'own_pages' AS harness FROM pages WHERE page_id % 10 = 7 UNION ALL SELECT '/h/.codex/sessions/' || page_id || 'x.jsonl', 'codex_cli' FROM pages")(_registered)
 
 _ON_DISK: dict[tuple[str, str], str] = {}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadmill.operators import cells
-from threadmill.plans.tables import new_path
+from threadmill.plans.tables import new_path, settled
 
 
 def clustered(n, groups=12, d=16, seed=0):
@@ -83,3 +83,15 @@ def test_plan_has_no_cross_join(spark):
     cells.write(frame(spark, range(200), vectors), path)
     plan = cells.search(cells.read(spark, path), frame(spark, range(4), vectors[:4], "query"), 3)._jdf.queryExecution().toString()
     assert "Cross" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_many_queries_are_not_broadcast(spark, monkeypatch):
+    """They went through the driver with each cell that they ask for, as their shuffle was small by Spark's count."""
+    monkeypatch.setattr(cells, "SENT_BYTES", 1000, raising=False)
+    monkeypatch.setattr(cells, "ASKED_ROWS", 20, raising=False)
+    path, vectors = new_path(spark, "cells"), np.random.default_rng(3).normal(size=(300, 8)).astype(np.float32)
+    cells.write(frame(spark, range(300), vectors), path)
+    index, queries = cells.read(spark, path), frame(spark, range(40), vectors[:40], "query")
+    found_by = cells._scored(settled(cells._asked(queries, index, 5)), index, 5)
+    assert found_by.count() and "Broadcast" not in found_by._jdf.queryExecution().executedPlan().toString()
+    assert found(index, queries, 5)[0] == brute(range(300), vectors, list(enumerate(vectors[:40])), 5)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -191,6 +195,22 @@ def test_nearest_is_the_top_of_all(spark):
             assert [got[q, p] for p in range(1, 5)] == pytest.approx(sorted((unit @ unit[q]).tolist(), reverse=True)[:4])
 
 
+def test_nearest_holds_no_matrix_of_a_whole_batch():
+    """What a task takes was 8 bytes for each pair of a block of queries and the rows that Spark gives it at once, several times over."""
+    rng = np.random.default_rng(7)
+    n, d, k = 10_000, 8, 3
+    points, units = rng.normal(size=(n, d)).astype(np.float32), vectors._units(rng.normal(size=(256, d)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.ListArray.from_arrays(pa.array(np.arange(0, n * d + 1, d, dtype=np.int32)), pa.array(points.ravel()))], ["chunk_id", "embedding"])
+    best = vectors._best(SimpleNamespace(value=(pa.array(np.arange(256)), units)), k, 256, pa.int64())
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(best(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 256 * n
+    score = units @ vectors._units(points.astype(float)).T
+    assert found.column("chunk_id").to_numpy().reshape(256, k).tolist() == np.argsort(-score, axis=1)[:, :k].tolist()
+
+
 def test_snippet(spark):
     frame = spark.createDataFrame([("one two three four five six",)], "x string")
     assert frame.select(fulltext.snippet(F.col("x"), ["three", "four"], 3)).first()[0] == "...>>>three<<< >>>four<<< five..."

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,6 +100,23 @@ def test_a_broken_id_file_is_an_error(spark, tmp_path):
         idfiles.IdFile(manifest.collect()[0].path)
 
 
+def test_what_reads_id_files_keeps_none_of_their_ids(tmp_path):
+    out = idfiles._Writer(f"file://{tmp_path}", 2)
+    counts = np.full(1000, 4 * idfiles.SLICE_IDS // 1000)
+    out.add(np.arange(1000), 0, np.zeros(counts.sum(), np.int32), counts)
+    path, docs, ids = out.close()
+    files = [pa.RecordBatch.from_pylist([{"path": path, "docs": docs, "ids": ids, "start": 0}] * 3)]
+    tracemalloc.start()
+    try:
+        for _ in range(2):  # what the first pass leaves, like compiled patterns, doesn't count
+            before = tracemalloc.get_traced_memory()[0]
+            assert sum(b["n_tokens"].to_numpy().sum() for b in idfiles._scan(iter(files))) == 3 * ids
+        kept = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    assert kept < idfiles.SLICE_IDS  # bytes; the ids read take 48 times that
+
+
 def test_tokenizers_that_cross_white_space_are_refused():
     assert idfiles.crosses({"pre_tokenizer": {"type": "ByteLevel"}})
     with pytest.raises(ValueError, match="white space"):

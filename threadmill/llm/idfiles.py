@@ -260,31 +260,35 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, id_column:
     return materialize(rows.select("id", "text").mapInArrow(write, "part int, seq int, path string, docs bigint, ids bigint"), "ids-manifest")
 
 
+_READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of files, given as rows of the manifest with their start."""
+    for row in chain.from_iterable(b.to_pylist() for b in batches):
+        file = IdFile(row["path"])
+        if (file.n, file.n_ids) != (row["docs"], row["ids"]):
+            raise ValueError(f"{row['path']} doesn't have what the manifest says")
+        bounds = file.bounds.between(0, file.n + 1)
+        keys = np.ma.array(np.concatenate((np.zeros(file.nulls, np.int64), file.doc_ids.between(0, file.doc_ids.n))), mask=np.arange(file.n) < file.nulls)
+        group = bounds[:-1] // SLICE_IDS
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), file.n]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            data = pa.py_buffer(file.ids(int(bounds[a]), int(bounds[b])).astype("<u4"))
+            # Made of buffers, as pa.array never lets go of a memoryview: a worker would keep the ids of every file it has read.
+            at = pa.array((bounds[a : b + 1] - bounds[a]) * 4, pa.int32())
+            ids = pa.Array.from_buffers(pa.binary(), b - a, [None, at.buffers()[1], data])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.data[a:b], pa.int64(), mask=keys.mask[a:b]), pa.array(row["start"] + bounds[a:b]), pa.array(np.diff(bounds[a : b + 1])), ids], schema=_READ)
+        file.close()
+
+
 def read_ids(manifest: DataFrame) -> DataFrame:
     """A task per file. Each document's doc_id, start (ids of all documents before it), n_tokens and ids (binary, little-endian unsigned 32-bit numbers)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in chain.from_iterable(b.to_pylist() for b in batches):
-            file = IdFile(row["path"])
-            if (file.n, file.n_ids) != (row["docs"], row["ids"]):
-                raise ValueError(f"{row['path']} doesn't have what the manifest says")
-            bounds = file.bounds.between(0, file.n + 1)
-            keys = np.ma.array(np.concatenate((np.zeros(file.nulls, np.int64), file.doc_ids.between(0, file.doc_ids.n))), mask=np.arange(file.n) < file.nulls)
-            group = bounds[:-1] // SLICE_IDS
-            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), file.n]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                data = memoryview(file.ids(int(bounds[a]), int(bounds[b])).astype("<u4").tobytes())
-                at = (bounds[a : b + 1] - bounds[a]) * 4
-                ids = pa.array([data[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(keys.data[a:b], pa.int64(), mask=keys.mask[a:b]), pa.array(row["start"] + bounds[a:b]), pa.array(np.diff(bounds[a : b + 1])), ids], schema=schema)
-            file.close()
-
     # One row per file: a sum over these in one task is small.
     before = F.sum("ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
     files = materialize(manifest.withColumn("start", F.coalesce(before, F.lit(0))), "ids-files")
     tasks = max(1, manifest.count())
-    return files.repartitionByRange(tasks, "path").mapInArrow(scan, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return files.repartitionByRange(tasks, "path").mapInArrow(_scan, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def op11_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:

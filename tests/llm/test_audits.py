@@ -117,6 +117,63 @@ def test_what_reads_id_files_keeps_none_of_their_ids(tmp_path):
     assert kept < idfiles.SLICE_IDS  # bytes; the ids read take 48 times that
 
 
+def library_ids(texts):
+    tokenizer = Tokenizer.from_file(PATH)
+    return [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def own_ids(encoder, texts):
+    return [x.tolist() for _, ids, counts in encoder.encode(pa.array(texts, pa.string()), 2) for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+def test_capitals_before_marks():
+    # The small letter and the mark are one character, the capital and the mark stay two.
+    texts = ["W\u030a w\u030a", "H\u0331T\u0308Y\u030aJ\u030c", "É\u0323 Ü\u0304ÀW\u0323\u030a", "ÀÉÞß×÷ÿ,Ö.ö", "W", "\u030aW"]
+    assert own_ids(idfiles.Encoder(PATH), texts) == library_ids(texts)
+
+
+def test_ids_of_random_words(monkeypatch):
+    monkeypatch.setattr(idfiles, "TABLE_WORDS", 300)
+    monkeypatch.setattr(idfiles, "LEARN_WORDS", 50)
+    monkeypatch.setattr(idfiles, "SLICE_BYTES", 3000)
+    rng = np.random.default_rng(5)
+    alphabet = np.array([*"abcWHTYJ  \n'.,$<>/w2", *"ÀÉßéü×÷ªµ", *"\u0301\u0308\u030a\u0331āĀσΣİ中ﬁ\u00a0\u0085😀", "</w>", "Ġ", "'s", "'LL", "<|endoftext|>"])
+    weights = np.array([1 / 4000 if x == "<|endoftext|>" else 1 for x in alphabet])
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 30), p=weights / weights.sum())) for _ in range(4000)]
+    encoder = idfiles.Encoder(PATH)
+    assert own_ids(encoder, texts) == library_ids(texts)
+    assert len(encoder.words) < 4000
+
+
+def test_words_of_letters_go_to_the_model_alone():
+    """Normalizer and pattern take three quarters of the time, and leave such words as they are."""
+    encoder, seen = idfiles.Encoder(PATH), []
+    whole = encoder.tokenizer
+
+    class Spy:
+        def encode(self, text, **how):
+            seen.append(text)
+            return whole.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(texts)
+            return whole.encode_batch_fast(texts, **how)
+
+    encoder.tokenizer = Spy()
+    rng = np.random.default_rng(6)
+    text = " ".join("".join(rng.choice([*"abcdefghéüñçA"], 9)) for _ in range(3000)) + ". 1999"
+    assert own_ids(encoder, [text]) == library_ids([text])
+    assert sum(map(len, seen)) < 200  # of 30,000 characters: the dot, the number and the marks behind these
+
+
+def test_short_batches_are_encoded_together():
+    batches = [pa.RecordBatch.from_pydict({"id": [k], "text": [f"word{k}"]}) for k in range(1000)]
+    assert [b.num_rows for b in idfiles._gathered(iter(batches))] == [1000]
+    long = pa.RecordBatch.from_pydict({"id": [0], "text": ["x" * idfiles.SLICE_BYTES]})
+    assert [b.num_rows for b in idfiles._gathered(iter([batches[0], batches[1], long, long, batches[2]]))] == [2, 1, 1, 1]
+    assert not list(idfiles._gathered(iter([])))
+
+
 def test_tokenizers_that_cross_white_space_are_refused():
     assert idfiles.crosses({"pre_tokenizer": {"type": "ByteLevel"}})
     with pytest.raises(ValueError, match="white space"):

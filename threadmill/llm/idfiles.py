@@ -6,9 +6,10 @@ brings it to FILE_IDS ids or FILE_DOCS documents, so what a task holds is bounde
 named nowhere, as only the manifest, which Spark commits once, says which files there are and in which order. Offsets in the whole corpus are the file's place in
 the manifest plus the boundary in it, so nothing grows but the manifest by a row a file. Files go through pyarrow.fs.
 
-A text is cut at spaces, tabs and line ends, and between ASCII letters and other ASCII characters, where the vocabulary's pattern cuts it in any case; each distinct word is
-encoded by the tokenizers library, many at a time with a special token between them, and kept in a table of bounded size. So the ids are the library's for the whole text.
-A slice with the name of an added token is cut at white space alone. A tokenizer of which `crosses` can't tell that this holds is an error.
+A text is cut at spaces, tabs and line ends, and between letters (ASCII and Latin-1) and other ASCII characters, where the vocabulary's pattern cuts it in any case; each
+distinct word is encoded by the tokenizers library, many at a time, and kept in a table of bounded size. So the ids are the library's for the whole text. Words of these
+letters alone, once lowered, are what normalizer and pattern would leave of them, so they go to the library's model with a space between them; others go through the whole
+tokenizer with a special token between them. A slice with the name of an added token is cut at white space alone. A tokenizer of which `crosses` can't tell that this holds is an error.
 
 Null or empty text: the end id alone. A null id sorts first. Rows of one id are in the order of their texts' hashes; rows that repeat are all written, and may be split
 among files. A very long text is one document of whatever length, read and written whole. An empty table gives no files and an empty result. Only id and
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -27,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ FILE_DOCS = 1 << 22
 #: Bytes of text that are encoded at once, and ids that are read at once; a longer document stands alone.
 SLICE_BYTES = 1 << 20
 SLICE_IDS = 1 << 20
+#: Short documents that are encoded at once.
+SLICE_ROWS = 100_000
 #: New words that are encoded at once.
 LEARN_WORDS = 2000
 #: Words, and their bytes and ids together, that a worker keeps; beyond it the half that was met most often stays.
@@ -61,6 +66,22 @@ def crosses(spec: dict) -> bool:
     return not dropped or added or not {r.get("type") for r in rules.get("normalizers", [rules])} <= known
 
 
+#: The pattern that leaves a word of letters whole.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+
+def leaves_letters(spec: dict) -> bool:
+    """Whether a word of _LETTERS reaches the model as it is, but for its bytes' names, and the model gives it one token with its end."""
+    rules, steps, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec["model"]
+    # An end has a character that no byte of these letters is named like.
+    ends = re.search(r"[!-@\[-`{-~]", model.get("end_of_word_suffix") or "") is not None
+    rules, steps = rules.get("normalizers", [rules]), steps.get("pretokenizers", [steps])
+    same = all(r.get("type") in ("NFC", "Lowercase") or r.get("type") == "Replace" and r["pattern"] == {"Regex": r"\s+"} for r in rules)
+    cut = len(steps) == 2 and steps[0].get("pattern") == {"Regex": _PATTERN} and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex", True)
+    return same and cut and model.get("type") == "BPE" and ends and not model.get("dropout") and not model.get("unk_token")
+
+
 #: Bytes of ASCII letters, those that separate words, and the rest of ASCII without the apostrophe, which may belong to the letters after it.
 _LETTER, _SPACE, _OTHER, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
@@ -68,6 +89,23 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
 _OTHER[:0x80] = ~(_LETTER | _SPACE)[:0x80]
 _OTHER[0x27] = False
 _LOWER[0x41:0x5B] += 32
+#: Latin-1 letters are this byte and one of these, capitals one of the last.
+_LATIN, _SECOND, _CAPITAL = 0xC3, np.zeros(256, bool), np.zeros(256, bool)
+_SECOND[0x80:0xC0] = _CAPITAL[0x80:0x9F] = True
+_SECOND[[0x97, 0xB7]] = _CAPITAL[0x97] = False
+
+
+def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that belong to letters, and the text with these in lower case, unless a mark may follow: h and a macron below are one character, H and that are two."""
+    letter, lower = _LETTER[data], _LOWER[data]
+    if len(latin := np.flatnonzero(data[:-1] == _LATIN)):
+        latin = latin[_SECOND[data[latin + 1]]]
+        letter[latin] = letter[latin + 1] = True
+        lower[latin + 1] += np.where(_CAPITAL[data[latin + 1]], 32, 0).astype(np.uint8)
+    # Marks that change the character before them begin at U+0300.
+    before = np.flatnonzero(data[1:] > _LATIN)
+    lower[before] = data[before]
+    return letter, lower
 
 
 class Encoder:
@@ -88,72 +126,89 @@ class Encoder:
         lower = any(r.get("type") == "Lowercase" for r in (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {}]))
         #: A token that stands between words when many are encoded at once, for a tokenizer that lowers letters.
         self.mark = next(((t["content"], t["id"]) for t in added if t["special"] and not t["normalized"]), None) if lower else None
-        self.index: dict[bytes, int] = {}
+        self.model = self._model() if self.mark and leaves_letters(spec) else None
+        if self.model:
+            self.is_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.is_end[[i for name, i in spec["model"]["vocab"].items() if name.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        self.words = pa.array([], pa.large_binary())
         self.ids, self.starts, self.lengths, self.hits = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))
         self.size = 0
 
+    def _model(self):
+        """The library's model behind a split at spaces, whose byte is named like this."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        out = Tokenizer(self.tokenizer.model)
+        out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), pre_tokenizers.CharDelimiterSplit("Ġ")])
+        return out
+
     def _shrink(self) -> None:
         """Keep the words met most often, as long as these have half of the room."""
-        names = list(self.index)
-        sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names)) + self.lengths
+        sizes = pc.binary_length(self.words).to_numpy() + self.lengths
         order = np.argsort(-self.hits, kind="stable")[: TABLE_WORDS // 2]
         kept = np.sort(order[: np.searchsorted(np.cumsum(sizes[order]), TABLE_SIZE // 2)])
         self.ids = self.ids[_ragged(self.starts[kept], self.lengths[kept])]
         self.lengths, self.hits, self.size = self.lengths[kept], self.hits[kept] // 2, int(sizes[kept].sum())
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.index = {names[k]: n for n, k in enumerate(kept.tolist())}
+        self.words = self.words.take(kept)
 
     def _encoded(self, words: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words in one array, and how many each has. joined: no word has the mark."""
-        parts, lengths = [], []
-        for k in range(0, len(words), LEARN_WORDS):
-            some = words[k : k + LEARN_WORDS]
-            if joined:
-                mark, mark_id = self.mark
-                ids = np.array(self.tokenizer.encode(mark.join(some) + mark, add_special_tokens=False).ids, dtype=np.int32)
-                ends = np.flatnonzero(ids == mark_id)
-                lengths.append(np.diff(ends, prepend=-1) - 1)
-                parts.append(ids[ids != mark_id])
-            else:
-                found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-                lengths.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
-                parts.append(np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(lengths[-1].sum())))
-        return np.concatenate(parts), np.concatenate(lengths)
-
-    def _learn(self, words: list[bytes], joined: bool) -> None:
-        ids, lengths = self._encoded([w.decode() for w in words], joined)
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
-        self.lengths, self.ids = np.concatenate((self.lengths, lengths)), np.concatenate((self.ids, ids))
+        if not joined:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            return np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(lengths.sum())), lengths
+        mark, mark_id = self.mark
+        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(words) + mark], add_special_tokens=False)[0].ids, dtype=np.int32)
+        return ids[ids != mark_id], np.diff(np.flatnonzero(ids == mark_id), prepend=-1) - 1
+
+    def _of_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of _LETTERS."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.int32)
+        ends = np.flatnonzero(self.is_end[ids])
+        # A word has one end at most, none where the vocabulary lacks its last byte.
+        return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(words) else self._encoded(words, True)
+
+    def _learn(self, new: pa.LargeBinaryArray, joined: bool) -> None:
+        words = new.cast(pa.large_string()).to_pylist()
+        letters = np.fromiter((joined and self.model is not None and _LETTERS.fullmatch(w) is not None for w in words), dtype=bool, count=len(words))
+        starts, lengths, parts, n = np.empty(len(words), np.int64), np.empty(len(words), np.int64), [self.ids], len(self.ids)
+        for places, encoded in ((np.flatnonzero(letters), self._of_letters), (np.flatnonzero(~letters), lambda some: self._encoded(some, joined))):
+            for k in range(0, len(places), LEARN_WORDS):
+                some = places[k : k + LEARN_WORDS]
+                ids, lengths[some] = encoded([words[i] for i in some.tolist()])
+                starts[some] = n + np.cumsum(lengths[some]) - lengths[some]
+                parts.append(ids)
+                n += len(ids)
+        self.size += pc.sum(pc.binary_length(new)).as_py() + n - len(self.ids)
+        self.ids, self.starts, self.lengths = np.concatenate(parts), np.concatenate((self.starts, starts)), np.concatenate((self.lengths, lengths))
         self.hits = np.concatenate((self.hits, np.zeros(len(words), np.int64)))
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        self.size += sum(map(len, words)) + len(ids)
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > TABLE_WORDS or self.size > TABLE_SIZE:
+        if len(self.words) > TABLE_WORDS or self.size > TABLE_SIZE:
             self._shrink()
         keep = ~_SPACE[data]
-        # Between an ASCII letter and another ASCII character but the apostrophe the pattern cuts, too; then case doesn't matter. Not where a text may have added tokens.
-        lower = _LOWER[data]
-        whole = lower.tobytes()
+        # Between a letter and another ASCII character but the apostrophe the pattern cuts, too; then case doesn't matter. Not where a text may have added tokens.
+        whole = _LOWER[data].tobytes() if self.mark is not None else b""
         finer = self.mark is not None and not any(t in whole for t in self.added)
         opens = keep.copy()
         opens[1:] &= ~keep[:-1]
         if finer:
-            letter, other = _LETTER[data], _OTHER[data]
+            (letter, data), other = _letters(data), _OTHER[data]
             opens[1:] |= keep[1:] & (letter[:-1] & other[1:] | other[:-1] & letter[1:])
         first = offsets[:-1][offsets[:-1] < len(data)]
         opens[first] |= keep[first]
         starts = np.flatnonzero(opens)
         at = np.append(np.cumsum(keep)[starts] - 1, keep.sum()).astype(np.int64)
-        flat = (lower if finer else data)[keep]
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(flat)]).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        if new := [w for w in distinct if w not in self.index]:
-            self._learn(new, finer)
-        known = np.fromiter(map(self.index.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        at = words.indices.to_numpy(zero_copy_only=False)
-        self.hits[known] += np.bincount(at, minlength=len(distinct))
-        word = known[at]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[keep])])
+        # The table's words are distinct and stand first, so a word's number is its place in the table, and new ones follow.
+        known = len(self.words)
+        coded = pa.concat_arrays([self.words, words]).dictionary_encode()
+        if len(coded.dictionary) > known:
+            self._learn(coded.dictionary.slice(known), finer)
+        self.words = coded.dictionary
+        word = coded.indices.to_numpy()[known:]
+        self.hits += np.bincount(word, minlength=len(self.words))
         lengths = self.lengths[word]
         total = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(starts, offsets[1:])]
         counts = np.diff(total, prepend=0) + 1
@@ -228,13 +283,26 @@ class _Writer:
         return self.path, self.docs, self.n_ids
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches together, as a slice costs a pass over the table of words however short it is."""
+    some, size, rows = [], 0, 0
+    for batch in batches:
+        if some and (size + batch.nbytes > SLICE_BYTES or rows + batch.num_rows > SLICE_ROWS):
+            yield pa.concat_batches(some) if len(some) > 1 else some[0]
+            some, size, rows = [], 0, 0
+        some.append(batch)
+        size, rows = size + batch.nbytes, rows + batch.num_rows
+    if some:
+        yield pa.concat_batches(some) if len(some) > 1 else some[0]
+
+
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, id_column: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
     """Write the ids of all texts, in ascending order of their document ids, under folder. The manifest, stored: part and seq (the files' order), path, docs, ids."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, out, own = TaskContext.get().partitionId(), 0, None, encoder(tokenizer)
         done: list[tuple] = []
-        for batch in batches:
+        for batch in _gathered(batches):
             for first, ids, counts in own.encode(batch.column(1), end):
                 keys, ends, k = batch.column(0).slice(first, len(counts)), np.cumsum(counts), 0
                 while k < len(counts):
